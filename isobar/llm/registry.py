@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from isobar.llm import decontaminate, exact_dedup, language_id, licenses, line_dedup, pieces, quality, simhash, token_counts
+from isobar.llm import decontaminate, exact_dedup, language_id, licenses, line_dedup, pieces, quality, simhash, token_counts, warc
 
-_MODULES = (decontaminate, simhash, language_id, line_dedup, exact_dedup, token_counts, quality, pieces, licenses)
+_MODULES = (decontaminate, simhash, language_id, line_dedup, exact_dedup, warc, token_counts, quality, pieces, licenses)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
