@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("field_queries", "event_queries", "statistics_queries", "join_queries")
 
 
 def _each(name: str) -> dict:
