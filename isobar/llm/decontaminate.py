@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm.text import WORD_GAP, lower_ascii, table
+from isobar.session import match, materialize
 
 #: Words of a window, and of the hashed k-grams inside it.
 WINDOW, K = 10, 5
@@ -100,8 +101,6 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns doc_id, text_tag (of the text), n_words, at, length, items.
     """
-    from isobar.session import materialize
-
     windows, lengths = benchmark_windows(benchmark)
     windows = materialize(windows, "benchmark-windows")
     small = windows.count() <= BROADCAST_WINDOWS
@@ -109,11 +108,15 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tagged = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     tagged = tagged.withColumn("text_tag", F.xxhash64("text"))
     rows = _windows(tagged, ["doc_id", "text_tag"], lengths or [WINDOW], header=True)
+    if not small:
+        # Rows that are shuffled carry their own window's words, not their document's.
+        rows = rows.withColumn("words", F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.col("length"))))
+    window = _window_text() if small else F.concat_ws(" ", "words")
     # Headers get keys of their own, so that a shuffled join doesn't deal them all to one task.
     rows = rows.withColumn("key", F.coalesce("fp", F.xxhash64("doc_id", "text_tag", F.lit("header"))))
     prints = windows.select(F.col("fp").alias("key"), F.lit(True).alias("known")).distinct()
     rows = rows.join(side(prints), "key", "left").where("at = -1 or known")
-    rows = rows.select("doc_id", "text_tag", "n_words", "at", "length", F.when(F.col("at") >= 0, _window_text()).otherwise(F.concat(F.lit("\n"), F.col("key").cast("string"))).alias("window"))
+    rows = rows.select("doc_id", "text_tag", "n_words", "at", "length", F.when(F.col("at") >= 0, window).otherwise(F.concat(F.lit("\n"), F.col("key").cast("string"))).alias("window"))
     found = rows.join(side(windows.select("length", "window", "items")), ["length", "window"], "left")
     return found.where("at = -1 or items is not null").select("doc_id", "text_tag", "n_words", "at", "length", "items")
 
@@ -143,13 +146,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Only the keys of contaminated rows take part in the anti-join.
     """
-    from isobar.session import fresh_name, materialize
-
-    bad = hits(docs, benchmark).where("at >= 0").select(F.col("doc_id").alias("_bad_id"), F.col("text_tag").alias("_bad_tag")).distinct()
-    bad = materialize(bad, "contaminated")
-    tag = fresh_name(docs, "text_tag")
-    tagged = docs.withColumn(tag, F.xxhash64(F.col("text").cast("string")))
-    return tagged.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col(tag) == F.col("_bad_tag")), "left_anti").select(*docs.columns)
+    bad = materialize(hits(docs, benchmark).where("at >= 0").select("doc_id", "text_tag").distinct(), "contaminated")
+    return match(docs, bad, [(F.col("doc_id"), "doc_id"), (F.xxhash64(F.col("text").cast("string")), "text_tag")], "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm import mph
-from isobar.llm.text import batches, table, texts_of
-from isobar.session import materialize
+from isobar.llm.text import batches, lower_ascii, table, texts_of
+from isobar.session import fresh_name, match, materialize
 
 #: Digests a shard holds on average.
 SHARD_KEYS = 8192
@@ -68,14 +68,14 @@ def build_index(history: DataFrame, shards: int | None = None) -> tuple[DataFram
     shards = shards or max(1, -(-history.count() // SHARD_KEYS))
 
     def run(key, rows):
+        import pandas as pd
+
         found = rows.sort_values("digest")
         keys = _keys(list(found.digest))
         held = mph.Hash(mph.build(keys))
         order = np.empty(len(keys), np.int64)
         order[held.slots(keys)] = np.arange(len(keys))
         found = found.iloc[order]
-        import pandas as pd
-
         winners = found.winner.fillna(-1).to_numpy(np.int64)
         blob = [held.dumps(), b"".join(found.digest), winners.tobytes(), found["rows"].to_numpy(np.int64).tobytes(), np.packbits(found.winner.isna()).tobytes()]
         return pd.DataFrame([[int(key[0]), *blob]], columns=["shard", "hash", "digests", "winners", "counts", "nulls"])
@@ -189,25 +189,17 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     repeats with an equal text, one of those rows (any, where other columns
     differ) stays.
     """
-    from isobar.session import fresh_name
-
     name = fresh_name(docs, "digest_of_text")
     rows = dedup_rows(docs)
-    kept = materialize(rows.where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "kept")
+    kept = materialize(rows.where("kept").groupBy("doc_id", F.lower(F.hex("digest")).alias("digest")).agg(F.count(F.lit(1)).alias("n")), "kept")
     tagged = docs.withColumn(name, F.sha2(_folded(), 256))
-    keys = kept.select(F.col("doc_id").alias("_keep_id"), F.lower(F.hex("digest")).alias("_keep_digest"), "n")
-
-    def stay(which: DataFrame) -> DataFrame:
-        return tagged.join(which, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col(name) == F.col("_keep_digest")), "left_semi")
-
-    once = stay(keys.where("n = 1"))
-    more = stay(keys.where("n > 1")).dropDuplicates(["doc_id", name])
+    on = [(F.col("doc_id").cast("long"), "doc_id"), (F.col(name), "digest")]
+    once = match(tagged, kept.where("n = 1"), on)
+    more = match(tagged, kept.where("n > 1"), on).dropDuplicates(["doc_id", name])
     return once.unionByName(more).select(*docs.columns)
 
 
 def _folded():
-    from isobar.llm.text import lower_ascii
-
     return lower_ascii(F.coalesce(F.col("text"), F.lit("")))
 
 

@@ -114,8 +114,13 @@ def matches(docs: DataFrame, templates: DataFrame) -> DataFrame:
     own = F.when(F.col("at") >= 0, F.col("s0")).otherwise(F.xxhash64("doc_id", "text_tag", F.lit("header")))
     bands = _bands([f"s{i}" for i in range(SPAN)])
     rows = rows.select("doc_id", "text_tag", "words", "at", F.posexplode(F.when(F.col("at") >= 0, F.concat(F.array(own), bands)).otherwise(F.array(own))).alias("band", "key"))
+    if not small:
+        # Rows that are shuffled carry their own shingle's words, not their document's.
+        rows = rows.withColumn("words", F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.lit(SHINGLE)))).withColumn("from", F.lit(1))
+    else:
+        rows = rows.withColumn("from", F.col("at") + 1)
     found = rows.join(side(keys), "key", "left").where("at = -1 or template is not null")
-    same = F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(SHINGLE)))
+    same = F.concat_ws(" ", F.slice("words", F.greatest(F.col("from"), F.lit(1)), F.lit(SHINGLE)))
     verified = (F.col("band") == 0) & F.col("text").isNotNull() & (F.col("text") == same)
     retrieved = (F.col("band") > 0) & F.col("text").isNull()
     kind = F.when(F.col("at") == -1, 0).when(retrieved, 1).when(verified, 2)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm.text import batches, table, texts_of
-from isobar.session import fresh_name, materialize
+from isobar.session import fresh_name, match, materialize
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints a shard has on average at most, and those from which it is dealt anew.
@@ -262,10 +262,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     kept = materialize(rows.groupBy("doc_id", "text_tag").agg(F.count(F.lit(1)).alias("n")), "kept")
     tag = fresh_name(docs, "text_tag")
     tagged = docs.withColumn(tag, F.xxhash64(F.col("text").cast("string")))
-    keys = kept.select(F.col("doc_id").alias("_keep_id"), F.col("text_tag").alias("_keep_tag"), "n")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col(tag) == F.col("_keep_tag"))
-    once = tagged.join(keys.where("n = 1"), same, "left_semi")
-    more = tagged.join(keys.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", tag])
+    on = [(F.col("doc_id").cast("long"), "doc_id"), (F.col(tag), "text_tag")]
+    once = match(tagged, kept.where("n = 1"), on)
+    more = match(tagged, kept.where("n > 1"), on).dropDuplicates(["doc_id", tag])
     return once.unionByName(more).select(*docs.columns)
 
 
