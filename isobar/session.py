@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "isobar", **conf: str) -> SparkSession:
@@ -60,3 +61,17 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def match(rows: DataFrame, keys: DataFrame, on: list[tuple[Column, str]], how: str = "left_semi") -> DataFrame:
+    """Rows that have (``left_semi``) or don't have (``left_anti``) a partner in ``keys``.
+
+    on: expressions over ``rows`` and the columns of ``keys`` that they equal,
+    null being equal to null.  Names may clash: the keys get fresh ones.
+    """
+    names = [fresh_name(rows, f"match_{i}") for i in range(len(on))]
+    side = keys.select(*[F.col(k).alias(n) for n, (_, k) in zip(names, on, strict=True)])
+    test = F.lit(True)
+    for n, (c, _) in zip(names, on, strict=True):
+        test = test & c.eqNullSafe(F.col(n))
+    return rows.join(side, test, how)
