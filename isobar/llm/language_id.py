@@ -24,8 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.llm.text import batches, table
@@ -129,8 +130,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a] for c, a in zip(found, at, strict=True)], pa.list_(pa.int64()))], ["lang", "rank", "at", "n"])
 
     chosen = hashed.where(share).select("lang", "rank", "text").mapInArrow(run, "lang string, rank long, at array<int>, n array<long>")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy("rank", F.xxhash64("at", "n"))
     held = chosen.withColumn("row", F.row_number().over(order)).where(F.col("row") <= sample).orderBy("lang", "row").toPandas()
     return fit_counts(held.lang.tolist(), list(held["at"]), list(held.n))
@@ -195,8 +194,6 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
     text alone, in the scan's own partitions.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
