@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +167,6 @@ def trend_table(rows: DataFrame, by: list[str], x: str, y: str, per: float = 1.0
     """Modified Mann-Kendall of each group, one row each; slopes over ``per`` steps."""
 
     def run(key, part):
-        import pandas as pd
-
         part = part.sort_values(x)
         found = modified_mann_kendall(part[y].to_numpy(float))
         found["slope"] *= per
@@ -181,8 +180,6 @@ def regression_table(rows: DataFrame, by: list[str], x: str, y: str, predictors:
     """(by, label, coef, se, p, r2, n_eff): one row for each predictor."""
 
     def run(key, part):
-        import pandas as pd
-
         part = part.sort_values(x)
         found = ols(part[y], part[predictors].to_numpy(float), part[x], detrend, ddof)
         return pd.DataFrame([{**dict(zip(by, key, strict=True)), "label": name, "coef": found["coef"][i], "se": found["se"][i], "p": found["p"][i], "r2": found["r2"], "n_eff": found["n_eff"]} for i, name in enumerate(predictors)])
@@ -201,8 +198,6 @@ def welch(rows: DataFrame, by: list[str], window: str, value: str, first: str, s
 
 
 def student_p(rows: DataFrame, t: str, df: str, name: str = "p") -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def two_sided(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([student_sf2(x, y) for x, y in zip(a, b, strict=True)], index=a.index)
@@ -218,8 +213,6 @@ def gram(rows: DataFrame, vector: str, width: int) -> tuple[np.ndarray, np.ndarr
     """
 
     def part(batches):
-        import pandas as pd
-
         total, sums, n = np.zeros((width, width)), np.zeros(width), 0
         for frame in batches:
             x = np.stack(frame[vector].to_numpy()).astype(float) if len(frame) else np.zeros((0, width))
