@@ -39,7 +39,6 @@ LANGUAGES = 256
 SLACK = 0.75
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _GAPS = re.compile(r"[\W\d_]+")
 
 
@@ -82,7 +81,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine with the nearest centroid and whether it is rejected."""
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UND, 0.0, True
         at, w = _weights(_counts(text), self.idf)
         cosine = self.centroids[:, at] @ w
