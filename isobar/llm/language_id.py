@@ -4,9 +4,9 @@ Texts are lower-cased, all but letters become single blanks, and the UTF-8
 bytes' 2-, 3- and 4-grams are counted in ``DIMS`` hashed bins.  Logarithmic
 term weights times IDF, normalised, are compared by cosine with the centroids;
 each language has up to ``CENTROIDS`` of them, clustered by spherical k-means.
-A text is rejected if it is farther from the nearest centroid than that
-centroid's radius (the largest distance of its own training texts, widened by
-``SLACK``), or has no letters.
+A text is rejected if it is farther from the nearest centroid than the
+language's radius (the largest distance of its training texts to their nearest
+centroid, widened by ``SLACK``), or has no letters.
 
 Fitting reads a bounded sample: of each language the ``SAMPLE`` labelled texts
 whose doc_id hashes least, a choice that depends on nothing else.  Prediction
@@ -91,11 +91,13 @@ class Model:
 
 
 def _clusters(rows: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means; the first centres are spread by farthest choice."""
-    centres = [rows.mean(axis=0)]
-    while len(centres) < min(k, len(rows)):
-        near = np.max(np.stack([rows @ c for c in centres]), axis=0)
-        centres.append(rows[int(np.argmin(near))])
+    """Spherical k-means; the first centres are rows spread evenly over the closeness to the mean.
+
+    (Farthest rows as first centres would leave clusters of one odd text each.)
+    """
+    order = np.argsort(rows @ rows.mean(axis=0), kind="stable")
+    k = min(k, len(rows))
+    centres = [rows[order[int((i + 0.5) / k * len(rows))]] for i in range(k)]
     found = np.stack(centres)
     for _ in range(ROUNDS):
         found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
@@ -150,10 +152,9 @@ def fit_counts(langs: list[str], at: list[np.ndarray], n: list[np.ndarray]) -> M
             rows[row, bins] = w
         found = _clusters(rows, CENTROIDS)
         cosine = rows @ found.T
-        nearest = np.argmax(cosine, axis=1)
-        for i, centre in enumerate(found):
-            mine = cosine[nearest == i, i]
-            far = 1 - float(mine.min()) if len(mine) else 1.0
+        # One radius for the whole language: a cluster's own would reject short texts near a narrow one.
+        far = 1 - float(cosine.max(axis=1).min())
+        for centre in found:
             centroids.append(centre)
             owner.append(lang)
             radius.append(far + SLACK * max(0.0, 1 - far))

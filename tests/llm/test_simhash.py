@@ -1,8 +1,9 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from isobar.llm import simhash
-from tests.llm.conftest import lower
+from tests.llm.conftest import ROWS, lower
 
 
 def fingerprint(text):
@@ -126,10 +127,10 @@ def test_long_chains_become_one_component(spark):
 
 def test_stage_keeps_one_of_each_component(clashing, docs):
     out = simhash.keep_representatives(clashing)
+    tags = {(r.doc_id, r.text): r.tag for r in docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).collect()}
     assert out.columns == clashing.columns
     rows = simhash.near_duplicates(docs).collect()
-    fp_of = {(r.doc_id, r.text_tag): r.component_id for r in rows}
-    assert out.count() == len({str(c) for c in fp_of.values()})
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted({(str(d), t or "") for d, t in ROWS for r in rows if r.representative and r.doc_id == d and r.text_tag == tags[d, t]})
 
 
 def test_empty(none):
