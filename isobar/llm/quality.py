@@ -6,9 +6,9 @@ the difference of the summed sizes over their sum is its feature, and a logistic
 curve fitted on labelled texts that the dictionaries haven't seen turns it into
 a score.
 
-Fitting reads bounded samples: by label, the ``PIECES`` pieces of ``PIECE``
-bytes whose hash is least, out of all pieces of all whole training texts, and
-for the curve the ``CURVE`` texts by label whose doc_id hashes least.
+Fitting reads bounded samples: by label, the ``TEXTS`` texts whose doc_id hashes
+least for the dictionaries, of whose pieces of ``PIECE`` bytes the ``PIECES``
+with the least hash are trained on, and as many texts for the curve.
 
 Defined results: null and empty texts have feature 0; without labels of both
 kinds every score is the share of good labels (0.5 without any); a doc_id with
@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.llm.text import batches, table, texts_of
+from isobar.session import materialize
 
-PIECE, PIECES, CURVE, DICTIONARY, LEVEL, PASS = 2048, 3000, 2000, 1 << 16, 3, 0.7
+PIECE, PIECES, TEXTS, DICTIONARY, LEVEL, PASS = 2048, 3000, 2000, 1 << 16, 3, 0.7
 
 
 @dataclass
@@ -137,35 +138,52 @@ def _least(rows: DataFrame, by: list[str], most: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model of (doc_id, text, quality); learns from all rows given.
+def sample_labels(labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, quality, curve) of the labels to learn from, and how many labels there are.
 
-    Rows whose crc32 modulo 4 is 3 fit the curve, the others the dictionaries.
+    At most ``TEXTS`` labels of each kind for the dictionaries, and as many for
+    the curve (doc_ids whose crc32 modulo 4 is 3): those whose doc_id hashes
+    least.  Labels alone are counted and ranked; no text takes part.
     """
-    rows = labelled.where("quality in (0, 1) and text is not null and text <> ''")
-    curves = rows.where(_bucket(4) == 3)
-    base = rows.where(_bucket(4) != 3)
-    sizes = rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.octet_length("text") / PIECE)).alias("pieces")).collect()
-    counts = {r.quality: r.n for r in sizes}
+    marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    marks = marks.withColumn("curve", _bucket(4) == 3).withColumn("rank", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    sizes = marks.groupBy("quality", "curve").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {q: sum(r.n for r in sizes if r.quality == q) for q in {r.quality for r in sizes}}
+    near = F.lit(False)
+    for r in sizes:
+        near = near | ((F.col("quality") == r.quality) & (F.col("curve") == r.curve) & (F.col("rank") <= _limit(TEXTS, r.n)))
+    order = Window.partitionBy("quality", "curve").orderBy("rank", "doc_id")
+    ranked = marks.where(near).withColumn("_n", F.row_number().over(order))
+    return ranked.where(F.col("_n") <= TEXTS).select("doc_id", "quality", "curve"), counts
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); learns from all labels given.
+
+    The sampled labels, at most 4 * ``TEXTS`` rows, are broadcast, so that texts
+    are filtered where they are read.
+    """
+    sample, counts = sample_labels(labels)
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
     flat = Model(b"", b"", 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     if len(counts) < 2:
         return flat
+    side = F.broadcast(sample.withColumnRenamed("doc_id", "_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(side, F.col("doc_id") == F.col("_id"))
+    rows = materialize(rows.where("text <> ''").select("doc_id", "text", "quality", "curve"), "labelled")
+    base = rows.where("not curve")
+    sizes = base.groupBy("quality").agg(F.sum(F.ceil(F.octet_length("text") / PIECE)).alias("pieces")).collect()
     limits = {r.quality: _limit(PIECES, int(r.pieces)) for r in sizes}
     found = _least(_pieces(base, limits), ["rank", "piece"], PIECES).orderBy("quality", "rank", "piece").toPandas()
     pieces = {q: [bytes(p) for p in found.piece[found.quality == q]] for q in (0, 1)}
     if not pieces[0] or not pieces[1]:
         return flat
     model = Model(dictionary(pieces[1]), dictionary(pieces[0]))
-    ranked = curves.select("doc_id", "quality", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("rank"))
-    near = ranked.where(F.create_map(*[F.lit(x) for q, n in counts.items() for x in (q, _limit(CURVE, n // 4))])[F.col("quality")] >= F.col("rank"))
-    sample = _least(near.distinct(), ["rank", "doc_id"], CURVE).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"))
-    chosen = curves.join(F.broadcast(sample), (F.col("doc_id") == F.col("_id")) & (F.col("quality") == F.col("_q")), "left_semi")
-    pairs = features(chosen, model, "quality").toPandas()
+    pairs = features(rows.where("curve"), model, "quality").orderBy("tag", "feature").toPandas()
     if pairs.empty or pairs.tag.nunique() < 2:
         return flat
-    # Both labels weigh as they do among all labelled rows, whatever the sample took of each.
+    # Both labels weigh as they do among all labels, whatever the sample took of each.
     slope, offset = curve(pairs.feature.to_numpy(), pairs.tag.to_numpy(float))
     n1, n0 = int((pairs.tag == 1).sum()), int((pairs.tag == 0).sum())
     model.slope, model.offset = slope, offset + math.log((counts[1] / counts[0]) / (n1 / n0))
@@ -185,9 +203,7 @@ def features(docs: DataFrame, model: Model, tag: str = "doc_id") -> DataFrame:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
-    marks = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
-    known = docs.select("doc_id", "text").where(~held_out()).join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
-    return fit(known)
+    return fit(docs, labels.where(~held_out()))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
