@@ -38,9 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has named, for ``forget``.
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/isobar-{what}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_dir(spark)}/isobar-{what}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder; how many.
+
+    For a session's end: results that are still to be read depend on them.
+    """
+    done = 0
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
+    while _FOLDERS:
+        at = path(_FOLDERS.pop())
+        done += bool(at.getFileSystem(conf).delete(at, True))
+    return done
 
 
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:
