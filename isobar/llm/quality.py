@@ -2,9 +2,11 @@
 
 One zstandard dictionary is trained on pieces of texts labelled good, another on
 pieces of bad ones.  Each whole text is compressed piece by piece with either;
-the difference of the summed sizes over their sum is its feature, and a logistic
-curve fitted on labelled texts that the dictionaries haven't seen turns it into
-a score.
+the difference of the summed sizes over the text's own size is its feature (so
+that words repeated over and over, which either dictionary compresses well, say
+little), and a logistic curve fitted on labelled texts that the dictionaries
+haven't seen turns it into a score.  ``WEIGHT`` bytes of a usual good text stand
+beside each text, so that a few words alone don't condemn it.
 
 Fitting reads bounded samples: by label, the ``TEXTS`` texts whose doc_id hashes
 least for the dictionaries, of whose pieces of ``PIECE`` bytes the ``PIECES``
@@ -30,6 +32,8 @@ from isobar.llm.text import batches, table, texts_of
 from isobar.session import materialize
 
 PIECE, PIECES, TEXTS, DICTIONARY, LEVEL, PASS = 2048, 3000, 2000, 1 << 16, 3, 0.7
+#: Bytes of a usual good text that stand beside each text.
+WEIGHT = 40
 
 
 @dataclass
@@ -40,13 +44,14 @@ class Model:
     bad: bytes
     slope: float = 0.0
     offset: float = 0.0
+    prior: float = 0.0
     _made: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return self.good, self.bad, self.slope, self.offset
+        return self.good, self.bad, self.slope, self.offset, self.prior
 
     def __setstate__(self, state):
-        self.good, self.bad, self.slope, self.offset = state
+        self.good, self.bad, self.slope, self.offset, self.prior = state
         self._made = []
 
     def _compressors(self) -> list:
@@ -60,11 +65,11 @@ class Model:
         return self._made
 
     def feature(self, text: bytes | None) -> float:
-        """(bad size - good size) / (bad size + good size), over all pieces."""
+        """(bad size - good size) / size over all pieces, drawn to ``prior`` in short texts."""
         if not text or not self.good or not self.bad:
             return 0.0
         good, bad = (sum(len(c.compress(text[at : at + PIECE])) for at in range(0, len(text), PIECE)) for c in self._compressors())
-        return (bad - good) / (bad + good)
+        return (bad - good + WEIGHT * self.prior) / (len(text) + WEIGHT)
 
     def score(self, feature: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * feature + self.offset))))
@@ -180,9 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not pieces[0] or not pieces[1]:
         return flat
     model = Model(dictionary(pieces[1]), dictionary(pieces[0]))
-    pairs = features(rows.where("curve"), model, "quality").orderBy("tag", "feature").toPandas()
+    apart = rows.where("curve")
+    pairs = features(apart, model, "quality").orderBy("tag", "feature").toPandas()
     if pairs.empty or pairs.tag.nunique() < 2:
         return flat
+    model.prior = max(0.0, float(pairs.feature[pairs.tag == 1].quantile(0.25)))
+    pairs = features(apart, model, "quality").orderBy("tag", "feature").toPandas()
     # Both labels weigh as they do among all labels, whatever the sample took of each.
     slope, offset = curve(pairs.feature.to_numpy(), pairs.tag.to_numpy(float))
     n1, n0 = int((pairs.tag == 1).sum()), int((pairs.tag == 0).sum())
