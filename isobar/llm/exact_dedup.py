@@ -110,12 +110,6 @@ def probe(rows: DataFrame, index: DataFrame, shards: int, hot: list[tuple[bytes,
         shard = int.from_bytes(d[:7], "big") % shards
         by_shard[shard] = max(by_shard.get(shard, 1), n)
 
-    def times(found: dict, key) -> F.Column:
-        out = F.lit(1)
-        for value, n in found.items():
-            out = F.when(key == F.lit(value), F.lit(n)).otherwise(out)
-        return out
-
     copies = F.create_map(*[F.lit(x) for pair in by_shard.items() for x in pair])[F.col("shard")] if by_shard else F.lit(None).cast("int")
     spread = F.create_map(*[F.lit(x) for d, n in salts.items() for x in (d.hex().upper(), n)])[F.hex("digest")] if salts else F.lit(None).cast("int")
     blobs = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.struct("hash", "digests", "winners", "counts", "nulls").alias("blob"))

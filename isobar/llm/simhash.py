@@ -109,30 +109,42 @@ def bk_tree(fps: np.ndarray, members: np.ndarray) -> tuple[int, dict[int, tuple]
     return int(members[0]), {int(d): bk_tree(fps, members[1:][distance == d]) for d in np.unique(distance)}
 
 
+def _linked_few(fps: list[int], radius: int) -> list[int]:
+    """``linked`` for a few fingerprints: each is looked up in the tree of those before it, then put in."""
+    children: list[dict[int, int]] = [{} for _ in fps]
+    root = list(range(len(fps)))
+    for i in range(1, len(fps)):
+        todo, place, end = [0], 0, None
+        while todo:
+            j = todo.pop()
+            d = (fps[i] ^ fps[j]).bit_count()
+            if d <= radius and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+            todo += [c for edge, c in children[j].items() if abs(edge - d) <= radius]
+        while end != i:
+            d = (fps[i] ^ fps[place]).bit_count()
+            place = end = children[place].setdefault(d, i)
+    return root
+
+
 def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of distinct ``fps`` the position of its connected part's first member."""
-    n, parts = len(fps), _Parts(len(fps))
-    if n <= 12:
-        values = fps.tolist()
-        for i in range(1, n):
-            for j in range(i):
-                if (values[i] ^ values[j]).bit_count() <= radius:
-                    parts.join(np.array([i, j]))
-        return parts.roots(np.arange(n))
-    # The tree is built and searched at once: what lies below a node is the members of its edge.
-    todo = [(np.arange(n), np.arange(n))]
+    n = len(fps)
+    if n <= 16:
+        return np.array(_linked_few(fps.tolist(), radius), np.int64)
+    parts = _Parts(n)
+    todo = [(bk_tree(fps, np.arange(n)), np.arange(n))]
     while todo:
-        members, asking = todo.pop()
-        node = members[0]
-        distance = np.bitwise_count(fps[asking] ^ fps[node])
+        (node, children), asking = todo.pop()
+        distance = np.bitwise_count(fps[asking] ^ fps[node]).astype(np.int16)
         near = asking[distance <= radius]
-        if len(near) > 1 or (len(near) == 1 and near[0] != node):
+        if len(near):
             parts.join(np.append(near, node))
-        below = np.bitwise_count(fps[members[1:]] ^ fps[node])
-        for edge in np.unique(below):
-            ask = asking[np.abs(distance.astype(np.int16) - np.int16(edge)) <= radius]
+        for edge, child in children.items():
+            ask = asking[np.abs(distance - edge) <= radius]
             if len(ask):
-                todo.append((members[1:][below == edge], ask))
+                todo.append((child, ask))
     return parts.roots(np.arange(n))
 
 

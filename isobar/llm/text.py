@@ -36,12 +36,3 @@ def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def split_rows(df: DataFrame, least: int | None = None) -> DataFrame:
-    """``df`` with at least as many partitions as the session has cores.
-
-    Only a narrow scan of few files is dealt anew; larger inputs keep the
-    partitions that the reader planned.
-    """
-    return df if least is None else df.repartition(least)
