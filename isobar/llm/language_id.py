@@ -5,8 +5,10 @@ bytes' 2-, 3- and 4-grams are counted in ``DIMS`` hashed bins.  Logarithmic
 term weights times IDF, normalised, are compared by cosine with the centroids;
 each language has up to ``CENTROIDS`` of them, clustered by spherical k-means.
 A text is rejected if it is farther from the nearest centroid than the
-language's radius (the largest distance of its training texts to their nearest
-centroid, widened by ``SLACK``), or has no letters.
+language's radius for texts of as many bins, or has no letters.  Radii come from
+the cosines of training texts and of their short beginnings with centroids
+fitted without them (two folds): the cosine must reach ``SHARE`` of the
+``LOW`` quantile of its class, a class being a power of two of bins that occur.
 
 Fitting reads a bounded sample: of each language the ``SAMPLE`` labelled texts
 whose doc_id hashes least, a choice that depends on nothing else.  Prediction
@@ -35,8 +37,12 @@ from isobar.session import fresh_name
 DIMS, CENTROIDS, SAMPLE, PIECE, ROUNDS = 1 << 15, 3, 400, 1 << 20, 12
 #: Languages that are learned at most, the most frequent first.
 LANGUAGES = 256
-#: Added to a centroid's radius, as a share of what is left up to distance 1.
-SLACK = 0.75
+#: A cosine must reach this share of this quantile of the training texts' cosines.
+SHARE, LOW = 0.7, 0.005
+#: Letters in the beginnings of training texts that are scored too, and cosines that a class must have.
+CUTS, LEAST = tuple(1 << k for k in range(1, 9)), 50
+#: Classes by number of bins.
+CLASSES = DIMS.bit_length() + 1
 UND = "und"
 
 _GAPS = re.compile(r"[\W\d_]+")
@@ -70,9 +76,16 @@ def _weights(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, w / norm if norm else w
 
 
+def _beginnings(text: str) -> list[list[int]]:
+    """The n-grams' bins, with repeats, of the text's first letters."""
+    head = _GAPS.sub(" ", text[: 1 << 12].lower()).strip()
+    found = [_counts(head[:k]) for k in CUTS if k < len(head)]
+    return [np.repeat(np.arange(DIMS), c).tolist() for c in found]
+
+
 @dataclass
 class Model:
-    """IDF, and by centroid a row of weights, a language and a radius."""
+    """IDF, and by centroid a row of weights, a language and radii by class."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -87,7 +100,7 @@ class Model:
         cosine = self.centroids[:, at] @ w
         best = int(np.argmax(cosine))
         score = float(min(1.0, max(0.0, cosine[best])))
-        return self.langs[best], score, bool(1 - score > self.radius[best])
+        return self.langs[best], score, bool(1 - score > self.radius[best, len(at).bit_length()])
 
 
 def _clusters(rows: np.ndarray, k: int) -> np.ndarray:
@@ -107,18 +120,18 @@ def _clusters(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of (doc_id, text, lang); lang isn't null.
+    """A model of (doc_id, text, lang); lang isn't null, and texts without letters teach nothing.
 
     Sampled texts are counted on the executors; the driver gets at most
-    ``sample`` sparse count vectors a language.
+    ``sample`` sparse count vectors a language, with those of short beginnings.
     """
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     hashed = rows.withColumn("rank", F.xxhash64("doc_id"))
     # A threshold on the hash takes a share of the rows first; the exact number is taken from those.
     frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     counts = {r.lang: r.n for r in frequent.collect()}
     if not counts:
-        return Model(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros(0))
+        return Model(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros((0, CLASSES)))
     share = F.lit(False)
     for lang, n in counts.items():
         p = min(1.0, 3 * sample / n)
@@ -126,22 +139,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows):
-            found = [_counts(t) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            found = [_counts(t) for t in texts]
             at = [np.flatnonzero(c) for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a] for c, a in zip(found, at, strict=True)], pa.list_(pa.int64()))], ["lang", "rank", "at", "n"])
+            columns = [pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a] for c, a in zip(found, at, strict=True)], pa.list_(pa.int64())), pa.array([_beginnings(t) for t in texts], pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["lang", "rank", "at", "n", "short"])
 
-    chosen = hashed.where(share).select("lang", "rank", "text").mapInArrow(run, "lang string, rank long, at array<int>, n array<long>")
+    chosen = hashed.where(share).select("lang", "rank", "text").mapInArrow(run, "lang string, rank long, at array<int>, n array<long>, short array<array<int>>")
     order = Window.partitionBy("lang").orderBy("rank", F.xxhash64("at", "n"))
     held = chosen.withColumn("row", F.row_number().over(order)).where(F.col("row") <= sample).orderBy("lang", "row").toPandas()
-    return fit_counts(held.lang.tolist(), list(held["at"]), list(held.n))
+    return fit_counts(held.lang.tolist(), list(held["at"]), list(held.n), list(held.short))
 
 
-def fit_counts(langs: list[str], at: list[np.ndarray], n: list[np.ndarray]) -> Model:
+def fit_counts(langs: list[str], at: list[np.ndarray], n: list[np.ndarray], short: list[list[np.ndarray]]) -> Model:
     seen = np.zeros(DIMS)
     for a in at:
         seen[np.asarray(a, int)] += 1
     idf = np.log((1 + len(langs)) / (1 + seen)) + 1
-    names, centroids, owner, radius = sorted(set(langs)), [], [], []
+    names, centroids, cosines = sorted(set(langs)), [], []
     for lang in names:
         own = [i for i, x in enumerate(langs) if x == lang]
         rows = np.zeros((len(own), DIMS), np.float32)
@@ -150,15 +165,30 @@ def fit_counts(langs: list[str], at: list[np.ndarray], n: list[np.ndarray]) -> M
             counts[np.asarray(at[i], int)] = n[i]
             bins, w = _weights(counts, idf)
             rows[row, bins] = w
-        found = _clusters(rows, CENTROIDS)
-        cosine = rows @ found.T
-        # One radius for the whole language: a cluster's own would reject short texts near a narrow one.
-        far = 1 - float(cosine.max(axis=1).min())
-        for centre in found:
-            centroids.append(centre)
-            owner.append(lang)
-            radius.append(far + SLACK * max(0.0, 1 - far))
-    return Model(idf, np.stack(centroids), owner, np.array(radius))
+        centroids.append(_clusters(rows, CENTROIDS))
+        found: list[list[float]] = [[] for _ in range(CLASSES)]
+        for fold in range(2) if len(own) > 1 else ():
+            other = _clusters(rows[1 - fold :: 2], CENTROIDS)
+            for row, i in list(enumerate(own))[fold::2]:
+                texts = [(np.flatnonzero(rows[row]), None)] + [np.unique(np.asarray(x, int), return_counts=True) for x in short[i]]
+                for bins, times in texts:
+                    w = rows[row, bins] if times is None else (1 + np.log(times)) * idf[bins]
+                    found[len(bins).bit_length()].append(float((other[:, bins] @ w).max() / np.linalg.norm(w)))
+        cosines.append(found)
+    # A language of too few texts in all classes has the bounds of all languages' texts.
+    everywhere = _bounds([[x for found in cosines for x in found[k]] for k in range(CLASSES)], np.zeros(CLASSES))
+    radius = [1 - _bounds(found, everywhere) for found in cosines]
+    owner = [lang for lang, found in zip(names, centroids, strict=True) for _ in found]
+    return Model(idf, np.concatenate(centroids), owner, np.stack([r for r, found in zip(radius, centroids, strict=True) for _ in found]))
+
+
+def _bounds(cosines: list[list[float]], otherwise: np.ndarray) -> np.ndarray:
+    """By class the least cosine of a text that is kept; a class of few cosines has that of the next shorter one, or else the next longer."""
+    known = [k for k, x in enumerate(cosines) if len(x) >= LEAST]
+    if not known:
+        return otherwise
+    bound = {k: SHARE * float(np.quantile(cosines[k], LOW)) for k in known}
+    return np.array([bound[max((j for j in known if j <= k), default=known[0])] for k in range(CLASSES)])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

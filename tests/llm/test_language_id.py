@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import zlib
 
 from isobar.llm import language_id as lid
@@ -45,3 +47,28 @@ def test_stage_keeps_all_columns(spark, clashing, sf01):
     out = lid.drop_rejected(clashing, model)
     kept = {r.doc_id for r in out.collect()}
     assert out.columns == clashing.columns and 11 not in kept and 1 not in kept
+
+
+STRANGE = {
+    "letters": " ".join("".join(chr(97 + (i * i * 7919 + j * 104729 + i * j * 31) % 26) for j in range(3 + i % 7)) for i in range(200)),
+    "base64": base64.b64encode(b"".join(hashlib.sha256(bytes([i])).digest() for i in range(30))).decode(),
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "code": 'int main(int argc, char **argv) { for (int i = 0; i < argc; ++i) printf("%s\\n", argv[i]); return 0; }\nstatic inline void *xmalloc(size_t n) { void *p = malloc(n); if (!p) abort(); return p; }',
+}
+
+
+def test_strange_texts_are_rejected_and_held_out_ones_stay(spark, sf01):
+    docs = table(spark, sf01, "documents")
+    model = lid.fit_documents(docs)
+    assert {name: model.predict(text)[2] for name, text in STRANGE.items()} == dict.fromkeys(STRANGE, True)
+    held = docs.where(lid.held_out() & docs.lang.isNotNull() & docs.text.rlike(r"\p{L}"))
+    rows = lid.predict(held, model).collect()
+    assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
+
+
+def test_texts_without_letters_teach_nothing(spark, sf01):
+    docs = table(spark, sf01, "documents")
+    blank = spark.createDataFrame([(-i, f"{i} {i * i} !?", "en", "s", 9) for i in range(1, 300)], docs.schema)
+    model, plain = lid.fit_documents(docs.unionByName(blank)), lid.fit_documents(docs)
+    assert model.langs == plain.langs and (model.centroids == plain.centroids).all() and (model.radius == plain.radius).all()
