@@ -95,6 +95,37 @@ def yearly_terms(cells: DataFrame, by: list[str]) -> DataFrame:
     return months.groupBy(*by, "year").agg(*[F.avg(t).alias(t) for t in ("moist", "wind", "cov", "total")])
 
 
+def yearly_contributions(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Contributions of each year with both wind components and transients, projected on the mean transport.
+
+    cells: ``by``, year, month, cell, p, q, u, v, qu, qv (the month's mean
+    products), w, aw.  moist + wind + cov + trans = total holds row by row, so a
+    row that is missing has no weight.  The unit vector is that of the mean
+    column transport of the month and cell; base is its size, the same each year.
+    """
+    level, column, whole = Window.partitionBy(*by, "month", "cell", "p"), Window.partitionBy(*by, "month", "cell"), Window.partitionBy(*by)
+    a = cells.withColumns({f"_{c}": F.avg(c).over(level) for c in ("q", "u", "v", "qu", "qv")} | {f"_s{c}": F.avg(F.col("q") * F.col(c)).over(level) for c in ("u", "v")} | {"_n": F.count(F.lit(1)).over(level)})
+    a = a.withColumns({f"_b{c}": F.sum(F.col("w") * F.col(f"_q{c}") / F.col("_n")).over(column) for c in ("u", "v")} | {"_rows": F.count(F.lit(1)).over(column)})
+    size = F.hypot("_bu", "_bv")
+    dq = F.col("q") - F.col("_q")
+    terms: dict[str, Column] = {}
+    for c in ("u", "v"):
+        mean, now, dw = F.col("_q") * F.col(f"_{c}"), F.col("q") * F.col(c), F.col(c) - F.col(f"_{c}")
+        unit = F.coalesce(F.try_divide(F.col(f"_b{c}"), size), F.lit(0.0))
+        parts = {
+            "moist": F.col(f"_{c}") * dq,
+            "wind": F.col("_q") * dw,
+            "cov": dq * dw - (F.col(f"_s{c}") - mean),
+            "trans": (F.col(f"q{c}") - now) - (F.col(f"_q{c}") - F.col(f"_s{c}")),
+            "total": F.col(f"q{c}") - F.col(f"_q{c}"),
+        }
+        terms = {t: terms[t] + unit * x if t in terms else unit * x for t, x in parts.items()}
+    weight = F.col("w") * F.col("aw")
+    months = a.groupBy(*by, "year", "month").agg(*[F.sum(weight * x).alias(t) for t, x in terms.items()], F.sum(F.col("aw") * size / F.col("_rows")).alias("_part"))
+    months = months.withColumn("base", F.sum("_part").over(whole) / F.size(F.collect_set("month").over(whole)))
+    return months.groupBy(*by, "year").agg(*[F.avg(t).alias(t) for t in terms], F.first("base").alias("base"))
+
+
 # --- parameter tables ---------------------------------------------------------
 
 

@@ -53,6 +53,27 @@ def q_level_terms(spark: SparkSession, d: str) -> DataFrame:
     return out.select("corridor", *[edge(c).alias(c) for c in ("moist", "wind", "cov", "trans", "base", "total", "dmag")], edge(F.col("moist") + F.col("wind") + F.col("cov") + F.col("trans") - F.col("total")).alias("closure"))
 
 
+def _monthly_cells(spark: SparkSession, d: str) -> DataFrame:
+    """All levels, years and cells by month, with the month's mean products; fixed level and cell weights."""
+    rows = cells(spark, d).groupBy("yr", "mo", "y", "x", "p").agg(*[F.avg(c).alias(c) for c in ("q", "u", "v")], *[F.avg(F.col("q") * F.col(c)).alias(f"q{c}") for c in ("u", "v")])
+    return rows.select(F.col("y").alias("corridor"), F.col("yr").alias("year"), F.col("mo").alias("month"), F.col("x").alias("cell"), "p", "q", "u", "v", "qu", "qv", (F.lit(100.0) / G).alias("w"), ((F.col("x") + 1) / 10.0).alias("aw"))
+
+
+def q_level_terms_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Level terms over all levels and years; the transients are those of the months' mean products."""
+    rows, keys = _monthly_cells(spark, d), ["corridor", "cell", "month", "p", "w", "aw"]
+    early, late = (rows.where(F.col("year") <= 1997), rows.where(F.col("year") > 1997))
+    mean = lambda x: x.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("q", "u", "v", "qu", "qv")])
+    out = dec.level_terms(mean(early), mean(late), ["corridor"])
+    return out.select("corridor", *[edge(c).alias(c) for c in ("moist", "wind", "cov", "trans", "base", "total", "dmag")], edge(F.col("moist") + F.col("wind") + F.col("cov") + F.col("trans") - F.col("total")).alias("closure"))
+
+
+def q_yearly_terms_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly terms over all levels and years with both wind components, transients and the projection."""
+    out = dec.yearly_contributions(_monthly_cells(spark, d), ["corridor"])
+    return out.select("corridor", "year", *[edge(c).alias(c) for c in ("moist", "wind", "cov", "trans", "total", "base")], edge(F.col("moist") + F.col("wind") + F.col("cov") + F.col("trans") - F.col("total")).alias("closure"))
+
+
 def _yearly_cells(spark: SparkSession, d: str) -> DataFrame:
     """Complete cells: those that every year has in that month and level."""
     rows = cube(spark, d).where("p <= 200 and yr between 1996 and 2000")
@@ -273,7 +294,7 @@ def q_term_table(spark: SparkSession, d: str) -> DataFrame:
     return order.join(t, "corridor", "left").select("ordinal", F.when(F.col("total").isNotNull(), row).alias("line"))
 
 
-_F = (q_three_term, q_two_term, q_evolution, q_level_terms, q_yearly_terms, q_sensitivity_matrix, q_box_perturbation, q_bootstrap_mean, q_block_bootstrap, q_circular_bootstrap, q_level_bootstrap, q_two_sided_p, q_bh_fdr, q_theil_sen, q_mann_kendall, q_hamed_rao, q_running_mean, q_emergence, q_zscore, q_rank_avg, q_ensemble_stats, q_weighted_quantile, q_ensemble_quantiles, q_common_mode, q_efficiency_contrast, q_corr_indices, q_ols_ar1, q_detrend, q_welch_t, q_eof, q_kde, q_block_cv, q_term_table)
+_F = (q_three_term, q_two_term, q_evolution, q_level_terms, q_yearly_terms, q_level_terms_whole, q_yearly_terms_whole, q_sensitivity_matrix, q_box_perturbation, q_bootstrap_mean, q_block_bootstrap, q_circular_bootstrap, q_level_bootstrap, q_two_sided_p, q_bh_fdr, q_theil_sen, q_mann_kendall, q_hamed_rao, q_running_mean, q_emergence, q_zscore, q_rank_avg, q_ensemble_stats, q_weighted_quantile, q_ensemble_quantiles, q_common_mode, q_efficiency_contrast, q_corr_indices, q_ols_ar1, q_detrend, q_welch_t, q_eof, q_kde, q_block_cv, q_term_table)
 QUERIES = {f.__name__: f for f in _F}
 
 _MEANS = f"{YEARLY_SQL}, {WINDOWS_SQL}, means AS (SELECT corridor, win, avg(ivt) AS ivt, avg(iwv) AS iwv FROM yearly JOIN windows ON yr BETWEEN y0 AND y1 GROUP BY corridor, win)"
@@ -281,6 +302,8 @@ _PAIR = f"{_MEANS}, pr AS (SELECT a.corridor, a.ivt AS i0, a.iwv AS w0, b.ivt AS
 _CLIM = "SELECT y, x, mo, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(q * u) AS qu, avg(q * v) AS qv FROM cube WHERE p <= 400 AND yr BETWEEN {0} AND {1} GROUP BY y, x, mo, p"
 _W = f"100.0 / {G}"
 _YC = """rows5 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY y, x, mo, p) AS n FROM cube WHERE p <= 200 AND yr BETWEEN 1996 AND 2000) WHERE n = 5)"""
+_MC = f"mc AS (SELECT yr, mo, y, x, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(q * u) AS qu, avg(q * v) AS qv FROM ({CELLS_SQL}) GROUP BY ALL)"
+_MCLIM = "SELECT y, x, mo, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(qu) AS qu, avg(qv) AS qv FROM mc WHERE {0} GROUP BY ALL"
 _SY = "sy AS (SELECT l_suppkey % 50 AS k, year(l_shipdate) AS yr, {0} AS v FROM lineitem GROUP BY 1, 2)"
 _MON = f"mon AS (SELECT y, (yr - 1995) * 12 + mo AS m, avg(val) AS v, avg(q) AS q, avg(u) AS u FROM ({CELLS_SQL}) GROUP BY ALL)"
 _MEM = "mem AS (SELECT s_nationkey AS model, l_suppkey AS member, l_returnflag AS term, avg(l_extendedprice) - 38000 AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
@@ -315,6 +338,20 @@ SELECT y AS corridor, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', '
     "q_yearly_terms": f"""WITH {CUBE_SQL}, {_YC}, a AS (SELECT *, avg(q) OVER w AS qm, avg(u) OVER w AS um, avg(q * u) OVER w AS qum, {_W} * ((x + 1) / 10.0) AS k FROM rows5 WINDOW w AS (PARTITION BY y, mo, x, p)),
 m AS (SELECT y, yr, mo, sum(k * um * (q - qm)) AS moist, sum(k * qm * (u - um)) AS wind, sum(k * ((q - qm) * (u - um) - (qum - qm * um))) AS cov, sum(k * (q * u - qum)) AS total FROM a GROUP BY y, yr, mo)
 SELECT y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'total'))}, {r('avg(moist) + avg(wind) + avg(cov) - avg(total)')} AS closure FROM m GROUP BY y, yr""",
+    "q_level_terms_whole": f"""WITH {_MC}, a AS ({_MCLIM.format('yr <= 1997')}), b AS ({_MCLIM.format('yr > 1997')}),
+c AS (SELECT a.y, a.x, a.mo, {', '.join(f'sum({_W} * {e}) AS {n}' for c in 'uv' for n, e in ((f'base_{c}', f'a.q{c}'), (f'later_{c}', f'b.q{c}'), (f'moist_{c}', f'a.{c} * (b.q - a.q)'), (f'wind_{c}', f'a.q * (b.{c} - a.{c})'), (f'cov_{c}', f'(b.q - a.q) * (b.{c} - a.{c})'), (f'trans_{c}', f'((b.q{c} - a.q{c}) - (b.q * b.{c} - a.q * a.{c}))')))}
+  FROM a JOIN b USING (y, x, mo, p) GROUP BY a.y, a.x, a.mo),
+e AS (SELECT *, sqrt(base_u * base_u + base_v * base_v) AS s, (x + 1) / 10.0 AS aw FROM c),
+m AS (SELECT y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag FROM e GROUP BY y, mo)
+SELECT y AS corridor, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'dmag'))}, {r('avg(later) - avg(base)')} AS total, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - (avg(later) - avg(base))')} AS closure FROM m GROUP BY y""",
+    "q_yearly_terms_whole": f"""WITH {_MC}, k AS (SELECT y, x, mo, p, avg(q) AS q0, avg(u) AS u0, avg(v) AS v0, avg(qu) AS qu0, avg(qv) AS qv0, avg(q * u) AS su, avg(q * v) AS sv FROM mc GROUP BY ALL),
+b AS (SELECT y, x, mo, {_W} * sum(qu0) AS bu, {_W} * sum(qv0) AS bv, sqrt(bu * bu + bv * bv) AS s, (x + 1) / 10.0 AS aw FROM k GROUP BY y, x, mo),
+base AS (SELECT y, avg(m) AS base FROM (SELECT y, mo, sum(aw * s) AS m FROM b GROUP BY y, mo) GROUP BY y),
+j AS (SELECT mc.*, k.* EXCLUDE (y, x, mo, p), {_W} * aw AS w, CASE WHEN s > 0 THEN bu / s ELSE 0 END AS eu, CASE WHEN s > 0 THEN bv / s ELSE 0 END AS ev FROM mc JOIN k USING (y, x, mo, p) JOIN b USING (y, x, mo)),
+m AS (SELECT y, yr, mo, sum(w * (q - q0) * (u0 * eu + v0 * ev)) AS moist, sum(w * q0 * ((u - u0) * eu + (v - v0) * ev)) AS wind,
+  sum(w * (((q - q0) * (u - u0) - su + q0 * u0) * eu + ((q - q0) * (v - v0) - sv + q0 * v0) * ev)) AS cov,
+  sum(w * ((qu - q * u - qu0 + su) * eu + (qv - q * v - qv0 + sv) * ev)) AS trans, sum(w * ((qu - qu0) * eu + (qv - qv0) * ev)) AS total FROM j GROUP BY y, yr, mo)
+SELECT m.y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'total'))}, {r('any_value(base)')} AS base, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - avg(total)')} AS closure FROM m JOIN base USING (y) GROUP BY m.y, yr""",
     "q_sensitivity_matrix": f"""WITH {YEARLY_SQL}, g AS (SELECT CAST(l AS INTEGER) AS length, CAST(s AS INTEGER) AS shift, 1995 + s AS a0, 1995 + s + l - 1 AS a1, 2002 - l AS b0, 2001 AS b1 FROM range(1, 6) t(l), range(0, 3) v(s)),
 m AS (SELECT corridor, length, shift, avg(ivt) FILTER (yr BETWEEN a0 AND a1) AS i0, avg(ivt) FILTER (yr BETWEEN b0 AND b1) AS i1, avg(iwv) FILTER (yr BETWEEN a0 AND a1) AS w0, avg(iwv) FILTER (yr BETWEEN b0 AND b1) AS w1 FROM yearly, g WHERE a1 < b0 GROUP BY ALL)
 SELECT corridor, length, shift, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 * (w1 / w0 - 1)')} AS dynamic FROM m""",

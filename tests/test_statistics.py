@@ -169,3 +169,25 @@ def test_quantile_boosting(spark):
     assert values[0] == pytest.approx(learning._score(high, np.array([0.9])) - np.mean([learning._score(high, np.array([v])) for v in (0.1, 0.9)]))
     table = learning.attribution_table(high, rows.limit(5).withColumn("id", F.monotonically_increasing_id()), "id", np.array([[0.1]]))
     assert table.count() == 5 and learning.bucket_sums(table, "id", {"all": ["x"]}).columns == ["id", "all"]
+
+
+def test_whole_terms_read_every_level_and_year(spark, sf):
+    from isobar.plans import base, catalogue
+
+    run = catalogue.queries()
+    years = {(r.y, r.yr) for r in base.cells(spark, sf).select("y", "yr").distinct().collect()}
+    rows = run["q_yearly_terms_whole"](spark, sf).collect()
+    assert {(r.corridor, r.year) for r in rows} == years and any(abs(r.trans) > 1e-3 for r in rows)
+    assert all(abs(r.closure) < 1e-6 for r in rows)
+    plan = run["q_yearly_terms_whole"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" in plan and "Filter" not in plan
+    whole, part = ({r.corridor: r.base for r in run[name](spark, sf).collect()} for name in ("q_level_terms_whole", "q_level_terms"))
+    assert whole.keys() == part.keys() and all(whole[k] > 1.3 * part[k] for k in part)
+
+
+def test_yearly_contributions_project_both_components(spark):
+    rows = [("c", y, 1, 0, 1.0, q, 3.0, 4.0, 3 * q + e, 4 * q, 1.0, 1.0) for y, q, e in ((0, 1.0, 0.0), (1, 3.0, 0.0))]
+    cells = spark.createDataFrame(rows, "corridor string, year int, month int, cell int, p double, q double, u double, v double, qu double, qv double, w double, aw double")
+    out = {r.year: r for r in dec.yearly_contributions(cells, ["corridor"]).collect()}
+    assert (out[1].moist, out[1].total, out[1].base) == (pytest.approx(5.0), pytest.approx(5.0), pytest.approx(10.0))
+    assert out[0].total == pytest.approx(-5.0) and out[1].wind == pytest.approx(0) == out[1].trans
