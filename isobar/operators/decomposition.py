@@ -171,6 +171,21 @@ def block_draws(n: int, reps: int, block: int, seed: int, circular: bool = False
     return out
 
 
+def window_draws(sizes: list[int], reps: int, block: int, seed: int) -> list[np.ndarray]:
+    """Positions (reps, n) of moving-block resamples for each window's own length n.
+
+    One generator for all; a replicate draws its windows one after the other.
+    """
+    rng = np.random.default_rng(seed)
+    out = [np.empty((reps, n), np.int64) for n in sizes]
+    for r in range(reps):
+        for w, n in enumerate(sizes):
+            size = min(block, n)
+            starts = rng.integers(0, n - size + 1, -(-n // size))
+            out[w][r] = (starts[:, None] + np.arange(size)[None, :]).ravel()[:n]
+    return out
+
+
 def draw_counts(spark: SparkSession, draws: np.ndarray) -> DataFrame:
     """(rep, window, pos, times): how often each position is drawn; a parameter table."""
     rows = []
@@ -232,3 +247,58 @@ def level_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], lis
     parts = cells.groupBy(*by, "month", "cell").applyInPandas(run, schema)
     months = cells.select(*by, "month").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_months"))
     return parts.groupBy(*by, "rep", "term").agg(F.sum("value").alias("value")).join(months, by).withColumn("value", F.col("value") / F.col("_months")).drop("_months")
+
+
+TERMS = ("moist", "wind", "cov", "trans", "total", "base", "dmag")
+
+
+def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray]) -> DataFrame:
+    """Replicates (``by``, rep, term, value) of all of ``level_terms`` between two sets of years.
+
+    cells: as for ``yearly_contributions``; draws: each window's own positions.
+    Each replicate is projected on its own base direction.  A group is one
+    month's column of one cell over all years, whose replicates are matrix
+    products.  Years that are missing at a level are left out of its means, and
+    a level without any drawn year in either window has no weight.
+    """
+    held = cells.sparkSession.sparkContext.broadcast([(list(y), np.stack([np.bincount(at, minlength=len(y)) for at in d]).astype(float)) for y, d in zip(years, draws, strict=True)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema) + ", rep int, " + ", ".join(f"{t} double" for t in TERMS)
+
+    def run(key, rows):
+        import pandas as pd
+
+        fields = ("q", "u", "v", "qu", "qv")
+        wide = {c: rows.pivot_table(index="year", columns="p", values=c) for c in fields}
+        w = rows.groupby("p")["w"].first().reindex(wide["q"].columns).to_numpy()
+        means, there = [], True
+        for y, times in held.value:
+            at = {c: wide[c].reindex(y).to_numpy() for c in fields}
+            n = times @ (~np.isnan(at["q"])).astype(float)
+            means.append({c: times @ np.nan_to_num(x) / np.maximum(n, 1) for c, x in at.items()})
+            there = there & (n > 0)
+        a, b = means
+        weight = np.where(there, w, 0.0)
+        total = lambda x: (weight * x).sum(axis=1)
+        base, later = ([total(m[f"q{c}"]) for c in ("u", "v")] for m in (a, b))
+        size = np.hypot(*base)
+        unit = [x / np.where(size > 0, size, 1.0) for x in base]
+        on = lambda f: sum(e * total(f(c)) for e, c in zip(unit, ("u", "v"), strict=True))
+        out = pd.DataFrame({
+            "moist": on(lambda c: a[c] * (b["q"] - a["q"])),
+            "wind": on(lambda c: a["q"] * (b[c] - a[c])),
+            "cov": on(lambda c: (b["q"] - a["q"]) * (b[c] - a[c])),
+            "trans": on(lambda c: (b[f"q{c}"] - b["q"] * b[c]) - (a[f"q{c}"] - a["q"] * a[c])),
+            "total": on(lambda c: b[f"q{c}"] - a[f"q{c}"]),
+            "base": size,
+            "dmag": np.hypot(*later) - size,
+        }) * float(rows["aw"].iloc[0])
+        out.insert(0, "rep", np.arange(len(out), dtype=np.int32))
+        for name, value in zip(by, key, strict=False):
+            out[name] = value
+        return out[[*by, "rep", *TERMS]]
+
+    parts = cells.groupBy(*by, "month", "cell").applyInPandas(run, schema)
+    months = cells.select(*by, "month").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_months"))
+    sums = parts.groupBy(*by, "rep").agg(*[F.sum(t).alias(t) for t in TERMS]).join(months, by)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) / F.col("_months")).alias("value")) for t in TERMS]))
+    return sums.select(*by, "rep", each.alias("_x")).select(*by, "rep", "_x.term", "_x.value")

@@ -15,6 +15,8 @@ from isobar.plans.base import windows as window_table
 G = 9.80665
 YEARS = list(range(1995, 2002))
 REPS, SEED = 40, 7
+#: Replicates of the queries that draw as many as the reference.
+WHOLE_REPS = 1000
 
 
 def _pairs(spark: SparkSession, d: str, base: str = "w1", later: str = "w3") -> DataFrame:
@@ -107,17 +109,17 @@ def q_box_perturbation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("region", "variant", *dec.two_term()).select("region", "variant", edge("thermo").alias("thermo"), edge("dynamic").alias("dynamic"))
 
 
-def _draws(block: int, circular: bool) -> np.ndarray:
-    return dec.block_draws(len(YEARS), REPS, block, SEED, circular)
+def _draws(block: int, circular: bool, reps: int = REPS) -> np.ndarray:
+    return dec.block_draws(len(YEARS), reps, block, SEED, circular)
 
 
-def _bootstrap(spark: SparkSession, d: str, block: int, circular: bool) -> DataFrame:
+def _bootstrap(spark: SparkSession, d: str, block: int, circular: bool, reps: int = REPS) -> DataFrame:
     rows = yearly(spark, d).withColumn("pos", F.col("yr") - YEARS[0])
     rows = rows.withColumn("a", F.col("ivt") - F.avg("ivt").over(Window.partitionBy("corridor")))
-    reps = dec.bootstrap_means(rows, dec.draw_counts(spark, _draws(block, circular)), ["corridor"], "pos", "a")
+    found = dec.bootstrap_means(rows, dec.draw_counts(spark, _draws(block, circular, reps)), ["corridor"], "pos", "a")
     # Replicates that draw every year once have mean zero up to float noise; rounding makes that zero.
-    reps = reps.withColumn("mean", edge("mean"))
-    out = dec.interval(reps, ["corridor"], "mean")
+    found = found.withColumn("mean", edge("mean"))
+    out = dec.interval(found, ["corridor"], "mean")
     return out.select("corridor", *[edge(c).alias(c) for c in ("ci_lo", "median", "ci_hi", "p")])
 
 
@@ -133,12 +135,23 @@ def q_circular_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return _bootstrap(spark, d, 2, True)
 
 
+def q_bootstrap_mean_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _bootstrap(spark, d, 1, False, WHOLE_REPS)
+
+
+def q_block_bootstrap_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _bootstrap(spark, d, 3, False, WHOLE_REPS)
+
+
+def q_circular_bootstrap_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _bootstrap(spark, d, 2, True, WHOLE_REPS)
+
+
 def q_level_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Replicates of level terms between two sets of years, with intervals and p adjusted over corridors."""
-    years = ([1996, 1997], [1998, 1999, 2000])
-    rng = dec.block_draws(3, 60, 2, 11, windows=2)
-    rng[:, 0] = np.minimum(rng[:, 0], 1)
-    reps = dec.level_bootstrap(_yearly_cells(spark, d), ["corridor"], years, rng)
+    """Replicates of all level terms between two sets of years, with intervals and p adjusted over corridors."""
+    early, late = YEARS[:3], YEARS[3:]
+    draws = dec.window_draws([len(early), len(late)], WHOLE_REPS, 2, 11)
+    reps = dec.level_term_bootstrap(_monthly_cells(spark, d), ["corridor"], (early, late), draws)
     out = windows.benjamini_hochberg(dec.interval(reps, ["corridor", "term"], "value"), "p", ["term"])
     return out.select("corridor", "term", *[edge(c).alias(c) for c in ("ci_lo", "ci_hi", "p", "pfdr")])
 
@@ -294,7 +307,7 @@ def q_term_table(spark: SparkSession, d: str) -> DataFrame:
     return order.join(t, "corridor", "left").select("ordinal", F.when(F.col("total").isNotNull(), row).alias("line"))
 
 
-_F = (q_three_term, q_two_term, q_evolution, q_level_terms, q_yearly_terms, q_level_terms_whole, q_yearly_terms_whole, q_sensitivity_matrix, q_box_perturbation, q_bootstrap_mean, q_block_bootstrap, q_circular_bootstrap, q_level_bootstrap, q_two_sided_p, q_bh_fdr, q_theil_sen, q_mann_kendall, q_hamed_rao, q_running_mean, q_emergence, q_zscore, q_rank_avg, q_ensemble_stats, q_weighted_quantile, q_ensemble_quantiles, q_common_mode, q_efficiency_contrast, q_corr_indices, q_ols_ar1, q_detrend, q_welch_t, q_eof, q_kde, q_block_cv, q_term_table)
+_F = (q_three_term, q_two_term, q_evolution, q_level_terms, q_yearly_terms, q_level_terms_whole, q_yearly_terms_whole, q_sensitivity_matrix, q_box_perturbation, q_bootstrap_mean, q_block_bootstrap, q_circular_bootstrap, q_bootstrap_mean_whole, q_block_bootstrap_whole, q_circular_bootstrap_whole, q_level_bootstrap, q_two_sided_p, q_bh_fdr, q_theil_sen, q_mann_kendall, q_hamed_rao, q_running_mean, q_emergence, q_zscore, q_rank_avg, q_ensemble_stats, q_weighted_quantile, q_ensemble_quantiles, q_common_mode, q_efficiency_contrast, q_corr_indices, q_ols_ar1, q_detrend, q_welch_t, q_eof, q_kde, q_block_cv, q_term_table)
 QUERIES = {f.__name__: f for f in _F}
 
 _MEANS = f"{YEARLY_SQL}, {WINDOWS_SQL}, means AS (SELECT corridor, win, avg(ivt) AS ivt, avg(iwv) AS iwv FROM yearly JOIN windows ON yr BETWEEN y0 AND y1 GROUP BY corridor, win)"
@@ -310,16 +323,16 @@ _MEM = "mem AS (SELECT s_nationkey AS model, l_suppkey AS member, l_returnflag A
 _DIRS = [(0, 0, 0), (1, 0, 0), (2, 0, 0), (-1, 0, 0), (-2, 0, 0), (0, 1, 0), (0, 2, 0), (0, -1, 0), (0, -2, 0), (1, 1, 0), (1, -1, 0), (-1, 1, 0), (-1, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-def _draw_values(block: int, circular: bool) -> str:
+def _draw_values(block: int, circular: bool, reps: int = REPS) -> str:
     out = []
-    for rep, w in enumerate(_draws(block, circular)):
+    for rep, w in enumerate(_draws(block, circular, reps)):
         pos, times = np.unique(w[0], return_counts=True)
         out += [f"({rep}, {p}, {t})" for p, t in zip(pos, times, strict=True)]
     return "dr(rep, pos, times) AS (VALUES " + ", ".join(out) + ")"
 
 
-def _boot_sql(block: int, circular: bool) -> str:
-    return f"""WITH {YEARLY_SQL}, {_draw_values(block, circular)}, a AS (SELECT corridor, yr - 1995 AS pos, ivt - avg(ivt) OVER (PARTITION BY corridor) AS a FROM yearly),
+def _boot_sql(block: int, circular: bool, reps: int = REPS) -> str:
+    return f"""WITH {YEARLY_SQL}, {_draw_values(block, circular, reps)}, a AS (SELECT corridor, yr - 1995 AS pos, ivt - avg(ivt) OVER (PARTITION BY corridor) AS a FROM yearly),
 m AS (SELECT corridor, rep, {r('sum(a * times) / sum(times)')} AS m FROM a JOIN dr USING (pos) GROUP BY corridor, rep)
 SELECT corridor, {r('quantile_cont(m, 0.025)')} AS ci_lo, {r('quantile_cont(m, 0.5)')} AS median, {r('quantile_cont(m, 0.975)')} AS ci_hi,
 {r('least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END)))')} AS p FROM m GROUP BY corridor"""
@@ -363,6 +376,9 @@ SELECT region, variant, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 *
     "q_bootstrap_mean": _boot_sql(1, False),
     "q_block_bootstrap": _boot_sql(3, False),
     "q_circular_bootstrap": _boot_sql(2, True),
+    "q_bootstrap_mean_whole": _boot_sql(1, False, WHOLE_REPS),
+    "q_block_bootstrap_whole": _boot_sql(3, False, WHOLE_REPS),
+    "q_circular_bootstrap_whole": _boot_sql(2, True, WHOLE_REPS),
     "q_two_sided_p": f"""WITH {FLAT_SQL}, a AS (SELECT y, mo, val - avg(val) OVER (PARTITION BY mo) AS a FROM flat)
 SELECT y, mo, {r('least(1.0, 2 * least(avg(CASE WHEN a <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN a >= 0 THEN 1.0 ELSE 0.0 END)))')} AS p FROM a GROUP BY y, mo""",
     "q_bh_fdr": f"""WITH p AS (SELECT l_suppkey, l_suppkey % 4 AS g, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 3) AS p FROM lineitem GROUP BY 1, 2),

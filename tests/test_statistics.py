@@ -191,3 +191,29 @@ def test_yearly_contributions_project_both_components(spark):
     out = {r.year: r for r in dec.yearly_contributions(cells, ["corridor"]).collect()}
     assert (out[1].moist, out[1].total, out[1].base) == (pytest.approx(5.0), pytest.approx(5.0), pytest.approx(10.0))
     assert out[0].total == pytest.approx(-5.0) and out[1].wind == pytest.approx(0) == out[1].trans
+
+
+def test_windows_draw_their_own_lengths():
+    short, long = dec.window_draws([2, 5], 400, 2, 1)
+    assert short.shape == (400, 2) and long.shape == (400, 5)
+    assert abs(short.mean() - 0.5) < 1e-9 and long.max() == 4 and (np.diff(long[:, :4].reshape(400, 2, 2), axis=2) == 1).all()
+
+
+def test_level_bootstrap_has_all_terms_of_level_terms(spark):
+    rows = [("c", y, m, x, p, 1.0 + (y * 7 + m + x + p) % 5, 2.0 + (y * 3 + p) % 4, 1.0 + (y + x) % 3, 1.0, 0.5) for y in range(5) for m in (1, 2) for x in (0, 1) for p in (1.0, 2.0)]
+    cells = spark.createDataFrame(rows, "corridor string, year int, month int, cell int, p double, q double, u double, v double, w double, aw double")
+    cells = cells.withColumns({f"q{c}": F.col("q") * F.col(c) + F.col("year") for c in ("u", "v")})
+    mean = lambda x: x.groupBy("corridor", "month", "cell", "p", "w", "aw").agg(*[F.avg(c).alias(c) for c in ("q", "u", "v", "qu", "qv")])
+    want = dec.level_terms(mean(cells.where("year < 2")), mean(cells.where("year >= 2")), ["corridor"]).first()
+    every = [np.arange(2)[None, :], np.arange(3)[None, :]]
+    out = {r.term: r.value for r in dec.level_term_bootstrap(cells, ["corridor"], ([0, 1], [2, 3, 4]), every).collect()}
+    assert out == {t: pytest.approx(want[t]) for t in dec.TERMS}
+
+
+def test_queries_draw_a_thousand_replicates(spark, sf):
+    from isobar.plans import catalogue
+
+    out = catalogue.queries()["q_level_bootstrap"](spark, sf).collect()
+    assert {r.term for r in out} == set(dec.TERMS)
+    for name in ("q_bootstrap_mean_whole", "q_block_bootstrap_whole", "q_circular_bootstrap_whole"):
+        assert "(999, " in catalogue.oracle_sql()[name]
