@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +100,47 @@ def period_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def _poisson(key: np.ndarray, reps: int) -> np.ndarray:
+    """Counts (rows, reps) with mean one, from hashes of the rows' keys and the replicate."""
+    with np.errstate(over="ignore"):
+        x = key.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    share = np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)])
+    return np.searchsorted(np.cumsum(share), ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+
+
+def period_bands(events: DataFrame, keys: list[str], reps: int = 1000, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Bootstrap bands by period of the mean intensity and duration over the events.
+
+    A replicate takes each event as often as a hash of ``keys``, event_id and
+    the replicate says (Poisson counts, mean one).  Each task sums by period
+    and replicate, so that no resample is laid out or shuffled.
+    """
+    values = {"intensity": "mean_intensity", "duration": "duration_hours"}
+    rows = events.select("period", F.xxhash64(*keys, "event_id").alias("_key"), *[F.col(c).cast("double").alias(v) for v, c in values.items()])
+    kind = rows.schema["period"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        sums = {}
+        for batch in batches:
+            for period, part in batch.groupby("period"):
+                held = sums.setdefault(period, np.zeros((2 * len(values), reps)))
+                for at in range(0, len(part), 1024):
+                    some = part.iloc[at : at + 1024]
+                    times = _poisson(some["_key"].to_numpy(), reps)
+                    x = some[list(values)].to_numpy(float)
+                    held += np.concatenate([np.nan_to_num(x), ~np.isnan(x)], axis=1).T @ times
+        for period, held in sums.items():
+            yield pd.DataFrame({"period": period, "rep": np.arange(reps, dtype=np.int32)} | {f"{n}_{v}": x for (n, v), x in zip([(n, v) for n in "sn" for v in values], held, strict=True)})
+
+    parts = rows.mapInPandas(run, f"period {kind}, rep int, " + ", ".join(f"{n}_{v} double" for n in "sn" for v in values))
+    means = parts.groupBy("period", "rep").agg(*[F.try_divide(F.sum(f"s_{v}"), F.sum(f"n_{v}")).alias(v) for v in values])
+    return means.groupBy("period").agg(*[F.percentile(v, F.lit(q)).alias(f"{v}_{name}") for v in values for name, q in (("q05", low), ("q95", high))])
+
+
 def verdict(monotone: Column, separate: Column) -> Column:
     """INTENSIFIED where every step is up and the bands don't overlap, FLAT where neither, else MIXED."""
     return F.when(monotone & separate, "INTENSIFIED").when(~monotone & ~separate, "FLAT").otherwise("MIXED")

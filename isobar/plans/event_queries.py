@@ -99,6 +99,14 @@ def q_period_contrast(spark: SparkSession, d: str) -> DataFrame:
     return out.select("period", "n_events", *[edge(c).alias(c) for c in ("mean_intensity", "mean_max_intensity", "mean_footprint_km2", "mean_duration_h")])
 
 
+def q_period_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Period means of intensity and duration with their bootstrap bands over the events."""
+    table = events.event_table(_voxels(spark, d), [], 1.0, 1.0)
+    rows = events.period_of("start_time", spark.createDataFrame(PERIODS, "period string, start string, end string"), table)
+    out = events.period_summary(rows).join(F.broadcast(events.period_bands(rows, [])), "period")
+    return out.select("period", "n_events", *[edge(c).alias(c) for c in ("mean_intensity", "mean_duration_h", "intensity_q05", "intensity_q95", "duration_q05", "duration_q95")])
+
+
 def q_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Yearly means by place: steps up, first and last years' quartile bands, verdict."""
     rows = flat(spark, d)
@@ -150,7 +158,7 @@ def q_cyclic_day(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy(F.dayofyear("o_orderdate").alias("doy")).agg(F.count(F.lit(1)).alias("n"), edge(F.avg(sine)).alias("doy_sin"), edge(F.avg(cosine)).alias("doy_cos"))
 
 
-QUERIES = {f.__name__: f for f in (q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_verdict, q_components_2d, q_components_3d, q_delta_change, q_cyclic_day)}
+QUERIES = {f.__name__: f for f in (q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_period_bands, q_verdict, q_components_2d, q_components_3d, q_delta_change, q_cyclic_day)}
 
 _TABLE = f"""f AS (SELECT event_id, sum({_AREA}) AS area, avg(lat) FILTER (land > 0.5) AS la, avg(lon) FILTER (land > 0.5) AS lo FROM (SELECT event_id, lat, lon, max(land) AS land FROM vox GROUP BY ALL) GROUP BY event_id),
 t AS (SELECT event_id, min(ts) AS s, max(ts) AS e, avg(intensity) AS m, max(intensity) AS x, date_diff('second', min(ts), max(ts)) / 3600.0 + 6 AS h FROM vox GROUP BY event_id HAVING count(*) >= 2)"""

@@ -131,3 +131,15 @@ def test_feature_fields(spark):
     out = fields.features(cells).collect()
     assert len(out) == 16
     assert all(r.ivt > 0 and r.ivt_u < 0 and r.theta_e_850 > 280 and r.eady_growth_rate > 0 and r.pv_250 > 0 for r in out)
+
+
+def test_period_bands_are_those_of_a_bootstrap(spark):
+    x = [float(i % 17) for i in range(400)]
+    rows = spark.createDataFrame([("a", i, v, 6.0 + v) for i, v in enumerate(x)] + [("b", 9, 5.0, None)], "period string, event_id long, mean_intensity double, duration_hours double")
+    out = {r.period: r for r in events.period_bands(rows, []).collect()}
+    again = {r.period: r for r in events.period_bands(rows.repartition(7), []).collect()}
+    rng = np.random.default_rng(3)
+    lo, hi = np.quantile(np.array(x)[rng.integers(0, len(x), (1000, len(x)))].mean(axis=1), [0.05, 0.95])
+    assert out["a"].intensity_q05 == pytest.approx(lo, abs=0.08) and out["a"].intensity_q95 == pytest.approx(hi, abs=0.08)
+    assert out["a"].duration_q95 == pytest.approx(6 + out["a"].intensity_q95) and again["a"].intensity_q05 == pytest.approx(out["a"].intensity_q05)
+    assert (out["b"].intensity_q05, out["b"].intensity_q95, out["b"].duration_q05) == (5.0, 5.0, None)
