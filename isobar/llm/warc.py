@@ -325,10 +325,18 @@ def read_pages(spark: SparkSession, path: str, payload: bool = True) -> DataFram
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def described(spark: SparkSession, path: str) -> DataFrame:
+    """Records with the size and digest of the payloads as read; revisits have none and keep their headers'."""
+    columns = ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    read = read_pages(spark, path).where("record_type = 'response'")
+    read = read.select(*columns[:3], F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.sha1("payload")).alias("payload_digest"))
+    return read.unionByName(read_pages(spark, path, payload=False).where("record_type <> 'response'").select(*columns))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
-    rows = read_pages(spark, path, payload=False)
+    rows = described(spark, path)
     number = lambda c: F.when(F.length(page_of(c)) > 0, page_of(c).cast("long"))
     return rows.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
 

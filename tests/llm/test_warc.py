@@ -75,3 +75,11 @@ def test_payloads_are_stepped_over():
 
 def test_empty(spark):
     assert warc.read_pages(spark, made(spark, [])).count() == 0
+
+
+def test_digest_and_size_are_those_of_the_bytes_read(spark, tmp_path):
+    fields = {"record_id": "<urn:page:1>", "record_type": "response", "payload_digest": "WRONG", "payload_bytes": 1}
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.record(fields, b"damaged")))
+    (tmp_path / "manifest.json").write_text('["a.warc.gz"]')
+    (row,) = warc.described(spark, str(tmp_path)).collect()
+    assert (row.payload_bytes, row.payload_digest) == (7, base64.b32encode(hashlib.sha1(b"damaged").digest()).decode())
