@@ -2,19 +2,18 @@
 
 A text's blanks become U+2581 and one is put before it, as the model file's
 identity normaliser with a dummy prefix does.  It is cut before every U+2581
-that follows another character: no piece crosses that border.  An Aho-Corasick
-automaton over all pieces then runs once over a segment; at each position the
-matches that end there (the output links, longest first) relax the best way to
-reach it.
-
-For unigram models the best way has the highest sum of piece scores.  For BPE
-models the sum of scores is not what merging gives.  There the way to a position
-is the one whose last two pieces merging would leave apart: of two pieces in a
-row the merge of their joined text must give back just those two, a test whose
-answers are kept.  A sequence in which every adjacent pair passes is the merge
-result, so that the ids are those of the public library.  Should no way pass, or
-where a segment has several U+2581 (their pieces tie in score), the pairs are
-merged outright.
+that follows another character, and at the control characters that no piece
+has: no piece crosses these borders.  An Aho-Corasick automaton over all pieces
+then runs once over a segment; at each position the matches that end there (the
+output links, longest first) relax the best score of a way to it.
+
+For BPE models the sum of scores alone is not what merging gives.  There a link
+is open only if merging would leave its piece and the last piece of the way
+before it apart: the merge of their joined text must give back just those two, a
+test whose answers are kept.  A sequence in which every adjacent pair passes is
+the merge result, so that the ids are those of the public library.  Where no way
+is open to a segment's end, its pairs are merged outright (``outright`` counts
+such segments; none of the texts tested has one).
 
 Characters without a piece become their UTF-8 bytes' pieces, or the unknown
 piece in models without those.
@@ -47,7 +46,6 @@ TOKENIZERS, MODEL = os.environ.get("ISOBAR_TOKENIZERS", "/opt/tokenizers"), "pie
 #: Segments that a task keeps, those up to so many characters, and pairs.
 CACHE, CACHE_CHARS, PAIRS = 400_000, 48, 1_000_000
 BLANK = "▁"
-_SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 @dataclass
@@ -60,6 +58,7 @@ class Pieces:
     control: frozenset
     unknown: int
     bpe: bool
+    outright: int = 0
     _made: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -89,7 +88,10 @@ class Pieces:
             import ahocorasick
 
             ids = {p: i for i, p in enumerate(self.pieces) if i not in self.control and p}
-            self._made |= {"ids": ids, "pairs": {}, "cache": {}, "automaton": None}
+            borders = "".join(c for c in map(chr, range(32)) if not any(c in p for p in ids))
+            cut = re.compile(f"{BLANK}*[^{BLANK}{re.escape(borders)}]+|{BLANK}+|[{re.escape(borders)}]" if borders else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+            low = min((self.scores[i] for i in ids.values()), default=0.0) - 10
+            self._made |= {"ids": ids, "pairs": {}, "cache": {}, "automaton": None, "cut": cut, "low": low, "alphabet": {p for p in ids if len(p) == 1}}
             held = ahocorasick.Automaton()
             for piece, i in ids.items():
                 # A BPE piece that merging doesn't make out of its own text is in no result.
@@ -99,7 +101,7 @@ class Pieces:
             self._made["automaton"] = held
         return self._made["automaton"]
 
-    # merging outright: for pairs, and for segments where scores tie
+    # merging outright: for the pair test, and for segments without an open way
 
     def merged(self, segment: str) -> list[str]:
         """The segment's symbols after merging the best adjacent pair as long as there is one."""
@@ -153,63 +155,65 @@ class Pieces:
         return out
 
     def segment(self, segment: str) -> list[int]:
-        """Ids of one segment."""
-        self._automaton()
-        found = self._viterbi(segment) if not self.bpe else None if segment.count(BLANK) > 1 else self._chain(segment)
-        return self._ids_of(self.merged(segment)) if found is None else found
-
-    def _chain(self, segment: str) -> list[int] | None:
-        """BPE: at each position the one piece that merging leaves beside the way before it."""
-        n, pairs = len(segment), self._made["pairs"]
-        last, size_at = [-1] * (n + 1), [0] * (n + 1)
-        for end, (i, size) in self._made["automaton"].iter(segment):
+        """Ids of one segment: the best way through it."""
+        automaton = self._automaton()
+        found = self._viterbi(automaton, segment)
+        if found is None:
+            self.outright += 1
+            return self._ids_of(self.merged(segment))
+        return found
+
+    def _viterbi(self, automaton, segment: str) -> list[int] | None:
+        """Ids of the way of the best sum of scores to the segment's end, or None if no way is open.
+
+        The automaton names the pieces that end at each position, the output
+        links from the longest to the shortest; each relaxes the best score
+        there.  For BPE a way is open to a piece only if merging leaves that
+        piece and the one before it apart.  A character that is no piece is a
+        step of its own, worse than any piece.
+        """
+        n, bpe, scores, pairs = len(segment), self.bpe, self.scores, self._made["pairs"]
+        low, odd = self._made["low"], not self._made["alphabet"].issuperset(segment)
+        best: list[float | None] = [0.0] + [None] * n
+        last, size_at = [-1] * (n + 1), [1] * (n + 1)
+        done = 0
+        for end, (i, size) in automaton.iter(segment):
             end += 1
-            if last[end] >= 0:
+            start = end - size
+            if odd and end > done:
+                self._bridge(segment, best, done, end, low)
+                done = end
+            if (score := best[start]) is None:
                 continue
-            if start := end - size:
-                a = last[start]
-                if a < 0:
-                    continue
+            if bpe and (a := last[start]) >= 0:
                 if (apart := pairs.get(a << 20 | i)) is None:
                     apart = self._apart(a, i)
                 if not apart:
                     continue
-            last[end], size_at[end] = i, size
-        if last[n] < 0:
+            score += scores[i]
+            if (held := best[end]) is None or score > held:
+                best[end], last[end], size_at[end] = score, i, size
+        if odd and n > done:
+            self._bridge(segment, best, done, n, low)
+        if best[n] is None:
             return None
-        out = []
+        out: list[int] = []
         while n:
-            out.append(last[n])
+            i = last[n]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += self._ids_of([segment[n - 1]])[::-1]
             n -= size_at[n]
         out.reverse()
         return out
 
-    def _viterbi(self, segment: str) -> list[int]:
-        """Unigram: the way of the highest sum of scores; characters without a piece cost more than any."""
-        n, low = len(segment), min(self.scores) - 10
-        best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(-float("inf"), 0, 0)] * n
-        done = 0
-
-        def bridge(to: int) -> None:
-            for p in range(done + 1, to + 1):
-                if best[p][0] == -float("inf"):
-                    best[p] = (best[p - 1][0] + low, -1, 1)
-
-        for end, (i, size) in self._made["automaton"].iter(segment):
-            if end > done:
-                bridge(end)
-                done = end
-            score = best[end + 1 - size][0] + self.scores[i]
-            if score > best[end + 1][0]:
-                best[end + 1] = (score, i, size)
-        bridge(n)
-        out: list[int] = []
-        while n:
-            _, i, size = best[n]
-            out += [i] if i >= 0 else self._ids_of([segment[n - 1]])[::-1]
-            n -= size
-        out.reverse()
-        return out
+    def _bridge(self, segment: str, best: list, done: int, to: int, low: float) -> None:
+        """Steps over characters that are no piece, from the position ``done`` to ``to``."""
+        known = self._made["ids"]
+        for p in range(done + 1, to + 1):
+            if best[p - 1] is not None and segment[p - 1] not in known:
+                best[p] = best[p - 1] + low
 
     def encode(self, text: str | None) -> array:
         """Ids of a whole text."""
@@ -217,7 +221,7 @@ class Pieces:
         cache, out = self._made["cache"], array("i")
         if not text:
             return out
-        for segment in _SEGMENT.findall(f"{BLANK}{text.replace(' ', BLANK)}"):
+        for segment in self._made["cut"].findall(f"{BLANK}{text.replace(' ', BLANK)}"):
             if (found := cache.get(segment)) is None:
                 found = array("i", self.segment(segment))
                 if len(segment) <= CACHE_CHARS:
