@@ -3,14 +3,18 @@
 The history's distinct digests lie in shards.  Each shard is a minimal perfect
 hash whose slots hold the full digest, the winner's doc_id and the number of
 rows; a lookup compares all 32 bytes, so a row that was never seen can't pass
-for a member.  Members get their winner from the slot; nonmembers are grouped
-by digest among themselves.
+for a member.  Members are counted onto their slot's winner; nonmembers are
+grouped by digest among themselves.  Both together are the next history
+(``absorb``), in which every row then finds its winner (``probe``).
 
 The index is a DataFrame (one row a shard) and travels by shuffle, not by
 broadcast, as it grows with the corpus.  Rows meet their shard in sorted
-partitions that stream: a task holds one shard and one Arrow batch.  Digests
-that more than one row in ``HOT`` has are salted, and their shard is sent to
-each salt; there are at most ``HOT`` of them, whatever the input's size.
+partitions that stream: a task holds one shard and one Arrow batch.  A shard to
+which more than ``mph.SHARD_ROWS`` rows go is sent to several tasks, among which
+its rows are dealt, so that a digest of any number of rows is never one task's.
+
+``dedup_rows`` without a history splits the corpus: the rows whose doc_id hashes
+to an even number are the history that the others are looked up in.
 
 Defined results: a null text counts as empty; texts that differ only in A-Z
 against a-z are equal; of equal texts the row with the largest doc_id stays, a
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar.llm import mph
@@ -35,8 +39,6 @@ from isobar.session import fresh_name, match, materialize
 
 #: Digests a shard holds on average.
 SHARD_KEYS = 8192
-#: A digest is hot if over one row in so many has it.
-HOT = 256
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def build_index(history: DataFrame, shards: int | None = None) -> tuple[DataFram
 
         found = rows.sort_values("digest")
         keys = _keys(list(found.digest))
-        held = mph.Hash(mph.build(keys))
+        held = mph.Hash.of(keys)
         order = np.empty(len(keys), np.int64)
         order[held.slots(keys)] = np.arange(len(keys))
         found = found.iloc[order]
@@ -99,38 +101,23 @@ class _Shard:
         return slots, held
 
 
-def probe(rows: DataFrame, index: DataFrame, shards: int, hot: list[tuple[bytes, int]]) -> DataFrame:
-    """(doc_id, digest, member, winner, group_size) of each row of (doc_id, digest).
-
-    hot: digests and the number of salts that their rows are spread over.
-    """
-    salts = {d: n for d, n in hot}
-    by_shard: dict[int, int] = {}
-    for d, n in hot:
-        shard = int.from_bytes(d[:7], "big") % shards
-        by_shard[shard] = max(by_shard.get(shard, 1), n)
-
-    copies = F.create_map(*[F.lit(x) for pair in by_shard.items() for x in pair])[F.col("shard")] if by_shard else F.lit(None).cast("int")
-    spread = F.create_map(*[F.lit(x) for d, n in salts.items() for x in (d.hex().upper(), n)])[F.hex("digest")] if salts else F.lit(None).cast("int")
-    blobs = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.struct("hash", "digests", "winners", "counts", "nulls").alias("blob"))
-    kind = blobs.schema["blob"].dataType
-    asked = rows.withColumn("shard", _shard(shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce(spread, F.lit(1))).cast("int")).select("shard", "salt", F.lit(1).alias("kind"), "doc_id", "digest", F.lit(None).cast(kind).alias("blob"))
-    dealt = asked.unionByName(blobs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+def _dealt(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, digest, member, winner, group_size) of each row of (doc_id, digest): its slot's, if that holds its digest."""
+    asked = rows.select(_shard(shards).alias("shard"), "doc_id", "digest")
+    heavy = materialize(mph.salts(asked.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))), "heavy-shards")
+    blobs = index.select("shard", F.struct("hash", "digests", "winners", "counts", "nulls").alias("blob"))
+    dealt = mph.deal(asked, blobs, heavy, "doc_id")
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "digest", "member", "winner", "group_size"]
         held, at = None, None
-        for batch in rows:
-            shard, kinds = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            starts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if a == b:
+        for batch in parts:
+            for shard, kind, a, b in mph.runs(batch):
+                if kind == 0:
+                    held, at = _Shard(batch.column(3)[a].as_py()), shard
                     continue
-                if kinds[a] == 0:
-                    held, at = _Shard(batch.column(5)[a].as_py()), shard[a]
-                    continue
-                ids, found = batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a).to_pylist()
-                if held is None or at != shard[a]:
+                ids, found = batch.column(4).slice(a, b - a), batch.column(5).slice(a, b - a).to_pylist()
+                if held is None or at != shard:
                     none = pa.nulls(b - a, pa.int64())
                     yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary()), pa.array([False] * (b - a)), none, none], names)
                     continue
@@ -142,38 +129,56 @@ def probe(rows: DataFrame, index: DataFrame, shards: int, hot: list[tuple[bytes,
     return dealt.mapInArrow(run, "doc_id long, digest binary, member boolean, winner long, group_size long")
 
 
+def probe(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(doc_id, digest, member, winner, group_size) of rows (doc_id, digest), looked up in an index over ``distinct``."""
+    index, shards = build_index(distinct)
+    return _dealt(rows, index, shards)
+
+
 def distinct_digests(found: DataFrame) -> DataFrame:
     """(digest, winner, rows) of (doc_id, digest); pre-aggregated before the shuffle."""
     return found.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("rows"))
 
 
-def hot_digests(distinct: DataFrame) -> list[tuple[bytes, int]]:
-    """Digests of over one row in ``HOT``, fewer than ``HOT`` of them, with their salts."""
-    total = distinct.agg(F.sum("rows").alias("n")).first().n or 0
-    most = max(1, total // HOT)
-    found = distinct.where(F.col("rows") > most).select("digest", "rows").collect()
-    return [(bytes(r.digest), -(-r.rows // most)) for r in found if r.rows >= 1000]
+def absorb(distinct: DataFrame, looked: DataFrame, first: bool = False) -> DataFrame:
+    """The next history (digest, winner, rows): ``distinct`` and rows that were looked up in it.
+
+    Members add to their digest's rows, and the larger doc_id wins, unless
+    ``first`` says that the history's winner stays; nonmembers form groups of
+    their own.
+    """
+    merged = distinct.select("digest", "winner", "rows", F.lit(True).alias("old")).unionByName(distinct_digests(looked).withColumn("old", F.lit(False)))
+    winner = F.max("winner") if not first else F.when(F.bool_or("old"), F.max(F.when(F.col("old"), F.col("winner")))).otherwise(F.max("winner"))
+    return merged.groupBy("digest").agg(winner.alias("winner"), F.sum("rows").alias("rows"))
+
+
+def history_half() -> Column:
+    """Rows that are indexed first where a corpus is its own history."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)) == 0
 
 
 def dedup_rows(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, digest, keep_id, group_size, kept.
 
     history: documents accepted earlier (doc_id, text); their winners stay
-    before any row of ``docs``.  Without it the corpus is its own history.
+    before any row of ``docs``, and group_size counts their rows too.  Without
+    it half of the corpus is the history of the other half, and the largest
+    doc_id of both stays.
     """
     found = materialize(digests(docs), "digests")
-    seen = found if history is None else digests(history)
-    distinct = materialize(distinct_digests(seen), "history")
-    index, shards = build_index(distinct)
-    hot = hot_digests(distinct if history is None else distinct_digests(found))
-    looked = probe(found, index, shards, hot)
+    old, new = (found.where(history_half()), found.where(~history_half())) if history is None else (digests(history), found)
+    distinct = materialize(distinct_digests(old), "history")
+    looked = materialize(probe(new, distinct), "looked-up")
+    # Members that the history's winner outlives change nothing but counts; nonmembers group separately.
+    members, others = looked.where("member"), looked.where(~F.col("member"))
+    after = absorb(distinct, members, first=history is not None).unionByName(distinct_digests(others))
+    rows = probe(found, materialize(after, "next-history"))
+    mine = F.col("winner").eqNullSafe(F.col("doc_id"))
     if history is not None:
-        looked = materialize(looked, "looked-up")
-        others = distinct_digests(looked.where(~F.col("member")).select("doc_id", "digest"))
-        rest = looked.where(~F.col("member")).select("doc_id", "digest").join(others, "digest").select("doc_id", "digest", F.lit(False).alias("member"), "winner", F.col("rows").alias("group_size"))
-        looked = looked.where("member").unionByName(rest)
-    mine = F.col("winner").eqNullSafe(F.col("doc_id")) if history is None else ~F.col("member") & F.col("winner").eqNullSafe(F.col("doc_id"))
-    return looked.select("doc_id", "digest", F.col("winner").alias("keep_id"), "group_size", mine.alias("kept"))
+        seen = distinct.select(F.col("digest").alias("_seen"))
+        rows = rows.join(seen, F.col("digest") == F.col("_seen"), "left")
+        mine = mine & F.col("_seen").isNull()
+    return rows.select("doc_id", "digest", F.col("winner").alias("keep_id"), "group_size", mine.alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:

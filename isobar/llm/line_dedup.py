@@ -10,8 +10,9 @@ second pass probes the arrays with each document's lines and joins nothing.
 The index holds repeated lines only.  It is broadcast to the probing tasks
 while it has at most ``BROADCAST_KEYS`` keys (about 25 bytes each, counted
 first).  Beyond that the documents' repeated keys are routed to the shards:
-hash rows stream past the shard that they belong to, salted by document, and
-each document gets back the hashes that it loses.
+hash rows stream past the shard that they belong to, and each document gets back
+the hashes that it loses.  A shard to which more than ``mph.SHARD_ROWS`` rows go,
+as the documents of its keys tell, is sent to several tasks.
 
 Defined results: a null or empty text is one empty line; a line's key is the
 line stripped of blanks at both ends with A-Z lower-cased; keys of fewer than
@@ -36,8 +37,6 @@ from isobar.session import materialize
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Keys of a broadcast index at most, and of a shard on average.
 BROADCAST_KEYS, SHARD_KEYS = 2_000_000, 16_384
-#: Parts that the probes of one shard are dealt over when they are routed.
-SALTS = 16
 
 
 def line_key(line: bytes, least: int = LEAST_CHARS) -> bytes | None:
@@ -87,7 +86,7 @@ def build_index(lines: DataFrame, shards: int) -> DataFrame:
         keys = rows.h1.to_numpy(np.int64).view(np.uint64)
         # Distinct keys may share h1; then the hash is built over h1 mixed with h2.
         mixed = _slot_keys(keys, rows.h2.to_numpy(np.int64).view(np.uint64))
-        held = mph.Hash(mph.build(mixed))
+        held = mph.Hash.of(mixed)
         order = np.empty(len(keys), np.int64)
         order[held.slots(mixed)] = np.arange(len(keys))
         rows = rows.iloc[order]
@@ -169,12 +168,12 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEA
     index = build_index(lines, shards)
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if keys > broadcast_keys:
-        return _routed(given, docs, index, shards, least)
-    rows = [tuple(r) for r in index.collect()]
-    held = docs.sparkSession.sparkContext.broadcast(rows)
+        return _routed(given, docs, lines, index, shards, least)
+    # A worker unpickles the arrays once, whatever the number of its tasks.
+    held = docs.sparkSession.sparkContext.broadcast(Index(shards, [tuple(r) for r in index.collect()]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = Index(shards, held.value)
+        arrays = held.value
         for batch in batches(parts):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             none = np.asarray(batch.column(0).is_null())
@@ -189,34 +188,30 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEA
     return given.mapInArrow(run, _OUT)
 
 
-def _routed(given: DataFrame, docs: DataFrame, index: DataFrame, shards: int, least: int) -> DataFrame:
+def _routed(given: DataFrame, docs: DataFrame, lines: DataFrame, index: DataFrame, shards: int, least: int) -> DataFrame:
     """The same for an index that is too large to broadcast."""
-    blobs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.struct("hash", "prints", "counts", "last").alias("blob"))
-    kind = blobs.schema["blob"].dataType
-    asked = line_hashes(docs, least).select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h1", "h2", F.lit(None).cast(kind).alias("blob"))
-    dealt = asked.unionByName(blobs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    shard = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
+    blobs = index.select("shard", F.struct("hash", "prints", "counts", "last").alias("blob"))
+    heavy = materialize(mph.salts(lines.select(shard, F.col("docs").alias("rows"))), "heavy-shards")
+    dealt = mph.deal(line_hashes(docs, least).select(shard, "doc_id", "h1", "h2"), blobs, heavy, "doc_id")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, at = None, None
         for batch in parts:
-            kinds, shard = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]) | (shard[1:] != shard[:-1])) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
+            for own_shard, kind, a, b in mph.runs(batch):
+                if kind == 0:
+                    x, at = batch.column(3)[a].as_py(), own_shard
+                    held = Index(shards, [(own_shard, x["hash"], x["prints"], x["counts"], x["last"])])
                     continue
-                if kinds[a] == 0:
-                    x = batch.column(6)[a].as_py()
-                    held = Index(shards, [(int(shard[a]), x["hash"], x["prints"], x["counts"], x["last"])])
-                    continue
-                if held is None or int(shard[a]) not in held.held:
+                if held is None or at != own_shard:
                     continue
                 own = batch.slice(a, b - a)
-                found = np.stack([own.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5)], axis=1).view(np.uint64)
+                found = np.stack([own.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (5, 6)], axis=1).view(np.uint64)
                 member, last = held.look_up(found)
-                none = np.asarray(own.column(3).is_null())
-                ids = np.where(none, -1, own.column(3).to_numpy(zero_copy_only=False)).astype(np.int64)
+                none = np.asarray(own.column(4).is_null())
+                ids = np.where(none, -1, own.column(4).to_numpy(zero_copy_only=False)).astype(np.int64)
                 gone = pa.array(member & (none | (last != ids)))
-                yield pa.RecordBatch.from_arrays([own.column(3).filter(gone), own.column(4).filter(gone), own.column(5).filter(gone)], ["doc_id", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([own.column(i).filter(gone) for i in (4, 5, 6)], ["doc_id", "h1", "h2"])
 
     gone = dealt.mapInArrow(run, "doc_id long, h1 long, h2 long").distinct()
     lost = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")), "lost-lines")

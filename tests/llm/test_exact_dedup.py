@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from isobar.llm import exact_dedup, mph
 from tests.llm.conftest import lower
@@ -11,7 +12,7 @@ def test_hash_is_minimal_and_perfect():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 1000, 20000):
         keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        held = mph.Hash.loads(mph.Hash(mph.build(keys)).dumps())
+        held = mph.Hash.loads(mph.Hash.of(keys).dumps())
         assert sorted(held.slots(keys).tolist()) == list(range(len(keys)))
 
 
@@ -28,15 +29,30 @@ def test_rows_match_brute_force(docs, rows):
     assert all(r.kept == (r.keep_id == r.doc_id) for r in out)
 
 
-def test_hot_digests_are_salted(spark, docs, rows):
+def test_heavy_shards_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(mph, "SHARD_ROWS", 500)
     many = [(i, "hot text") for i in range(100, 3000)] + [(i, f"cold {i}") for i in range(3000, 3200)]
-    frame = spark.createDataFrame(many, "doc_id long, text string")
+    frame = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    rows = exact_dedup.digests(frame).select(F.lit(0).alias("shard"), F.lit(1).alias("rows"))
+    assert [r.salts for r in mph.salts(rows).collect()] == [7]
+    for most in (1_000_000, -1):
+        monkeypatch.setattr(mph, "BROADCAST_SHARDS", most)
+        out = exact_dedup.dedup_rows(frame).collect()
+        assert len(out) == len(many)
+        assert {r.keep_id for r in out if r.doc_id < 3000} == {2999} and sum(r.kept for r in out) == 201
+        assert {r.group_size for r in out if r.doc_id < 3000} == {2900}
+
+
+def test_both_halves_and_members_and_nonmembers_take_part(spark):
+    frame = spark.createDataFrame([(i, f"text {i % 37}") for i in range(400)] + [(i, f"own {i}") for i in range(400, 500)], "doc_id long, text string")
     found = exact_dedup.digests(frame)
-    hot = exact_dedup.hot_digests(exact_dedup.distinct_digests(found))
-    assert len(hot) == 1 and hot[0][1] > 1
+    old = found.where(exact_dedup.history_half())
+    looked = exact_dedup.probe(found.where(~exact_dedup.history_half()), exact_dedup.distinct_digests(old)).collect()
+    held = {bytes(r.digest) for r in old.collect()}
+    assert len(looked) > 100 and all(r.member == (bytes(r.digest) in held) for r in looked)
+    assert {r.member for r in looked} == {True, False}
     out = exact_dedup.dedup_rows(frame).collect()
-    assert len(out) == len(many)
-    assert {r.keep_id for r in out if r.doc_id < 3000} == {2999} and sum(r.kept for r in out) == 201
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, bytes(r.digest).hex()) for r in out) == brute([(r.doc_id, r.text) for r in frame.collect()])
 
 
 def test_history_comes_first(spark):
