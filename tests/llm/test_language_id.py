@@ -1,6 +1,11 @@
 import base64
 import hashlib
+import math
 import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from isobar.llm import language_id as lid
 from isobar.llm.text import table
@@ -33,13 +38,76 @@ def test_nothing_learned(docs, none):
     assert lid.predict(none, model).count() == 0
 
 
-def test_labels_and_ids_are_no_inputs(spark, sf01):
+def grams(text):
+    """Hashed bins of the 2-, 3- and 4-grams of the cleaned text's bytes, counted one by one."""
+    letters = "".join(c if c.isalpha() or (c.isalnum() and not c.isdigit() and c == "_") else " " for c in text.lower())
+    raw = f" {' '.join(letters.split())} ".encode()
+    out = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            code = int.from_bytes(raw[i : i + n], "little")
+            out[((code + n) * 2654435761 & 0xFFFFFFFF) >> 17] += 1
+    return out
+
+
+def test_predictions_match_brute_force(spark, sf01):
+    docs = table(spark, sf01, "documents")
+    model = lid.fit_documents(docs)
+    centroids, langs, radius = model.centroids.astype(float), model.langs, model.radius
+    own = docs.where("length(text) < 4000").limit(150).unionByName(docs.where("length(text) >= 30000").limit(2))
+    texts = {r.doc_id: r.text for r in own.collect()}
+    for r in lid.predict(own, model).collect():
+        text = texts[r.doc_id]
+        if text is None or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        counts = grams(text)
+        w = {k: (1 + math.log(n)) * model.idf[k] for k, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        cosines = [sum(x * c[k] for k, x in w.items()) / norm for c in centroids]
+        best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+        assert abs(r.score - cosines[best]) < 1e-5 and (r.lang_pred == langs[best] or abs(max(cosines) - cosines[langs.index(r.lang_pred)]) < 1e-5)
+        bound = 1 - radius[best, len(counts).bit_length()]
+        assert r.rejected == (cosines[best] < bound) or abs(cosines[best] - bound) < 1e-5
+
+
+def test_centroids_are_means_of_their_own_texts(spark, sf01):
     docs = table(spark, sf01, "documents")
     model = lid.fit_documents(docs)
-    text = docs.first().text
-    assert model.predict(text) == model.predict(text + "")
-    again = lid.fit_documents(docs.repartition(5))
-    assert (again.centroids == model.centroids).all() and again.langs == model.langs
+    assert (abs(np.linalg.norm(model.centroids, axis=1) - 1) < 1e-4).all()
+    # The clusters' fixed point: a centroid is the normalised mean of the rows nearest to it.
+    rng = np.random.default_rng(1)
+    rows = np.abs(rng.normal(size=(60, 40)))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    found = lid._clusters(rows, 3)
+    nearest = np.argmax(rows @ found.T, axis=1)
+    means = np.stack([rows[nearest == i].mean(axis=0) for i in range(3)])
+    assert np.allclose(found, means / np.linalg.norm(means, axis=1, keepdims=True), atol=1e-2)
+
+
+def test_every_language_is_learned_and_parts_do_not_matter(spark, sf01, monkeypatch):
+    docs = table(spark, sf01, "documents").where("length(text) < 2000")
+    # 12 labels from each real one: by a hash of the first letters.
+    many = docs.withColumn("lang", F.concat("lang", (F.crc32(F.substring("text", 1, 3)) % 12).cast("string")))
+    whole = lid.fit_documents(many)
+    monkeypatch.setattr(lid, "PART", 7)
+    split = lid.fit_documents(many)
+    assert whole.parts == 1 and split.parts > lid.HELD and set(split.langs) == set(whole.langs)
+    assert set(whole.langs) == {r.lang for r in many.where(~lid.held_out() & F.col("text").rlike(r"\p{L}")).select("lang").distinct().collect() if r.lang}
+    rows = lambda m: sorted((str(r.doc_id), r.lang_pred, round(r.score, 9), r.rejected) for r in lid.predict(many.where("doc_id < 300"), m).collect())
+    assert rows(whole) == rows(split)
+
+
+def test_labels_and_ids_are_no_inputs(spark, sf01):
+    docs = table(spark, sf01, "documents").where("length(text) < 3000")
+    model = lid.fit_documents(docs)
+    other = docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", F.lit("zz").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    rows = lambda df, less: sorted((r.doc_id - less, r.lang_pred, r.score, r.rejected) for r in lid.predict(df, model).collect())
+    assert rows(docs, 0) == rows(other, 1_000_000)
+    # Held-out labels teach nothing: other labels there leave the model as it is.
+    lied = docs.withColumn("lang", F.when(lid.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    again = lid.fit_documents(lied.repartition(5))
+    assert (again.centroids == model.centroids).all() and again.langs == model.langs and (again.radius == model.radius).all()
 
 
 def test_stage_keeps_all_columns(spark, clashing, sf01):
