@@ -1,21 +1,28 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Texts are cut into words and every ``K`` consecutive words are hashed.  Of the
-``WINDOW - K + 1`` hashes inside a window of ``WINDOW`` words the smallest is
-that window's fingerprint (Schleimer, Wilkerson and Aiken, 2003).  Two equal
-windows hold the same hashes and so have the same fingerprint: every shared
-span of ``WINDOW`` words or more is found.  Document windows whose fingerprint
-the benchmark has are extended to their whole text and compared with the
-benchmark's windows of that fingerprint word for word.
+Texts are cut into words and every ``K`` consecutive words are hashed once.  Of
+the ``WINDOW - K + 1`` k-grams inside a window of ``WINDOW`` words the one of
+the smallest hash, the last of equals, is that window's minimum; a text's
+fingerprints are the distinct minima of its windows, about two in seven of its
+k-grams (Schleimer, Wilkerson and Aiken, 2003).  Two equal windows have their
+minimum at the same place, so that every shared span of ``WINDOW`` words or more
+has a shared fingerprint inside.
+
+Documents' fingerprints are joined with the benchmark's.  A hit is compared word
+for word and extended to the left and to the right, up to ``WINDOW - K`` words
+each way: no window that holds the fingerprint reaches farther, and the windows
+beyond have fingerprints of their own.  A span of ``WINDOW`` words or more is
+found text; the spans of neighbouring fingerprints add up to the whole passage.
 
 Items of fewer than ``WINDOW`` words are one window of their own length, with
 the hash of all their words as fingerprint; only lengths that the benchmark has
-are looked for.
+are looked for, at every word.
 
-A document's windows are generated, hashed and probed inside one scan stage;
-only hits and one row a document are shuffled.  The benchmark side is broadcast
-while its windows, counted first, are at most ``BROADCAST_WINDOWS``; beyond
-that the same joins shuffle (adaptive execution splits skewed partitions).
+A document's fingerprints are made and probed inside one scan stage; only hits
+and one row a document are shuffled.  The benchmark's fingerprints are broadcast
+while they, counted first, are at most ``BROADCAST_PRINTS``; beyond that the
+same join shuffles (adaptive execution splits skewed partitions), with a few
+words around each fingerprint and never a whole text.
 
 Defined results: null and empty texts have no words and are clean; an empty
 benchmark leaves all documents clean; items with equal texts all count; rows
@@ -33,8 +40,8 @@ from isobar.session import match, materialize
 
 #: Words of a window, and of the hashed k-grams inside it.
 WINDOW, K = 10, 5
-#: Benchmark windows that are broadcast at most, about 200 bytes each.
-BROADCAST_WINDOWS = 300_000
+#: Benchmark fingerprints that are broadcast at most, about 300 bytes each.
+BROADCAST_PRINTS = 300_000
 
 
 def words_of(text: Column) -> Column:
@@ -42,83 +49,106 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), WORD_GAP), lambda w: w != "")
 
 
-def _fingerprint(hashes: str, at: str, window: int, k: int) -> Column:
-    """The smallest of the hashes of k words from ``at`` on, inside ``window`` words."""
-    grams = [f"xxhash64({', '.join(f'get({hashes}, {at} + {i + j})' for j in range(k))})" for i in range(window - k + 1)]
-    return F.expr(f"least({', '.join(grams)})" if len(grams) > 1 else grams[0])
+def _hash_of(array: str, at: str, length: int) -> str:
+    return f"xxhash64({', '.join(f'get({array}, {at} + {j})' for j in range(length))})"
 
 
-def _whole(hashes: str, at: str, length: int) -> Column:
-    return F.expr(f"xxhash64({', '.join(f'get({hashes}, {at} + {j})' for j in range(length))})")
+def prints_of(texts: DataFrame, keep: list[str], lengths: list[int], header: bool) -> DataFrame:
+    """Fingerprints of each text: ``keep``, n_words, at (their first word), length, fp, words.
 
-
-def _windows(texts: DataFrame, keep: list[str], lengths: list[int], header: bool) -> DataFrame:
-    """Every window of each text: ``keep``, n_words, at, length, fingerprint, words.
-
-    header: one more row a text with at = -1, whether it has windows or not.
+    lengths: ``WINDOW`` for the minima, others for the hash of so many words at
+    every word.  header: one more row a text with at = -1, whatever it has.
     """
-    long, short = WINDOW in lengths, [n for n in lengths if n != WINDOW]
+    grams = WINDOW - K + 1
     cut = texts.select(*keep, words_of(F.col("text")).alias("words"))
-    hashed = cut.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    # The generator reads both arrays, so that they are made once a text and not once a window.
-    n = F.least(F.size("words"), F.size("hashes"))
-    last = F.greatest(n - (WINDOW if long and not short else min(short or [WINDOW])), F.lit(-1))
-    rows = hashed.select(*keep, "words", "hashes", F.explode(F.sequence(F.lit(-1), last)).alias("at"))
-    rows = rows if header else rows.where("at >= 0")
+    cut = cut.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    last = F.size("hashes") - K
+    cut = cut.select(*keep, "words", "hashes", F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("hashes", i + j) for j in range(K)]))).alias("grams"))
+    # The generator reads all arrays, so that they are made once a text and not once a row.
+    n = F.greatest(F.least(F.size("words"), F.size("hashes")), F.coalesce(F.size("grams") + K - 1, F.lit(0)))
+    first = -1 if header else 0
+    rows = cut.select(*keep, "words", "hashes", "grams", F.explode(F.when(n >= min(lengths), F.sequence(F.lit(first), n - min(lengths))).otherwise(F.array(F.lit(first)))).alias("at"))
     rows = rows.withColumn("n_words", F.size("words"))
-    if not short:
-        fp = F.when(F.col("at") >= 0, _fingerprint("hashes", "at", WINDOW, K))
-        return rows.select(*keep, "n_words", "at", F.lit(WINDOW).alias("length"), fp.alias("fp"), "words")
-    forms = [F.struct(F.lit(WINDOW).alias("length"), F.when((F.col("at") >= 0) & (F.col("at") <= F.col("n_words") - WINDOW), _fingerprint("hashes", "at", WINDOW, K)).alias("fp"))] if long else []
-    forms += [F.struct(F.lit(m).alias("length"), F.when((F.col("at") >= 0) & (F.col("at") <= F.col("n_words") - m), _whole("hashes", "at", m)).alias("fp")) for m in short]
-    out = rows.select(*keep, "n_words", "at", "words", F.inline(F.array(*forms)))
-    first = lengths[0] if long is False else WINDOW
-    return out.where(F.col("fp").isNotNull() | ((F.col("at") == -1) & (F.col("length") == first)))
-
-
-def _window_text() -> Column:
-    return F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("length")))
-
-
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(length, fp, window, items) of a benchmark (item_id, text), and the lengths there are."""
-    cut = benchmark.select(F.col("item_id"), F.col("text"), F.least(F.size(words_of(F.col("text"))), F.lit(WINDOW)).alias("length")).where("length > 0")
-    lengths = sorted(r.length for r in cut.select("length").distinct().collect())
-    parts = []
+    gram = [f"get(grams, at + {i})" for i in range(grams)]
+    before, entering, leaving = f"least({', '.join(gram[:-1])})", gram[-1], "get(grams, at - 1)"
+    # The window at ``at`` has another minimum than the one before it if its last k-gram is the smallest, or the one that left was.
+    new = f"at >= 0 AND {entering} IS NOT NULL AND (at = 0 OR {entering} <= {before} OR {leaving} < {before})"
+    place = f"CASE WHEN {entering} <= {before} THEN at + {grams - 1} " + " ".join(f"WHEN {gram[i]} = {before} THEN at + {i}" for i in reversed(range(grams - 1))) + " END"
+    none = F.lit(None).cast("long")
+    forms = []
+    if WINDOW in lengths:
+        forms.append(F.struct(F.lit(WINDOW).alias("length"), F.when(F.expr(new), F.expr(place)).alias("at"), F.when(F.expr(new), F.expr(f"least({', '.join(gram)})")).alias("fp")))
     for m in lengths:
-        found = _windows(cut.where(F.col("length") == m).select("item_id", "text"), ["item_id"], [m], header=False)
-        parts.append(found.select("item_id", "length", "fp", _window_text().alias("window")))
-    if not parts:
-        return cut.select(F.lit(WINDOW).alias("length"), F.lit(0).cast("long").alias("fp"), F.lit("").alias("window"), F.array(F.col("item_id")).alias("items")).limit(0), []
+        if m != WINDOW:
+            fits = (F.col("at") >= 0) & (F.col("at") <= F.col("n_words") - m)
+            forms.append(F.struct(F.lit(m).alias("length"), F.when(fits, F.col("at")).alias("at"), F.when(fits, F.expr(_hash_of("hashes", "at", m))).alias("fp")))
+    if len(forms) == 1:
+        out = rows.select(*keep, "n_words", F.col("at").alias("_at"), "words", forms[0].alias("f")).where("_at = -1 OR f.fp IS NOT NULL")
+        return out.select(*keep, "n_words", F.coalesce("f.at", F.lit(-1)).alias("at"), F.col("f.length").alias("length"), F.col("f.fp").alias("fp"), "words")
+    if header:
+        forms.append(F.struct(F.lit(0).alias("length"), F.when(F.col("at") == -1, F.lit(-1)).alias("at"), none.alias("fp")))
+    return rows.select(*keep, "n_words", "words", F.inline(F.array(*forms))).where("at IS NOT NULL").select(*keep, "n_words", "at", "length", "fp", "words")
+
+
+#: Words that a fingerprint's windows reach beyond it, on either side.
+REACH = WINDOW - K
+
+
+def _around() -> list[Column]:
+    """The words of a fingerprint as a string, and arrays of those before it (nearest first) and after it, null beyond the text."""
+    n = F.when(F.col("length") == WINDOW, F.lit(K)).otherwise(F.col("length"))
+    own = F.concat_ws(" ", F.slice("words", F.col("at") + 1, n))
+    before = F.array(*[F.get("words", F.col("at") - i) for i in range(1, REACH + 1)])
+    after = F.array(*[F.get("words", F.col("at") + K - 1 + i) for i in range(1, REACH + 1)])
+    return [F.when(F.col("at") >= 0, x).alias(name) for x, name in ((own, "own"), (before, "before"), (after, "after"))]
+
+
+def benchmark_prints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(length, fp, item_id, own, before, after) of a benchmark (item_id, text), and the lengths there are."""
+    cut = benchmark.select(F.col("item_id"), F.col("text"), F.least(F.size(words_of(F.col("text"))), F.lit(WINDOW)).alias("m")).where("m > 0")
+    lengths = sorted(r.m for r in cut.select("m").distinct().collect())
+    parts = [prints_of(cut.where(F.col("m") == m).select("item_id", "text"), ["item_id"], [m], header=False).where("fp IS NOT NULL") for m in lengths or [WINDOW]]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.groupBy("length", "fp", "window").agg(F.collect_set("item_id").alias("items")), lengths
+    return rows.select("length", "fp", "item_id", *_around()).distinct(), lengths
+
+
+def _run(side: str) -> Column:
+    """How many words in a row agree with the benchmark's, from the fingerprint on."""
+    same = F.zip_with(F.col(side), F.col(f"t_{side}"), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, False).cast("int"), F.lit(0)) - 1, F.lit(REACH))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of each document: one header (at = -1), and one for each window found.
+    """Rows of each document: one header (at = -1), and one for each item that a fingerprint finds.
 
-    Columns doc_id, text_tag (of the text), n_words, at, length, items.
+    Columns doc_id, text_tag (of the text), n_words, at, length (of the span
+    found), item_id.
     """
-    windows, lengths = benchmark_windows(benchmark)
-    windows = materialize(windows, "benchmark-windows")
-    small = windows.count() <= BROADCAST_WINDOWS
-    side = F.broadcast if small else lambda df: df
+    prints, lengths = benchmark_prints(benchmark)
+    prints = materialize(prints, "benchmark-prints")
+    small = prints.count() <= BROADCAST_PRINTS
     tagged = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     tagged = tagged.withColumn("text_tag", F.xxhash64("text"))
-    rows = _windows(tagged, ["doc_id", "text_tag"], lengths or [WINDOW], header=True)
+    rows = prints_of(tagged, ["doc_id", "text_tag"], lengths or [WINDOW], header=True)
     if not small:
-        # Rows that are shuffled carry their own window's words, not their document's.
-        rows = rows.withColumn("words", F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.col("length"))))
-    window = _window_text() if small else F.concat_ws(" ", "words")
+        # Rows that are shuffled carry the words around their own place, not their document's.
+        rows = rows.select("doc_id", "text_tag", "n_words", "at", "length", "fp", *_around())
     # Headers get keys of their own, so that a shuffled join doesn't deal them all to one task.
-    rows = rows.withColumn("key", F.coalesce("fp", F.xxhash64("doc_id", "text_tag", F.lit("header"))))
-    prints = windows.select(F.col("fp").alias("key"), F.lit(True).alias("known")).distinct()
-    rows = rows.join(side(prints), "key", "left").where("at = -1 or known")
-    rows = rows.select("doc_id", "text_tag", "n_words", "at", "length", F.when(F.col("at") >= 0, window).otherwise(F.concat(F.lit("\n"), F.col("key").cast("string"))).alias("window"))
-    found = rows.join(side(windows.select("length", "window", "items")), ["length", "window"], "left")
-    return found.where("at = -1 or items is not null").select("doc_id", "text_tag", "n_words", "at", "length", "items")
+    rows = rows.withColumn("key", F.coalesce("fp", F.xxhash64("doc_id", "text_tag", F.lit("header")))).drop("fp")
+    names = ["own", "before", "after"]
+    side = prints.select(F.col("fp").alias("key"), F.col("length").alias("t_length"), "item_id", *[F.col(c).alias(f"t_{c}") for c in names])
+    # The key alone is joined on; what it finds is little, and is compared word for word behind the scan stage.
+    found = rows.join(F.broadcast(side) if small else side, "key", "left").where("at = -1 OR t_length = length")
+    found = found.select("doc_id", "text_tag", "n_words", "at", "length", "item_id", *[f"t_{c}" for c in names], *(_around() if small else names))
+    found = materialize(found, "benchmark-candidates")
+    header = F.col("at") == -1
+    left, right = _run("before"), _run("after")
+    span = F.when(F.col("length") == WINDOW, F.struct((F.col("at") - left).alias("at"), (left + K + right).alias("length"))).otherwise(F.struct(F.col("at").alias("at"), F.col("length").alias("length")))
+    found = found.where(header | (F.col("own") == F.col("t_own"))).withColumn("span", F.when(~header, span))
+    found = found.where(header | (F.col("length") < WINDOW) | (F.col("span.length") >= WINDOW))
+    return found.select("doc_id", "text_tag", "n_words", F.coalesce("span.at", F.lit(-1)).alias("at"), F.col("span.length").alias("length"), F.when(~header, F.col("item_id")).alias("item_id"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,19 +156,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns doc_id, text_tag, n_words, n_hit (words inside any occurrence of a
     benchmark window), items (sorted as strings), spans (start and length in
-    words of each window found) and contaminated.
+    words of each passage found, touching or overlapping ones joined) and
+    contaminated.
     """
     found = hits(docs, benchmark)
     rows = found.groupBy("doc_id", "text_tag").agg(
         F.max("n_words").alias("n_words"),
         F.sum(F.when(F.col("at") == -1, 1).otherwise(0)).alias("copies"),
-        F.collect_set(F.when(F.col("at") >= 0, F.struct("at", "length"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.array_sort(F.collect_set(F.when(F.col("at") >= 0, F.struct("at", (F.col("at") + F.col("length")).alias("end"))))).alias("found"),
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
-    rows = rows.withColumn("n_hit", covered.cast("long")).withColumn("items", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    rows = rows.withColumn("spans", F.aggregate("found", F.expr("CAST(array() AS array<struct<at:int,end:int>>)"), _joined))
+    rows = rows.withColumn("spans", F.transform("spans", lambda s: F.struct(s["at"].alias("at"), (s["end"] - s["at"]).alias("length"))))
+    rows = rows.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "text_tag", F.col("n_words").cast("long").alias("n_words"), "n_hit", "items", F.array_sort("spans").alias("spans"), (F.col("n_hit") > 0).alias("contaminated"))
+    return rows.select("doc_id", "text_tag", F.col("n_words").cast("long").alias("n_words"), "n_hit", "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _joined(spans: Column, s: Column) -> Column:
+    """Sorted spans with one more, which joins the last if it begins inside it or at its end."""
+    last = F.try_element_at(spans, F.lit(-1))
+    longer = F.struct(last["at"].alias("at"), F.greatest(last["end"], s["end"]).alias("end"))
+    touches = (F.size(spans) > 0) & (s["at"] <= last["end"])
+    return F.when(touches, F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(spans, F.array(F.struct(s["at"].alias("at"), s["end"].alias("end")))))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

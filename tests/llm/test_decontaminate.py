@@ -1,3 +1,4 @@
+import random
 import re
 
 from isobar.llm import decontaminate as dec
@@ -51,7 +52,7 @@ def test_matches_brute_force_with_short_items_alone(spark, docs, rows):
 
 
 def test_joins_that_are_not_broadcast_find_the_same(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(dec, "BROADCAST_WINDOWS", -1)
+    monkeypatch.setattr(dec, "BROADCAST_PRINTS", -1)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     own = [(i, t[:3000] if t else t) for i, t in rows]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -61,6 +62,27 @@ def test_joins_that_are_not_broadcast_find_the_same(spark, docs, rows, monkeypat
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_repeated_words_and_ties_of_minima(spark):
+    rng = random.Random(4)
+    text = lambda n, k: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
+    items = [(i, text(rng.choice([3, 9, 10, 11, 14, 25]), 2 + i % 3)) for i in range(12)]
+    own = [(i, text(rng.choice([0, 5, 10, 40, 90]), 2 + i % 4) + (" " + rng.choice(items)[1] if i % 3 else "") + " " + text(5, 3)) for i in range(120)]
+    for chosen in (items, [x for x in items if len(x[1].split()) >= 10]):
+        out = dec.decontaminate(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(chosen, "item_id long, text string"))
+        assert out_of(out) == brute(own, chosen)
+        assert all(sum(s.length for s in r.spans) == r.n_hit for r in out.collect())
+
+
+def test_fingerprints_are_the_distinct_minima(spark):
+    rng = random.Random(5)
+    frame = spark.createDataFrame([(1, " ".join(f"w{rng.randrange(5000)}" for _ in range(3000)))], "doc_id long, text string")
+    found = [r["at"] for r in dec.prints_of(frame, ["doc_id"], [dec.WINDOW], header=False).collect()]
+    # One at least in every window, about two in seven in all, and each once.
+    assert len(found) == len(set(found)) and 0.2 * 3000 < len(found) < 0.4 * 3000
+    gaps = sorted(found)
+    assert gaps[0] <= dec.REACH and max(b - a for a, b in zip(gaps, gaps[1:])) <= dec.REACH + 1 and gaps[-1] >= 3000 - dec.WINDOW
+
+
 def test_main_path_runs_no_python(spark, docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = dec.decontaminate(docs, bench)._jdf.queryExecution().toString()
