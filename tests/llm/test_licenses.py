@@ -45,6 +45,34 @@ def test_joins_that_are_not_broadcast_find_the_same(spark, rows, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_recall_of_the_bands_by_template(spark):
+    """Every template with each of its words replaced, dropped or doubled in turn: pairs of 0.8 or more that are found."""
+    own, i = [], 0
+    for text in licenses.TEMPLATES.values():
+        cut = text.split()
+        for k in range(0, len(cut), max(1, len(cut) // 12)):
+            for new in ([*cut[:k], "odd", *cut[k + 1 :]], cut[:k] + cut[k + 1 :], [*cut[:k], cut[k], *cut[k:]], cut[k:], cut[: len(cut) - k]):
+                own.append((i := i + 1, f"{LONG} {' '.join(new)} and more"))
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    asked = {(d, name) for d, found in brute(own) for name, _ in found}
+    got = {(d, name) for d, found in out_of(licenses.scan(docs, licenses.default_templates(spark))) for name, _ in found}
+    assert got <= asked
+    for template in licenses.TEMPLATES:
+        mine = {x for x in asked if x[1] == template}
+        assert len(mine & got) >= 0.99 * len(mine) and mine
+
+
+def test_bands_alone_retrieve(spark):
+    """Most texts without any template's windows are never verified."""
+    docs = spark.createDataFrame([(1, LONG * 40), (2, licenses.TEMPLATES["mit-grant"])], "doc_id long, text string")
+    found = licenses.retrieve(docs, licenses.default_templates(spark)).where("template IS NOT NULL").collect()
+    assert {r.doc_id for r in found} == {2} and "mit-grant" in {r.template for r in found}
+
+
+def test_clashing_columns(spark, clashing, rows):
+    assert out_of(licenses.scan(clashing, licenses.default_templates(spark))) == brute(rows)
+
+
 def test_main_path_runs_no_python(spark, docs):
     plan = licenses.scan(docs, licenses.default_templates(spark))._jdf.queryExecution().toString()
     assert not re.search("EvalPython|InPandas|InArrow", plan)
