@@ -139,17 +139,21 @@ def sensitivity_pairs(spark: SparkSession, first: int, last: int, lengths=range(
     return out.where("a1 < b0")
 
 
-def perturbed_boxes(regions: DataFrame, step: float = 1.0) -> DataFrame:
-    """15 boxes for each region: as it is, shifted 12 ways, grown and shrunk by one step.
+def perturbed_boxes(regions: DataFrame, step: float = 5.0, scales: tuple[float, float] = (0.7, 1.4)) -> DataFrame:
+    """15 boxes for each region: as it is, with edges moved, and scaled about its centre.
 
-    The shifts are one and two steps along each axis and one along each diagonal.
+    By ``step`` down and up: each of the four edges alone, both meridians, both parallels.
     """
-    moves = [(0.0, 0.0, 0.0)] + [(dy * k, dx * k, 0.0) for dy, dx in ((1, 0), (-1, 0), (0, 1), (0, -1)) for k in (1.0, 2.0)]
-    moves += [(float(dy), float(dx), 0.0) for dy in (1, -1) for dx in (1, -1)] + [(0.0, 0.0, 1.0), (0.0, 0.0, -1.0)]
-    table = regions.sparkSession.createDataFrame([(i, *m) for i, m in enumerate(moves)], "variant int, dy double, dx double, grow double")
+    edges = [(0, 0, 1, 0), (0, 0, 0, 1), (1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 1), (1, 1, 0, 0)]
+    moves = [(0, 0, 0, 0, 1.0), *[(*(k * e for e in m), 1.0) for k in (-1, 1) for m in edges], *[(0, 0, 0, 0, x) for x in scales]]
+    table = regions.sparkSession.createDataFrame([(i, *map(float, m)) for i, m in enumerate(moves)], "variant int, d_lat0 double, d_lat1 double, d_lon0 double, d_lon1 double, scale double")
     both = regions.crossJoin(F.broadcast(table))
-    grow = F.col("grow") * step
-    return both.select("region", "variant", (F.col("lat0") + F.col("dy") * step - grow).alias("lat0"), (F.col("lat1") + F.col("dy") * step + grow).alias("lat1"), (F.col("lon0") + F.col("dx") * step - grow).alias("lon0"), (F.col("lon1") + F.col("dx") * step + grow).alias("lon1"))
+
+    def edge_of(c: str) -> Column:
+        centre = (F.col(f"{c[:3]}0") + F.col(f"{c[:3]}1")) / 2.0
+        return (centre + (F.col(c) - centre) * F.col("scale") + F.col(f"d_{c}") * step).alias(c)
+
+    return both.select("region", "variant", *map(edge_of, ("lat0", "lat1", "lon0", "lon1")))
 
 
 # --- bootstrap ----------------------------------------------------------------
@@ -212,9 +216,11 @@ def interval(replicates: DataFrame, by: list[str], value: str, low: float = 0.02
     return out.select(*by, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("ci_hi"), "p")
 
 
-def two_sided_p(value: str) -> Column:
+def two_sided_p(value: str, point: Column | None = None) -> Column:
+    """Twice the share of replicates at zero or beyond it from ``point`` (their mean by default), 1 at most."""
+    point = F.avg(value) if point is None else point
     below, above = F.avg((F.col(value) <= 0).cast("double")), F.avg((F.col(value) >= 0).cast("double"))
-    return F.least(F.lit(1.0), 2 * F.least(below, above))
+    return F.least(F.lit(1.0), 2 * F.when(point >= 0, below).otherwise(above))
 
 
 def level_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: np.ndarray) -> DataFrame:

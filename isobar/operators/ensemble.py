@@ -10,10 +10,11 @@ def ensemble_stats(members: DataFrame, observed: DataFrame, keys: list[str], val
     """Mean, deviation, z of the observation, share of members at least as extreme, min, max.
 
     Groups (``keys``) of fewer than ``least`` members are left out; extreme is
-    counted in the direction of the observation from zero.
+    counted on the side of the members' mean that the observation is on.
     """
     both = members.join(observed, [k for k in keys if k in observed.columns])
-    beyond = F.when(F.col(obs) >= 0, F.col(value) >= F.col(obs)).otherwise(F.col(value) <= F.col(obs))
+    both = both.withColumn("_mean", F.avg(value).over(Window.partitionBy(*keys)))
+    beyond = F.when(F.col(obs) >= F.col("_mean"), F.col(value) >= F.col(obs)).otherwise(F.col(value) <= F.col(obs))
     out = both.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),

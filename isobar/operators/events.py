@@ -141,9 +141,9 @@ def period_bands(events: DataFrame, keys: list[str], reps: int = 1000, low: floa
     return means.groupBy("period").agg(*[F.percentile(v, F.lit(q)).alias(f"{v}_{name}") for v in values for name, q in (("q05", low), ("q95", high))])
 
 
-def verdict(monotone: Column, separate: Column) -> Column:
-    """INTENSIFIED where every step is up and the bands don't overlap, FLAT where neither, else MIXED."""
-    return F.when(monotone & separate, "INTENSIFIED").when(~monotone & ~separate, "FLAT").otherwise("MIXED")
+def verdict(monotone: Column, separate: Column, any_separate: Column, change: Column, small: float = 5.0) -> Column:
+    """INTENSIFIED where every step is up and the first and last bands don't overlap; FLAT where no two bands in a row are apart and the whole change is under ``small``; else MIXED."""
+    return F.when(monotone & separate, "INTENSIFIED").when(~any_separate & (F.abs(change) < small), "FLAT").otherwise("MIXED")
 
 
 def bands_separate(low_a, high_a, low_b, high_b) -> Column:

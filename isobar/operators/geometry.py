@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Points that a density needs, and how near to a line they may lie.
+LEAST_POINTS, ON_A_LINE = 5, 1e-9
+
+
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """(polygon, x1, y1, x2, y2) of closed rings (polygon, seq, x, y)."""
     by = Window.partitionBy("polygon").orderBy("seq")
@@ -29,11 +33,18 @@ def inside(points: DataFrame, edges: DataFrame, key: list[str], x: str = "lon",
 
 
 def kde_2d(points: DataFrame, grid: DataFrame, x: str, y: str, factor: float, gx: str = "gx", gy: str = "gy") -> DataFrame:
-    """Gaussian density at grid points; the kernel's covariance is the sample's times factor squared."""
+    """Gaussian density at grid points; the kernel's covariance is the sample's times factor squared.
+
+    Points with a null or NaN coordinate don't take part.  Fewer than ``LEAST_POINTS`` points, or
+    points on a line (one minus their squared correlation within ``ON_A_LINE`` of zero), have a null density.
+    """
+    points = points.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).na.drop()
     stats = points.agg(F.count(x).alias("_n"), F.var_samp(x).alias("_a"), F.covar_samp(x, y).alias("_b"), F.var_samp(y).alias("_c"))
-    det = F.col("_a") * F.col("_c") - F.col("_b") * F.col("_b")
+    both = F.col("_a") * F.col("_c")
+    det = both - F.col("_b") * F.col("_b")
+    det = F.when((F.col("_n") >= LEAST_POINTS) & (det > ON_A_LINE * both), det)
     stats = F.broadcast(stats.withColumn("_det", det))
-    both = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).na.drop().crossJoin(F.broadcast(grid.select(gx, gy))).crossJoin(stats)
+    both = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).crossJoin(F.broadcast(grid.select(gx, gy))).crossJoin(stats)
     dx, dy = F.col(gx) - F.col("_x"), F.col(gy) - F.col("_y")
     f2 = factor * factor
     q = (F.col("_c") * dx * dx - 2 * F.col("_b") * dx * dy + F.col("_a") * dy * dy) / (F.col("_det") * f2)

@@ -54,7 +54,8 @@ def modified_mann_kendall(y: np.ndarray) -> dict:
     """Mann-Kendall with the variance corrected for autocorrelation (Hamed and Rao, 1998).
 
     Ranks of the series without its Theil-Sen line give the autocorrelations;
-    those within 1.96 / sqrt(n) of zero don't count.
+    those within 1.96 / sqrt(n) of zero don't count.  n_eff_ratio is the factor
+    of the variance.
     """
     y = np.asarray(y, float)
     n = len(y)
@@ -78,7 +79,7 @@ def modified_mann_kendall(y: np.ndarray) -> dict:
         correction += 2.0 / (n * (n - 1) * (n - 2)) * float(((n - lags) * (n - lags - 1) * (n - lags - 2) * rho)[kept].sum())
     correction = max(correction, 1e-6)
     z = lambda v: (s - np.sign(s)) / math.sqrt(v) if v > 0 else 0.0
-    return {"slope": slope, "intercept": intercept, "tau": s / (n * (n - 1) / 2), "z": float(z(var * correction)), "p": normal_sf2(z(var * correction)), "p_plain": normal_sf2(z(var)), "n_eff_ratio": 1.0 / correction}
+    return {"slope": slope, "intercept": intercept, "tau": s / (n * (n - 1) / 2), "z": float(z(var * correction)), "p": normal_sf2(z(var * correction)), "p_plain": normal_sf2(z(var)), "n_eff_ratio": correction}
 
 
 def kendall_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -100,7 +101,8 @@ def kendall_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def ols(y: np.ndarray, x: np.ndarray, years: np.ndarray, detrend: bool = True, ddof: int = 1) -> dict:
     """Standardised predictors, and standard errors for the residuals' lag-1 autocorrelation.
 
-    The effective number of years is n (1 - r) / (1 + r) with r >= 0; the
+    The effective number of years is n (1 - r) / (1 + r), two more than the
+    coefficients at least and n at most; the
     residual variance is over that number less the coefficients, and the
     covariance is widened by n / n_eff once more.
     """
@@ -115,8 +117,8 @@ def ols(y: np.ndarray, x: np.ndarray, years: np.ndarray, detrend: bool = True, d
     beta, *_ = np.linalg.lstsq(a, y, rcond=None)
     resid = y - a @ beta
     r = float(np.corrcoef(resid[:-1], resid[1:])[0, 1]) if n > 3 and resid.std() > 0 else 0.0
-    r = max(0.0, r) if not math.isnan(r) else 0.0
-    n_eff = max(n * (1 - r) / (1 + r), a.shape[1] + 1.0)
+    r = r if not math.isnan(r) else 0.0
+    n_eff = float(np.clip(n * (1 - r) / max(1 + r, 1e-12), a.shape[1] + 2, max(n, a.shape[1] + 2)))
     s2 = float(resid @ resid) / (n_eff - a.shape[1])
     cov = s2 * np.linalg.pinv(a.T @ a) * (n / n_eff)
     se = np.sqrt(np.maximum(np.diag(cov), 0.0))

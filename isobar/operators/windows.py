@@ -47,14 +47,13 @@ def islands(rows: DataFrame, by: list[str], order: str, flag: Column, name: str
 
 
 def emergence(rows: DataFrame, by: list[str], year: str, value: str, base: tuple[int, int]) -> DataFrame:
-    """First year whose trend line exceeds the base years' mean plus one deviation."""
-    in_base = F.col(year).between(*base)
-    fit = rows.groupBy(*by).agg(
-        F.regr_slope(F.col(value), F.col(year)).alias("slope"),
-        F.regr_intercept(F.col(value), F.col(year)).alias("intercept"),
-        (F.avg(F.when(in_base, F.col(value))) + F.stddev_pop(F.when(in_base, F.col(value)))).alias("limit"),
-    )
-    line = F.col("slope") * F.col(year) + F.col("intercept")
+    """First year whose Theil-Sen line exceeds the base years' mean plus one deviation."""
+    from isobar.operators.trends import theil_sen
+
+    in_base = F.when(F.col(year).between(*base), F.col(value))
+    limit = rows.groupBy(*by).agg((F.avg(in_base) + F.stddev_pop(in_base)).alias("limit"))
+    fit = theil_sen(rows, by, year, value).join(limit, by)
+    line = F.col("intercept") + F.col("slope") * F.col(year)
     return rows.join(fit, by).groupBy(*by).agg(F.first("slope").alias("slope"), F.min(F.when(line > F.col("limit"), F.col(year))).alias("emerges"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.scalars import edge, wavelike_day
@@ -114,7 +114,11 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
     up = windows.monotone(means, ["y"], "yr", "m")
     ends = means.groupBy("y").agg(*[f(c, "yr").alias(f"{c}{i}") for i, f in ((0, F.min_by), (1, F.max_by)) for c in ("lo", "hi")])
     out = up.join(ends, "y").withColumn("separate", events.bands_separate(F.col("lo0"), F.col("hi0"), F.col("lo1"), F.col("hi1")))
-    return out.select("y", "monotone", "separate", events.verdict(F.col("monotone"), F.col("separate")).alias("verdict"))
+    w = Window.partitionBy("y").orderBy("yr")
+    steps = means.select("y", events.bands_separate(F.lag("lo").over(w), F.lag("hi").over(w), F.col("lo"), F.col("hi")).alias("apart"), "yr", "m")
+    steps = steps.groupBy("y").agg(F.coalesce(F.bool_or("apart"), F.lit(False)).alias("any_separate"), (F.max_by("m", "yr") - F.min_by("m", "yr")).alias("change"))
+    mark = events.verdict(F.col("monotone"), F.col("separate"), F.col("any_separate"), F.col("change"))
+    return out.join(steps, "y").select("y", "monotone", "separate", "any_separate", edge("change").alias("change"), mark.alias("verdict"))
 
 
 def _grid_voxels(spark: SparkSession, d: str, n: int, q: float) -> DataFrame:
@@ -185,8 +189,9 @@ SELECT period, count(*) AS n_events, {r('avg(m)')} AS mean_intensity, {r('avg(x)
 FROM t JOIN f USING (event_id) JOIN p ON s >= a AND s < b GROUP BY period""",
     "q_verdict": f"""WITH {FLAT_SQL}, m AS (SELECT y, yr, avg(val) AS m, quantile_cont(val, 0.25) AS lo, quantile_cont(val, 0.75) AS hi FROM flat GROUP BY y, yr),
 u AS (SELECT y, bool_and(coalesce(up, TRUE)) AS monotone FROM (SELECT y, m >= lag(m) OVER (PARTITION BY y ORDER BY yr) AS up FROM m) GROUP BY y),
-e AS (SELECT y, arg_min(lo, yr) AS lo0, arg_min(hi, yr) AS hi0, arg_max(lo, yr) AS lo1, arg_max(hi, yr) AS hi1 FROM m GROUP BY y), s AS (SELECT y, monotone, lo1 > hi0 OR lo0 > hi1 AS separate FROM u JOIN e USING (y))
-SELECT y, monotone, separate, CASE WHEN monotone AND separate THEN 'INTENSIFIED' WHEN NOT monotone AND NOT separate THEN 'FLAT' ELSE 'MIXED' END AS verdict FROM s""",
+e AS (SELECT y, arg_min(lo, yr) AS lo0, arg_min(hi, yr) AS hi0, arg_max(lo, yr) AS lo1, arg_max(hi, yr) AS hi1 FROM m GROUP BY y), s AS (SELECT y, monotone, lo1 > hi0 OR lo0 > hi1 AS separate FROM u JOIN e USING (y)),
+t AS (SELECT y, coalesce(bool_or(lo > ph OR pl > hi), FALSE) AS any_separate, arg_max(m, yr) - arg_min(m, yr) AS change FROM (SELECT *, lag(lo) OVER (PARTITION BY y ORDER BY yr) AS pl, lag(hi) OVER (PARTITION BY y ORDER BY yr) AS ph FROM m) GROUP BY y)
+SELECT y, monotone, separate, any_separate, {r('change')} AS change, CASE WHEN monotone AND separate THEN 'INTENSIFIED' WHEN NOT any_separate AND abs(change) < 5 THEN 'FLAT' ELSE 'MIXED' END AS verdict FROM s JOIN t USING (y)""",
     "q_components_2d": "WITH " + _REACH.format(base=_grid_sql(12, 0.75), near="k.it = r.it AND abs(k.iy - r.iy) <= 1 AND abs(k.ix - r.ix) <= 1") + """
 SELECT it, CAST(dense_rank() OVER (PARTITION BY it ORDER BY root) AS INTEGER) AS part, n, root % 144 AS first FROM (SELECT k.it, l.root, count(*) AS n FROM k JOIN l USING (id) GROUP BY ALL)""",
     "q_components_3d": "WITH " + _REACH.format(base=_grid_sql(12, 0.94), near="abs(k.it - r.it) <= 1 AND abs(k.iy - r.iy) <= 1 AND abs(k.ix - r.ix) <= 1") + """

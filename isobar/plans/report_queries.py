@@ -15,7 +15,7 @@ OUTLINES = [("a", 0, 212.0, 26.0), ("a", 1, 230.0, 30.0), ("a", 2, 226.0, 48.0),
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "customer").select("c_custkey", (25.0 + F.col("c_custkey") % 353 / 10).alias("lat"), (210.0 + F.col("c_custkey") % 401 / 10).alias("lon"))
+    return read(spark, d, "customer").select("c_custkey", (25.0 + F.col("c_custkey") * 37 % 353 / 10).alias("lat"), (210.0 + F.col("c_custkey") % 401 / 10).alias("lon"))
 
 
 def q_land_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +80,12 @@ def q_fold_mean(spark: SparkSession, d: str) -> DataFrame:
 _F = (q_land_mask, q_kde_2d, q_member_terms, q_first_members, q_fingerprint, q_lag_correlation, q_fold_mean)
 QUERIES = {f.__name__: f for f in _F}
 
-_PTS = "pts AS (SELECT c_custkey, 25 + c_custkey % 353 / 10.0::DOUBLE AS lat, 210 + c_custkey % 401 / 10.0::DOUBLE AS lon FROM customer)"
+_PTS = "pts AS (SELECT c_custkey, 25 + c_custkey * 37 % 353 / 10.0::DOUBLE AS lat, 210 + c_custkey % 401 / 10.0::DOUBLE AS lon FROM customer)"
 ORACLE = {
     "q_land_mask": f"""WITH {_PTS}, v(polygon, seq, x, y) AS (VALUES {', '.join(f"('{p}', {s}, {x}::DOUBLE, {y}::DOUBLE)" for p, s, x, y in OUTLINES)}),
 e AS (SELECT polygon, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER (PARTITION BY polygon ORDER BY seq)) AS x2, coalesce(lead(y) OVER w, first(y) OVER (PARTITION BY polygon ORDER BY seq)) AS y2 FROM v WINDOW w AS (PARTITION BY polygon ORDER BY seq))
 SELECT c_custkey, polygon FROM pts JOIN e ON (y1 <= lat AND y2 > lat OR y2 <= lat AND y1 > lat) AND lon < x1 + (lat - y1) / (y2 - y1) * (x2 - x1) GROUP BY ALL HAVING count(*) % 2 = 1""",
-    "q_kde_2d": f"""WITH {_PTS}, s AS (SELECT count(*) AS n, var_samp(lon) AS a, covar_samp(lon, lat) AS b, var_samp(lat) AS c FROM pts), t AS (SELECT *, a * c - b * b AS det FROM s),
+    "q_kde_2d": f"""WITH {_PTS}, s AS (SELECT count(*) AS n, var_samp(lon) AS a, covar_samp(lon, lat) AS b, var_samp(lat) AS c FROM pts), t AS (SELECT *, CASE WHEN n >= 5 AND a * c - b * b > 1e-9 * (a * c) THEN a * c - b * b END AS det FROM s),
 g AS (SELECT 212 + i % 5 * 8.0::DOUBLE AS gx, 28 + i // 5 * 8.0::DOUBLE AS gy FROM range(20) r(i))
 SELECT gx, gy, round(1000 * sum(exp(-0.5 * (c * (gx - lon) * (gx - lon) - 2 * b * (gx - lon) * (gy - lat) + a * (gy - lat) * (gy - lat)) / (det * 0.0625)) / (n * 2 * pi() * 0.0625 * sqrt(det))) + 0.000000001, 6) AS density FROM pts, t, g GROUP BY gx, gy""",
     "q_member_terms": f"""WITH x AS (SELECT l_suppkey, year(l_shipdate) >= 1999 AS l, l_extendedprice AS p, l_quantity AS q, l_tax AS t FROM lineitem),

@@ -100,7 +100,7 @@ def q_sensitivity_matrix(spark: SparkSession, d: str) -> DataFrame:
 def q_box_perturbation(spark: SparkSession, d: str) -> DataFrame:
     from isobar.plans.base import regions
 
-    boxes = dec.perturbed_boxes(regions(spark))
+    boxes = dec.perturbed_boxes(regions(spark), 1.0)
     places = flat(spark, d).groupBy("yr", "y", "x").agg(F.avg("val").alias("ivt"), F.avg("u").alias("iwv"))
     inside = grid.box_join(places, boxes, "y", "x")
     late = F.col("yr") >= 1999
@@ -247,13 +247,19 @@ def q_common_mode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_efficiency_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """Ratio fields above a floor, land against ocean, and the verdict."""
+    """Ratio fields above a floor (the 20 % quantile of the environment), land against ocean.
+
+    GO if the ratio differs between land and ocean over twice as much as the environment does.
+    """
     places = flat(spark, d).groupBy("y", "x").agg(F.avg("val").alias("f"), F.avg("u").alias("c"))
-    eff = F.when(F.col("c") > 25.0, ratio("f", "c"))
+    floor = F.broadcast(places.agg(F.percentile("c", F.lit(0.2)).alias("floor")))
+    eff = F.when(F.col("c") > F.col("floor"), ratio("f", "c"))
     land = (F.col("y") + F.col("x")) % 2 == 0
-    out = places.groupBy("y").agg(F.avg(F.when(land, eff)).alias("land"), F.avg(F.when(~land, eff)).alias("ocean"))
+    side = lambda x, name: [F.avg(F.when(land, x)).alias(f"{name}land"), F.avg(F.when(~land, x)).alias(f"{name}ocean")]
+    out = places.crossJoin(floor).groupBy("y").agg(*side(eff, ""), *side(F.col("c"), "c_"))
     contrast = ratio("land", "ocean")
-    return out.select("y", edge("land").alias("land"), edge("ocean").alias("ocean"), edge(contrast).alias("contrast"), F.when(contrast > 1, "GO").when(contrast <= 1, "NO-GO").otherwise("NO DATA").alias("verdict"))
+    decoupling = F.try_divide(contrast, ratio("c_land", "c_ocean"))
+    return out.select("y", edge("land").alias("land"), edge("ocean").alias("ocean"), edge(contrast).alias("contrast"), edge(decoupling).alias("decoupling"), F.when(decoupling > 2, "GO").otherwise("INCONCLUSIVE").alias("verdict"))
 
 
 def q_corr_indices(spark: SparkSession, d: str) -> DataFrame:
@@ -320,7 +326,8 @@ _MCLIM = "SELECT y, x, mo, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(qu) AS
 _SY = "sy AS (SELECT l_suppkey % 50 AS k, year(l_shipdate) AS yr, {0} AS v FROM lineitem GROUP BY 1, 2)"
 _MON = f"mon AS (SELECT y, (yr - 1995) * 12 + mo AS m, avg(val) AS v, avg(q) AS q, avg(u) AS u FROM ({CELLS_SQL}) GROUP BY ALL)"
 _MEM = "mem AS (SELECT s_nationkey AS model, l_suppkey AS member, l_returnflag AS term, avg(l_extendedprice) - 38000 AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
-_DIRS = [(0, 0, 0), (1, 0, 0), (2, 0, 0), (-1, 0, 0), (-2, 0, 0), (0, 1, 0), (0, 2, 0), (0, -1, 0), (0, -2, 0), (1, 1, 0), (1, -1, 0), (-1, 1, 0), (-1, -1, 0), (0, 0, 1), (0, 0, -1)]
+#: Moves of the four edges (lat0, lat1, lon0, lon1) in steps, and a scale about the centre.
+_DIRS = [(0, 0, 0, 0, 1.0), *[(*m, 1.0) for k in (-1, 1) for m in ((0, 0, k, 0), (0, 0, 0, k), (k, 0, 0, 0), (0, k, 0, 0), (0, 0, k, k), (k, k, 0, 0))], (0, 0, 0, 0, 0.7), (0, 0, 0, 0, 1.4)]
 
 
 def _draw_values(block: int, circular: bool, reps: int = REPS) -> str:
@@ -368,10 +375,11 @@ SELECT m.y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t
     "q_sensitivity_matrix": f"""WITH {YEARLY_SQL}, g AS (SELECT CAST(l AS INTEGER) AS length, CAST(s AS INTEGER) AS shift, 1995 + s AS a0, 1995 + s + l - 1 AS a1, 2002 - l AS b0, 2001 AS b1 FROM range(1, 6) t(l), range(0, 3) v(s)),
 m AS (SELECT corridor, length, shift, avg(ivt) FILTER (yr BETWEEN a0 AND a1) AS i0, avg(ivt) FILTER (yr BETWEEN b0 AND b1) AS i1, avg(iwv) FILTER (yr BETWEEN a0 AND a1) AS w0, avg(iwv) FILTER (yr BETWEEN b0 AND b1) AS w1 FROM yearly, g WHERE a1 < b0 GROUP BY ALL)
 SELECT corridor, length, shift, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 * (w1 / w0 - 1)')} AS dynamic FROM m""",
-    "q_box_perturbation": f"""WITH {FLAT_SQL}, b(region, a0, a1, o0, o1) AS (VALUES ('north', 2, 4, 0, 3), ('south', 0, 2, 1, 2), ('all', 0, 4, 0, 3)), v(variant, dy, dx, g) AS (VALUES {', '.join(f'({i}, {a}, {b}, {c})' for i, (a, b, c) in enumerate(_DIRS))}),
+    "q_box_perturbation": f"""WITH {FLAT_SQL}, b(region, a0, a1, o0, o1) AS (VALUES ('north', 2, 4, 0, 3), ('south', 0, 2, 1, 2), ('all', 0, 4, 0, 3)), v(variant, ya, yb, xa, xb, g) AS (VALUES {', '.join(f'({i}, {a}, {b}, {c}, {e}, {g}::DOUBLE)' for i, (a, b, c, e, g) in enumerate(_DIRS))}),
 pl AS (SELECT yr, y, x, avg(val) AS ivt, avg(u) AS iwv FROM flat GROUP BY yr, y, x),
 m AS (SELECT region, CAST(variant AS INTEGER) AS variant, avg(ivt) FILTER (yr < 1999) AS i0, avg(ivt) FILTER (yr >= 1999) AS i1, avg(iwv) FILTER (yr < 1999) AS w0, avg(iwv) FILTER (yr >= 1999) AS w1
-  FROM pl, b, v WHERE y BETWEEN a0 + dy - g AND a1 + dy + g AND x BETWEEN o0 + dx - g AND o1 + dx + g GROUP BY region, variant)
+  FROM pl, b, v WHERE y BETWEEN (a0 + a1) / 2.0 + (a0 - (a0 + a1) / 2.0) * g + ya AND (a0 + a1) / 2.0 + (a1 - (a0 + a1) / 2.0) * g + yb
+    AND x BETWEEN (o0 + o1) / 2.0 + (o0 - (o0 + o1) / 2.0) * g + xa AND (o0 + o1) / 2.0 + (o1 - (o0 + o1) / 2.0) * g + xb GROUP BY region, variant)
 SELECT region, variant, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 * (w1 / w0 - 1)')} AS dynamic FROM m""",
     "q_bootstrap_mean": _boot_sql(1, False),
     "q_block_bootstrap": _boot_sql(3, False),
@@ -380,7 +388,7 @@ SELECT region, variant, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 *
     "q_block_bootstrap_whole": _boot_sql(3, False, WHOLE_REPS),
     "q_circular_bootstrap_whole": _boot_sql(2, True, WHOLE_REPS),
     "q_two_sided_p": f"""WITH {FLAT_SQL}, a AS (SELECT y, mo, val - avg(val) OVER (PARTITION BY mo) AS a FROM flat)
-SELECT y, mo, {r('least(1.0, 2 * least(avg(CASE WHEN a <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN a >= 0 THEN 1.0 ELSE 0.0 END)))')} AS p FROM a GROUP BY y, mo""",
+SELECT y, mo, {r('least(1.0, 2 * CASE WHEN avg(a) >= 0 THEN avg(CASE WHEN a <= 0 THEN 1.0 ELSE 0.0 END) ELSE avg(CASE WHEN a >= 0 THEN 1.0 ELSE 0.0 END) END)')} AS p FROM a GROUP BY y, mo""",
     "q_bh_fdr": f"""WITH p AS (SELECT l_suppkey, l_suppkey % 4 AS g, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 3) AS p FROM lineitem GROUP BY 1, 2),
 k AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p) AS raw FROM p)
 SELECT l_suppkey, p, {r('least(1.0, min(raw) OVER (PARTITION BY g ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS pfdr FROM k""",
@@ -392,19 +400,20 @@ z AS (SELECT k, n, s, (n * (n - 1) * (2 * n + 5) - c) / 18 AS w FROM s JOIN t US
 SELECT k, {r('n')} AS n, {r('s')} AS s, {r('w')} AS var_s, {r('s / nullif(n * (n - 1) / 2, 0)')} AS tau, {r('CASE WHEN w > 0 THEN (s - sign(s)) / sqrt(w) ELSE 0 END')} AS z FROM z""",
     "q_running_mean": f"""WITH {_MON} SELECT y, CAST(m AS INTEGER) AS m, {r('CASE WHEN count(v) OVER a >= 4 THEN avg(v) OVER a END')} AS loose, {r('CASE WHEN count(v) OVER b >= 9 THEN avg(v) OVER b END')} AS strict
 FROM mon WINDOW a AS (PARTITION BY y ORDER BY m ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), b AS (PARTITION BY y ORDER BY m ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""",
-    "q_emergence": f"""WITH {_SY.format('avg(l_extendedprice)')}, f AS (SELECT k, regr_slope(v, yr) AS s, regr_intercept(v, yr) AS i, avg(v) FILTER (yr BETWEEN 1995 AND 1997) + stddev_pop(v) FILTER (yr BETWEEN 1995 AND 1997) AS l FROM sy GROUP BY k)
+    "q_emergence": f"""WITH {_SY.format('avg(l_extendedprice)')}, t AS (SELECT a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM sy a JOIN sy b ON a.k = b.k AND a.yr < b.yr GROUP BY a.k),
+g AS (SELECT k, median(yr) AS mx, median(v) AS mv, avg(v) FILTER (yr BETWEEN 1995 AND 1997) + stddev_pop(v) FILTER (yr BETWEEN 1995 AND 1997) AS l FROM sy GROUP BY k), f AS (SELECT k, s, mv - s * mx AS i, l FROM t JOIN g USING (k))
 SELECT sy.k, {r('any_value(s)')} AS slope, CAST(min(yr) FILTER (s * yr + i > l) AS INTEGER) AS emerges FROM sy JOIN f USING (k) GROUP BY sy.k""",
     "q_zscore": f"WITH {_MON} SELECT y, CAST(m AS INTEGER) AS m, {r('(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)')} AS z FROM mon WINDOW w AS (PARTITION BY y)",
     "q_rank_avg": f"SELECT p_partkey, {r('rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0')} AS rank FROM part",
     "q_ensemble_stats": f"""WITH {_MEM}, o AS (SELECT l_returnflag AS term, quantile_cont(l_extendedprice, 0.51) - 38000 AS obs FROM lineitem GROUP BY 1)
-SELECT model, term, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd, {r('any_value(obs)')} AS obs, {r('avg(CASE WHEN (obs >= 0 AND value >= obs) OR (obs < 0 AND value <= obs) THEN 1.0 ELSE 0.0 END)')} AS extreme,
-{r('min(value)')} AS low, {r('max(value)')} AS high, {r('(any_value(obs) - avg(value)) / nullif(stddev_samp(value), 0)')} AS z FROM mem JOIN o USING (term) GROUP BY model, term HAVING count(*) >= 5""",
+SELECT model, term, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd, {r('any_value(obs)')} AS obs, {r('avg(CASE WHEN (obs >= mu AND value >= obs) OR (obs < mu AND value <= obs) THEN 1.0 ELSE 0.0 END)')} AS extreme,
+{r('min(value)')} AS low, {r('max(value)')} AS high, {r('(any_value(obs) - avg(value)) / nullif(stddev_samp(value), 0)')} AS z FROM (SELECT *, avg(value) OVER (PARTITION BY model, term) AS mu FROM mem) JOIN o USING (term) GROUP BY model, term HAVING count(*) >= 5""",
     "q_weighted_quantile": f"""WITH {_MEM}, w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY term, model) AS w FROM mem), c AS (SELECT term, value, sum(w) OVER (PARTITION BY term ORDER BY value RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY term) AS c FROM w)
 SELECT term, {', '.join(f'{r(f"min(value) FILTER (c >= {q} - 1e-12)")} AS q{int(100 * q)}' for q in (0.05, 0.5, 0.95))} FROM c GROUP BY term""",
     "q_ensemble_quantiles": f"WITH {_MEM} SELECT term, count(*) AS n, {r('quantile_cont(value, 0.25)')} AS q25, {r('quantile_cont(value, 0.5)')} AS median, {r('quantile_cont(value, 0.75)')} AS q75, {r('min(value)')} AS low, {r('max(value)')} AS high FROM mem GROUP BY term",
     "q_common_mode": f"WITH {YEARLY_SQL}, c AS (SELECT yr, avg(ivt) AS c FROM yearly GROUP BY yr), m AS (SELECT avg(c) AS m FROM c) SELECT corridor, yr, {r('ivt / (c / m)')} AS ivt FROM yearly JOIN c USING (yr), m",
-    "q_efficiency_contrast": f"""WITH {FLAT_SQL}, p AS (SELECT y, x, avg(val) AS f, avg(u) AS c FROM flat GROUP BY y, x), e AS (SELECT y, (y + x) % 2 = 0 AS land, CASE WHEN c > 25 THEN f / c END AS e FROM p), s AS (SELECT y, avg(e) FILTER (land) AS land, avg(e) FILTER (NOT land) AS ocean FROM e GROUP BY y)
-SELECT y, {r('land')} AS land, {r('ocean')} AS ocean, {r('land / ocean')} AS contrast, CASE WHEN land / ocean > 1 THEN 'GO' WHEN land / ocean <= 1 THEN 'NO-GO' ELSE 'NO DATA' END AS verdict FROM s""",
+    "q_efficiency_contrast": f"""WITH {FLAT_SQL}, p AS (SELECT y, x, avg(val) AS f, avg(u) AS c FROM flat GROUP BY y, x), e AS (SELECT y, (y + x) % 2 = 0 AS land, c, CASE WHEN c > (SELECT quantile_cont(c, 0.2) FROM p) THEN f / c END AS e FROM p), s AS (SELECT y, avg(e) FILTER (land) AS land, avg(e) FILTER (NOT land) AS ocean, avg(c) FILTER (land) / avg(c) FILTER (NOT land) AS env FROM e GROUP BY y)
+SELECT y, {r('land')} AS land, {r('ocean')} AS ocean, {r('land / ocean')} AS contrast, {r('land / ocean / env')} AS decoupling, CASE WHEN land / ocean / env > 2 THEN 'GO' ELSE 'INCONCLUSIVE' END AS verdict FROM s""",
     "q_corr_indices": f"""WITH {FLAT_SQL}, i AS (SELECT yr, mo, avg(val) FILTER (y BETWEEN 0 AND 1) - avg(val) FILTER (y BETWEEN 3 AND 4) AS a, avg(u) AS b FROM flat GROUP BY yr, mo), n AS (SELECT mo, a - avg(a) OVER (PARTITION BY mo) AS a, b - avg(b) OVER (PARTITION BY mo) AS b FROM i)
 SELECT mo, {r('corr(a, b)')} AS r, count(*) AS n FROM n GROUP BY mo""",
     "q_detrend": f"WITH {_MON}, f AS (SELECT y, regr_slope(v, m) AS s, regr_intercept(v, m) AS i FROM mon GROUP BY y) SELECT y, CAST(m AS INTEGER) AS m, {r('v - s * m - i')} AS residual FROM mon JOIN f USING (y)",

@@ -40,12 +40,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has no such setting (single-machine tests) a new
-    temporary folder is made and set.
+    Only on a local master without such a setting (single-machine tests) a new
+    temporary folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-isobar-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

@@ -90,30 +90,36 @@ def latest_stores(catalog: DataFrame, keys: list[str]) -> DataFrame:
     return catalog.groupBy(*keys).agg(F.max_by("zstore", "version").alias("zstore"), F.max("version").alias("version"))
 
 
-def read_month_table(spark: SparkSession, path: str, missing: float = -99.0) -> DataFrame:
-    """(year, month, value) of text rows "year v1 ... v12"; other rows and values at or below ``missing`` go."""
+#: Marks of missing values in index files (fixed values), and the size from which a value is none.
+MISSING, NONE_FROM = (-99.99, -99.9, -9.9, -999.0), 90.0
+
+
+def read_month_table(spark: SparkSession, path: str, missing: tuple[float, ...] = MISSING) -> DataFrame:
+    """(year, month, value) of text rows "year v1 ... v12"; other rows, marks of missing values and sizes of ``NONE_FROM`` or more go."""
     words = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(words.alias("w")).where((F.size("w") == 13) & F.col("w")[0].rlike(r"^\d{4}$"))
     long = rows.select(F.col("w")[0].cast("int").alias("year"), F.posexplode(F.slice("w", 2, 12)).alias("i", "value"))
-    return long.select("year", (F.col("i") + 1).alias("month"), F.col("value").try_cast("double").alias("value")).where(F.col("value") > missing)
+    return long.select("year", (F.col("i") + 1).alias("month"), F.col("value").try_cast("double").alias("value")).where(~F.col("value").isin(*missing) & (F.abs("value") < NONE_FROM))
 
 
-def read_triples(spark: SparkSession, path: str, missing: float = -99.0) -> DataFrame:
-    """(year, month, value) of text rows with those three columns first."""
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(year, month, value) of text rows of just those three columns."""
     words = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(words.alias("w")).where((F.size("w") >= 3) & F.col("w")[0].rlike(r"^\d{4}$"))
-    return rows.select(F.col("w")[0].cast("int").alias("year"), F.col("w")[1].try_cast("int").alias("month"), F.col("w")[2].try_cast("double").alias("value")).where(F.col("value") > missing)
+    rows = spark.read.text(path).select(words.alias("w")).where((F.size("w") == 3) & F.col("w")[0].rlike(r"^\d{4}$"))
+    return rows.select(F.col("w")[0].cast("int").alias("year"), F.col("w")[1].try_cast("int").alias("month"), F.col("w")[2].try_cast("double").alias("value")).where("value IS NOT NULL")
 
 
 def complete_columns(cells: DataFrame, keys: list[str], years: tuple[int, int], least_points: int = 4, most_missing: float = 0.25, weight: str = "w") -> DataFrame:
-    """Members whose columns may be used: all years there, enough points, not too much weight missing."""
-    used = cells.groupBy(*keys).agg(
-        F.min("year").alias("_y0"),
-        F.max("year").alias("_y1"),
-        F.count_distinct("year").alias("_ny"),
-        F.count_distinct(F.when(F.col("q").isNotNull(), F.struct("iy", "ix"))).alias("points"),
-        F.try_divide(F.sum(F.when(F.col("q").isNull(), F.col(weight)).otherwise(0.0)), F.sum(weight)).alias("missing"),
+    """Members whose columns may be used: all years there, enough valid points, not too much of their weight missing.
+
+    A point that is null at every level and time (a mask in the store) isn't valid and takes no part in the share.
+    """
+    points = cells.groupBy(*keys, "iy", "ix").agg(
+        (F.count("q") > 0).alias("_valid"), F.sum(F.when(F.col("q").isNull(), F.col(weight)).otherwise(0.0)).alias("_missing"), F.sum(weight).alias("_weight")
     )
+    valid = lambda c: F.sum(F.when(F.col("_valid"), F.col(c)))
+    points = points.groupBy(*keys).agg(F.count_if("_valid").alias("points"), F.try_divide(valid("_missing"), valid("_weight")).alias("missing"))
+    used = cells.groupBy(*keys).agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"), F.count_distinct("year").alias("_ny")).join(points, keys)
     n = years[1] - years[0] + 1
     ok = (F.col("_y0") <= years[0]) & (F.col("_y1") >= years[1]) & (F.col("_ny") >= n) & (F.col("points") >= least_points) & (F.coalesce("missing", F.lit(0.0)) <= most_missing)
     return used.where(ok).drop("_y0", "_y1", "_ny")

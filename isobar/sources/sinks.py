@@ -41,10 +41,12 @@ def write_missing_years(df: DataFrame, path: str, year: str = "year") -> list[in
 def cached(spark: SparkSession, root: str, config: dict, source: DataFrame, make) -> DataFrame:
     """A table that is made once for each configuration and input.
 
-    The key holds the configuration and the input's row count and column names,
-    so that another grid or a partial input gets a table of its own.
+    The key holds the configuration, the input's column names and a digest of
+    its content: the rows' number and the sum of their hashes, which doesn't
+    depend on their order.  So other data get a table of their own.
     """
-    key = json.dumps([config, source.columns, source.count()], sort_keys=True, default=str)
+    content = source.select(F.xxhash64(*source.columns).cast("decimal(20,0)").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s")).first()
+    key = json.dumps([config, source.columns, content.n, str(content.s)], sort_keys=True, default=str)
     path = f"{root}/{hashlib.sha256(key.encode()).hexdigest()[:24]}"
     if not exists(spark, path):
         make(source).write.option("compression", "zstd").mode("overwrite").parquet(path)

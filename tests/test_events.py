@@ -122,7 +122,7 @@ def test_terrain_features_and_verdict(spark):
     f = events.attach_features(spark.createDataFrame([(1,)], "event_id long"), v, ["intensity"], []).first()
     assert f.lat_deg == 40.5 and f.doy_sin**2 + f.doy_cos**2 == pytest.approx(1)
     t, n = F.lit(True), F.lit(False)
-    assert [r[0] for r in spark.range(1).select(F.explode(F.array(events.verdict(t, t), events.verdict(n, n), events.verdict(t, n)))).collect()] == ["INTENSIFIED", "FLAT", "MIXED"]
+    assert [r[0] for r in spark.range(1).select(F.explode(F.array(events.verdict(t, t, t, F.lit(9.0)), events.verdict(n, n, n, F.lit(-4.9)), events.verdict(t, n, n, F.lit(5.0)), events.verdict(t, n, n, F.lit(2.0)), events.verdict(n, n, t, F.lit(0.0))))).collect()] == ["INTENSIFIED", "FLAT", "MIXED", "FLAT", "MIXED"]
 
 
 def test_feature_fields(spark):

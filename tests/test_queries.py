@@ -81,6 +81,10 @@ def test_sinks(spark, tmp_path):
         sinks.cached(spark, str(tmp_path / "c"), {"q": 0.85}, years, make)
     sinks.cached(spark, str(tmp_path / "c"), {"q": 0.9}, years, make)
     assert len(calls) == 2
+    # Other data of as many rows and the same columns are another table; the same data in another order are not.
+    other = sinks.cached(spark, str(tmp_path / "c"), {"q": 0.9}, years.withColumn("v", F.col("v") + 1), make)
+    sinks.cached(spark, str(tmp_path / "c"), {"q": 0.9}, years.orderBy(F.desc("year")).repartition(2), make)
+    assert len(calls) == 3 and sorted(r.v for r in other.collect()) == [2.0, 3.0]
     long = spark.createDataFrame([("c1", "moist", 1.26, 0.5, 2.0, 0.01)], "c string, term string, point double, lo double, hi double, p double")
     wide = sinks.pivot_terms(long, ["c"], ["moist"], ["point", "lo", "hi", "p"])
     assert sinks.terms_lines(wide.withColumn("o", F.lit(1)), "o", "c", ["moist"]).first().value == r"c1 & +1.3* [+0.5, +2.0] \\"

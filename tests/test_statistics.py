@@ -217,3 +217,76 @@ def test_queries_draw_a_thousand_replicates(spark, sf):
     assert {r.term for r in out} == set(dec.TERMS)
     for name in ("q_bootstrap_mean_whole", "q_block_bootstrap_whole", "q_circular_bootstrap_whole"):
         assert "(999, " in catalogue.oracle_sql()[name]
+
+
+def test_emergence_follows_the_theil_sen_line(spark):
+    # One wild year moves a least-squares line, not the median of slopes (1): intercept -2000, limit 1 + sqrt(2 / 3).
+    rows = spark.createDataFrame([(1, 2000 + i, float(i if i != 6 else 90)) for i in range(8)], "k int, yr int, v double")
+    out = windows.emergence(rows, ["k"], "yr", "v", (2000, 2002)).first()
+    assert out.slope == pytest.approx(1.0) and out.emerges == 2002
+
+
+def test_two_sided_p_takes_the_tail_against_the_points_sign(spark):
+    reps = spark.createDataFrame([(x,) for x in (-1.0, -2.0, -3.0, 20.0)], "v double")
+    assert reps.agg(dec.two_sided_p("v").alias("p")).first().p == 1.0
+    assert reps.agg(dec.two_sided_p("v", F.lit(-1.0)).alias("p")).first().p == 0.5
+
+
+def test_extreme_share_counts_from_the_members_mean(spark):
+    m = spark.createDataFrame([("m", float(x)) for x in (1, 2, 3, 4, 10)], "model string, value double")
+    share = lambda o: ensemble.ensemble_stats(m, spark.createDataFrame([("m", o)], "model string, obs double"), ["model"]).first().extreme
+    assert share(2.0) == pytest.approx(0.4) and share(4.0) == pytest.approx(0.4) and share(3.0) == pytest.approx(0.6)
+
+
+def test_box_variants(spark):
+    box = spark.createDataFrame([("r", 10.0, 20.0, 100.0, 140.0)], "region string, lat0 double, lat1 double, lon0 double, lon1 double")
+    out = {r.variant: (r.lat0, r.lat1, r.lon0, r.lon1) for r in dec.perturbed_boxes(box).collect()}
+    assert out[0] == (10, 20, 100, 140) and out[1] == (10, 20, 95, 140) and out[4] == (10, 15, 100, 140) and out[12] == (15, 25, 100, 140)
+    assert out[13] == pytest.approx((11.5, 18.5, 106, 134)) and out[14] == pytest.approx((8, 22, 92, 148)) and len(set(out.values())) == 15
+
+
+def test_variance_factor_and_effective_years():
+    y = np.cumsum(np.random.default_rng(2).normal(size=30)) * 3 + np.arange(30) * 0.1
+    n = len(y)
+    out = trends.modified_mann_kendall(y)
+    score = sum(np.sign(y[j] - y[i]) for i in range(n) for j in range(i + 1, n))
+    var = n * (n - 1) * (2 * n + 5) / 18
+    rest = y - np.median([(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]) * np.arange(n)
+    rank = np.array([sum(a <= b for a in rest) for b in rest]) - (n + 1) / 2
+    factor = 1.0
+    for k in range(1, n):
+        rho = sum(rank[i] * rank[i + k] for i in range(n - k)) / sum(rank**2)
+        if abs(rho) > 1.96 / math.sqrt(n):
+            factor += 2 / (n * (n - 1) * (n - 2)) * (n - k) * (n - k - 1) * (n - k - 2) * rho
+    assert out["n_eff_ratio"] == pytest.approx(max(factor, 1e-6)) and abs(factor - 1) > 0.05
+    assert out["z"] == pytest.approx((score - np.sign(score)) / math.sqrt(var * max(factor, 1e-6)))
+    x = np.arange(12.0)
+    found = trends.ols(x + np.sin(x / 2), np.cos(x)[:, None], x)
+    assert found["n_eff"] == pytest.approx(5.0)
+
+
+def test_index_files_and_complete_columns(spark, tmp_path):
+    from isobar.sources import harmonise
+
+    (tmp_path / "m.txt").write_text("1990 1 2 -9.9 4 5 6 7 8 9 10 11 95\n1991 1 2 3\nheader line\n")
+    (tmp_path / "t.txt").write_text("1990 1 -0.5\n1990 2 0.7 9.9\n1990 3 1.5\n")
+    months = {(r.year, r.month): r.value for r in harmonise.read_month_table(spark, str(tmp_path / "m.txt")).collect()}
+    assert len(months) == 10 and (1990, 3) not in months and (1990, 12) not in months
+    assert sorted((r.month, r.value) for r in harmonise.read_triples(spark, str(tmp_path / "t.txt")).collect()) == [(1, -0.5), (3, 1.5)]
+    # Half of the points are masked everywhere; of the rest one level in five is missing.
+    rows = [("a", 2000, iy, ix, p, None if ix >= 2 or p == 4 else 1.0, 1.0) for iy in range(3) for ix in range(4) for p in range(5)]
+    cells = spark.createDataFrame(rows, "member string, year int, iy int, ix int, p int, q double, w double")
+    out = harmonise.complete_columns(cells, ["member"], (2000, 2000)).first()
+    assert out.points == 6 and out.missing == pytest.approx(0.2)
+    assert harmonise.complete_columns(cells, ["member"], (2000, 2000), most_missing=0.1).isEmpty()
+
+
+def test_density_of_points_on_a_line_is_null(spark):
+    grid = spark.createDataFrame([(0.0, 0.0)], "gx double, gy double")
+    line = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)] + [(float("nan"), 1.0)], "x double, y double")
+    few = spark.createDataFrame([(0.0, 1.0), (1.0, 0.0), (2.0, 5.0)], "x double, y double")
+    cloud = spark.createDataFrame([(float(i % 5), float(i // 5)) for i in range(25)] + [(None, 3.0)], "x double, y double")
+    from isobar.operators import geometry
+
+    assert [geometry.kde_2d(p, grid, "x", "y", 0.5).first().density for p in (line, few)] == [None, None]
+    assert 0.01 < geometry.kde_2d(cloud, grid, "x", "y", 0.5).first().density < 0.1
