@@ -252,7 +252,7 @@ def test_variance_factor_and_effective_years():
     score = sum(np.sign(y[j] - y[i]) for i in range(n) for j in range(i + 1, n))
     var = n * (n - 1) * (2 * n + 5) / 18
     rest = y - np.median([(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]) * np.arange(n)
-    rank = np.array([sum(a <= b for a in rest) for b in rest]) - (n + 1) / 2
+    rank = np.array([sum(a < b for a in rest) + sum(a <= b for a in rest) - n for b in rest]) / 2
     factor = 1.0
     for k in range(1, n):
         rho = sum(rank[i] * rank[i + k] for i in range(n - k)) / sum(rank**2)
