@@ -342,7 +342,7 @@ def _boot_sql(block: int, circular: bool, reps: int = REPS) -> str:
     return f"""WITH {YEARLY_SQL}, {_draw_values(block, circular, reps)}, a AS (SELECT corridor, yr - 1995 AS pos, ivt - avg(ivt) OVER (PARTITION BY corridor) AS a FROM yearly),
 m AS (SELECT corridor, rep, {r('sum(a * times) / sum(times)')} AS m FROM a JOIN dr USING (pos) GROUP BY corridor, rep)
 SELECT corridor, {r('quantile_cont(m, 0.025)')} AS ci_lo, {r('quantile_cont(m, 0.5)')} AS median, {r('quantile_cont(m, 0.975)')} AS ci_hi,
-{r('least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END)))')} AS p FROM m GROUP BY corridor"""
+{r('least(1.0, 2 * CASE WHEN avg(m) >= 0 THEN avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) ELSE avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END) END)')} AS p FROM m GROUP BY corridor"""
 
 
 ORACLE = {
