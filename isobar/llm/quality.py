@@ -12,7 +12,7 @@ Fitting reads bounded samples: by label, the ``TEXTS`` texts whose doc_id hashes
 least for the dictionaries, of whose pieces of ``PIECE`` bytes the ``PIECES``
 with the least hash are trained on, and as many texts for the curve.
 
-Defined results: null and empty texts have feature 0; without labels of both
+Defined results: null and empty texts have the feature of that usual good text alone; without labels of both
 kinds every score is the share of good labels (0.5 without any); a doc_id with
 several labels counts with each; repeated rows are scored alike.
 """
@@ -66,8 +66,9 @@ class Model:
 
     def feature(self, text: bytes | None) -> float:
         """(bad size - good size) / size over all pieces, drawn to ``prior`` in short texts."""
-        if not text or not self.good or not self.bad:
+        if not self.good or not self.bad:
             return 0.0
+        text = text or b""
         good, bad = (sum(len(c.compress(text[at : at + PIECE])) for at in range(0, len(text), PIECE)) for c in self._compressors())
         return (bad - good + WEIGHT * self.prior) / (len(text) + WEIGHT)
 

@@ -12,7 +12,8 @@ Inside a shard a BK-tree keys children by their integer Hamming distance to the
 parent, and a lookup follows only edges within the radius of its own distance.
 Lookups go down the tree together, as NumPy arrays.  A shard gives one edge for
 each fingerprint, to the smallest of its connected part there, never all pairs.
-A shard of more than ``LARGE`` fingerprints is dealt anew by finer blocks.
+A shard of more than ``LARGE`` fingerprints is dealt anew by finer blocks, and
+those of it that are still large by ``FINEST``.
 
 Edges are contracted to components in rounds (each node joins its neighbour of
 the least hash, as in Bögeholz, Brand and Todor, 2019); a round leaves half of
@@ -43,6 +44,8 @@ from isobar.session import fresh_name, match, materialize
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints a shard has on average at most, and those from which it is dealt anew.
 SHARD_KEYS, LARGE = 64, 20_000
+#: Blocks of the last of the three ways of dealing shards.
+FINEST = 16
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -218,13 +221,18 @@ def _edges_in(shards: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints ``fps`` within ``RADIUS`` bits."""
-    shards = _shards(fps, blocks_for(fps.count()))
-    large = materialize(shards.groupBy("way", "bits").count().where(F.col("count") > LARGE).select("way", "bits"), "large-shards")
-    if large.isEmpty():
-        return _edges_in(shards).distinct()
-    inside = shards.join(large, ["way", "bits"], "left_semi").select("fp").distinct()
-    rest = shards.join(large, ["way", "bits"], "left_anti")
-    return _edges_in(rest).unionByName(_edges_in(_shards(inside, 2 * RADIUS + 2))).distinct()
+    blocks, found = blocks_for(fps.count()), None
+    while True:
+        shards = _shards(fps, blocks)
+        large = materialize(shards.groupBy("way", "bits").count().where(F.col("count") > LARGE).select("way", "bits"), "large-shards")
+        # With ``FINEST`` blocks 52 bits of a shard are equal, so that it has 4,096 fingerprints at most.
+        if blocks == FINEST or large.isEmpty():
+            edges = _edges_in(shards)
+            return (edges if found is None else found.unionByName(edges)).distinct()
+        edges = _edges_in(shards.join(large, ["way", "bits"], "left_anti"))
+        found = edges if found is None else found.unionByName(edges)
+        fps = materialize(shards.join(large, ["way", "bits"], "left_semi").select("fp").distinct(), "large-fingerprints")
+        blocks = 2 * RADIUS + 2 if blocks < 2 * RADIUS + 2 else FINEST
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -144,6 +144,8 @@ class Document:
         self.counter, self.text = counter, text or ""
         self.tree = Tree(*(leaves or counter.leaves(self.text)))
         self.recounted = 0
+        #: Edits after which the tree was made anew.
+        self.rebuilt = 0
 
     def edit(self, start: int, end: int, new: str | None) -> None:
         """Replaces characters start to end; counts only what that touches."""
@@ -155,6 +157,7 @@ class Document:
         if not tree.n or not old:
             self.tree = Tree(*self.counter.leaves(self.text))
             self.recounted += len(self.text)
+            self.rebuilt += 1
             return
         first, begin = tree.leaf_at(max(0, start - CONTEXT))
         # Old leaf borders past the edit, one by one, as places in the new text.
@@ -174,15 +177,16 @@ class Document:
                 break
         self.recounted += at - begin
         chars, n = list(map(len, pieces)), self.counter.counts(pieces)
-        room = last - first + 1
+        room = last - first + 1 if at == border + grown else tree.n - first
         each = max(1, -(-len(pieces) // room))
-        if each > 2 * LEAF or at == len(self.text) or len(pieces) < room:
-            # The region outgrew its leaves, or reaches the end: the leaf row is made anew, counts outside stay.
+        if each > 2 * LEAF:
+            # The region outgrew its leaves: the leaf row is made anew, counts outside stay.
             a, b = tree.leaf_values()
-            keep = last + 1 if at == border + grown else tree.n
             mid = range(0, len(pieces), LEAF)
-            self.tree = Tree(a[:first] + [sum(chars[i : i + LEAF]) for i in mid] + a[keep:], b[:first] + [sum(n[i : i + LEAF]) for i in mid] + b[keep:])
+            self.tree = Tree(a[:first] + [sum(chars[i : i + LEAF]) for i in mid] + a[first + room :], b[:first] + [sum(n[i : i + LEAF]) for i in mid] + b[first + room :])
+            self.rebuilt += 1
             return
+        # Leaves without pre-tokens hold nothing; the sums above follow.
         for k in range(room):
             tree.put(first + k, sum(chars[k * each : (k + 1) * each]), sum(n[k * each : (k + 1) * each]))
 
@@ -206,14 +210,13 @@ def token_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TREE)
 
 
-def apply_edits(rows: DataFrame, path: str | None = None) -> DataFrame:
+def apply_edits(rows: DataFrame, path: str | None = None, kept: bool = False) -> DataFrame:
     """Counts before and after the edits of each row, with the new text and leaves.
 
-    rows: doc_id, text, edits (array of struct seq, start, end, new), and, where
-    trees were kept, leaf_chars and leaf_tokens, which spare the first count.
+    rows: doc_id, text, edits (array of struct seq, start, end, new), and, if
+    ``kept``, the trees' leaf_chars and leaf_tokens, which spare the first count.
     """
     held = rows.sparkSession.sparkContext.broadcast(Counter.load(path))
-    kept = {"leaf_chars", "leaf_tokens"} <= set(rows.columns)
     columns = [F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("edits")]
     columns += [F.col(c).cast("array<int>") if kept else F.lit(None).cast("array<int>").alias(c) for c in ("leaf_chars", "leaf_tokens")]
 
@@ -243,7 +246,7 @@ def edit_trees(trees: DataFrame, docs: DataFrame, edits: DataFrame, path: str |
     """
     log = edits.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias("edits"))
     rows = docs.select("doc_id", "text").join(log, "doc_id").join(trees.select("doc_id", "leaf_chars", "leaf_tokens"), "doc_id")
-    return apply_edits(rows, path)
+    return apply_edits(rows, path, kept=True)
 
 
 def derived_edits(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def test_edge_cases(spark, docs, none, sf01):
     model = quality.fit_documents(table(spark, sf01, "documents"), table(spark, sf01, "labels"))
     rows = quality.features(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
-    assert [r.feature for r in rows if r.tag in (1, 2)] == [0.0, 0.0]
+    assert [r.feature for r in rows if r.tag in (1, 2)] == [model.prior, model.prior]
     assert quality.features(none, model).count() == 0
 
 
@@ -35,3 +35,29 @@ def test_one_label_or_none(spark, docs):
     assert len({r.score for r in quality.features(docs, flat).collect()}) == 1
     nothing = quality.fit_documents(docs, labels.limit(0))
     assert {round(r.score, 6) for r in quality.features(docs, nothing).collect()} == {0.5}
+
+
+def test_features_match_brute_force(spark, sf01):
+    """Sizes compressed piece by piece with fresh compressors, and the logistic score of their difference."""
+    import math
+
+    import zstandard
+
+    docs, labels = table(spark, sf01, "documents"), table(spark, sf01, "labels")
+    model = quality.fit_documents(docs, labels)
+    own = {r.doc_id: r.text for r in docs.where("doc_id < 60").collect()} | {-1: None, -2: "", -3: "a"}
+    frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    for r in quality.features(frame, model).collect():
+        raw = (own[r.tag] or "").encode()
+        size = {}
+        for name, data in (("good", model.good), ("bad", model.bad)):
+            held = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[name] = sum(len(held.compress(raw[i : i + quality.PIECE])) for i in range(0, len(raw), quality.PIECE))
+        feature = (size["bad"] - size["good"] + quality.WEIGHT * model.prior) / (len(raw) + quality.WEIGHT)
+        assert abs(r.feature - feature) < 0.02 and abs(r.score - 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * r.feature + model.offset))))) < 1e-9
+        assert r.tag not in (-1, -2) or abs(r.feature - model.prior) < 1e-12
+
+
+def test_clashing_columns(spark, clashing, rows, sf01):
+    model = quality.fit_documents(table(spark, sf01, "documents"), table(spark, sf01, "labels"))
+    assert quality.features(clashing, model).count() == len(rows)

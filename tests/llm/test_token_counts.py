@@ -29,6 +29,25 @@ def test_small_edits_count_little(counter):
     assert doc.recounted < 5000
 
 
+def test_edits_at_the_end_update_sums_without_a_new_tree(counter):
+    library = counter._ready()[1]
+    doc = tc.Document(counter, "some words in a row and more " * 3000)
+    for new in ("tail", "", "a longer tail of some words here", "x"):
+        doc.edit(len(doc.text) - 40, len(doc.text), new)
+        assert doc.tree.tokens == len(library.encode_ordinary(doc.text)) and doc.tree.chars == len(doc.text)
+    assert doc.rebuilt == 0 and doc.recounted < 4000
+    doc.edit(1000, 1000, " and yet another word" * 2000)
+    assert doc.rebuilt == 1 and doc.tree.tokens == len(library.encode_ordinary(doc.text))
+
+
+def test_clashing_columns(clashing, rows):
+    from pyspark.sql import functions as F
+
+    own = clashing.withColumn("leaf_chars", F.lit("own")).withColumn("leaf_tokens", F.lit("own"))
+    edits = F.array(F.struct(F.lit(1).alias("seq"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit("x").alias("new")))
+    assert tc.apply_edits(own.withColumn("edits", edits)).count() == len(rows) and tc.token_trees(own).count() == len(rows)
+
+
 def test_query_counts_match_the_library(spark, sf, counter):
     library = counter._ready()[1]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
