@@ -13,7 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from isobar.functions.scalars import KM_PER_DEGREE
-from isobar.operators.components import NEAR_2D, label
+from isobar.operators.components import NEAR_2D, components_3d, label
+from isobar.operators.events import number_events
+from isobar.operators.grid import threshold
+from isobar.session import materialize
 
 #: Cells of an object, its length in km, length over width, and the widest angle to the transport (fixed values).
 LEAST_CELLS, LEAST_KM, LEAST_RATIO, MOST_DEGREES = 5, 2000.0, 2.0, 45.0
@@ -79,3 +82,21 @@ def filter_slices(cells: DataFrame, ts: str = "ts") -> DataFrame:
         return rows[keep]
 
     return cells.groupBy(ts).applyInPandas(run, cells.schema)
+
+
+def detect(cells: DataFrame, clim: DataFrame, by: list[str], floor: float, ts: str = "ts") -> DataFrame:
+    """Cells (as above, with ``by`` and ivt) over the climatology's limit, ``floor`` at least, that belong to objects that are kept."""
+    over = threshold(cells, clim, by, "ivt", floor).where("exceeds")
+    return filter_slices(over.select(*cells.columns), ts)
+
+
+def detect_events(cells: DataFrame, clim: DataFrame, by: list[str], floor: float, ts: str = "ts", step: str = "it") -> DataFrame:
+    """The cells of ``detect`` with the event_id of the event that they are part of.
+
+    ``step`` numbers the slices; cells that touch in space or in time (26
+    neighbours) are one event.  Events are numbered 1, 2, ... by their first
+    cell in the order of time, row and column.
+    """
+    kept = materialize(detect(cells, clim, by, floor, ts), "objects")
+    at = [step, "iy", "ix"]
+    return kept.join(number_events(components_3d(kept, [], *at), []).drop("part"), at)

@@ -12,14 +12,21 @@ from isobar.operators.grid import cell_area, interval_join
 STEP_HOURS = 6
 
 
-def number_events(voxels: DataFrame, keys: list[str], part: str = "part") -> DataFrame:
-    """Adds ``event_id``: 1, 2, ... within ``keys`` in the order of ``part``.
+def number_events(voxels: DataFrame, keys: list[str], part: str = "part", ranges: int = 1024) -> DataFrame:
+    """Adds ``event_id``: 1, 2, ... within ``keys`` in the order of the integer ``part``.
 
-    Only one row an event is ranked.
+    Only one row an event is ranked, inside ranges of ``part`` whose sizes are
+    summed up, so that no task ranks all events of a cube.
     """
     ids = voxels.select(*keys, part).distinct()
-    w = Window.partitionBy(*keys).orderBy(part) if keys else Window.orderBy(part)
-    return voxels.join(ids.withColumn("event_id", F.row_number().over(w).cast("long")), [*keys, part])
+    span = ids.groupBy(*keys).agg(F.min(part).alias("_low"), F.greatest(F.ceil((F.max(part) - F.min(part) + 1) / ranges), F.lit(1)).alias("_width"))
+    dealt = ids.join(span, keys) if keys else ids.crossJoin(F.broadcast(span))
+    dealt = dealt.select(*keys, part, F.floor((F.col(part) - F.col("_low")) / F.col("_width")).alias("_range"))
+    sizes = dealt.groupBy(*keys, "_range").count()
+    before = sizes.withColumn("_before", F.sum("count").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("count")).drop("count")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(part))
+    ranked = dealt.join(before, [*keys, "_range"]).select(*keys, part, (F.col("_before") + rank).cast("long").alias("event_id"))
+    return voxels.join(ranked, [*keys, part])
 
 
 def event_table(voxels: DataFrame, keys: list[str], dlat: float, dlon: float, land: str = "land_sea_mask") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.scalars import edge, wavelike_day
-from isobar.operators import components, events, grid, windows
+from isobar.operators import components, detection, events, grid, windows
 from isobar.plans.base import FLAT_SQL, flat, r, read
+from isobar.session import materialize
 
 PERIODS = [("early", "1995-01-01", "1997-12-31"), ("late", "1998-01-01", "2001-12-31")]
 
@@ -148,6 +149,38 @@ def q_components_3d(spark: SparkSession, d: str) -> DataFrame:
     return at.select(((F.floor(rest / F.col("ny")) * 12 + rest % F.col("ny") + F.col("y0")) * 12 + x + F.col("x0")).cast("long").alias("part"), "n", "first", "last")
 
 
+def _object_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly means of lineitem on a grid of 8 by 16 places as slices of transport."""
+    iy, ix = (F.col("l_suppkey") % 8).cast("int"), (F.col("l_partkey") % 16).cast("int")
+    rows = read(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "month").alias("day"), iy.alias("iy"), ix.alias("ix"))
+    rows = rows.agg(F.avg("l_quantity").alias("ivt_u"), F.avg(F.col("l_tax") * 500).alias("ivt_v"))
+    month = F.month("day")
+    place = [(20.0 + 5 * F.col("iy")).alias("lat"), (150.0 + 5 * F.col("ix")).alias("lon")]
+    land = F.when((F.col("iy") + F.col("ix")) % 3 == 0, 1.0).otherwise(0.2).alias("land_sea_mask")
+    return rows.select(_ts("day").alias("ts"), month.alias("month"), ((F.year("day") - 1995) * 12 + month - 1).alias("it"), "iy", "ix", *place, "ivt_u", "ivt_v", F.hypot("ivt_u", "ivt_v").alias("ivt"), land)
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    rows, by = _object_cells(spark, d), ["month", "iy", "ix"]
+    return detection.detect_events(rows, grid.quantile_climatology(rows, by, "ivt"), by, 20.0).withColumn("intensity", F.col("ivt"))
+
+
+def q_detect_events(spark: SparkSession, d: str) -> DataFrame:
+    """Climatology, threshold, shape filter, events and what is added to them."""
+    found = materialize(_detected(spark, d), "detected")
+    table = events.attach_features(events.event_table(found, [], 5.0, 5.0), found, ["ivt_u", "ivt_v"], [])
+    numbers = ("duration_hours", "mean_intensity", "max_intensity", "footprint_area_km2", "landfall_lat", "landfall_lon", "ivt_u", "ivt_v", "lat_deg", "doy_sin", "doy_cos")
+    return table.select("event_id", "start_time", "end_time", *[edge(c).alias(c) for c in numbers])
+
+
+def q_detect_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The detected events' counts and means by period, with bootstrap bands."""
+    table = events.event_table(materialize(_detected(spark, d), "detected"), [], 5.0, 5.0)
+    rows = events.period_of("start_time", spark.createDataFrame(PERIODS, "period string, start string, end string"), table)
+    out = events.period_summary(rows).join(F.broadcast(events.period_bands(rows, [])), "period")
+    return out.select("period", "n_events", *[edge(c).alias(c) for c in out.columns if c not in ("period", "n_events")])
+
+
 def q_delta_change(spark: SparkSession, d: str) -> DataFrame:
     """1995's months plus the change of the monthly means from 1996-1997 to 1999-2000."""
     rows = flat(spark, d)
@@ -162,7 +195,7 @@ def q_cyclic_day(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy(F.dayofyear("o_orderdate").alias("doy")).agg(F.count(F.lit(1)).alias("n"), edge(F.avg(sine)).alias("doy_sin"), edge(F.avg(cosine)).alias("doy_cos"))
 
 
-QUERIES = {f.__name__: f for f in (q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_period_bands, q_verdict, q_components_2d, q_components_3d, q_delta_change, q_cyclic_day)}
+QUERIES = {f.__name__: f for f in (q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_period_bands, q_verdict, q_components_2d, q_components_3d, q_detect_events, q_detect_periods, q_delta_change, q_cyclic_day)}
 
 _TABLE = f"""f AS (SELECT event_id, sum({_AREA}) AS area, avg(lat) FILTER (land > 0.5) AS la, avg(lon) FILTER (land > 0.5) AS lo FROM (SELECT event_id, lat, lon, max(land) AS land FROM vox GROUP BY ALL) GROUP BY event_id),
 t AS (SELECT event_id, min(ts) AS s, max(ts) AS e, avg(intensity) AS m, max(intensity) AS x, date_diff('second', min(ts), max(ts)) / 3600.0 + 6 AS h FROM vox GROUP BY event_id HAVING count(*) >= 2)"""
