@@ -47,7 +47,8 @@ def level_terms(clim0: DataFrame, clim1: DataFrame, by: list[str]) -> DataFrame:
     Both climatologies have ``by``, month, cell, p, q, u, v, qu, qv (means of the
     products), w (level weight) and aw (cell weight, summing to 1).  Sums over
     levels come first, then the projection on each month's and cell's base unit
-    vector, then the area mean and the mean over months.
+    vector, then the area mean and the mean over months.  iwv0 and iwv1 are the
+    column moisture of the two.
     """
     keys = [*by, "month", "cell", "p"]
     both = clim0.select(*keys, "w", "aw", *[F.col(c).alias(f"{c}0") for c in ("q", "u", "v", "qu", "qv")]).join(clim1.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("q", "u", "v", "qu", "qv")]), keys)
@@ -64,6 +65,7 @@ def level_terms(clim0: DataFrame, clim1: DataFrame, by: list[str]) -> DataFrame:
             total(d("q") * d(c)).alias(f"cov_{c}"),
             total(d(f"q{c}") - mean).alias(f"trans_{c}"),
         ]
+    parts += [total(F.col(f"q{i}")).alias(f"iwv{i}") for i in (0, 1)]
     cells = both.groupBy(*by, "month", "cell").agg(F.first("aw").alias("aw"), *parts)
     size = F.hypot("base_u", "base_v")
     cells = cells.withColumn("eu", F.coalesce(F.try_divide(F.col("base_u"), size), F.lit(0.0))).withColumn("ev", F.coalesce(F.try_divide(F.col("base_v"), size), F.lit(0.0)))
@@ -71,11 +73,18 @@ def level_terms(clim0: DataFrame, clim1: DataFrame, by: list[str]) -> DataFrame:
     months = cells.groupBy(*by, "month").agg(
         *[F.sum(on(t)).alias(t) for t in ("moist", "wind", "cov", "trans", "base", "later")],
         F.sum(F.col("aw") * (F.hypot("later_u", "later_v") - size)).alias("dmag"),
+        *[F.sum(F.col("aw") * F.col(f"iwv{i}")).alias(f"iwv{i}") for i in (0, 1)],
     )
-    out = months.groupBy(*by).agg(*[F.avg(t).alias(t) for t in ("moist", "wind", "cov", "trans", "base", "later", "dmag")])
+    out = months.groupBy(*by).agg(*[F.avg(t).alias(t) for t in ("moist", "wind", "cov", "trans", "base", "later", "dmag", "iwv0", "iwv1")])
     return out.withColumn("total", F.col("later") - F.col("base")).drop("later")
 
 
+def mean_speed_terms(terms: DataFrame, by: list[str]) -> DataFrame:
+    """The three-term split of the size of the transport by V = size over column moisture, from ``level_terms``."""
+    sizes = terms.select(*by, F.col("base").alias("ivt0"), (F.col("base") + F.col("dmag")).alias("ivt1"), "iwv0", "iwv1")
+    return sizes.select(*by, *three_term(), F.col("ivt0").alias("base"))
+
+
 def yearly_terms(cells: DataFrame, by: list[str]) -> DataFrame:
     """Contributions of each year against the mean of all, closing exactly.
 
@@ -256,6 +265,14 @@ def level_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], lis
 
 
 TERMS = ("moist", "wind", "cov", "trans", "total", "base", "dmag")
+#: The moist term's part of the saturation pressure (relative humidity unchanged), and the rest.
+MOIST_TERMS = ("moist_cc", "moist_rh")
+
+
+def _saturation(kelvin: np.ndarray) -> np.ndarray:
+    """Saturation vapour pressure in Pa after Bolton (1980)."""
+    return 611.2 * np.exp(17.67 * (kelvin - 273.15) / (kelvin - 29.65))
+
 
 
 def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray]) -> DataFrame:
@@ -265,15 +282,20 @@ def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int]
     Each replicate is projected on its own base direction.  A group is one
     month's column of one cell over all years, whose replicates are matrix
     products.  Years that are missing at a level are left out of its means, and
-    a level without any drawn year in either window has no weight.
+    a level without any drawn year in either window has no weight.  With a
+    column t (temperature in K) the moist term is split too: moist_cc is what
+    saturation pressure at both periods' mean temperatures makes of the base
+    moisture, moist_rh the rest.
     """
+    warm = "t" in cells.columns
+    names = (*TERMS, *(MOIST_TERMS if warm else ()))
     held = cells.sparkSession.sparkContext.broadcast([(list(y), np.stack([np.bincount(at, minlength=len(y)) for at in d]).astype(float)) for y, d in zip(years, draws, strict=True)])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema) + ", rep int, " + ", ".join(f"{t} double" for t in TERMS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema) + ", rep int, " + ", ".join(f"{t} double" for t in names)
 
     def run(key, rows):
         import pandas as pd
 
-        fields = ("q", "u", "v", "qu", "qv")
+        fields = ("q", "u", "v", "qu", "qv", *(["t"] if warm else []))
         wide = {c: rows.pivot_table(index="year", columns="p", values=c) for c in fields}
         w = rows.groupby("p")["w"].first().reindex(wide["q"].columns).to_numpy()
         means, there = [], True
@@ -289,22 +311,83 @@ def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int]
         size = np.hypot(*base)
         unit = [x / np.where(size > 0, size, 1.0) for x in base]
         on = lambda f: sum(e * total(f(c)) for e, c in zip(unit, ("u", "v"), strict=True))
+        moist = on(lambda c: a[c] * (b["q"] - a["q"]))
+        split = {}
+        if warm:
+            rise = np.where(there, _saturation(np.where(there, b["t"], 273.15)) / _saturation(np.where(there, a["t"], 273.15)) - 1, 0.0)
+            split["moist_cc"] = on(lambda c: a[c] * a["q"] * rise)
+            split["moist_rh"] = moist - split["moist_cc"]
         out = pd.DataFrame({
-            "moist": on(lambda c: a[c] * (b["q"] - a["q"])),
+            "moist": moist,
             "wind": on(lambda c: a["q"] * (b[c] - a[c])),
             "cov": on(lambda c: (b["q"] - a["q"]) * (b[c] - a[c])),
             "trans": on(lambda c: (b[f"q{c}"] - b["q"] * b[c]) - (a[f"q{c}"] - a["q"] * a[c])),
             "total": on(lambda c: b[f"q{c}"] - a[f"q{c}"]),
             "base": size,
             "dmag": np.hypot(*later) - size,
-        }) * float(rows["aw"].iloc[0])
+        } | split) * float(rows["aw"].iloc[0])
         out.insert(0, "rep", np.arange(len(out), dtype=np.int32))
         for name, value in zip(by, key, strict=False):
             out[name] = value
-        return out[[*by, "rep", *TERMS]]
+        return out[[*by, "rep", *names]]
 
     parts = cells.groupBy(*by, "month", "cell").applyInPandas(run, schema)
     months = cells.select(*by, "month").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_months"))
-    sums = parts.groupBy(*by, "rep").agg(*[F.sum(t).alias(t) for t in TERMS]).join(months, by)
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) / F.col("_months")).alias("value")) for t in TERMS]))
+    sums = parts.groupBy(*by, "rep").agg(*[F.sum(t).alias(t) for t in names]).join(months, by)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) / F.col("_months")).alias("value")) for t in names]))
     return sums.select(*by, "rep", each.alias("_x")).select(*by, "rep", "_x.term", "_x.value")
+
+
+def window_summary(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray], across: list[str]) -> DataFrame:
+    """(``by``, term, point, ci_lo, ci_hi, p, pfdr) of the level terms between two sets of years.
+
+    cells and draws: as for ``level_term_bootstrap``.  The point values are one
+    more replicate, which draws each year once, so that the cells are read
+    once.  p is two-sided against the point's sign; pfdr is adjusted over the
+    groups that have ``across`` and the term in common.
+    """
+    from isobar.operators.windows import benjamini_hochberg
+
+    every = [np.concatenate([np.arange(len(y))[None, :], d]) for y, d in zip(years, draws, strict=True)]
+    found = level_term_bootstrap(cells, by, years, every)
+    marked = found.select(*by, "term", F.when(F.col("rep") == 0, F.col("value")).alias("_point"), F.when(F.col("rep") > 0, F.col("value")).alias("_drawn"))
+    bounds = F.percentile("_drawn", F.array(F.lit(0.025), F.lit(0.975)))
+    out = marked.groupBy(*by, "term").agg(F.max("_point").alias("point"), bounds.alias("_q"), two_sided_p("_drawn", F.max("_point")).alias("p"))
+    return benjamini_hochberg(out.select(*by, "term", "point", F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"), "p"), "p", [*across, "term"])
+
+
+def speed_bootstrap(series: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray]) -> DataFrame:
+    """(``by``, rep, thermo, dynamic, cross, total, base) of the three-term split; replicate 0 draws each year once.
+
+    series: ``by``, year, ivt, iwv.  Draws are a parameter table; sums by group,
+    window and replicate are partial before the shuffle.
+    """
+    rows = []
+    for w, (y, d) in enumerate(zip(years, draws, strict=True)):
+        for rep, at in enumerate([np.arange(len(y)), *d]):
+            pos, times = np.unique(at, return_counts=True)
+            rows += [(rep, w, int(y[p]), int(t)) for p, t in zip(pos, times, strict=True)]
+    table = series.sparkSession.createDataFrame(rows, "rep int, window int, year int, times int")
+    both = series.join(F.broadcast(table), "year")
+    at = lambda c, w: F.try_divide(F.sum(F.when(F.col("window") == w, F.col(c) * F.col("times"))), F.sum(F.when((F.col("window") == w) & F.col(c).isNotNull(), F.col("times")))).alias(f"{c}{w}")
+    means = both.groupBy(*by, "rep").agg(*[at(c, w) for c in ("ivt", "iwv") for w in (0, 1)])
+    return means.select(*by, "rep", *three_term(), F.col("ivt0").alias("base"))
+
+
+def pair_summary(replicates: DataFrame, by: list[str]) -> DataFrame:
+    """Point values with 90 and 95 % intervals, and the dynamic term's one-sided p, adjusted over all groups.
+
+    replicates: of ``speed_bootstrap``.  robust: adjusted p under 0.05; robust90: under 0.10.
+    """
+    from isobar.operators.windows import benjamini_hochberg
+
+    terms = ("thermo", "dynamic", "cross", "total", "base")
+    marked = replicates.select(*by, *[F.when(F.col("rep") == 0, F.col(t)).alias(f"_p_{t}") for t in terms], *[F.when(F.col("rep") > 0, F.col(t)).alias(f"_d_{t}") for t in terms])
+    at = lambda t: F.max(f"_p_{t}")
+    wide = lambda t: F.percentile(f"_d_{t}", F.array(*[F.lit(q) for q in (0.025, 0.05, 0.95, 0.975)])).alias(f"_q_{t}")
+    beyond = F.when(at("dynamic") >= 0, F.avg((F.col("_d_dynamic") <= 0).cast("double"))).otherwise(F.avg((F.col("_d_dynamic") >= 0).cast("double")))
+    out = marked.groupBy(*by).agg(*[at(t).alias(t) for t in terms], *[wide(t) for t in ("thermo", "dynamic", "cross")], beyond.alias("p"))
+    bands = [F.col(f"_q_{t}")[i].alias(f"{t}_{n}") for t in ("thermo", "dynamic", "cross") for i, n in ((1, "lo90"), (2, "hi90"))]
+    bands += [F.col("_q_dynamic")[i].alias(f"dynamic_{n}") for i, n in ((0, "lo95"), (3, "hi95"))]
+    out = benjamini_hochberg(out.select(*by, *terms, (100 * ratio("total", "base")).alias("percent"), *bands, "p"), "p", [])
+    return out.withColumn("robust", F.col("pfdr") < 0.05).withColumn("robust90", F.col("pfdr") < 0.10)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isobar.functions.scalars import edge, ratio, signed, star
+from isobar.functions.scalars import SEASONS, edge, ratio, signed, star
 from isobar.operators import decomposition as dec
 from isobar.operators import ensemble, grid, trends, windows
 from isobar.plans.base import CELLS_SQL, CUBE_SQL, FLAT_SQL, WINDOWS_SQL, YEARLY_SQL, cells, cube, flat, r, read, yearly
@@ -156,6 +156,41 @@ def q_level_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return out.select("corridor", "term", *[edge(c).alias(c) for c in ("ci_lo", "ci_hi", "p", "pfdr")])
 
 
+def _warm_cells(spark: SparkSession, d: str) -> DataFrame:
+    """As ``_monthly_cells``, with a temperature."""
+    warm = cells(spark, d).groupBy(F.col("yr").alias("year"), F.col("mo").alias("month"), F.col("y").alias("corridor"), F.col("x").alias("cell"), "p")
+    rows = warm.agg(*[F.avg(c).alias(c) for c in ("q", "u", "v")], *[F.avg(F.col("q") * F.col(c)).alias(f"q{c}") for c in ("u", "v")], F.avg(240 + F.col("val") / 2000).alias("t"))
+    return rows.withColumn("w", F.lit(100.0) / G).withColumn("aw", (F.col("cell") + 1) / 10.0)
+
+
+def _pair_draws(block: int, seed: int) -> list[np.ndarray]:
+    return dec.window_draws([3, 4], WHOLE_REPS, block, seed)
+
+
+def q_window_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Level terms with intervals, p and adjusted p by corridor, for the year and each season."""
+    seasons = spark.createDataFrame([(s, m) for s, months in SEASONS.items() for m in months], "season string, month int")
+    rows = _warm_cells(spark, d).join(F.broadcast(seasons), "month")
+    out = dec.window_summary(rows, ["corridor", "season"], (YEARS[:3], YEARS[3:]), _pair_draws(2, 11), ["season"])
+    return out.select("corridor", "season", "term", *[edge(c).alias(c) for c in ("point", "ci_lo", "ci_hi", "p", "pfdr")])
+
+
+def q_pair_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Three-term split between two sets of years with intervals and the dynamic term's robustness."""
+    reps = dec.speed_bootstrap(yearly(spark, d).withColumnRenamed("yr", "year"), ["corridor"], (YEARS[:3], YEARS[3:]), _pair_draws(1, 42))
+    out = dec.pair_summary(reps, ["corridor"])
+    flags = ("robust", "robust90")
+    return out.select("corridor", *[edge(c).alias(c) for c in out.columns if c not in ("corridor", *flags)], *flags)
+
+
+def q_mean_speed(spark: SparkSession, d: str) -> DataFrame:
+    """The cross-check of the level terms: transport as moisture times the speed that is their ratio."""
+    rows, keys = _monthly_cells(spark, d), ["corridor", "cell", "month", "p", "w", "aw"]
+    mean = lambda x: x.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("q", "u", "v", "qu", "qv")])
+    terms = dec.level_terms(mean(rows.where(F.col("year") <= 1997)), mean(rows.where(F.col("year") > 1997)), ["corridor"])
+    return dec.mean_speed_terms(terms, ["corridor"]).select("corridor", *[edge(c).alias(c) for c in ("thermo", "dynamic", "cross", "total", "base")])
+
+
 def q_two_sided_p(spark: SparkSession, d: str) -> DataFrame:
     rows = grid.anomaly(flat(spark, d), ["mo"], "val")
     return rows.groupBy("y", "mo").agg(edge(dec.two_sided_p("anom")).alias("p"))
@@ -313,7 +348,7 @@ def q_term_table(spark: SparkSession, d: str) -> DataFrame:
     return order.join(t, "corridor", "left").select("ordinal", F.when(F.col("total").isNotNull(), row).alias("line"))
 
 
-_F = (q_three_term, q_two_term, q_evolution, q_level_terms, q_yearly_terms, q_level_terms_whole, q_yearly_terms_whole, q_sensitivity_matrix, q_box_perturbation, q_bootstrap_mean, q_block_bootstrap, q_circular_bootstrap, q_bootstrap_mean_whole, q_block_bootstrap_whole, q_circular_bootstrap_whole, q_level_bootstrap, q_two_sided_p, q_bh_fdr, q_theil_sen, q_mann_kendall, q_hamed_rao, q_running_mean, q_emergence, q_zscore, q_rank_avg, q_ensemble_stats, q_weighted_quantile, q_ensemble_quantiles, q_common_mode, q_efficiency_contrast, q_corr_indices, q_ols_ar1, q_detrend, q_welch_t, q_eof, q_kde, q_block_cv, q_term_table)
+_F = (q_three_term, q_two_term, q_evolution, q_level_terms, q_yearly_terms, q_level_terms_whole, q_yearly_terms_whole, q_sensitivity_matrix, q_box_perturbation, q_bootstrap_mean, q_block_bootstrap, q_circular_bootstrap, q_bootstrap_mean_whole, q_block_bootstrap_whole, q_circular_bootstrap_whole, q_level_bootstrap, q_window_summary, q_pair_summary, q_mean_speed, q_two_sided_p, q_bh_fdr, q_theil_sen, q_mann_kendall, q_hamed_rao, q_running_mean, q_emergence, q_zscore, q_rank_avg, q_ensemble_stats, q_weighted_quantile, q_ensemble_quantiles, q_common_mode, q_efficiency_contrast, q_corr_indices, q_ols_ar1, q_detrend, q_welch_t, q_eof, q_kde, q_block_cv, q_term_table)
 QUERIES = {f.__name__: f for f in _F}
 
 _MEANS = f"{YEARLY_SQL}, {WINDOWS_SQL}, means AS (SELECT corridor, win, avg(ivt) AS ivt, avg(iwv) AS iwv FROM yearly JOIN windows ON yr BETWEEN y0 AND y1 GROUP BY corridor, win)"
@@ -345,7 +380,55 @@ SELECT corridor, {r('quantile_cont(m, 0.025)')} AS ci_lo, {r('quantile_cont(m, 0
 {r('least(1.0, 2 * CASE WHEN avg(m) >= 0 THEN avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) ELSE avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END) END)')} AS p FROM m GROUP BY corridor"""
 
 
+def _pair_values(block: int, seed: int) -> str:
+    """(rep, win, yr, times); replicate 0 draws each year once."""
+    out = []
+    for w, (years, draws) in enumerate(zip((YEARS[:3], YEARS[3:]), _pair_draws(block, seed), strict=True)):
+        for rep, at in enumerate([np.arange(len(years)), *draws]):
+            pos, times = np.unique(at, return_counts=True)
+            out += [f"({rep}, {w}, {years[p]}, {t})" for p, t in zip(pos, times, strict=True)]
+    return "dr(rep, win, yr, times) AS (VALUES " + ", ".join(out) + ")"
+
+
+def _drawn(win: int) -> str:
+    means = ", ".join(f"sum(times * {c}) / sum(times) AS {c}" for c in ("q", "u", "v", "qu", "qv", "t"))
+    return f"SELECT rep, y, x, mo, p, {means} FROM mt JOIN dr USING (yr) WHERE win = {win} GROUP BY ALL"
+
+
+_ES = "exp(17.67 * ({0} - 273.15) / ({0} - 29.65))"
+_LEVEL_PARTS = [(n, e.format(c=c)) for c in "uv" for n, e in ((f"base_{c}", "a.q{c}"), (f"later_{c}", "b.q{c}"), (f"moist_{c}", "a.{c} * (b.q - a.q)"), (f"wind_{c}", "a.q * (b.{c} - a.{c})"), (f"cov_{c}", "(b.q - a.q) * (b.{c} - a.{c})"), (f"trans_{c}", "((b.q{c} - a.q{c}) - (b.q * b.{c} - a.q * a.{c}))"))]
+_CC_PARTS = [(f"cc_{c}", f"a.{c} * a.q * ({_ES.format('b.t')} / {_ES.format('a.t')} - 1)") for c in "uv"]
+_SUMMARY_TERMS = {"moist": "moist", "wind": "wind", "cov": "cov", "trans": "trans", "total": "later - base", "base": "base", "dmag": "dmag", "moist_cc": "cc", "moist_rh": "moist - cc"}
+_BEYOND = "CASE WHEN max(v) FILTER (rep = 0) >= 0 THEN avg(CASE WHEN v <= 0 THEN 1.0 ELSE 0.0 END) FILTER (rep > 0) ELSE avg(CASE WHEN v >= 0 THEN 1.0 ELSE 0.0 END) FILTER (rep > 0) END"
+_WINDOW_SUMMARY = f"""WITH mt AS (SELECT yr, mo, y, x, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(q * u) AS qu, avg(q * v) AS qv, avg(240 + val / 2000) AS t FROM ({CELLS_SQL}) GROUP BY ALL), {_pair_values(2, 11)},
+s(season, mo) AS (VALUES {', '.join(f"('{s}', {m})" for s, months in SEASONS.items() for m in months)}),
+nm AS (SELECT y, season, count(*) AS nm FROM (SELECT DISTINCT y, mo FROM mt) JOIN s USING (mo) GROUP BY ALL),
+a AS ({_drawn(0)}), b AS ({_drawn(1)}),
+c AS (SELECT a.rep, a.y, a.x, a.mo, {', '.join(f'sum({_W} * {e}) AS {n}' for n, e in _LEVEL_PARTS + _CC_PARTS)} FROM a JOIN b USING (rep, y, x, mo, p) GROUP BY a.rep, a.y, a.x, a.mo),
+e AS (SELECT *, sqrt(base_u * base_u + base_v * base_v) AS s, (x + 1) / 10.0 AS aw FROM c),
+m AS (SELECT rep, y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later', 'cc'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag FROM e GROUP BY rep, y, mo),
+g AS (SELECT rep, y, season, {', '.join(f'sum({t}) / any_value(nm) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later', 'cc', 'dmag'))} FROM m JOIN s USING (mo) JOIN nm USING (y, season) GROUP BY rep, y, season),
+l AS ({' UNION ALL '.join(f"SELECT rep, y, season, '{n}' AS term, {e} AS v FROM g" for n, e in _SUMMARY_TERMS.items())}),
+q AS (SELECT y, season, term, max(v) FILTER (rep = 0) AS point, quantile_cont(v, 0.025) FILTER (rep > 0) AS lo, quantile_cont(v, 0.975) FILTER (rep > 0) AS hi, least(1.0, 2 * {_BEYOND}) AS p FROM l GROUP BY y, season, term),
+k AS (SELECT *, p * count(*) OVER (PARTITION BY season, term) / row_number() OVER (PARTITION BY season, term ORDER BY p) AS raw FROM q)
+SELECT y AS corridor, season, term, {r('point')} AS point, {r('lo')} AS ci_lo, {r('hi')} AS ci_hi, {r('p')} AS p, {r('least(1.0, min(raw) OVER (PARTITION BY season, term ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS pfdr FROM k"""
+_PAIR_SUMMARY = f"""WITH {YEARLY_SQL}, {_pair_values(1, 42)},
+m AS (SELECT corridor, rep, {', '.join(f'sum({c} * times) FILTER (win = {w}) / sum(times) FILTER (win = {w}) AS {n}{w}' for c, n in (('ivt', 'i'), ('iwv', 'w')) for w in (0, 1))} FROM yearly JOIN dr USING (yr) GROUP BY corridor, rep),
+t AS (SELECT corridor, rep, i0 / w0 * (w1 - w0) AS thermo, w0 * (i1 / w1 - i0 / w0) AS dynamic, (w1 - w0) * (i1 / w1 - i0 / w0) AS crs, i1 - i0 AS total, i0 AS base, w0 * (i1 / w1 - i0 / w0) AS v FROM m),
+q AS (SELECT corridor, {', '.join(f'max({t}) FILTER (rep = 0) AS {t}' for t in ('thermo', 'dynamic', 'crs', 'total', 'base'))},
+{', '.join(f'quantile_cont({t}, {x}) FILTER (rep > 0) AS {t}_{n}' for t in ('thermo', 'dynamic', 'crs') for x, n in ((0.05, 'lo90'), (0.95, 'hi90')))}, quantile_cont(dynamic, 0.025) FILTER (rep > 0) AS lo95, quantile_cont(dynamic, 0.975) FILTER (rep > 0) AS hi95, {_BEYOND} AS p FROM t GROUP BY corridor),
+k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM q), f AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS pf FROM k)
+SELECT corridor, {', '.join(f'{r(a)} AS {b}' for a, b in (('thermo', 'thermo'), ('dynamic', 'dynamic'), ('crs', '"cross"'), ('total', 'total'), ('base', 'base'), ('100 * total / base', 'percent'), *((f'{t}_{n}90', f'{o}_{n}90') for t, o in (('thermo', 'thermo'), ('dynamic', 'dynamic'), ('crs', 'cross')) for n in ('lo', 'hi')), ('lo95', 'dynamic_lo95'), ('hi95', 'dynamic_hi95'), ('p', 'p'), ('pf', 'pfdr')))}, pf < 0.05 AS robust, pf < 0.1 AS robust90 FROM f"""
+_MEAN_SPEED = f"""WITH {_MC}, a AS ({_MCLIM.format('yr <= 1997')}), b AS ({_MCLIM.format('yr > 1997')}),
+c AS (SELECT a.y, a.x, a.mo, (a.x + 1) / 10.0 AS aw, {', '.join(f'sum({_W} * {t}.{f}) AS {f}{i}' for i, t in enumerate('ab') for f in ('q', 'qu', 'qv'))} FROM a JOIN b USING (y, x, mo, p) GROUP BY a.y, a.x, a.mo),
+m AS (SELECT y, mo, {', '.join(f'sum(aw * sqrt(qu{i} * qu{i} + qv{i} * qv{i})) AS i{i}, sum(aw * q{i}) AS w{i}' for i in (0, 1))} FROM c GROUP BY y, mo),
+n AS (SELECT y, {', '.join(f'avg({c}{i}) AS {c}{i}' for c in 'iw' for i in (0, 1))} FROM m GROUP BY y)
+SELECT y AS corridor, {r('i0 / w0 * (w1 - w0)')} AS thermo, {r('w0 * (i1 / w1 - i0 / w0)')} AS dynamic, {r('(w1 - w0) * (i1 / w1 - i0 / w0)')} AS "cross", {r('i1 - i0')} AS total, {r('i0')} AS base FROM n"""
+
 ORACLE = {
+    "q_window_summary": _WINDOW_SUMMARY,
+    "q_pair_summary": _PAIR_SUMMARY,
+    "q_mean_speed": _MEAN_SPEED,
     "q_three_term": f"""WITH {_PAIR} SELECT corridor, {r('i0 / w0 * (w1 - w0)')} AS thermo, {r('w0 * (i1 / w1 - i0 / w0)')} AS dynamic, {r('(w1 - w0) * (i1 / w1 - i0 / w0)')} AS "cross", {r('i1 - i0')} AS total FROM pr""",
     "q_two_term": f"WITH {_PAIR} SELECT corridor, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 * (w1 / w0 - 1)')} AS dynamic, {r('i1 - i0')} AS total, {r('100 * (i1 - i0 - i0 * (w1 / w0 - 1)) / (i1 - i0)')} AS dynamic_percent FROM pr",
     "q_evolution": f"WITH {_MEANS} SELECT a.corridor, a.win, {r('100 * (a.ivt / b.ivt - 1)')} AS ivt_percent, {r('100 * (a.iwv / b.iwv - 1)')} AS iwv_percent FROM means a JOIN means b USING (corridor) WHERE b.win = 'w1'",

@@ -290,3 +290,27 @@ def test_density_of_points_on_a_line_is_null(spark):
 
     assert [geometry.kde_2d(p, grid, "x", "y", 0.5).first().density for p in (line, few)] == [None, None]
     assert 0.01 < geometry.kde_2d(cloud, grid, "x", "y", 0.5).first().density < 0.1
+
+
+def test_the_moist_term_is_split_by_saturation(spark):
+    # Moisture follows saturation pressure exactly: nothing is left for humidity.
+    es = lambda t: 611.2 * math.exp(17.67 * (t - 273.15) / (t - 29.65))
+    rows = [("c", y, 1, 0, 1.0, 0.01 * es(t) / es(280.0), 3.0, 4.0, 1.0, 1.0, t) for y, t in ((0, 280.0), (1, 283.0))]
+    cells = spark.createDataFrame(rows, "corridor string, year int, month int, cell int, p double, q double, u double, v double, w double, aw double, t double")
+    cells = cells.withColumns({f"q{c}": F.col("q") * F.col(c) for c in ("u", "v")})
+    draws = [np.zeros((10, 1), int), np.zeros((10, 1), int)]
+    out = {r.term: r for r in dec.window_summary(cells, ["corridor"], ([0], [1]), draws, []).collect()}
+    rise = 0.01 * (es(283.0) / es(280.0) - 1) * 5
+    assert set(out) == {*dec.TERMS, *dec.MOIST_TERMS}
+    assert [out["moist"].point, out["moist_cc"].point, out["total"].ci_lo, out["dmag"].ci_hi] == [pytest.approx(rise)] * 4
+    assert out["moist_rh"].point == pytest.approx(0, abs=1e-12) and out["moist"].p == 0 == out["moist"].pfdr
+
+
+def test_pair_summary_takes_the_tail_beyond_zero(spark):
+    # A doubled speed at equal moisture is dynamic alone; the replicates with one early year each vary it.
+    series = spark.createDataFrame([("a", 0, 10.0, 2.0), ("a", 1, 14.0, 2.0), ("a", 2, 24.0, 2.0), ("b", 0, 10.0, 2.0), ("b", 1, 30.0, 2.0), ("b", 2, 25.0, 2.0)], "k string, year int, ivt double, iwv double")
+    draws = [np.array([[0, 0], [1, 1], [0, 1], [1, 0]]), np.zeros((4, 1), int)]
+    out = {r.k: r for r in dec.pair_summary(dec.speed_bootstrap(series, ["k"], ([0, 1], [2]), draws), ["k"]).collect()}
+    assert (out["a"].dynamic, out["a"].thermo, out["a"].cross, out["a"].base) == (12.0, 0.0, 0.0, 12.0) and out["a"].percent == 100.0
+    assert (out["a"].p, out["b"].p) == (0.0, 0.25) and (out["a"].robust, out["b"].robust90) == (True, False)
+    assert out["b"].pfdr == 0.25 and out["b"].dynamic_lo95 == pytest.approx(np.percentile([15, -5, 5, 5], 2.5))
