@@ -275,7 +275,7 @@ def _saturation(kelvin: np.ndarray) -> np.ndarray:
 
 
 
-def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray]) -> DataFrame:
+def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray], seasons: DataFrame | None = None) -> DataFrame:
     """Replicates (``by``, rep, term, value) of all of ``level_terms`` between two sets of years.
 
     cells: as for ``yearly_contributions``; draws: each window's own positions.
@@ -290,17 +290,24 @@ def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int]
     warm = "t" in cells.columns
     names = (*TERMS, *(MOIST_TERMS if warm else ()))
     held = cells.sparkSession.sparkContext.broadcast([(list(y), np.stack([np.bincount(at, minlength=len(y)) for at in d]).astype(float)) for y, d in zip(years, draws, strict=True)])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema) + ", rep int, " + ", ".join(f"{t} double" for t in names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema) + ", month int, rep int, " + ", ".join(f"{t} double" for t in names)
 
     def run(key, rows):
         import pandas as pd
 
         fields = ("q", "u", "v", "qu", "qv", *(["t"] if warm else []))
-        wide = {c: rows.pivot_table(index="year", columns="p", values=c) for c in fields}
-        w = rows.groupby("p")["w"].first().reindex(wide["q"].columns).to_numpy()
+        # One row a year and level: each field is laid out as years by levels, NaN where there is none.
+        levels, column = np.unique(rows["p"].to_numpy(), return_inverse=True)
+        w = np.zeros(len(levels))
+        w[column] = rows["w"].to_numpy()
         means, there = [], True
         for y, times in held.value:
-            at = {c: wide[c].reindex(y).to_numpy() for c in fields}
+            place = {year: i for i, year in enumerate(y)}
+            line = np.array([place.get(year, -1) for year in rows["year"].tolist()])
+            own = line >= 0
+            at = {c: np.full((len(y), len(levels)), np.nan) for c in fields}
+            for c, x in at.items():
+                x[line[own], column[own]] = rows[c].to_numpy(float)[own]
             n = times @ (~np.isnan(at["q"])).astype(float)
             means.append({c: times @ np.nan_to_num(x) / np.maximum(n, 1) for c, x in at.items()})
             there = there & (n > 0)
@@ -327,21 +334,25 @@ def level_term_bootstrap(cells: DataFrame, by: list[str], years: tuple[list[int]
             "dmag": np.hypot(*later) - size,
         } | split) * float(rows["aw"].iloc[0])
         out.insert(0, "rep", np.arange(len(out), dtype=np.int32))
-        for name, value in zip(by, key, strict=False):
+        for name, value in zip((*by, "month"), key, strict=False):
             out[name] = value
-        return out[[*by, "rep", *names]]
+        return out[[*by, "month", "rep", *names]]
 
     parts = cells.groupBy(*by, "month", "cell").applyInPandas(run, schema)
-    months = cells.select(*by, "month").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_months"))
+    months = cells.select(*by, "month").distinct()
+    if seasons is not None:
+        parts, months = (x.join(F.broadcast(seasons), "month") for x in (parts, months))
+        by = [*by, *[c for c in seasons.columns if c != "month"]]
+    months = months.groupBy(*by).agg(F.count(F.lit(1)).alias("_months"))
     sums = parts.groupBy(*by, "rep").agg(*[F.sum(t).alias(t) for t in names]).join(months, by)
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) / F.col("_months")).alias("value")) for t in names]))
     return sums.select(*by, "rep", each.alias("_x")).select(*by, "rep", "_x.term", "_x.value")
 
 
-def window_summary(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray], across: list[str]) -> DataFrame:
+def window_summary(cells: DataFrame, by: list[str], years: tuple[list[int], list[int]], draws: list[np.ndarray], across: list[str], seasons: DataFrame | None = None) -> DataFrame:
     """(``by``, term, point, ci_lo, ci_hi, p, pfdr) of the level terms between two sets of years.
 
-    cells and draws: as for ``level_term_bootstrap``.  The point values are one
+    cells, draws and seasons (whose names join ``by``): as for ``level_term_bootstrap``.  The point values are one
     more replicate, which draws each year once, so that the cells are read
     once.  p is two-sided against the point's sign; pfdr is adjusted over the
     groups that have ``across`` and the term in common.
@@ -349,7 +360,8 @@ def window_summary(cells: DataFrame, by: list[str], years: tuple[list[int], list
     from isobar.operators.windows import benjamini_hochberg
 
     every = [np.concatenate([np.arange(len(y))[None, :], d]) for y, d in zip(years, draws, strict=True)]
-    found = level_term_bootstrap(cells, by, years, every)
+    found = level_term_bootstrap(cells, by, years, every, seasons)
+    by = [*by, *[c for c in (seasons.columns if seasons is not None else []) if c != "month"]]
     marked = found.select(*by, "term", F.when(F.col("rep") == 0, F.col("value")).alias("_point"), F.when(F.col("rep") > 0, F.col("value")).alias("_drawn"))
     bounds = F.percentile("_drawn", F.array(F.lit(0.025), F.lit(0.975)))
     out = marked.groupBy(*by, "term").agg(F.max("_point").alias("point"), bounds.alias("_q"), two_sided_p("_drawn", F.max("_point")).alias("p"))

@@ -170,8 +170,7 @@ def _pair_draws(block: int, seed: int) -> list[np.ndarray]:
 def q_window_summary(spark: SparkSession, d: str) -> DataFrame:
     """Level terms with intervals, p and adjusted p by corridor, for the year and each season."""
     seasons = spark.createDataFrame([(s, m) for s, months in SEASONS.items() for m in months], "season string, month int")
-    rows = _warm_cells(spark, d).join(F.broadcast(seasons), "month")
-    out = dec.window_summary(rows, ["corridor", "season"], (YEARS[:3], YEARS[3:]), _pair_draws(2, 11), ["season"])
+    out = dec.window_summary(_warm_cells(spark, d), ["corridor"], (YEARS[:3], YEARS[3:]), _pair_draws(2, 11), ["season"], seasons)
     return out.select("corridor", "season", "term", *[edge(c).alias(c) for c in ("point", "ci_lo", "ci_hi", "p", "pfdr")])
 
 
