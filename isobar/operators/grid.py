@@ -7,6 +7,8 @@ column is the largest group that any operator here needs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,12 +250,20 @@ def conservative(cells: DataFrame, target: DataFrame, y: str, x: str, value: str
 def outside_buffer(rows: DataFrame, blocks: DataFrame, buffer: float, half: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Rows that are not closer than ``buffer`` degrees to the edge of any block.
 
-    Blocks (block_lat, block_lon) are centres of squares ``2 * half`` wide, a
-    bounded set; the distance is Euclidean and 0 inside.
+    Blocks (block_lat, block_lon) are centres of squares ``2 * half`` wide; the
+    distance is Euclidean and 0 inside.  A row meets only the blocks that it
+    could be near to: those are entered under the indices of all squares that
+    they reach, and joined on the row's own.  Rows without a place stay.
     """
+    size = max(2 * half, buffer, 1e-9)
+    reach = math.ceil((half + buffer) / size)
+    index = lambda c: F.floor(F.col(c) / size).cast("long")
+    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    entered = blocks.select("block_lat", "block_lon").distinct().withColumn("_di", steps).withColumn("_dj", steps)
+    entered = entered.select("block_lat", "block_lon", (index("block_lat") + F.col("_di")).alias("_bi"), (index("block_lon") + F.col("_dj")).alias("_bj"))
     dy = F.greatest(F.abs(F.col(lat) - F.col("block_lat")) - half, F.lit(0.0))
     dx = F.greatest(F.abs(F.col(lon) - F.col("block_lon")) - half, F.lit(0.0))
-    return rows.join(F.broadcast(blocks.select("block_lat", "block_lon").distinct()), F.sqrt(dy * dy + dx * dx) < buffer, "left_anti")
+    return rows.join(entered, (index(lat) == F.col("_bi")) & (index(lon) == F.col("_bj")) & (F.sqrt(dy * dy + dx * dx) < buffer), "left_anti")
 
 
 # --- resampling ---------------------------------------------------------------

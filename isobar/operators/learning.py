@@ -1,22 +1,10 @@
-"""Folds, metrics and boosted trees with absolute and quantile loss.
-
-Spark's own learners have neither a quantile loss nor linear leaves.  The
-boosting here grows each tree level by level from histograms: a pass over the
-rows (Arrow batches on the executors) sums gradients and counts by node, feature
-and bin; those sums, whose size doesn't depend on the rows, choose the splits on
-the driver.  Leaves take the quantile of their residuals, by Spark's percentile.
-"""
+"""Folds by blocks, metrics of predictions, buckets of attributions."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 32
-
 # --- folds --------------------------------------------------------------------
 
 
@@ -63,139 +51,7 @@ def coverage(y: str, low: str, high: str) -> Column:
     return F.avg(F.col(y).between(F.col(low), F.col(high)).cast("double"))
 
 
-# --- boosting -----------------------------------------------------------------
-
-
-@dataclass
-class Boosted:
-    """Trees as arrays (feature, cut, left, right, value); leaves have feature -1."""
-
-    features: list[str]
-    start: float
-    trees: list[list[tuple]] = field(default_factory=list)
-    rate: float = 0.1
-
-    def predict(self, name: str = "prediction") -> Column:
-        """The model as a column expression: nested conditions, no Python in the scoring."""
-        total = F.lit(self.start)
-        for tree in self.trees:
-            total = total + self.rate * self._node(tree, 0)
-        return total.alias(name)
-
-    def _node(self, tree: list[tuple], i: int) -> Column:
-        feature, cut, left, right, value = tree[i]
-        if feature < 0:
-            return F.lit(float(value))
-        return F.when(F.col(self.features[feature]) <= float(cut), self._node(tree, left)).otherwise(self._node(tree, right))
-
-
-def fit_boosted(rows: DataFrame, features: list[str], y: str, alpha: float = 0.5, trees: int = 10, depth: int = 3, rate: float = 0.3, least: int = 20) -> Boosted:
-    """Gradient boosting of the pinball loss (alpha 0.5: absolute error)."""
-    from isobar.session import materialize
-
-    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(y).cast("double").alias("_y")).na.drop()
-    qs = [i / BINS for i in range(1, BINS)]
-    cuts_row = rows.agg(*[F.percentile_approx(c, qs, 10000).alias(c) for c in features], F.percentile("_y", F.lit(alpha)).alias("_start")).first()
-    if cuts_row._start is None:
-        return Boosted(features, 0.0, [], rate)
-    cuts = [sorted(set(cuts_row[c])) for c in features]
-    model = Boosted(features, float(cuts_row._start), [], rate)
-    bins = [sum([F.when(F.col(c) > cut, 1).otherwise(0) for cut in own], F.lit(0)).cast("int").alias(f"_b{j}") for j, (c, own) in enumerate(zip(features, cuts, strict=True))]
-    binned = materialize(rows.select(*features, "_y", *bins), "binned")
-    for _ in range(trees):
-        scored = binned.withColumn("_r", F.col("_y") - model.predict())
-        scored = scored.withColumn("_g", F.when(F.col("_r") > 0, alpha).otherwise(alpha - 1.0))
-        tree: list[list] = [[-1, 0.0, 0, 0, 0.0]]
-        open_nodes = [0]
-        node = F.lit(0)
-        for _level in range(depth):
-            own = scored.withColumn("_node", node).where(F.col("_node").isin(open_nodes)) if open_nodes else None
-            if own is None:
-                break
-            long = own.select("_node", "_g", F.posexplode(F.array(*[F.col(f"_b{j}") for j in range(len(features))])).alias("f", "b"))
-            sums = long.groupBy("_node", "f", "b").agg(F.sum("_g").alias("g"), F.count(F.lit(1)).alias("n")).collect()
-            best: dict[int, tuple] = {}
-            table: dict[tuple, np.ndarray] = {}
-            for s in sums:
-                table.setdefault((s["_node"], s.f), np.zeros((BINS + 1, 2)))[s.b] += (s.g, s.n)
-            for (at, f), h in sorted(table.items()):
-                left = np.cumsum(h, axis=0)[:-1]
-                right = h.sum(axis=0) - left
-                ok = (left[:, 1] >= least) & (right[:, 1] >= least)
-                gain = np.where(ok, left[:, 0] ** 2 / np.maximum(left[:, 1], 1) + right[:, 0] ** 2 / np.maximum(right[:, 1], 1) - h[:, 0].sum() ** 2 / max(h[:, 1].sum(), 1), -1.0)
-                b = int(gain.argmax())
-                if gain[b] > 1e-9 and b < len(cuts[f]) and gain[b] > best.get(at, (0,))[0]:
-                    best[at] = (float(gain[b]), f, b)
-            todo, open_nodes = open_nodes, []
-            for at in todo:
-                if at not in best:
-                    continue
-                _, f, b = best[at]
-                left, right = len(tree), len(tree) + 1
-                tree += [[-1, 0.0, 0, 0, 0.0], [-1, 0.0, 0, 0, 0.0]]
-                tree[at] = [f, cuts[f][b], left, right, 0.0]
-                open_nodes += [left, right]
-                node = F.when((node == at) & (F.col(f"_b{f}") <= b), left).when(node == at, right).otherwise(node)
-        values = scored.withColumn("_node", node).groupBy("_node").agg(F.percentile("_r", F.lit(alpha)).alias("v")).collect()
-        for v in values:
-            tree[v["_node"]][4] = float(v.v)
-        model.trees.append([tuple(x) for x in tree])
-    return model
-
-
-def attribution(model: Boosted, row: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Shapley values of one row by exact enumeration over the model's features.
-
-    ``background`` is a bounded set of rows that stand in for missing features.
-    """
-    from itertools import combinations
-    from math import factorial
-
-    n = len(model.features)
-
-    def value(known: tuple) -> float:
-        mixed = background.copy()
-        mixed[:, list(known)] = row[list(known)]
-        return float(np.mean([_score(model, x) for x in mixed]))
-
-    cache = {s: value(s) for k in range(n + 1) for s in combinations(range(n), k)}
-    out = np.zeros(n)
-    for j in range(n):
-        rest = [i for i in range(n) if i != j]
-        for k in range(n):
-            weight = factorial(k) * factorial(n - k - 1) / factorial(n)
-            for s in combinations(rest, k):
-                out[j] += weight * (cache[tuple(sorted((*s, j)))] - cache[s])
-    return out
-
-
-def _score(model: Boosted, x: np.ndarray) -> float:
-    total = model.start
-    for tree in model.trees:
-        i = 0
-        while tree[i][0] >= 0:
-            i = tree[i][2] if x[tree[i][0]] <= tree[i][1] else tree[i][3]
-        total += model.rate * tree[i][4]
-    return total
-
-
-def attribution_table(model: Boosted, rows: DataFrame, key: str, background: np.ndarray) -> DataFrame:
-    """(key, one column a feature): Shapley values of each row."""
-    held = rows.sparkSession.sparkContext.broadcast((model, background))
-    features = model.features
-
-    def run(parts):
-        import pandas as pd
-
-        own, base = held.value
-        for part in parts:
-            values = [attribution(own, x, base) for x in part[features].to_numpy(float)]
-            out = pd.DataFrame(values, columns=features) if values else pd.DataFrame({c: pd.Series(dtype=float) for c in features})
-            out.insert(0, key, part[key].to_numpy())
-            yield out
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in features))
+# --- attributions ----------------------------------------------------------------
 
 
 def bucket_sums(rows: DataFrame, key: str, buckets: dict[str, list[str]]) -> DataFrame:

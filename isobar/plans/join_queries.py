@@ -143,28 +143,7 @@ def q_fixed_order(spark: SparkSession, d: str) -> DataFrame:
     return both.select("n_name", F.coalesce("n", F.lit(0)).alias("n"), "top", rank.alias("place"))
 
 
-def q_ml_stage1(spark: SparkSession, d: str) -> DataFrame:
-    """Absolute-error boosting by fold, scored on the rows left out."""
-    rows = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_orderkey") % 3).alias("fold"), "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"))
-    parts = []
-    for k in range(3):
-        model = learning.fit_boosted(rows.where(F.col("fold") != k), ["l_quantity", "l_discount", "l_tax"], "y", 0.5, trees=3, depth=2, rate=0.5)
-        parts.append(rows.where(F.col("fold") == k).withColumn("pred", model.predict()))
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return learning.regression_metrics(scored, ["fold"], "y", "pred", 60000.0)
-
-
-def q_ml_stage2(spark: SparkSession, d: str) -> DataFrame:
-    """Three quantile boosters on order-sized rows; pinball losses and coverage of the rows left out."""
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_discount").alias("disc"), F.sum("l_extendedprice").alias("y"))
-    train, test = rows.where("l_orderkey % 4 <> 0"), rows.where("l_orderkey % 4 = 0")
-    for a, name in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95")):
-        model = learning.fit_boosted(train, ["q", "n", "disc"], "y", a, trees=3, depth=2, rate=0.5)
-        test = test.withColumn(name, model.predict())
-    return test.groupBy(F.lit("test").alias("part")).agg(F.count(F.lit(1)).alias("n"), *[learning.pinball("y", c, a).alias(f"loss_{c}") for a, c in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))], learning.coverage("y", "q05", "q95").alias("coverage"))
-
-
-_F = (q_nearest_tolerance, q_nearest_point, q_bilinear, q_conservative, q_merge_override, q_align_inner, q_buffer_anti, q_member_sets, q_latest_version, q_union_dedupe_first, q_stratified_sample, q_fold_assignment, q_fold_metrics, q_pinball, q_band_bucket, q_region_key, q_missing_values, q_fixed_order, q_ml_stage1, q_ml_stage2)
+_F = (q_nearest_tolerance, q_nearest_point, q_bilinear, q_conservative, q_merge_override, q_align_inner, q_buffer_anti, q_member_sets, q_latest_version, q_union_dedupe_first, q_stratified_sample, q_fold_assignment, q_fold_metrics, q_pinball, q_band_bucket, q_region_key, q_missing_values, q_fixed_order)
 QUERIES = {f.__name__: f for f in _F}
 
 _SC = "s AS (SELECT l_orderkey % 5 AS fold, l_quantity AS y, 0.8 * l_quantity + 100 * l_discount AS pred, l_quantity * 0.7 AS lo, l_quantity * 0.9 + 60 * l_tax AS hi FROM lineitem)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.scalars import edge, ratio
-from isobar.operators import geometry, learning
+from isobar.operators import geometry, trees
 from isobar.operators import decomposition as dec
 from isobar.plans.base import CELLS_SQL, FLAT_SQL, cells, flat, r, read
 
@@ -71,10 +71,10 @@ def q_lag_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 def q_fold_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean prediction of three fixed models over a feature table, and its exceedances."""
-    models = [learning.Boosted(["q", "u"], s, [[(1, c, 1, 2, 0.0), (-1, 0.0, 0, 0, -5.0), (0, 0.05, 3, 4, 0.0), (-1, 0.0, 0, 0, 2.0), (-1, 0.0, 0, 0, 6.0)]], 1.0) for s, c in ((100.0, 20.0), (200.0, 25.0), (300.0, 30.0))]
-    rows = cells(spark, d).select("y", "mo", "q", "u")
-    pred = sum([m.predict() for m in models], F.lit(0.0)) / len(models)
-    return rows.withColumn("pred", pred).groupBy("y", "mo").agg(edge(F.avg("pred")).alias("pred"), F.sum((F.col("pred") > 202).cast("long")).alias("n"))
+    shape = ([1, -1, 0, -1, -1], [1, 0, 3, 0, 0], [2, 0, 4, 0, 0], [0.0, -5.0, 0.0, 2.0, 6.0], [0] * 5, [0.0] * 10)
+    rows = [("fixed", 42, k, None, 0, ["q", "u"], 1.0, s, [0.0, 0.0], shape[0], [c, 0.0, 0.05, 0.0, 0.0], *shape[1:]) for k, (s, c) in enumerate(((100.0, 20.0), (200.0, 25.0), (300.0, 30.0)))]
+    scored = trees.score_fold_mean(cells(spark, d).select("y", "mo", "q", "u"), spark.createDataFrame(rows, trees.SCHEMA), {None: "pred"})
+    return scored.groupBy("y", "mo").agg(edge(F.avg("pred")).alias("pred"), F.sum((F.col("pred") > 202).cast("long")).alias("n"))
 
 
 _F = (q_land_mask, q_kde_2d, q_member_terms, q_first_members, q_fingerprint, q_lag_correlation, q_fold_mean)

@@ -75,3 +75,11 @@ def pivot_terms(rows: DataFrame, keys: list[str], terms: list[str], values: list
     """Long term rows as one row a key; columns ``term`` and ``term_value``."""
     at = lambda t, v: F.max(F.when(F.col("term") == t, F.col(v))).alias(t if v == "point" else f"{t}_{v}")
     return rows.groupBy(*keys).agg(*[at(t, v) for t in terms for v in values])
+
+
+def finished(spark: SparkSession, path: str, column: str) -> set[int]:
+    """The values of a partition column whose folders hold a committed job's marker."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*/_SUCCESS")
+    found = at.getFileSystem(conf).globStatus(at)
+    return {int(f.getPath().getParent().getName().split("=")[1]) for f in found or []}

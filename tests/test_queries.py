@@ -13,7 +13,6 @@ from isobar.sources import sinks
 from isobar.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"q_ml_stage1", "q_ml_stage2"}
 #: Thresholds that leave nothing on the smallest tables.
 MAY_BE_EMPTY = {"q_ensemble_stats"}
 
@@ -32,7 +31,7 @@ def plain(v):
     return v.isoformat() if hasattr(v, "isoformat") else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, duck, sf, name):
     out = catalogue.queries()[name](spark, sf)
     columns = sorted(out.columns)

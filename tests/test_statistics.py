@@ -157,20 +157,6 @@ def test_folds_and_metrics(spark):
     assert (r.c, r.p) == (0.6, 0.0)
 
 
-def test_quantile_boosting(spark):
-    rng = np.random.default_rng(6)
-    x = rng.random(3000)
-    y = np.where(x > 0.5, 10.0, 0.0) + rng.random(3000)
-    rows = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double")
-    low, high = (learning.fit_boosted(rows, ["x"], "y", a, trees=3, depth=1, rate=1.0) for a in (0.05, 0.95))
-    c = rows.withColumn("lo", low.predict()).withColumn("hi", high.predict()).agg(learning.coverage("y", "lo", "hi")).first()[0]
-    assert 0.85 <= c <= 0.95
-    values = learning.attribution(high, np.array([0.9]), np.array([[0.1], [0.9]]))
-    assert values[0] == pytest.approx(learning._score(high, np.array([0.9])) - np.mean([learning._score(high, np.array([v])) for v in (0.1, 0.9)]))
-    table = learning.attribution_table(high, rows.limit(5).withColumn("id", F.monotonically_increasing_id()), "id", np.array([[0.1]]))
-    assert table.count() == 5 and learning.bucket_sums(table, "id", {"all": ["x"]}).columns == ["id", "all"]
-
-
 def test_whole_terms_read_every_level_and_year(spark, sf):
     from isobar.plans import base, catalogue
 
