@@ -87,8 +87,13 @@ def _models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, trees.SCHEMA)
 
 
+def _below(column: str, cut: float) -> str:
+    """Columns of single precision are compared with a cut in double."""
+    return f"CAST({column} AS DOUBLE) <= CAST({cut} AS DOUBLE)"
+
+
 def _sum_sql(specs: list[tuple], rate: float, fold: int) -> str:
-    return " + ".join(f"{rate} * CASE WHEN {a} <= {ca} THEN {lo + fold} WHEN {b} <= {cb} THEN {mid + fold} ELSE {hi + fold} END" for a, ca, lo, b, cb, mid, hi, _ in specs)
+    return " + ".join(f"{rate} * CASE WHEN {_below(a, ca)} THEN {lo + fold} WHEN {_below(b, cb)} THEN {mid + fold} ELSE {hi + fold} END" for a, ca, lo, b, cb, mid, hi, _ in specs)
 
 
 def _mean_sql(specs: list[tuple], rate: float, starts: list[float]) -> str:
@@ -177,11 +182,11 @@ def _shap_sql(fold: int) -> dict[str, str]:
     for a, ca, lo, b, cb, mid, hi, (n0, n1, n2) in STAGE1_TREES:
         lo, mid, hi = lo + fold, mid + fold, hi + fold
         n, under = n0 + n1 + n2, f"CAST({n1} AS DOUBLE) / {n1 + n2} * {mid} + CAST({n2} AS DOUBLE) / {n1 + n2} * ({hi})"
-        below = f"(CASE WHEN {b} <= {cb} THEN {mid} ELSE {hi} END)"
+        below = f"(CASE WHEN {_below(b, cb)} THEN {mid} ELSE {hi} END)"
         none = f"(CAST({n0} AS DOUBLE) / {n} * ({lo}) + CAST({n1 + n2} AS DOUBLE) / {n} * ({under}))"
-        only_a = f"(CASE WHEN {a} <= {ca} THEN {lo} ELSE {under} END)"
+        only_a = f"(CASE WHEN {_below(a, ca)} THEN {lo} ELSE {under} END)"
         only_b = f"(CAST({n0} AS DOUBLE) / {n} * ({lo}) + CAST({n1 + n2} AS DOUBLE) / {n} * {below})"
-        both = f"(CASE WHEN {a} <= {ca} THEN {lo} ELSE {below} END)"
+        both = f"(CASE WHEN {_below(a, ca)} THEN {lo} ELSE {below} END)"
         for f, own, other in ((a, only_a, only_b), (b, only_b, only_a)):
             terms.setdefault(f, []).append(f"{RATE1} * 0.5 * (({own} - {none}) + ({both} - {other}))")
     return {f: " + ".join(t) for f, t in terms.items()}
