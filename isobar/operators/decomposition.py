@@ -38,6 +38,17 @@ def two_term(i: str = "ivt", w: str = "iwv") -> list[Column]:
     return [thermo.alias("thermo"), (total - thermo).alias("dynamic"), total.alias("total")]
 
 
+def moistening(means: DataFrame, per_kelvin: float = 7.0) -> DataFrame:
+    """Adds the test of moistening against warming: columns iwv0, iwv1, ivt0, ivt1, t0, t1 in, per cent and kelvins out.
+
+    rate is the change of moisture per kelvin (null without warming), expected
+    what ``per_kelvin`` per cent a kelvin would give.
+    """
+    percent = lambda c: 100 * (ratio(f"{c}1", f"{c}0") - 1)
+    warm = F.col("t1") - F.col("t0")
+    return means.withColumn("moist_percent", percent("iwv")).withColumn("ivt_percent", percent("ivt")).withColumn("warming", warm).withColumn("rate", F.try_divide("moist_percent", "warming")).withColumn("expected", per_kelvin * F.col("warming"))
+
+
 # --- level by level -----------------------------------------------------------
 
 

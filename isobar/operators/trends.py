@@ -189,6 +189,92 @@ def regression_table(rows: DataFrame, by: list[str], x: str, y: str, predictors:
     return rows.groupBy(*by).applyInPandas(run, f"{_key_schema(rows, by)}, label string, coef double, se double, p double, r2 double, n_eff double")
 
 
+def index_fit(y: np.ndarray, x: np.ndarray, years: np.ndarray, names: list[str], first: tuple[int, int], last: tuple[int, int]) -> list[dict]:
+    """Rows (label, coef, se, p, corr, corr_p) for const, trend_per_decade and each index, with what holds for the whole fit.
+
+    Indices lose their line and are standardised (sample deviation), so that the
+    secular change belongs to the trend.  Standard errors use the effective
+    number of years of the residuals' lag-one correlation.  r2_indices leaves
+    the trend in the error; diff_index_removed is the change between the two
+    windows without what the indices explain.
+    """
+    n = len(y)
+    t = (years - years.mean()) / 10.0
+    flat = [v - np.polyval(np.polyfit(t, v, 1), t) for v in x.T]
+    a = np.column_stack([np.ones(n), t, *[v / sd if (sd := v.std(ddof=1)) > 0 else v for v in flat]])
+    k = a.shape[1]
+    beta, *_ = np.linalg.lstsq(a, y, rcond=None)
+    resid = y - a @ beta
+    r1 = float(np.corrcoef(resid[:-1], resid[1:])[0, 1]) if n > 3 and resid.std() > 0 else 0.0
+    n_eff = float(np.clip(n * (1 - r1) / max(1 + r1, 1e-12), k + 2, max(n, k + 2)))
+    se = np.sqrt(np.maximum(np.diag(float(resid @ resid) / (n_eff - k) * np.linalg.pinv(a.T @ a) * (n / n_eff)), 0.0))
+    part = a[:, 2:] @ beta[2:]
+    change = lambda v: float(v[(years >= last[0]) & (years <= last[1])].mean() - v[(years >= first[0]) & (years <= first[1])].mean())
+    spread = float(y.var())
+    r2 = lambda e: 1 - float(e.var()) / spread if spread > 0 else math.nan
+    whole = {"r1_resid": r1, "n_eff": n_eff, "r2_full": r2(resid), "r2_indices": r2(y - part - beta[0]), "diff_raw": change(y), "diff_index_removed": change(y - part)}
+    out = []
+    for j, label in enumerate(["const", "trend_per_decade", *names]):
+        corr = float(np.corrcoef(y, x[:, j - 2])[0, 1]) if j > 1 and spread > 0 and x[:, j - 2].std() > 0 else math.nan
+        size = abs(corr) * math.sqrt((n - 2) / max(1 - corr * corr, 1e-300)) if n > 2 and not math.isnan(corr) else math.nan
+        out.append({"label": label, "coef": float(beta[j]), "se": float(se[j]), "p": student_sf2(abs(float(beta[j] / se[j])), n_eff - k) if se[j] > 0 else 0.0, "corr": corr, "corr_p": student_sf2(size, n - 2), **whole})
+    return out
+
+
+def index_regression(rows: DataFrame, by: list[str], year: str, y: str, indices: list[str], first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """``index_fit`` of each group (a series of years); rows with a missing value are left out, groups of fewer than len(indices) + 4 years too."""
+    columns = ["coef", "se", "p", "corr", "corr_p", "r1_resid", "n_eff", "r2_full", "r2_indices", "diff_raw", "diff_index_removed"]
+
+    def run(key, part):
+        part = part.dropna(subset=[y, *indices]).sort_values(year)
+        if len(part) < len(indices) + 4:
+            return pd.DataFrame(columns=[*by, "label", *columns])
+        found = index_fit(part[y].to_numpy(float), part[indices].to_numpy(float), part[year].to_numpy(float), indices, first, last)
+        return pd.DataFrame([{**dict(zip(by, key, strict=True)), **f} for f in found])
+
+    return rows.select(*by, year, y, *indices).groupBy(*by).applyInPandas(run, f"{_key_schema(rows, by)}, label string, " + ", ".join(f"{c} double" for c in columns))
+
+
+def percent_trend(rows: DataFrame, by: list[str], year: str, value: str, least: int = 2) -> DataFrame:
+    """(by, trend): Theil-Sen slope in per cent of the mean a decade; null for fewer than ``least`` years or a mean of 0."""
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    mean = known.groupBy(*by).agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    return theil_sen(known, by, year, value).join(mean, by).select(*by, F.when(F.col("_n") >= least, F.try_divide(1000 * F.col("slope"), F.col("_mean"))).alias("trend"))
+
+
+def fingerprint(seasonal: DataFrame, drivers: DataFrame, places: DataFrame, by: list[str]) -> DataFrame:
+    """Three checks of what drives a trend in efficiency, one row a region.
+
+    seasonal: by, pre, monsoon (trends of the two seasons); drivers: by, driver,
+    trend, one driver being "eff"; places: by, local (whether a place lies in the
+    inner box), trend (null where it has none).
+
+    * pre_monsoon_dominant: the first season's trend is positive and above the second's,
+    * igp_localised: the inner box's median trend is above that of all places,
+    * thermodynamically_unforced: every other driver's trend is less than half of the efficiency's in size.
+
+    A check that lacks a number is false.
+    """
+    medians = places.groupBy(*by).agg(F.median(F.when(F.col("local"), F.col("trend"))).alias("local_median"), F.median("trend").alias("regional_median"))
+    eff = F.max(F.when(F.col("driver") == "eff", F.abs("trend")))
+    weak = drivers.groupBy(*by).agg(eff.alias("_eff"), F.max(F.when(F.col("driver") != "eff", F.abs("trend"))).alias("_most"), F.count_if((F.col("driver") != "eff") & F.col("trend").isNull()).alias("_gaps"))
+    out = medians.join(seasonal, by, "left").join(weak, by, "left")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(
+        *by, "pre", "monsoon", "local_median", "regional_median",
+        sure((F.col("pre") > F.col("monsoon")) & (F.col("pre") > 0)).alias("pre_monsoon_dominant"),
+        sure(F.col("local_median") > F.col("regional_median")).alias("igp_localised"),
+        sure((F.col("_most") < F.col("_eff") / 2) & (F.col("_gaps") == 0)).alias("thermodynamically_unforced"),
+    )
+
+
+def correlation_p(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, n, r, p) of Pearson's correlation, two-sided."""
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("r"))
+    sized = both.withColumn("_t", F.when((F.col("n") > 2) & (F.abs("r") < 1), F.abs("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))).withColumn("_df", F.col("n") - 2)
+    return student_p(sized, "_t", "_df").select(*by, "n", "r", "p")
+
+
 def welch(rows: DataFrame, by: list[str], window: str, value: str, first: str, second: str) -> DataFrame:
     """Welch's t between two windows, with Welch-Satterthwaite degrees of freedom."""
     at = lambda f, w: f(F.when(F.col(window) == w, F.col(value)))

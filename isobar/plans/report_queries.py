@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.scalars import edge, ratio
-from isobar.operators import geometry, trees
+from isobar.operators import geometry, trees, trends
 from isobar.operators import decomposition as dec
 from isobar.plans.base import CELLS_SQL, FLAT_SQL, cells, flat, r, read
 
@@ -48,14 +48,19 @@ def q_first_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Three checks of each place's change; two or more make it consistent."""
+    """Three checks of the trend in efficiency (value over u) of each row of places: its season, its place, its drivers."""
     rows = flat(spark, d)
-    late = F.col("yr") >= 1999
-    mean = lambda c, t: F.avg(F.when(t, F.col(c)))
-    p = rows.groupBy("y", "x").agg(*[(mean(c, late) - mean(c, ~late)).alias(f"d{c}") for c in ("val", "u", "q")])
-    a, b, c = F.col("dval") > 0, F.col("du") > 0, F.col("dq") < 0
-    n = sum([x.cast("int") for x in (a, b, c)], F.lit(0))
-    return p.select("y", "x", a.alias("stronger"), b.alias("wetter"), c.alias("drier_air"), n.alias("n"), F.when(n >= 2, "CONSISTENT").otherwise("INCONSISTENT").alias("verdict"))
+    month = rows.groupBy("y", "yr", "mo").agg(*[F.avg(c).alias(c) for c in ("val", "u", "q", "v")]).withColumn("eff", ratio("val", "u"))
+    season = F.when(F.col("mo").isin(3, 4, 5), "pre").when(F.col("mo").isin(6, 7, 8, 9), "monsoon")
+    years = month.withColumn("season", season).where("season IS NOT NULL").groupBy("y", "season", "yr").agg(F.avg("eff").alias("eff"))
+    seasonal = trends.percent_trend(years, ["y", "season"], "yr", "eff").groupBy("y").agg(*[F.max(F.when(F.col("season") == s, F.col("trend"))).alias(s) for s in ("pre", "monsoon")])
+    annual = month.groupBy("y", "yr").agg(*[F.avg(c).alias(c) for c in ("u", "q", "v", "eff")])
+    long = annual.unpivot(["y", "yr"], ["u", "q", "v", "eff"], "driver", "value")
+    places = rows.groupBy("y", "x", "yr").agg(ratio(F.avg("val"), F.avg("u")).alias("eff"))
+    places = trends.percent_trend(places, ["y", "x"], "yr", "eff", least=6).withColumn("local", F.col("x") < 2)
+    out = trends.fingerprint(seasonal, trends.percent_trend(long, ["y", "driver"], "yr", "value"), places, ["y"])
+    checks = ["pre_monsoon_dominant", "igp_localised", "thermodynamically_unforced"]
+    return out.select("y", *[edge(c, 4).alias(c) for c in ("pre", "monsoon", "local_median", "regional_median")], *checks, sum([F.col(c).cast("int") for c in checks], F.lit(0)).alias("n_checks"))
 
 
 def q_lag_correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +97,18 @@ SELECT gx, gy, round(1000 * sum(exp(-0.5 * (c * (gx - lon) * (gx - lon) - 2 * b
 m AS (SELECT l_suppkey, {', '.join(f'avg({c}) FILTER ({"" if i else "NOT "}l) AS {c}{i}' for c in 'pqt' for i in (0, 1))} FROM x GROUP BY l_suppkey), k AS (SELECT *, p1 - p0 AS total, p1 - p0 - p0 * (q1 / q0 - 1) AS dyn, 100 * (t1 - t0) AS dt FROM m)
 SELECT l_suppkey, {r('100 * dyn / total')} AS dynamic_percent, round(total / dt + 0.000000001, 3) AS per_kelvin FROM k WHERE abs(dt) > 0.0001""",
     "q_first_members": "SELECT s_nationkey, s_suppkey, CAST(k AS INTEGER) AS k, n FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE k <= 3",
-    "q_fingerprint": f"""WITH {FLAT_SQL}, p AS (SELECT y, x, {', '.join(f'avg({c}) FILTER (yr >= 1999) - avg({c}) FILTER (yr < 1999) AS d{c}' for c in ('val', 'u', 'q'))} FROM flat GROUP BY y, x), n AS (SELECT y, x, dval > 0 AS a, du > 0 AS b, dq < 0 AS c FROM p)
-SELECT y, x, a AS stronger, b AS wetter, c AS drier_air, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) AS n, CASE WHEN CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) >= 2 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS verdict FROM n""",
+    "q_fingerprint": f"""WITH {FLAT_SQL}, m AS (SELECT y, yr, mo, avg(val) / avg(u) AS eff, avg(u) AS u, avg(q) AS q, avg(v) AS v FROM flat GROUP BY ALL),
+sv AS (SELECT y, CASE WHEN mo IN (3, 4, 5) THEN 'pre' ELSE 'monsoon' END AS k, yr, avg(eff) AS v FROM m WHERE mo BETWEEN 3 AND 9 GROUP BY ALL),
+an AS (SELECT y, yr, avg(u) AS u, avg(q) AS q, avg(v) AS v, avg(eff) AS eff FROM m GROUP BY ALL), dv AS (UNPIVOT an ON u, q, v, eff INTO NAME k VALUE v),
+pv AS (SELECT y, x, yr, avg(val) / avg(u) AS v FROM flat GROUP BY ALL),
+st AS (SELECT y, k, 1000 * s / m AS trend FROM (SELECT a.y, a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM sv a JOIN sv b ON a.y = b.y AND a.k = b.k AND a.yr < b.yr GROUP BY a.y, a.k) JOIN (SELECT y, k, avg(v) AS m FROM sv GROUP BY y, k) USING (y, k)),
+dt AS (SELECT y, k, 1000 * s / m AS trend FROM (SELECT a.y, a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM dv a JOIN dv b ON a.y = b.y AND a.k = b.k AND a.yr < b.yr GROUP BY a.y, a.k) JOIN (SELECT y, k, avg(v) AS m FROM dv GROUP BY y, k) USING (y, k)),
+pt AS (SELECT y, x, CASE WHEN n >= 6 THEN 1000 * s / m END AS trend FROM (SELECT a.y, a.x, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM pv a JOIN pv b ON a.y = b.y AND a.x = b.x AND a.yr < b.yr GROUP BY a.y, a.x) JOIN (SELECT y, x, avg(v) AS m, count(*) AS n FROM pv GROUP BY y, x) USING (y, x)),
+k AS (SELECT y, median(trend) FILTER (x < 2) AS l, median(trend) AS g FROM pt GROUP BY y), s AS (SELECT y, max(trend) FILTER (k = 'pre') AS pre, max(trend) FILTER (k = 'monsoon') AS mon FROM st GROUP BY y),
+w AS (SELECT y, max(abs(trend)) FILTER (k = 'eff') AS e, max(abs(trend)) FILTER (k <> 'eff') AS o FROM dt GROUP BY y),
+c AS (SELECT y, pre, mon, l, g, coalesce(pre > mon AND pre > 0, FALSE) AS a, coalesce(l > g, FALSE) AS b, coalesce(o < e / 2, FALSE) AS c FROM k LEFT JOIN s USING (y) LEFT JOIN w USING (y))
+SELECT y, round(pre + 0.000000001, 4) AS pre, round(mon + 0.000000001, 4) AS monsoon, round(l + 0.000000001, 4) AS local_median, round(g + 0.000000001, 4) AS regional_median, a AS pre_monsoon_dominant, b AS igp_localised, c AS thermodynamically_unforced,
+  CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) AS n_checks FROM c""",
     "q_lag_correlation": f"""WITH m AS (SELECT y, (yr - 1995) * 12 + mo AS m, avg(val) AS v FROM ({CELLS_SQL}) GROUP BY ALL), f AS (SELECT y, regr_slope(v, m) AS s, regr_intercept(v, m) AS i FROM m GROUP BY y),
 e AS (SELECT m.y, m.m, v - s * m.m - i AS e, lead(v - s * m.m - i) OVER (PARTITION BY m.y ORDER BY m.m) AS e1 FROM m JOIN f USING (y)), k AS (SELECT y, corr(e, e1) AS r, count(*) AS n FROM e GROUP BY y)
 SELECT y, {r('r')} AS r, round(n * (1 - greatest(r, 0)) / (1 + greatest(r, 0)) + 0.000000001, 4) AS n_eff FROM k""",
