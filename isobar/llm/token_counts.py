@@ -12,7 +12,11 @@ from such a border on the old leaves hold.
 Defined results: null texts are empty and have no tokens; edits of a document
 apply in the order of ``seq`` (ties: start, end, text), each to the text that
 the former one left; positions beyond the text are moved to its end, an end
-before its start to the start, and a null replacement is empty.
+before its start to the start, and a null replacement is empty.  Rows that
+repeat, or share a doc_id with another text, are each a document with a tree of
+its own.  Texts of any length are counted whole: a very long one takes memory for
+itself and its leaves, and a pre-token of over ``CACHE_CHARS`` characters is
+counted without being kept.
 """
 
 from __future__ import annotations
@@ -191,7 +195,7 @@ class Document:
             tree.put(first + k, sum(chars[k * each : (k + 1) * each]), sum(n[k * each : (k + 1) * each]))
 
 
-_TREE = "doc_id long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+_TREE = "doc_id long, text_tag long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
 
 
 def _ints(rows: list) -> pa.Array:
@@ -199,15 +203,20 @@ def _ints(rows: list) -> pa.Array:
 
 
 def token_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens and its tree's leaves."""
+    """One row for each row of ``docs``: doc_id, text_tag (a hash of the text), n_tokens and its tree's leaves."""
     held = docs.sparkSession.sparkContext.broadcast(Counter.load(path))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             found = [held.value.leaves(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(b) for _, b in found], pa.int64()), _ints([a for a, _ in found]), _ints([b for _, b in found])], ["doc_id", "n_tokens", "leaf_chars", "leaf_tokens"])
+            columns = [batch.column(0), batch.column(2), pa.array([sum(b) for _, b in found], pa.int64()), _ints([a for a, _ in found]), _ints([b for _, b in found])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_tag", "n_tokens", "leaf_chars", "leaf_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _TREE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _tag().alias("text_tag")).mapInArrow(run, _TREE)
+
+
+def _tag():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def apply_edits(rows: DataFrame, path: str | None = None, kept: bool = False) -> DataFrame:
@@ -241,11 +250,15 @@ def apply_edits(rows: DataFrame, path: str | None = None, kept: bool = False) ->
 def edit_trees(trees: DataFrame, docs: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
     """Counts after an edit log (doc_id, seq, start, end, new), for edited documents only.
 
-    Texts and trees are fetched by doc_id; documents without edits aren't read
-    past that join.
+    An entry holds for all rows with its doc_id (null for those without one).  A
+    row's tree is that of its doc_id and text, so rows that share a doc_id keep
+    their own; repeated rows share one.  Documents without edits aren't read past
+    that join; a document without a tree is counted anew.
     """
-    log = edits.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias("edits"))
-    rows = docs.select("doc_id", "text").join(log, "doc_id").join(trees.select("doc_id", "leaf_chars", "leaf_tokens"), "doc_id")
+    log = edits.groupBy(F.col("doc_id").cast("long").alias("_log_id")).agg(F.collect_list(F.struct("seq", "start", "end", "new")).alias("edits"))
+    edited = docs.select(F.col("doc_id").cast("long"), "text", _tag().alias("_tag")).join(log, F.col("doc_id").eqNullSafe(F.col("_log_id")))
+    held = trees.select(F.col("doc_id").alias("_tree_id"), "text_tag", "leaf_chars", "leaf_tokens").dropDuplicates(["_tree_id", "text_tag"])
+    rows = edited.join(held, F.col("doc_id").eqNullSafe(F.col("_tree_id")) & (F.col("_tag") == F.col("text_tag")), "left")
     return apply_edits(rows, path, kept=True)
 
 

@@ -69,6 +69,22 @@ def test_kept_trees_and_an_edit_log(spark, docs, counter):
     assert out[4].text.startswith("Bye") and all(r.n_tokens_after == len(library.encode_ordinary(r.text)) for r in out.values())
 
 
+def test_rows_of_one_doc_id_keep_their_own_trees(spark, docs, counter):
+    library = counter._ready()[1]
+    log = spark.createDataFrame([(14, 1, 0, 5, "omega"), (6, 1, 0, 0, "x "), (None, 1, 2, 2, "new "), (1, 1, 0, 0, "now a text")], "doc_id long, seq int, start int, end int, new string")
+    trees = tc.token_trees(docs)
+    rows = tc.edit_trees(trees, docs, log).collect()
+    texts = {}
+    for r in docs.where("doc_id IN (1, 6, 14) OR doc_id IS NULL").collect():
+        texts.setdefault(r.doc_id, []).append(r.text or "")
+    change = {14: lambda t: "omega" + t[5:], 6: lambda t: "x " + t, None: lambda t: t[:2] + "new " + t[2:], 1: lambda t: "now a text"}
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_tokens_after, r.text) for r in rows) == sorted(
+        (str(i), len(library.encode_ordinary(t)), len(library.encode_ordinary(change[i](t))), change[i](t)) for i, own in texts.items() for t in own
+    )
+    # Without a tree the text is counted anew.
+    assert tc.edit_trees(trees.where("doc_id <> 14"), docs, log).count() == len(rows)
+
+
 def test_edge_cases(docs, none):
     rows = tc.apply_edits(tc.derived_edits(docs)).collect()
     assert len(rows) == docs.count()
