@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.scalars import edge, wavelike_day
-from isobar.operators import components, detection, events, grid, windows
+from isobar.operators import components, detection, events, grid, quantiles, shards, windows
 from isobar.plans.base import FLAT_SQL, flat, r, read
-from isobar.session import materialize
+from isobar.session import materialize, new_folder
 
 PERIODS = [("early", "1995-01-01", "1997-12-31"), ("late", "1998-01-01", "2001-12-31")]
 
@@ -108,6 +108,20 @@ def q_period_bands(spark: SparkSession, d: str) -> DataFrame:
     return out.select("period", "n_events", *[edge(c).alias(c) for c in ("mean_intensity", "mean_duration_h", "intensity_q05", "intensity_q95", "duration_q05", "duration_q95")])
 
 
+def q_period_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Events written by period and chunk of years, states merged: counts, means and exact quantiles of a period."""
+    table = events.event_table(_voxels(spark, d), [], 1.0, 1.0)
+    rows = events.period_of("start_time", spark.createDataFrame(PERIODS, "period string, start string, end string"), table)
+    rows = materialize(rows.withColumn("chunk", F.year("start_time").cast("string")), "period-events")
+    root = new_folder(spark, "period-shards")
+    for r in rows.select("period", "chunk").distinct().orderBy("period", "chunk").collect():  # a job each, as jobs of their own would do
+        shards.write_chunk(rows.where((F.col("period") == r.period) & (F.col("chunk") == r.chunk)), root, r.period, r.chunk)
+    found = shards.bands(spark, root, ["mean_intensity", "duration_hours"], [0.05, 0.5, 0.95])
+    wide = found.groupBy("period").agg(*[edge(F.max(F.when((F.col("metric") == m) & (F.col("q") == q), F.col("value")))).alias(f"{n}_q{int(100 * q):02d}") for n, m in (("intensity", "mean_intensity"), ("duration", "duration_hours")) for q in (0.05, 0.5, 0.95)])
+    means = shards.summary(spark, root)
+    return means.join(wide, "period").select("period", "n_events", *[edge(c).alias(c) for c in ("mean_intensity", "mean_max_intensity", "mean_footprint_area_km2", "mean_duration_hours")], *[c for c in wide.columns if c != "period"])
+
+
 def q_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Yearly means by place: steps up, first and last years' quartile bands, verdict."""
     rows = flat(spark, d)
@@ -125,7 +139,8 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
 def _grid_voxels(spark: SparkSession, d: str, n: int, q: float) -> DataFrame:
     """Cells of monthly sums above a quantile, on an n by n grid."""
     rows = read(spark, d, "lineitem").groupBy(((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("it"), (F.col("l_suppkey") % n).cast("int").alias("iy"), (F.col("l_partkey") % n).cast("int").alias("ix")).agg(F.sum("l_quantity").alias("s"))
-    limit = rows.agg(F.percentile("s", F.lit(q)).alias("_limit"))
+    rows = materialize(rows, "grid-sums")
+    limit = quantiles.quantile(rows, [], "s", q, "_limit")  # one row
     return rows.crossJoin(F.broadcast(limit)).where("s > _limit").select("it", "iy", "ix")
 
 
@@ -195,7 +210,7 @@ def q_cyclic_day(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy(F.dayofyear("o_orderdate").alias("doy")).agg(F.count(F.lit(1)).alias("n"), edge(F.avg(sine)).alias("doy_sin"), edge(F.avg(cosine)).alias("doy_cos"))
 
 
-QUERIES = {f.__name__: f for f in (q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_period_bands, q_verdict, q_components_2d, q_components_3d, q_detect_events, q_detect_periods, q_delta_change, q_cyclic_day)}
+QUERIES = {f.__name__: f for f in (q_period_shards, q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_period_bands, q_verdict, q_components_2d, q_components_3d, q_detect_events, q_detect_periods, q_delta_change, q_cyclic_day)}
 
 _TABLE = f"""f AS (SELECT event_id, sum({_AREA}) AS area, avg(lat) FILTER (land > 0.5) AS la, avg(lon) FILTER (land > 0.5) AS lo FROM (SELECT event_id, lat, lon, max(land) AS land FROM vox GROUP BY ALL) GROUP BY event_id),
 t AS (SELECT event_id, min(ts) AS s, max(ts) AS e, avg(intensity) AS m, max(intensity) AS x, date_diff('second', min(ts), max(ts)) / 3600.0 + 6 AS h FROM vox GROUP BY event_id HAVING count(*) >= 2)"""
@@ -219,6 +234,10 @@ SELECT v.user_id * 100000 + CAST(v.island AS BIGINT) AS event_id, {r('coalesce(s
 FROM v LEFT JOIN rain ON rain.la = v.user_id % 20 AND rain.lo = v.user_id % 3 AND rain.ts BETWEEN v.s AND v.t + INTERVAL 6 HOURS GROUP BY 1""",
     "q_period_contrast": f"""WITH {_VOX}, {_TABLE}, p(period, a, b) AS (VALUES ('early', TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01'), ('late', TIMESTAMP '1998-01-01', TIMESTAMP '2002-01-01'))
 SELECT period, count(*) AS n_events, {r('avg(m)')} AS mean_intensity, {r('avg(x)')} AS mean_max_intensity, {r('avg(area)')} AS mean_footprint_km2, {r('avg(h)')} AS mean_duration_h
+FROM t JOIN f USING (event_id) JOIN p ON s >= a AND s < b GROUP BY period""",
+    "q_period_shards": f"""WITH {_VOX}, {_TABLE}, p(period, a, b) AS (VALUES ('early', TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01'), ('late', TIMESTAMP '1998-01-01', TIMESTAMP '2002-01-01'))
+SELECT period, count(*) AS n_events, {r('avg(m)')} AS mean_intensity, {r('avg(x)')} AS mean_max_intensity, {r('avg(area)')} AS mean_footprint_area_km2, {r('avg(h)')} AS mean_duration_hours,
+  {', '.join(f"{r(f'quantile_cont({c}, {q})')} AS {n}_q{int(100 * q):02d}" for n, c in (('intensity', 'm'), ('duration', 'h')) for q in (0.05, 0.5, 0.95))}
 FROM t JOIN f USING (event_id) JOIN p ON s >= a AND s < b GROUP BY period""",
     "q_verdict": f"""WITH {FLAT_SQL}, m AS (SELECT y, yr, avg(val) AS m, quantile_cont(val, 0.25) AS lo, quantile_cont(val, 0.75) AS hi FROM flat GROUP BY y, yr),
 u AS (SELECT y, bool_and(coalesce(up, TRUE)) AS monotone FROM (SELECT y, m >= lag(m) OVER (PARTITION BY y ORDER BY yr) AS up FROM m) GROUP BY y),
