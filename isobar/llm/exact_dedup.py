@@ -106,7 +106,7 @@ def _dealt(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     asked = rows.select(_shard(shards).alias("shard"), "doc_id", "digest")
     heavy = materialize(mph.salts(asked.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))), "heavy-shards")
     blobs = index.select("shard", F.struct("hash", "digests", "winners", "counts", "nulls").alias("blob"))
-    dealt = mph.deal(asked, blobs, heavy, "doc_id")
+    dealt = mph.deal(asked, blobs, heavy)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "digest", "member", "winner", "group_size"]

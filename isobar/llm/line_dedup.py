@@ -168,7 +168,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEA
     index = build_index(lines, shards)
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     if keys > broadcast_keys:
-        return _routed(given, docs, lines, index, shards, least)
+        return _routed(given, docs, index, shards, least)
     # A worker unpickles the arrays once, whatever the number of its tasks.
     held = docs.sparkSession.sparkContext.broadcast(Index(shards, [tuple(r) for r in index.collect()]))
 
@@ -188,12 +188,14 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEA
     return given.mapInArrow(run, _OUT)
 
 
-def _routed(given: DataFrame, docs: DataFrame, lines: DataFrame, index: DataFrame, shards: int, least: int) -> DataFrame:
+def _routed(given: DataFrame, docs: DataFrame, index: DataFrame, shards: int, least: int) -> DataFrame:
     """The same for an index that is too large to broadcast."""
     shard = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
     blobs = index.select("shard", F.struct("hash", "prints", "counts", "last").alias("blob"))
-    heavy = materialize(mph.salts(lines.select(shard, F.col("docs").alias("rows"))), "heavy-shards")
-    dealt = mph.deal(line_hashes(docs, least).select(shard, "doc_id", "h1", "h2"), blobs, heavy, "doc_id")
+    # All lines are sent, also those that don't repeat: salts come from the rows of each shard as they are sent.
+    asked = materialize(line_hashes(docs, least).select(shard, "doc_id", "h1", "h2"), "line-hashes")
+    heavy = materialize(mph.salts(asked.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))), "heavy-shards")
+    dealt = mph.deal(asked, blobs, heavy)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None

@@ -116,20 +116,23 @@ def salts(rows: DataFrame, most: int | None = None) -> DataFrame:
     return rows.groupBy("shard").agg(F.sum("rows").alias("rows")).where(F.col("rows") > most).select("shard", F.ceil(F.col("rows") / most).cast("int").alias("salts"))
 
 
-def deal(asked: DataFrame, index: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+def deal(asked: DataFrame, index: DataFrame, heavy: DataFrame) -> DataFrame:
     """Rows to look up and the index's shards, in partitions sorted so that a shard comes before its rows.
 
     asked: columns, among them shard; index: shard and blob (a struct);
     heavy: ``salts`` of the rows.  A heavy shard goes to each of its salts, and
-    its rows are spread over them by ``key``.  Columns: shard, salt, kind (0 for
-    a shard, 1 for a row), blob, and those of ``asked``.
+    its rows are spread over them by their numbers in ``asked`` (a written
+    table, so that a task that runs again gives the same), whatever they hold:
+    rows that are alike in all columns spread too.  Columns: shard, salt, kind (0
+    for a shard, 1 for a row), blob, and those of ``asked``.
     """
     side = F.broadcast(heavy) if heavy.count() <= BROADCAST_SHARDS else heavy
     n = F.coalesce(F.col("salts"), F.lit(1))
     blob = index.schema["blob"].dataType
     own = [c for c in asked.columns if c != "shard"]
     blobs = index.join(side, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.lit(0).alias("kind"), "blob", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in own])
-    rows = asked.join(side, "shard", "left").select("shard", F.pmod(F.xxhash64(key), n).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast(blob).alias("blob"), *own)
+    numbered = asked.withColumn("_number", F.monotonically_increasing_id())
+    rows = numbered.join(side, "shard", "left").select("shard", F.pmod(F.xxhash64("_number"), n).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast(blob).alias("blob"), *own)
     return rows.unionByName(blobs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
 

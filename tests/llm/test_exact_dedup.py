@@ -55,6 +55,27 @@ def test_both_halves_and_members_and_nonmembers_take_part(spark):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, bytes(r.digest).hex()) for r in out) == brute([(r.doc_id, r.text) for r in frame.collect()])
 
 
+def test_rows_alike_spread_over_salts(spark, monkeypatch):
+    from isobar.llm import mph
+    from isobar.session import materialize
+
+    monkeypatch.setattr(mph, "SHARD_ROWS", 50)
+    # One row repeated, and rows without an id: neither digest nor doc_id tells them apart.
+    rows = [(7, "the same")] * 400 + [(None, "the same")] * 200 + [(i, f"own {i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = exact_dedup.dedup_rows(frame).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, bytes(r.digest).hex()) for r in out) == brute(rows)
+    found = materialize(exact_dedup.digests(frame), "digests")
+    index, shards = exact_dedup.build_index(exact_dedup.distinct_digests(found))
+    asked = found.select(exact_dedup._shard(shards).alias("shard"), "doc_id", "digest")
+    heavy = mph.salts(asked.groupBy("shard").count().withColumnRenamed("count", "rows"))
+    from pyspark.sql import functions as F
+
+    blobs = index.select("shard", F.struct("hash", "digests", "winners", "counts", "nulls").alias("blob"))
+    sizes = [r["count"] for r in mph.deal(asked, blobs, heavy).where("kind = 1").groupBy("shard", "salt").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 100
+
+
 def test_history_comes_first(spark):
     history = spark.createDataFrame([(90, "Old text"), (91, "other")], "doc_id long, text string")
     new = spark.createDataFrame([(1, "old TEXT"), (2, "new"), (3, "NEW"), (4, "fresh")], "doc_id long, text string")

@@ -40,6 +40,15 @@ def test_routed_probes_give_the_same(spark, rows):
     assert out_of(line_dedup.dedup_lines(frame, broadcast_keys=0)) == brute(all_rows)
 
 
+def test_shards_of_lines_that_do_not_repeat_are_salted(spark, monkeypatch):
+    from isobar.llm import mph
+
+    monkeypatch.setattr(mph, "SHARD_ROWS", 40)
+    rows = [(None if i % 5 == 0 else i, f"a shared line of more than twenty\n{i} a line of its own that is long enough\n" * 2) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert out_of(line_dedup.dedup_lines(frame, broadcast_keys=0)) == brute(rows)
+
+
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
     rows = [(i, "\n".join(f"this is shared line number {j:04d}" for j in range(i % 7, 150))) for i in range(30)]
