@@ -91,20 +91,23 @@ class Pieces:
             borders = "".join(c for c in map(chr, range(32)) if not any(c in p for p in ids))
             cut = re.compile(f"{BLANK}*[^{BLANK}{re.escape(borders)}]+|{BLANK}+|[{re.escape(borders)}]" if borders else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
             low = min((self.scores[i] for i in ids.values()), default=0.0) - 10
-            self._made |= {"ids": ids, "pairs": {}, "cache": {}, "automaton": None, "cut": cut, "low": low, "alphabet": {p for p in ids if len(p) == 1}}
+            self._made |= {"ids": ids, "pairs": {}, "splits": {}, "cache": {}, "automaton": None, "cut": cut, "low": low, "alphabet": {p for p in ids if len(p) == 1}}
             held = ahocorasick.Automaton()
             for piece, i in ids.items():
                 # A BPE piece that merging doesn't make out of its own text is in no result.
-                if not self.bpe or len(piece) == 1 or self.merged(piece) == [piece]:
-                    held.add_word(piece, (i, len(piece)))
+                if not self.bpe or len(piece) == 1 or self._split(piece) is not None:
+                    held.add_word(piece, (i, len(piece), self.scores[i]))
             held.make_automaton()
             self._made["automaton"] = held
         return self._made["automaton"]
 
     # merging outright: for the pair test, and for segments without an open way
 
-    def merged(self, segment: str) -> list[str]:
-        """The segment's symbols after merging the best adjacent pair as long as there is one."""
+    def merged(self, segment: str, last: list | None = None) -> list[str]:
+        """The segment's symbols after merging the best adjacent pair as long as there is one.
+
+        last: gets the two symbols of the last merge.
+        """
         ids, scores = self._made["ids"], self.scores
         symbol = list(segment)
         n = len(symbol)
@@ -122,6 +125,8 @@ class Pieces:
             _, i, j, a, b = heapq.heappop(heap)
             if symbol[i] != a or after[i] != j or symbol[j] != b:
                 continue
+            if last is not None:
+                last[:] = a, b
             symbol[i] += symbol[j]
             symbol[j] = ""
             after[i] = after[j]
@@ -132,6 +137,15 @@ class Pieces:
                 offer(before[i])
         return [x for x in symbol if x]
 
+    def _split(self, piece: str) -> tuple[str, str] | None:
+        """The two symbols whose merge makes a piece; None if merging its text doesn't make it, or for one character."""
+        known = self._made["splits"]
+        if piece not in known:
+            last: list[str] = []
+            whole = len(piece) > 1 and self.merged(piece, last) == [piece]
+            known[piece] = (last[0], last[1]) if whole else None
+        return known[piece]
+
     def _apart(self, a: int, b: int) -> bool:
         """Whether merging the joined text of two pieces gives back those two."""
         known = self._made["pairs"]
@@ -139,10 +153,31 @@ class Pieces:
         if (found := known.get(key)) is None:
             if len(known) >= PAIRS:
                 known.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            found = known[key] = self.merged(x + y) == [x, y]
+            found = known[key] = self._stay(self.pieces[a], self.pieces[b])
         return found
 
+    def _stay(self, x: str, y: str) -> bool:
+        """The same for the pieces themselves, both made by merging their own texts.
+
+        limit: the score of the merge undone last.  Of equal scores the merge
+        further left comes first: that of ``x`` before the two that meet, that of
+        ``y`` after them.
+        """
+        ids, scores = self._made["ids"], self.scores
+        limit, left = None, False
+        while True:
+            if (k := ids.get(x + y)) is not None and (limit is None or scores[k] > limit or scores[k] == limit and not left):
+                return False
+            p, q = self._split(x), self._split(y)
+            if p is None and q is None:
+                return True
+            left = q is None or p is not None and scores[ids[x]] < scores[ids[y]]
+            limit = scores[ids[x if left else y]]
+            if left:
+                x = p[1]
+            else:
+                y = q[0]
+
     def _ids_of(self, symbols: list[str]) -> list[int]:
         ids, out = self._made["ids"], []
         for x in symbols:
@@ -172,39 +207,40 @@ class Pieces:
         piece and the one before it apart.  A character that is no piece is a
         step of its own, worse than any piece.
         """
-        n, bpe, scores, pairs = len(segment), self.bpe, self.scores, self._made["pairs"]
+        n, bpe, pairs = len(segment), self.bpe, self._made["pairs"]
         low, odd = self._made["low"], not self._made["alphabet"].issuperset(segment)
-        best: list[float | None] = [0.0] + [None] * n
-        last, size_at = [-1] * (n + 1), [1] * (n + 1)
+        best: list[float | None] = [None] * (n + 1)
+        best[0] = 0.0
+        last = [-1] * (n + 1)
         done = 0
-        for end, (i, size) in automaton.iter(segment):
+        for end, (i, size, more) in automaton.iter(segment):
             end += 1
-            start = end - size
             if odd and end > done:
                 self._bridge(segment, best, done, end, low)
                 done = end
+            start = end - size
             if (score := best[start]) is None:
                 continue
-            if bpe and (a := last[start]) >= 0:
+            if start and bpe and (a := last[start]) >= 0:
                 if (apart := pairs.get(a << 20 | i)) is None:
                     apart = self._apart(a, i)
                 if not apart:
                     continue
-            score += scores[i]
+            score += more
             if (held := best[end]) is None or score > held:
-                best[end], last[end], size_at[end] = score, i, size
+                best[end], last[end] = score, i
         if odd and n > done:
             self._bridge(segment, best, done, n, low)
         if best[n] is None:
             return None
         out: list[int] = []
         while n:
-            i = last[n]
-            if i >= 0:
+            if (i := last[n]) >= 0:
                 out.append(i)
+                n -= len(self.pieces[i])
             else:
                 out += self._ids_of([segment[n - 1]])[::-1]
-            n -= size_at[n]
+                n -= 1
         out.reverse()
         return out
 
