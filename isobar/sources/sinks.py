@@ -77,9 +77,14 @@ def pivot_terms(rows: DataFrame, keys: list[str], terms: list[str], values: list
     return rows.groupBy(*keys).agg(*[at(t, v) for t in terms for v in values])
 
 
-def finished(spark: SparkSession, path: str, column: str) -> set[int]:
-    """The values of a partition column whose folders hold a committed job's marker."""
+def committed(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a partition column (as in the folders' names) whose folders hold a committed job's marker."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}=*/_SUCCESS")
     found = at.getFileSystem(conf).globStatus(at)
-    return {int(f.getPath().getParent().getName().split("=")[1]) for f in found or []}
+    return [f.getPath().getParent().getName().split("=", 1)[1] for f in found or []]
+
+
+def finished(spark: SparkSession, path: str, column: str) -> set[int]:
+    """``committed`` for whole numbers."""
+    return {int(v) for v in committed(spark, path, column)}
