@@ -2,6 +2,11 @@
 
 Every stage but the last returns rows of ``documents`` with all their columns;
 the last returns doc_id, n_tokens, ids and round_trip.
+
+Defined results, for all stages: an empty table stays empty; rows that repeat
+are each a row until the second stage keeps one of them; columns beyond those of
+``documents`` are carried along whatever their names; texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +19,49 @@ from isobar.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known; the classifier learns from the rows given."""
+    """Rows whose language is known; the classifier learns from the rows given.
+
+    Null texts, texts without a letter and texts far from every language go.  Of
+    equally near languages the first by name is taken.  Rows without lang teach
+    nothing; without any taught language all rows go.
+    """
     return language_id.drop_rejected(docs, language_id.fit_documents(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id.
+
+    Texts that differ in A-Z against a-z only are equal, null ones count as
+    empty.  A null doc_id is smaller than any other; of rows that agree in
+    doc_id and text one (any) stays.
+    """
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id."""
+    """Of each group of near copies the row with the smallest doc_id.
+
+    Groups are chains of fingerprints at 3 or fewer differing bits; texts without
+    words have the fingerprint zero and are one group.  A null doc_id is larger
+    than any other; of rows that repeat the smallest doc_id one stays.
+    """
     return simhash.keep_representatives(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any window of a benchmark item."""
+    """Rows without any window of a benchmark item.
+
+    Null texts have no words and stay, as do all rows if the benchmark is empty;
+    items without words have no window.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each text."""
+    """SentencePiece ids of each text, and whether decoding gives the text back.
+
+    A null text has no ids and comes back as an empty one.
+    """
     return pieces.encode(docs)
 
 
