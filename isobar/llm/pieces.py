@@ -22,7 +22,11 @@ Segments' results are kept in a bounded cache for each task.  The model file is
 read on the driver, and its pieces (32,000 here) go to the tasks as a broadcast.
 
 Defined results: null texts are empty and give no ids; decoding gives the text
-back, U+2581 itself excepted, which comes back as a blank.
+back, U+2581 itself excepted, which comes back as a blank.  Rows that repeat are
+each encoded.  Of ways with equal sums the one found first stays, which ends in
+the longer piece.  Texts of any length are encoded whole; memory grows with a
+text's segments, and segments of over ``CACHE_CHARS`` characters aren't kept.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

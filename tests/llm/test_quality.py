@@ -37,27 +37,64 @@ def test_one_label_or_none(spark, docs):
     assert {round(r.score, 6) for r in quality.features(docs, nothing).collect()} == {0.5}
 
 
+def plain_feature(raw, model):
+    """Sizes compressed piece by piece, each with a compressor of its own."""
+    import zstandard
+
+    size = {}
+    for name, data in (("good", model.good), ("bad", model.bad)):
+        size[name] = 0
+        for i in range(0, len(raw), quality.PIECE):
+            held = zstandard.ZstdCompressionDict(data)
+            held.precompute_compress(level=quality.LEVEL)
+            size[name] += len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[i : i + quality.PIECE]))
+    return (size["bad"] - size["good"] + quality.WEIGHT * model.prior) / (len(raw) + quality.WEIGHT)
+
+
 def test_features_match_brute_force(spark, sf01):
-    """Sizes compressed piece by piece with fresh compressors, and the logistic score of their difference."""
     import math
 
-    import zstandard
-
     docs, labels = table(spark, sf01, "documents"), table(spark, sf01, "labels")
     model = quality.fit_documents(docs, labels)
     own = {r.doc_id: r.text for r in docs.where("doc_id < 60").collect()} | {-1: None, -2: "", -3: "a"}
     frame = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     for r in quality.features(frame, model).collect():
-        raw = (own[r.tag] or "").encode()
-        size = {}
-        for name, data in (("good", model.good), ("bad", model.bad)):
-            held = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False, write_checksum=False, write_dict_id=False)
-            size[name] = sum(len(held.compress(raw[i : i + quality.PIECE])) for i in range(0, len(raw), quality.PIECE))
-        feature = (size["bad"] - size["good"] + quality.WEIGHT * model.prior) / (len(raw) + quality.WEIGHT)
-        assert abs(r.feature - feature) < 0.02 and abs(r.score - 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * r.feature + model.offset))))) < 1e-9
+        feature = plain_feature((own[r.tag] or "").encode(), model)
+        assert r.feature == feature and abs(r.score - 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * feature + model.offset))))) < 1e-12
         assert r.tag not in (-1, -2) or abs(r.feature - model.prior) < 1e-12
 
 
+def test_fit_is_that_of_a_plain_one(spark, sf01):
+    """Samples, prior and curve from the labels that may be learned from, in plain Python."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    docs, labels = table(spark, sf01, "documents"), table(spark, sf01, "labels")
+    model = quality.fit_documents(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    learn = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert max(list(learn.values()).count(q) for q in (0, 1)) <= quality.TEXTS  # all are in the sample
+    pieces = {0: [], 1: []}
+    for doc_id, q in learn.items():
+        raw = (texts.get(doc_id) or "").encode()
+        if zlib.crc32(str(doc_id).encode()) % 4 != 3:
+            pieces[q] += [(xxhash.xxh64_intdigest(p) >> 1, p) for p in (raw[i : i + quality.PIECE] for i in range(0, len(raw), quality.PIECE))]
+    good, bad = ([p for _, p in sorted(pieces[q])[: quality.PIECES]] for q in (1, 0))
+    assert model.good == quality.dictionary(good) and model.bad == quality.dictionary(bad)
+    curve = [(plain_feature((texts[i] or "").encode(), quality.Model(model.good, model.bad)), q, len((texts[i] or "").encode())) for i, q in sorted(learn.items()) if texts.get(i) and zlib.crc32(str(i).encode()) % 4 == 3]
+    assert abs(model.prior - max(0.0, float(np.quantile([f for f, q, _ in curve if q == 1], 0.25)))) < 1e-12
+    x = np.array([f + quality.WEIGHT * model.prior / (n + quality.WEIGHT) for f, _, n in curve])
+    y = np.array([q for _, q, _ in curve], float)
+    share = [list(learn.values()).count(q) for q in (1, 0)]
+    offset = model.offset - math.log((share[0] / share[1]) / (y.sum() / (len(y) - y.sum())))
+    # At the optimum the penalised likelihood's slope is zero in both directions.
+    scale = float(np.std(x))
+    p = 1 / (1 + np.exp(-(model.slope * x + offset)))
+    assert abs((y - p).sum()) < 1e-4 and abs((x / scale * (y - p)).sum() - 1e-3 * len(x) * model.slope * scale) < 1e-4
+
+
 def test_clashing_columns(spark, clashing, rows, sf01):
     model = quality.fit_documents(table(spark, sf01, "documents"), table(spark, sf01, "labels"))
     assert quality.features(clashing, model).count() == len(rows)
