@@ -72,7 +72,7 @@ def no_nan(x) -> Column:
 
 def signed(x, digits: int = 1) -> Column:
     """A number with its sign, and a dash for null."""
-    return F.coalesce(F.format_string(f"%+.{digits}f", col(x)), F.lit("-"))
+    return F.when(col(x).isNotNull(), F.format_string(f"%+.{digits}f", col(x))).otherwise("-")
 
 
 def star(p, level: float = 0.05) -> Column:

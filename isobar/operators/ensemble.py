@@ -49,3 +49,42 @@ def ensemble_quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def complete_members(rows: DataFrame, member: list[str], variable: str, needed: list[str]) -> DataFrame:
     """Members that have every needed variable."""
     return rows.where(F.col(variable).isin(*needed)).groupBy(*member).agg(F.count_distinct(variable).alias("_n")).where(F.col("_n") == len(set(needed))).drop("_n")
+
+
+def weighted_stats(members: DataFrame, observed: DataFrame, by: list[str], value: str = "value", w: str = "w", obs: str = "obs") -> DataFrame:
+    """Weighted mean, 5 and 95 % quantiles, and the share of weight and number of members at least as extreme as the observation.
+
+    Extreme is counted on the side of the weighted mean that the observation is
+    on; weights need not sum to one.
+    """
+    total = F.sum(w).over(Window.partitionBy(*by))
+    both = members.join(observed, by).withColumn("_mean", F.sum(F.col(w) * F.col(value)).over(Window.partitionBy(*by)) / total)
+    beyond = F.when(F.col(obs) >= F.col("_mean"), F.col(value) >= F.col(obs)).otherwise(F.col(value) <= F.col(obs))
+    out = both.groupBy(*by).agg(F.first("_mean").alias("weighted_mean"), F.first(obs).alias(obs), (F.sum(F.when(beyond, F.col(w)).otherwise(0.0)) / F.sum(w)).alias("extreme"), F.count_if(beyond).alias("n_extreme"))
+    for q in (0.05, 0.95):
+        out = out.join(weighted_quantile(members, by, value, w, q).withColumnRenamed("quantile", f"p{round(100 * q):02d}"), by)
+    return out
+
+
+def drop_empty_models(rows: DataFrame, model: str, value: str) -> DataFrame:
+    """Rows of models that have a value other than 0 (null and NaN count as 0)."""
+    held = rows.groupBy(model).agg(F.max(F.coalesce(F.abs(F.nanvl(F.col(value).cast("double"), F.lit(0.0))), F.lit(0.0))).alias("_most")).where("_most > 0").select(F.col(model).alias("_model"))
+    return rows.join(held, F.col(model).eqNullSafe(F.col("_model")), "left_semi")
+
+
+def value_lists(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Each key's values as one array in the order of ``order`` (a member's number; a key has as many values as members)."""
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))
+
+
+def zip_rows(left: DataFrame, right: DataFrame, by: list[str], left_order: str, right_order: str) -> DataFrame:
+    """Rows of two series side by side by their position in each ``by`` (a series of times).
+
+    ValueError if a key's series differ in length.
+    """
+    place = lambda df, order: df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    sizes = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_a")).join(right.groupBy(*by).agg(F.count(F.lit(1)).alias("_b")), by, "full")
+    bad = sizes.where("NOT (_a <=> _b)").limit(5).collect()
+    if bad:
+        raise ValueError(f"series of different lengths: {bad}")
+    return place(left, left_order).join(place(right, right_order).drop(right_order), [*by, "_place"]).drop("_place")

@@ -128,6 +128,22 @@ def cell_area(lat, dlat, dlon) -> Column:
     return col(dlat) * KM_PER_DEGREE * col(dlon) * KM_PER_DEGREE * F.cos(F.radians(col(lat)))
 
 
+#: Pressure thickness in Pa of three fixed levels (250, 500, 850 hPa) by the trapezoid rule (fixed values).
+THREE_LEVELS = (12500.0, 30000.0, 17500.0)
+
+
+def three_level_integral(cells: DataFrame, keys: list[str], level: str, places: dict[float, int], value: str) -> DataFrame:
+    """Mass-weighted integral over three fixed levels; keys that lack a level are left out.
+
+    places: {level: its place in ``THREE_LEVELS``}; repeated cells of a key and
+    level count with their mean.
+    """
+    weight = F.coalesce(*[F.when(F.col(level) == p, F.lit(THREE_LEVELS[i])) for p, i in places.items()])
+    means = cells.where(F.col(level).isin(*places)).groupBy(*keys, level).agg(F.avg(value).alias(value))
+    out = means.groupBy(*keys).agg((F.sum(F.col(value) * weight) / G).alias(value), F.count(value).alias("_n"))
+    return out.where(F.col("_n") == len(places)).drop("_n")
+
+
 # --- climatology --------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("field_queries", "event_queries", "statistics_queries", "join_queries", "report_queries", "extra_queries", "model_queries", "attribution_queries")
+_MODULES = ("field_queries", "event_queries", "statistics_queries", "join_queries", "report_queries", "extra_queries", "model_queries", "attribution_queries", "table_queries")
 
 
 def _each(name: str) -> dict:

@@ -109,6 +109,14 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("w")[0].cast("int").alias("year"), F.col("w")[1].try_cast("int").alias("month"), F.col("w")[2].try_cast("double").alias("value")).where("value IS NOT NULL")
 
 
+def read_oni(spark: SparkSession, path: str) -> DataFrame:
+    """(year, value): yearly means of the last column of text rows "season year total anomaly"; the heading and other rows go."""
+    words = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(words.alias("w")).where(F.size("w") == 4)
+    parsed = rows.select(F.col("w")[1].try_cast("int").alias("year"), F.col("w")[3].try_cast("double").alias("value"))
+    return parsed.where("year IS NOT NULL AND value IS NOT NULL").groupBy("year").agg(F.avg("value").alias("value"))
+
+
 def complete_columns(cells: DataFrame, keys: list[str], years: tuple[int, int], least_points: int = 4, most_missing: float = 0.25, weight: str = "w") -> DataFrame:
     """Members whose columns may be used: all years there, enough valid points, not too much of their weight missing.
 
