@@ -14,7 +14,7 @@ from isobar.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: Thresholds that leave nothing on the smallest tables.
-MAY_BE_EMPTY = {"q_ensemble_stats"}
+MAY_BE_EMPTY = {"q_ensemble_stats", "q_mode_patterns"}
 
 
 @pytest.fixture(scope="session")
