@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isobar.functions.scalars import edge
+from isobar.functions.scalars import G, edge
+from isobar.operators import decomposition as dec
 from isobar.operators import ensemble, grid, training
 from isobar.plans.base import CELLS_SQL, WINDOWS, WINDOWS_SQL, YEARLY_SQL, cells, r, read, yearly
 from isobar.plans.statistics_queries import _MEM, _members
@@ -76,11 +77,60 @@ def q_sensitivity_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.sensitivity_lines(rows.withColumn("value", edge("value", 3)), "corridor", "name", [2, 3]).select("corridor", "base_start", F.col("value").alias("line"))
 
 
-_F = (q_weighted_stats, q_member_lists, q_zip_series, q_sorted_terms, q_synoptic_steps, q_window_composites, q_three_levels, q_sensitivity_lines)
+#: Levels that the members have: observations are reduced to the same ones.
+MEMBER_LEVELS = (200, 400, 600)
+
+
+def _member_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Level terms of six members (orders by number) and of all rows (member -1), over the members' levels, with the warming of each."""
+    rows = read(spark, d, "lineitem").where((100 * F.col("l_linenumber")).isin(*MEMBER_LEVELS))
+    rows = rows.select(
+        F.explode(F.array((F.col("l_orderkey") % 6).cast("int"), F.lit(-1))).alias("member"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), (F.col("l_suppkey") % 5).cast("int").alias("corridor"),
+        (F.col("l_partkey") % 4).cast("int").alias("cell"), (100 * F.col("l_linenumber")).cast("double").alias("p"), F.col("l_discount").alias("q"), F.col("l_quantity").alias("u"), F.col("l_tax").alias("v"),
+    )
+    months = rows.groupBy("member", "corridor", "cell", "year", "month", "p").agg(*[F.avg(c).alias(c) for c in ("q", "u", "v")], *[F.avg(F.col("q") * F.col(c)).alias(f"q{c}") for c in ("u", "v")])
+    late = F.col("year") > 1997
+    mean = lambda x: x.groupBy("member", "corridor", "cell", "month", "p").agg(*[F.avg(c).alias(c) for c in ("q", "u", "v", "qu", "qv")]).withColumn("w", F.lit(100.0) / G).withColumn("aw", (F.col("cell") + 1) / 10.0)
+    terms = dec.level_terms(mean(months.where(~late)), mean(months.where(late)), ["member", "corridor"])
+    warming = months.groupBy("member").agg((100 * (F.avg(F.when(late, F.col("v"))) - F.avg(F.when(~late, F.col("v"))))).alias("warming"))
+    return terms.join(F.broadcast(warming), "member")  # a row a member
+
+
+def q_member_level_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each member and corridor, and the total per kelvin of the member's warming."""
+    out = _member_terms(spark, d)
+    return out.select("member", "corridor", *[edge(c).alias(c) for c in ("moist", "wind", "cov", "trans", "total")], edge("warming").alias("warming"), edge(F.try_divide("total", "warming"), 3).alias("per_kelvin"))
+
+
+def q_member_detection(spark: SparkSession, d: str) -> DataFrame:
+    """Observed terms, reduced to the members' levels, against the members."""
+    long = _member_terms(spark, d).unpivot(["member", "corridor"], ["wind", "moist", "total"], "term", "value")
+    observed = long.where("member = -1").select("corridor", "term", F.col("value").alias("obs"))
+    out = ensemble.ensemble_stats(long.where("member >= 0"), observed, ["corridor", "term"])
+    return out.select("corridor", "term", "n", *[edge(c).alias(c) for c in ("mean", "sd", "obs", "extreme", "low", "high", "z")])
+
+
+_F = (q_member_level_terms, q_member_detection, q_weighted_stats, q_member_lists, q_zip_series, q_sorted_terms, q_synoptic_steps, q_window_composites, q_three_levels, q_sensitivity_lines)
 QUERIES = {f.__name__: f for f in _F}
 
 _W = "w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY term, model) AS w FROM mem)"
+_PAIRS = {"base": "a.q{c}", "later": "b.q{c}", "moist": "a.{c} * (b.q - a.q)", "wind": "a.q * (b.{c} - a.{c})", "cov": "(b.q - a.q) * (b.{c} - a.{c})", "trans": "((b.q{c} - a.q{c}) - (b.q * b.{c} - a.q * a.{c}))"}
+_MEMBER_TERMS = f"""x AS (SELECT unnest([CAST(l_orderkey % 6 AS INTEGER), -1]) AS member, year(l_shipdate) AS yr, month(l_shipdate) AS mo, CAST(l_suppkey % 5 AS INTEGER) AS y, CAST(l_partkey % 4 AS INTEGER) AS x, l_linenumber AS p, l_discount AS q, l_quantity AS u, l_tax AS v
+  FROM lineitem WHERE 100 * l_linenumber IN {MEMBER_LEVELS}),
+mm AS (SELECT member, y, x, yr, mo, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(q * u) AS qu, avg(q * v) AS qv FROM x GROUP BY member, y, x, yr, mo, p),
+a AS (SELECT member, y, x, mo, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(qu) AS qu, avg(qv) AS qv FROM mm WHERE yr <= 1997 GROUP BY member, y, x, mo, p),
+b AS (SELECT member, y, x, mo, p, avg(q) AS q, avg(u) AS u, avg(v) AS v, avg(qu) AS qu, avg(qv) AS qv FROM mm WHERE yr > 1997 GROUP BY member, y, x, mo, p),
+c AS (SELECT a.member, a.y, a.x, a.mo, {', '.join(f'sum(100.0 / {G} * {e.format(c=c)}) AS {n}_{c}' for c in 'uv' for n, e in _PAIRS.items())} FROM a JOIN b USING (member, y, x, mo, p) GROUP BY a.member, a.y, a.x, a.mo),
+e AS (SELECT *, sqrt(base_u * base_u + base_v * base_v) AS s, (x + 1) / 10.0 AS aw FROM c),
+n AS (SELECT member, y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in _PAIRS)} FROM e GROUP BY member, y, mo),
+t AS (SELECT member, y AS corridor, {', '.join(f'avg({t}) AS {t}' for t in ('moist', 'wind', 'cov', 'trans'))}, avg(later) - avg(base) AS total FROM n GROUP BY member, y),
+k AS (SELECT member, 100 * (avg(v) FILTER (yr > 1997) - avg(v) FILTER (yr <= 1997)) AS warming FROM mm GROUP BY member)"""
 ORACLE = {
+    "q_member_level_terms": f"WITH {_MEMBER_TERMS} SELECT member, corridor, {', '.join(f'{r(c)} AS {c}' for c in ('moist', 'wind', 'cov', 'trans', 'total', 'warming'))}, round(total / warming + 0.000000001, 3) AS per_kelvin FROM t JOIN k USING (member)",
+    "q_member_detection": f"""WITH {_MEMBER_TERMS}, l AS (UNPIVOT (SELECT member, corridor, wind, moist, total FROM t) ON wind, moist, total INTO NAME term VALUE value),
+o AS (SELECT corridor, term, value AS obs FROM l WHERE member = -1), m AS (SELECT corridor, term, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n, min(value) AS low, max(value) AS high FROM l WHERE member >= 0 GROUP BY corridor, term),
+f AS (SELECT l.corridor, l.term, avg(CASE WHEN (CASE WHEN obs >= mean THEN value >= obs ELSE value <= obs END) THEN 1.0 ELSE 0.0 END) AS extreme FROM l JOIN o USING (corridor, term) JOIN m USING (corridor, term) WHERE member >= 0 GROUP BY l.corridor, l.term)
+SELECT corridor, term, n, {', '.join(f'{r(c)} AS {c}' for c in ('mean', 'sd', 'obs', 'extreme', 'low', 'high'))}, {r('(obs - mean) / sd')} AS z FROM m JOIN o USING (corridor, term) JOIN f USING (corridor, term)""",
     "q_weighted_stats": f"""WITH {_MEM}, {_W}, o AS (SELECT l_returnflag AS term, avg(l_extendedprice) - 38000 + 400 AS obs FROM lineitem GROUP BY 1), m AS (SELECT term, sum(w * value) / sum(w) AS mean, sum(w) AS total FROM w GROUP BY term),
 b AS (SELECT w.*, obs, mean, total, CASE WHEN obs >= mean THEN value >= obs ELSE value <= obs END AS beyond FROM w JOIN o USING (term) JOIN m USING (term)), c AS (SELECT term, value, sum(w) OVER (PARTITION BY term ORDER BY value RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY term) AS c FROM w),
 q AS (SELECT term, min(value) FILTER (c >= 0.05 - 1e-12) AS p05, min(value) FILTER (c >= 0.95 - 1e-12) AS p95 FROM c GROUP BY term)
