@@ -48,7 +48,7 @@ from isobar.llm.text import batches, table
 #: Folder of the public vocabulary files, and the model in it.
 TOKENIZERS, MODEL = os.environ.get("ISOBAR_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model"
 #: Segments that a task keeps, those up to so many characters, and pairs.
-CACHE, CACHE_CHARS, PAIRS = 400_000, 48, 1_000_000
+CACHE, CACHE_CHARS, PAIRS = 200_000, 48, 300_000
 BLANK = "▁"
 
 
