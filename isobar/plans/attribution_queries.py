@@ -108,10 +108,10 @@ _SERIES = f"s AS (SELECT y AS corridor, (yr - 1992) * 12 + mo AS m, avg(val) AS
 
 
 def _p_sql(t: str, df: str) -> str:
-    """Two-sided tail of Student's t: Simpson's rule over the density up to |t|."""
+    """Two-sided tail of Student's t: Simpson's rule over the angle, t being sqrt(df) times its tangent."""
     n = 2000
-    f = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs({t}) * i / {n}, 2) / ({df}), -(({df}) + 1) / 2.0)"
-    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * abs({t}) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: {f})))"
+    f = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(atan(abs({t}) / sqrt({df})) * i / {n}), ({df}) - 1)"
+    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * atan(abs({t}) / sqrt({df})) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: {f})))"
 
 
 (_A0, _A1), (_B0, _B1) = INDEX_WINDOWS
