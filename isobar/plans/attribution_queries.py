@@ -121,26 +121,33 @@ ix AS (SELECT yr, avg(q) AS i1, avg(u) FILTER (x < 2) AS i2 FROM ({CELLS_SQL}) G
 g AS (SELECT corridor, yr, v, i1, i2, (yr - avg(yr) OVER w) / 10 AS t FROM yv JOIN ix USING (yr) WINDOW w AS (PARTITION BY corridor)),
 dl AS (SELECT *, i1 - regr_intercept(i1, t) OVER w - regr_slope(i1, t) OVER w * t AS d1, i2 - regr_intercept(i2, t) OVER w - regr_slope(i2, t) OVER w * t AS d2 FROM g WINDOW w AS (PARTITION BY corridor)),
 z AS (SELECT corridor, yr, v, i1, i2, t, d1 / stddev_samp(d1) OVER w AS z1, d2 / stddev_samp(d2) OVER w AS z2 FROM dl WINDOW w AS (PARTITION BY corridor)),
-f AS (SELECT corridor, count(*) AS n, avg(v) AS b0, regr_slope(v, t) AS bt, sum(t * t) AS tt, sum(z1 * z1) AS aa, sum(z2 * z2) AS bb, sum(z1 * z2) AS ab, sum(z1 * v) AS av, sum(z2 * v) AS bv, corr(v, i1) AS c1, corr(v, i2) AS c2 FROM z GROUP BY corridor),
+f AS (SELECT corridor, count(*) AS n, avg(v) AS b0, regr_slope(v, t) AS bt, sum(t * t) AS tt, sum(z1 * z1) AS aa, sum(z2 * z2) AS bb, sum(z1 * z2) AS ab, sum(z1 * v) AS av, sum(z2 * v) AS bv, corr(v, i1) AS c1, corr(v, i2) AS c2
+  FROM z GROUP BY corridor),
 h AS (SELECT *, aa * bb - ab * ab AS det, (av * bb - bv * ab) / (aa * bb - ab * ab) AS b1, (bv * aa - av * ab) / (aa * bb - ab * ab) AS b2 FROM f),
 e AS (SELECT z.corridor, yr, v, b0, b1 * z1 + b2 * z2 AS part, v - b0 - bt * t - b1 * z1 - b2 * z2 AS e FROM z JOIN h USING (corridor)),
 le AS (SELECT *, lead(e) OVER (PARTITION BY corridor ORDER BY yr) AS e1 FROM e),
 o AS (SELECT corridor, corr(e, e1) AS r1, sum(e * e) AS ee, 1 - var_pop(e) / var_pop(v) AS r2_full, 1 - var_pop(v - part - b0) / var_pop(v) AS r2_indices,
-  avg(v) FILTER (yr BETWEEN {_B0} AND {_B1}) - avg(v) FILTER (yr BETWEEN {_A0} AND {_A1}) AS diff_raw, avg(v - part) FILTER (yr BETWEEN {_B0} AND {_B1}) - avg(v - part) FILTER (yr BETWEEN {_A0} AND {_A1}) AS diff_index_removed FROM le GROUP BY corridor),
+  avg(v) FILTER (yr BETWEEN {_B0} AND {_B1}) - avg(v) FILTER (yr BETWEEN {_A0} AND {_A1}) AS diff_raw, avg(v - part) FILTER (yr BETWEEN {_B0} AND {_B1}) - avg(v - part) FILTER (yr BETWEEN {_A0} AND {_A1}) AS diff_index_removed
+  FROM le GROUP BY corridor),
 q AS (SELECT *, least(greatest(n * (1 - r1) / (1 + r1), 6), greatest(n, 6)) AS n_eff FROM h JOIN o USING (corridor)),
-u AS (SELECT *, unnest(['const', 'trend_per_decade', 'i1', 'i2']) AS label, unnest([b0, bt, b1, b2]) AS coef, unnest([1 / CAST(n AS DOUBLE), 1 / tt, bb / det, aa / det]) AS inv, unnest([NULL, NULL, c1, c2]) AS corr FROM q),
+u AS (SELECT *, unnest(['const', 'trend_per_decade', 'i1', 'i2']) AS label, unnest([b0, bt, b1, b2]) AS coef, unnest([1 / CAST(n AS DOUBLE), 1 / tt, bb / det, aa / det]) AS inv, unnest([NULL, NULL, c1, c2]) AS corr
+  FROM q),
 k AS (SELECT *, sqrt(ee / (n_eff - 4) * inv * n / n_eff) AS se FROM u)"""
 ORACLE = {
     "q_index_regression": f"""WITH {_INDEX} SELECT corridor, label, {', '.join(f"round({c} + 0.000000001, 4) AS {c}" for c in ('coef', 'se', 'corr', 'n_eff', 'r2_full', 'r2_indices', 'diff_raw', 'diff_index_removed'))}, round(r1 + 0.000000001, 4) AS r1_resid,
   round({_p_sql('coef / se', 'n_eff - 4')} + 0.000000001, 4) AS p, round({_p_sql('corr * sqrt((n - 2) / (1 - corr * corr))', 'n - 2')} + 0.000000001, 4) AS corr_p FROM k""",
-    "q_welch_p": f"""WITH {FLAT_SQL}, w AS (SELECT y, x, {', '.join(f"{f}(val) FILTER ({c}) AS {n}{i}" for i, c in ((0, 'yr <= 1997'), (1, 'yr >= 1999')) for f, n in (('avg', 'm'), ('var_samp', 'v'), ('count', 'n')))} FROM flat GROUP BY y, x),
+    "q_welch_p": f"""WITH {FLAT_SQL}, w AS (SELECT y, x, {', '.join(f"{f}(val) FILTER ({c}) AS {n}{i}" for i, c in ((0, 'yr <= 1997'), (1, 'yr >= 1999')) for f, n in (('avg', 'm'), ('var_samp', 'v'), ('count', 'n')))}
+  FROM flat GROUP BY y, x),
 a AS (SELECT y, x, (m1 - m0) / sqrt(v0 / n0 + v1 / n1) AS t, pow(v0 / n0 + v1 / n1, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1)) AS df FROM w)
 SELECT y, x, {r('t')} AS t, {r('df')} AS df, {r(_p_sql('t', 'df'))} AS p FROM a""",
     "q_corr_p": f"WITH {FLAT_SQL}, c AS (SELECT mo, y, count(*) AS n, corr(val, u) AS r FROM flat WHERE x < 2 GROUP BY mo, y) SELECT mo, y, n, {r('r')} AS r, {r(_p_sql('r * sqrt((n - 2) / (1 - r * r))', 'n - 2'))} AS p FROM c",
     "q_window_evolution": f"""WITH {YEARLY_SQL}, {WINDOWS_SQL}, m AS (SELECT corridor, win, avg(ivt) AS i, avg(iwv) AS w FROM yearly JOIN windows ON yr BETWEEN y0 AND y1 GROUP BY ALL)
-SELECT a.corridor, a.win, {r('a.i')} AS ivt, {r('a.w')} AS iwv, {r('a.i - b.i')} AS d_total, {r('b.i / b.w * (a.w - b.w)')} AS d_thermo, {r('b.w * (a.i / a.w - b.i / b.w)')} AS d_dyn, {r('(a.w - b.w) * (a.i / a.w - b.i / b.w)')} AS d_cov FROM m a JOIN m b USING (corridor) WHERE b.win = 'w1'""",
-    "q_moistening_rate": f"""WITH m AS (SELECT y AS corridor, {', '.join(f"avg({c}) FILTER ({k}) AS {n}{i}" for n, c in (('w', 'u'), ('i', 'val'), ('t', '280 + 100 * v')) for i, k in ((0, 'yr <= 1997'), (1, 'yr >= 1999')))} FROM ({CELLS_SQL}) GROUP BY y)
-SELECT corridor, round(100 * (w1 / w0 - 1) + 0.000000001, 4) AS moist_percent, round(100 * (i1 / i0 - 1) + 0.000000001, 4) AS ivt_percent, round(t1 - t0 + 0.000000001, 4) AS warming, round(100 * (w1 / w0 - 1) / (t1 - t0) + 0.000000001, 4) AS rate, round(7 * (t1 - t0) + 0.000000001, 4) AS expected FROM m""",
+SELECT a.corridor, a.win, {r('a.i')} AS ivt, {r('a.w')} AS iwv, {r('a.i - b.i')} AS d_total, {r('b.i / b.w * (a.w - b.w)')} AS d_thermo, {r('b.w * (a.i / a.w - b.i / b.w)')} AS d_dyn, {r('(a.w - b.w) * (a.i / a.w - b.i / b.w)')} AS d_cov
+  FROM m a JOIN m b USING (corridor) WHERE b.win = 'w1'""",
+    "q_moistening_rate": f"""WITH m AS (SELECT y AS corridor, {', '.join(f"avg({c}) FILTER ({k}) AS {n}{i}" for n, c in (('w', 'u'), ('i', 'val'), ('t', '280 + 100 * v')) for i, k in ((0, 'yr <= 1997'), (1, 'yr >= 1999')))}
+  FROM ({CELLS_SQL}) GROUP BY y)
+SELECT corridor, round(100 * (w1 / w0 - 1) + 0.000000001, 4) AS moist_percent, round(100 * (i1 / i0 - 1) + 0.000000001, 4) AS ivt_percent, round(t1 - t0 + 0.000000001, 4) AS warming, round(100 * (w1 / w0 - 1) / (t1 - t0) + 0.000000001, 4) AS rate, round(7 * (t1 - t0) + 0.000000001, 4) AS expected
+  FROM m""",
     "q_ridge_cv": f"""WITH {_SERIES}, n AS (SELECT corridor, m, vhat AS y, q AS a, iwv AS b, row_number() OVER (PARTITION BY corridor ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY corridor) AS n FROM s),
 f AS (SELECT n.*, k.k FROM n JOIN (SELECT unnest(range(5)) AS k) AS k ON n.i >= n.n * k.k // 5 AND n.i < n.n * (k.k + 1) // 5),
 t AS (SELECT g.corridor, g.k, count(*) AS n, avg(f.y) AS my, avg(f.a) AS ma, avg(f.b) AS mb, var_pop(f.a) * count(*) + 1 AS aa, var_pop(f.b) * count(*) + 1 AS bb, covar_pop(f.a, f.b) * count(*) AS ab, covar_pop(f.a, f.y) * count(*) AS ay, covar_pop(f.b, f.y) * count(*) AS b_y

@@ -145,7 +145,8 @@ def _grid_voxels(spark: SparkSession, d: str, n: int, q: float) -> DataFrame:
 
 
 def _grid_sql(n: int, q: float) -> str:
-    return f"""s AS (SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS it, CAST(l_suppkey % {n} AS INTEGER) AS iy, CAST(l_partkey % {n} AS INTEGER) AS ix, sum(l_quantity) AS s FROM lineitem GROUP BY ALL),
+    return f"""s AS (SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS it, CAST(l_suppkey % {n} AS INTEGER) AS iy, CAST(l_partkey % {n} AS INTEGER) AS ix, sum(l_quantity) AS s
+  FROM lineitem GROUP BY ALL),
 k AS (SELECT it, iy, ix, (it * {n} + iy) * {n} + ix AS id FROM s WHERE s > (SELECT quantile_cont(s, {q}) FROM s))"""
 
 
@@ -212,7 +213,8 @@ def q_cyclic_day(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (q_period_shards, q_entry_event_summary, q_event_table, q_event_footprint, q_event_features, q_event_topo, q_event_precip, q_period_contrast, q_period_bands, q_verdict, q_components_2d, q_components_3d, q_detect_events, q_detect_periods, q_delta_change, q_cyclic_day)}
 
-_TABLE = f"""f AS (SELECT event_id, sum({_AREA}) AS area, avg(lat) FILTER (land > 0.5) AS la, avg(lon) FILTER (land > 0.5) AS lo FROM (SELECT event_id, lat, lon, max(land) AS land FROM vox GROUP BY ALL) GROUP BY event_id),
+_TABLE = f"""f AS (SELECT event_id, sum({_AREA}) AS area, avg(lat) FILTER (land > 0.5) AS la, avg(lon) FILTER (land > 0.5) AS lo
+  FROM (SELECT event_id, lat, lon, max(land) AS land FROM vox GROUP BY ALL) GROUP BY event_id),
 t AS (SELECT event_id, min(ts) AS s, max(ts) AS e, avg(intensity) AS m, max(intensity) AS x, date_diff('second', min(ts), max(ts)) / 3600.0 + 6 AS h FROM vox GROUP BY event_id HAVING count(*) >= 2)"""
 _TAU = 2 * math.pi / 365.25
 _REACH = """RECURSIVE {base}, r AS (SELECT it, id, id AS root, iy, ix FROM k UNION SELECT k.it, k.id, r.root, k.iy, k.ix FROM r JOIN k ON {near}),
@@ -223,7 +225,8 @@ ORACLE = {
 {r("avg((epoch_us(t) - epoch_us(s)) / 1000000.0 / 3600)")} AS mean_duration_h FROM v GROUP BY 1""",
     "q_event_table": f"WITH {_VOX}, {_TABLE} SELECT event_id, s AS start_time, e AS end_time, {r('h')} AS duration_hours, {r('m')} AS mean_intensity, {r('x')} AS max_intensity, {r('area')} AS footprint_area_km2, {r('la')} AS landfall_lat, {r('lo')} AS landfall_lon FROM t JOIN f USING (event_id)",
     "q_event_footprint": f"WITH {_VOX}, {_TABLE} SELECT event_id, {r('area')} AS footprint_area_km2, {r('la')} AS landfall_lat, {r('lo')} AS landfall_lon FROM f",
-    "q_event_features": f"""WITH {_VOX}, a AS (SELECT event_id, avg(l_discount) AS d, avg(l_tax) AS t FROM vox GROUP BY event_id), l AS (SELECT event_id, avg(lat) AS lat FROM (SELECT DISTINCT event_id, lat FROM vox) GROUP BY event_id),
+    "q_event_features": f"""WITH {_VOX}, a AS (SELECT event_id, avg(l_discount) AS d, avg(l_tax) AS t FROM vox GROUP BY event_id), l AS (SELECT event_id, avg(lat) AS lat
+  FROM (SELECT DISTINCT event_id, lat FROM vox) GROUP BY event_id),
 m AS (SELECT event_id, dayofyear(make_timestamp(CAST(floor(avg(epoch_us(ts))) AS BIGINT))) - 1 AS k FROM (SELECT DISTINCT event_id, ts FROM vox) GROUP BY event_id)
 SELECT event_id, {r('d')} AS l_discount, {r('t')} AS l_tax, {r('lat')} AS lat_deg, {r(f'sin({_TAU!r} * k)')} AS doy_sin, {r(f'cos({_TAU!r} * k)')} AS doy_cos FROM a JOIN l USING (event_id) JOIN m USING (event_id)""",
     "q_event_topo": f"""WITH {_VOX}, {_STATIC}, c AS (SELECT event_id, elev FROM (SELECT DISTINCT event_id, lat, lon FROM vox) JOIN st USING (lat, lon)),
@@ -242,13 +245,16 @@ FROM t JOIN f USING (event_id) JOIN p ON s >= a AND s < b GROUP BY period""",
     "q_verdict": f"""WITH {FLAT_SQL}, m AS (SELECT y, yr, avg(val) AS m, quantile_cont(val, 0.25) AS lo, quantile_cont(val, 0.75) AS hi FROM flat GROUP BY y, yr),
 u AS (SELECT y, bool_and(coalesce(up, TRUE)) AS monotone FROM (SELECT y, m >= lag(m) OVER (PARTITION BY y ORDER BY yr) AS up FROM m) GROUP BY y),
 e AS (SELECT y, arg_min(lo, yr) AS lo0, arg_min(hi, yr) AS hi0, arg_max(lo, yr) AS lo1, arg_max(hi, yr) AS hi1 FROM m GROUP BY y), s AS (SELECT y, monotone, lo1 > hi0 OR lo0 > hi1 AS separate FROM u JOIN e USING (y)),
-t AS (SELECT y, coalesce(bool_or(lo > ph OR pl > hi), FALSE) AS any_separate, arg_max(m, yr) - arg_min(m, yr) AS change FROM (SELECT *, lag(lo) OVER (PARTITION BY y ORDER BY yr) AS pl, lag(hi) OVER (PARTITION BY y ORDER BY yr) AS ph FROM m) GROUP BY y)
-SELECT y, monotone, separate, any_separate, {r('change')} AS change, CASE WHEN monotone AND separate THEN 'INTENSIFIED' WHEN NOT any_separate AND abs(change) < 5 THEN 'FLAT' ELSE 'MIXED' END AS verdict FROM s JOIN t USING (y)""",
+t AS (SELECT y, coalesce(bool_or(lo > ph OR pl > hi), FALSE) AS any_separate, arg_max(m, yr) - arg_min(m, yr) AS change
+  FROM (SELECT *, lag(lo) OVER (PARTITION BY y ORDER BY yr) AS pl, lag(hi) OVER (PARTITION BY y ORDER BY yr) AS ph FROM m) GROUP BY y)
+SELECT y, monotone, separate, any_separate, {r('change')} AS change, CASE WHEN monotone AND separate THEN 'INTENSIFIED' WHEN NOT any_separate AND abs(change) < 5 THEN 'FLAT' ELSE 'MIXED' END AS verdict
+  FROM s JOIN t USING (y)""",
     "q_components_2d": "WITH " + _REACH.format(base=_grid_sql(12, 0.75), near="k.it = r.it AND abs(k.iy - r.iy) <= 1 AND abs(k.ix - r.ix) <= 1") + """
 SELECT it, CAST(dense_rank() OVER (PARTITION BY it ORDER BY root) AS INTEGER) AS part, n, root % 144 AS first FROM (SELECT k.it, l.root, count(*) AS n FROM k JOIN l USING (id) GROUP BY ALL)""",
     "q_components_3d": "WITH " + _REACH.format(base=_grid_sql(12, 0.94), near="abs(k.it - r.it) <= 1 AND abs(k.iy - r.iy) <= 1 AND abs(k.ix - r.ix) <= 1") + """
 SELECT CAST(l.root AS BIGINT) AS part, count(*) AS n, min(k.it) AS first, max(k.it) AS last FROM k JOIN l USING (id) GROUP BY 1""",
-    "q_delta_change": f"""WITH {FLAT_SQL}, h AS (SELECT mo, y, x, avg(u) AS u FROM flat WHERE yr BETWEEN 1996 AND 1997 GROUP BY ALL), f AS (SELECT mo, y, x, avg(u) AS u FROM flat WHERE yr BETWEEN 1999 AND 2000 GROUP BY ALL)
+    "q_delta_change": f"""WITH {FLAT_SQL}, h AS (SELECT mo, y, x, avg(u) AS u FROM flat WHERE yr BETWEEN 1996 AND 1997 GROUP BY ALL), f AS (SELECT mo, y, x, avg(u) AS u
+  FROM flat WHERE yr BETWEEN 1999 AND 2000 GROUP BY ALL)
 SELECT b.mo, b.y, b.x, {r('b.u + f.u - h.u')} AS u FROM flat b JOIN h USING (mo, y, x) JOIN f USING (mo, y, x) WHERE b.yr = 1995""",
     "q_cyclic_day": f"SELECT CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, count(*) AS n, {r(f'avg(sin({_TAU!r} * dayofyear(o_orderdate)))')} AS doy_sin, {r(f'avg(cos({_TAU!r} * dayofyear(o_orderdate)))')} AS doy_cos FROM orders GROUP BY 1",
 }

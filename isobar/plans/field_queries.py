@@ -147,7 +147,8 @@ SELECT y, x, {r('w / nullif(sum(w) OVER (PARTITION BY y), 0)')} AS aw FROM p""",
     "q_weighted_active_mean": f"""WITH {FLAT_SQL}, l AS (SELECT yr, quantile_cont(val, 0.6) AS lim FROM flat GROUP BY yr)
 SELECT yr, {r('sum(CASE WHEN val > lim THEN q * val ELSE 0 END) / sum(CASE WHEN val > lim THEN val ELSE 0 END)')} AS q_active FROM flat JOIN l USING (yr) GROUP BY yr""",
     "q_clim_quantile": f"SELECT mo, y, x, {r('quantile_cont(val, 0.85)')} AS clim FROM ({CELLS_SQL}) GROUP BY mo, y, x",
-    "q_clim_mean_anomaly": f"""WITH {FLAT_SQL} SELECT yr, mo, y, x, {r('u - avg(u) OVER w')} AS anom, {r('(u - avg(u) OVER w) / nullif(stddev_pop(u) OVER w, 0)')} AS anom_norm FROM flat WINDOW w AS (PARTITION BY mo, y, x)""",
+    "q_clim_mean_anomaly": f"""WITH {FLAT_SQL} SELECT yr, mo, y, x, {r('u - avg(u) OVER w')} AS anom, {r('(u - avg(u) OVER w) / nullif(stddev_pop(u) OVER w, 0)')} AS anom_norm
+  FROM flat WINDOW w AS (PARTITION BY mo, y, x)""",
     "q_six_hour_sum": f"SELECT event_type, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS start, {r('sum(value)')} AS value FROM events GROUP BY 1, 2",
     "q_threshold_mask": f"""WITH {FLAT_SQL}, c AS (SELECT mo, y, x, quantile_cont(u, 0.85) AS clim FROM flat GROUP BY mo, y, x)
 SELECT yr, mo, y, x, {r('greatest(clim, 26.0)')} AS "limit", u > greatest(clim, 26.0) AS exceeds FROM flat JOIN c USING (mo, y, x)""",

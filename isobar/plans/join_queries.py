@@ -148,7 +148,8 @@ QUERIES = {f.__name__: f for f in _F}
 
 _SC = "s AS (SELECT l_orderkey % 5 AS fold, l_quantity AS y, 0.8 * l_quantity + 100 * l_discount AS pred, l_quantity * 0.7 AS lo, l_quantity * 0.9 + 60 * l_tax AS hi FROM lineitem)"
 ORACLE = {
-    "q_nearest_tolerance": f"""WITH l AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events WHERE event_type = 'click'), e AS (SELECT event_id AS near_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events WHERE event_type = 'error'),
+    "q_nearest_tolerance": f"""WITH l AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events
+  WHERE event_type = 'click'), e AS (SELECT event_id AS near_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events WHERE event_type = 'error'),
 n AS (SELECT l.event_id, e.near_id, abs(l.s - e.s) AS gap, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.s - e.s), e.s) AS k FROM l JOIN e ON l.user_id = e.user_id AND abs(l.s - e.s) <= 7200)
 SELECT l.event_id, n.near_id, {r('n.gap')} AS gap FROM l LEFT JOIN n ON l.event_id = n.event_id AND n.k = 1""",
     "q_nearest_point": """WITH t AS (SELECT DISTINCT floor(c_acctbal / 250) AS target FROM customer), s AS (SELECT DISTINCT floor(s_acctbal / 250) AS source FROM supplier)
@@ -159,28 +160,40 @@ SELECT yr, {r('ty')} AS y, {r('tx')} AS x, {r('val')} AS val FROM w WHERE s > 1
     "q_conservative": f"""WITH {FLAT_SQL}, p AS (SELECT yr, y, x, avg(val) AS val FROM flat GROUP BY yr, y, x), t AS (SELECT CAST(i // 2 AS DOUBLE) * 1.6 AS a, CAST(i % 2 AS DOUBLE) * 1.9 AS b FROM range(6) r(i)),
 w AS (SELECT yr, a, b, val, greatest(least(a + 1.6, y + 1.0) - greatest(a, y), 0) * greatest(least(b + 1.9, x + 1.0) - greatest(b, x), 0) AS k FROM p, t)
 SELECT yr, {r('a')} AS y_lo, {r('b')} AS x_lo, {r('sum(val * k) / sum(k)')} AS val FROM w WHERE k > 0 GROUP BY yr, a, b""",
-    "q_merge_override": f"""WITH {FLAT_SQL}, a AS (SELECT mo, y, x, avg(u) AS u, avg(v) AS v FROM flat WHERE yr <= 1998 AND x < 3 GROUP BY ALL), b AS (SELECT mo, y, x, avg(u) AS u, avg(q) AS q FROM flat WHERE yr >= 1998 AND x > 0 GROUP BY ALL)
+    "q_merge_override": f"""WITH {FLAT_SQL}, a AS (SELECT mo, y, x, avg(u) AS u, avg(v) AS v FROM flat WHERE yr <= 1998 AND x < 3
+  GROUP BY ALL), b AS (SELECT mo, y, x, avg(u) AS u, avg(q) AS q FROM flat WHERE yr >= 1998 AND x > 0 GROUP BY ALL)
 SELECT mo, y, x, {r('coalesce(a.u, b.u)')} AS u, {r('a.v')} AS v, {r('b.q')} AS q FROM a FULL JOIN b USING (mo, y, x)""",
-    "q_align_inner": f"""WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(month(o_orderdate) AS INTEGER) AS mo, avg(o_totalprice) AS price FROM orders GROUP BY 1, 2), e AS (SELECT yr, mo, avg(u) AS u FROM ({CELLS_SQL}) GROUP BY yr, mo)
+    "q_align_inner": f"""WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(month(o_orderdate) AS INTEGER) AS mo, avg(o_totalprice) AS price FROM orders
+  GROUP BY 1, 2), e AS (SELECT yr, mo, avg(u) AS u FROM ({CELLS_SQL}) GROUP BY yr, mo)
 SELECT yr, mo, {r('price')} AS price, {r('u')} AS u FROM o JOIN e USING (yr, mo)""",
-    "q_buffer_anti": """WITH p AS (SELECT c_custkey, 25 + c_custkey % 353 / 10.0::DOUBLE AS lat, 210 + c_custkey % 401 / 10.0::DOUBLE AS lon FROM customer), b AS (SELECT DISTINCT 27.5::DOUBLE + n_nationkey % 7 * 5 AS bl, 212.5::DOUBLE + n_nationkey % 8 * 5 AS bo FROM nation WHERE n_nationkey % 5 = 0)
+    "q_buffer_anti": """WITH p AS (SELECT c_custkey, 25 + c_custkey % 353 / 10.0::DOUBLE AS lat, 210 + c_custkey % 401 / 10.0::DOUBLE AS lon
+  FROM customer), b AS (SELECT DISTINCT 27.5::DOUBLE + n_nationkey % 7 * 5 AS bl, 212.5::DOUBLE + n_nationkey % 8 * 5 AS bo FROM nation WHERE n_nationkey % 5 = 0)
 SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE sqrt(power(greatest(abs(lat - bl) - 2.5, 0), 2) + power(greatest(abs(lon - bo) - 2.5, 0), 2)) < 1.0)""",
-    "q_member_sets": """WITH x AS (SELECT l_suppkey, year(l_shipdate) AS yr, l_returnflag AS f, l_linestatus AS s FROM lineitem), w AS (SELECT l_suppkey, yr FROM x WHERE f IN ('A', 'N', 'R') GROUP BY ALL HAVING count(DISTINCT f) = 3),
+    "q_member_sets": """WITH x AS (SELECT l_suppkey, year(l_shipdate) AS yr, l_returnflag AS f, l_linestatus AS s FROM lineitem), w AS (SELECT l_suppkey, yr FROM x
+  WHERE f IN ('A', 'N', 'R') GROUP BY ALL HAVING count(DISTINCT f) = 3),
 a AS (SELECT DISTINCT l_suppkey FROM x WHERE yr = 1996 AND s = 'F' AND f = 'A'), b AS (SELECT DISTINCT l_suppkey FROM x WHERE yr = 2000 AND s = 'F' AND f = 'A')
 SELECT l_suppkey, count(*) AS n_years, l_suppkey IN (FROM a) AND l_suppkey NOT IN (FROM b) AS only_1996, l_suppkey IN (FROM a) AND l_suppkey IN (FROM b) AS "both" FROM w GROUP BY l_suppkey""",
     "q_latest_version": "SELECT o_custkey, arg_max(o_orderkey, (epoch_us(o_orderdate), o_orderkey)) AS latest, max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_custkey",
     "q_union_dedupe_first": """WITH x AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v, 1 AS src FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 GROUP BY 1
 UNION ALL SELECT CAST(o_orderdate AS DATE), sum(o_totalprice) * 2, 2 FROM orders WHERE year(o_orderdate) BETWEEN 1997 AND 2001 GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY src) AS k FROM x)
 SELECT day, CAST(src AS INTEGER) AS src, round(v + 0.000000001, 2) AS v FROM k WHERE k = 1""",
-    "q_stratified_sample": """WITH n AS (SELECT count(*) AS a, count(*) FILTER (l_quantity >= 50 AND l_discount >= 0.1) AS p FROM lineitem) SELECT * FROM (SELECT TRUE AS positive, p AS n FROM n UNION ALL SELECT FALSE, least(3 * p, a - p) FROM n) WHERE n > 0""",
-    "q_fold_assignment": """WITH x AS (SELECT l_quantity, CAST(floor((l_suppkey % 353 / 10.0::DOUBLE + 25 - 25) / 5) * 1000 + floor((l_partkey % 401 / 10.0::DOUBLE + 210 - 210) / 5) AS INTEGER) AS block FROM lineitem), b AS (SELECT block, avg(CASE WHEN l_quantity > 45 THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM x GROUP BY block)
+    "q_stratified_sample": """WITH n AS (SELECT count(*) AS a, count(*) FILTER (l_quantity >= 50 AND l_discount >= 0.1) AS p FROM lineitem) SELECT *
+  FROM (SELECT TRUE AS positive, p AS n FROM n UNION ALL SELECT FALSE, least(3 * p, a - p) FROM n) WHERE n > 0""",
+    "q_fold_assignment": """WITH x AS (SELECT l_quantity, CAST(floor((l_suppkey % 353 / 10.0::DOUBLE + 25 - 25) / 5) * 1000 + floor((l_partkey % 401 / 10.0::DOUBLE + 210 - 210) / 5) AS INTEGER) AS block
+  FROM lineitem), b AS (SELECT block, avg(CASE WHEN l_quantity > 45 THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM x GROUP BY block)
 SELECT CAST((row_number() OVER (ORDER BY rate, block) - 1) % 5 AS INTEGER) AS fold, block, n FROM b""",
-    "q_fold_metrics": f"""WITH {_SC}, m AS (SELECT fold, avg((y - pred) * (y - pred)) AS e, var_pop(y) AS v, count(*) FILTER (y > 40 AND pred > 40) AS tp, count(*) FILTER (y <= 40 AND pred > 40) AS fp, count(*) FILTER (y > 40 AND pred <= 40) AS fn FROM s GROUP BY fold),
-k AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS q FROM m) SELECT fold, {r('sqrt(e)')} AS rmse, {r('1 - e / v')} AS r2, {r('p')} AS precision, {r('q')} AS recall, {r('2 * p * q / nullif(p + q, 0)')} AS f1 FROM k""",
+    "q_fold_metrics": f"""WITH {_SC}, m AS (SELECT fold, avg((y - pred) * (y - pred)) AS e, var_pop(y) AS v, count(*) FILTER (y > 40 AND pred > 40) AS tp, count(*) FILTER (y <= 40 AND pred > 40) AS fp, count(*) FILTER (y > 40 AND pred <= 40) AS fn
+  FROM s GROUP BY fold),
+k AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS q
+  FROM m) SELECT fold, {r('sqrt(e)')} AS rmse, {r('1 - e / v')} AS r2, {r('p')} AS precision, {r('q')} AS recall, {r('2 * p * q / nullif(p + q, 0)')} AS f1 FROM k""",
     "q_pinball": f"WITH {_SC} SELECT fold, " + ", ".join(f"{r(f'avg(greatest({a} * (y - {c}), ({a} - 1) * (y - {c})))')} AS {n}" for a, c, n in ((0.05, "lo", "q05"), (0.5, "pred", "q50"), (0.95, "hi", "q95"))) + f", {r('avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END)')} AS coverage FROM s GROUP BY fold",
-    "q_band_bucket": f"""SELECT CASE WHEN lat BETWEEN 25 AND 35 THEN 'south' WHEN lat > 35 AND lat <= 45 THEN 'middle' ELSE 'north' END AS band, count(*) AS n, {r('avg(s)')} AS mean FROM (SELECT 20 + l_quantity AS lat, abs(l_discount) + abs(l_tax) AS s FROM lineitem) WHERE lat BETWEEN 25 AND 60 GROUP BY 1""",
-    "q_region_key": """SELECT p_partkey, regexp_replace(lower(p_name || ' - ' || p_brand), '[^a-z0-9]', '', 'g') AS key, CAST(CASE WHEN p_size % 2 = 0 THEN 1940 ELSE 1950 END + p_size AS INTEGER) AS first, CAST(CASE WHEN p_size % 2 = 0 THEN 1990 ELSE 1950 END + p_size AS INTEGER) AS last FROM part""",
-    "q_missing_values": f"""WITH x AS (SELECT y, mo, CASE WHEN q > 0.02 THEN q END AS q, u, v FROM ({CELLS_SQL})) SELECT y, mo, count(q) AS n, {r('sum(q * u) / sum(CASE WHEN q IS NOT NULL THEN u END)')} AS mean, {r('avg(u / nullif(v, 0))')} AS ratio FROM x GROUP BY y, mo""",
+    "q_band_bucket": f"""SELECT CASE WHEN lat BETWEEN 25 AND 35 THEN 'south' WHEN lat > 35 AND lat <= 45 THEN 'middle' ELSE 'north' END AS band, count(*) AS n, {r('avg(s)')} AS mean
+  FROM (SELECT 20 + l_quantity AS lat, abs(l_discount) + abs(l_tax) AS s FROM lineitem) WHERE lat BETWEEN 25 AND 60 GROUP BY 1""",
+    "q_region_key": """SELECT p_partkey, regexp_replace(lower(p_name || ' - ' || p_brand), '[^a-z0-9]', '', 'g') AS key, CAST(CASE WHEN p_size % 2 = 0 THEN 1940 ELSE 1950 END + p_size AS INTEGER) AS first, CAST(CASE WHEN p_size % 2 = 0 THEN 1990 ELSE 1950 END + p_size AS INTEGER) AS last
+  FROM part""",
+    "q_missing_values": f"""WITH x AS (SELECT y, mo, CASE WHEN q > 0.02 THEN q END AS q, u, v
+  FROM ({CELLS_SQL})) SELECT y, mo, count(q) AS n, {r('sum(q * u) / sum(CASE WHEN q IS NOT NULL THEN u END)')} AS mean, {r('avg(u / nullif(v, 0))')} AS ratio FROM x
+  GROUP BY y, mo""",
     "q_fixed_order": """WITH s AS (SELECT s_nationkey, count(*) AS n, arg_max(s_suppkey, (s_acctbal, s_suppkey)) AS top FROM supplier GROUP BY 1)
 SELECT n_name, coalesce(n, 0) AS n, top, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY coalesce(n, 0) DESC, n_nationkey) AS INTEGER) AS place FROM nation LEFT JOIN s ON n_nationkey = s_nationkey""",
 }

@@ -143,7 +143,8 @@ cube AS (
   UNION ALL SELECT 'delta', {_STAMPED}, iy, ix, {', '.join(f'c.{c} + (f.{c} - p.{c})' for c in _M9)} FROM cells c JOIN past p USING (mo, iy, ix) JOIN future f USING (mo, iy, ix) WHERE yr BETWEEN {PAST[0]} AND {PAST[1]}),
 {_MATRIX},
 k AS (SELECT *, (it * {NY} + iy) * {NX} + ix AS id FROM i WHERE intensity > {THRESHOLD}),
-reach AS (SELECT mode, it, iy, ix, id, id AS root FROM k UNION SELECT k.mode, k.it, k.iy, k.ix, k.id, reach.root FROM reach JOIN k ON k.mode = reach.mode AND abs(k.it - reach.it) <= 1 AND abs(k.iy - reach.iy) <= 1 AND abs(k.ix - reach.ix) <= 1 WHERE k.id > reach.root),
+reach AS (SELECT mode, it, iy, ix, id, id AS root FROM k UNION SELECT k.mode, k.it, k.iy, k.ix, k.id, reach.root FROM reach
+  JOIN k ON k.mode = reach.mode AND abs(k.it - reach.it) <= 1 AND abs(k.iy - reach.iy) <= 1 AND abs(k.ix - reach.ix) <= 1 WHERE k.id > reach.root),
 root AS (SELECT mode, id, min(root) AS root FROM reach GROUP BY mode, id),
 top AS (SELECT r.mode, r.id, min(s.root) AS root FROM root r JOIN root s ON r.mode = s.mode AND r.root = s.id GROUP BY r.mode, r.id),
 ids AS (SELECT mode, root, row_number() OVER (PARTITION BY mode ORDER BY root) AS event_id FROM (SELECT DISTINCT mode, root FROM top)),
@@ -156,7 +157,8 @@ a AS (SELECT mode, event_id, sum({DLAT} * 111.0 * {DLON} * 111.0 * cos(radians(l
   avg(CASE WHEN share > 0.5 THEN 1.0 ELSE 0.0 END) FILTER (elev IS NOT NULL) AS land_fraction FROM c GROUP BY mode, event_id),
 l AS (SELECT mode, event_id, avg(CAST(lat_deg AS DOUBLE)) AS lat_deg FROM (SELECT DISTINCT mode, event_id, lat AS lat_deg FROM v) GROUP BY mode, event_id),
 w AS (SELECT mode, event_id, sin({_TAU!r} * (dayofyear(make_timestamp(CAST(floor(avg(epoch_us(ts))) AS BIGINT))) - 1)) AS doy_sin FROM (SELECT DISTINCT mode, event_id, ts FROM v) GROUP BY mode, event_id),
-e AS (SELECT mode, event_id, start_time, ivt, pv_250, lat_deg, doy_sin, {', '.join(f'CAST({c} AS FLOAT) AS {c}' for c in scenarios.STAGE2)}, {', '.join(f'{c} AS d_{c}' for c in scenarios.STAGE2)} FROM t JOIN a USING (mode, event_id) JOIN l USING (mode, event_id) JOIN w USING (mode, event_id))
+e AS (SELECT mode, event_id, start_time, ivt, pv_250, lat_deg, doy_sin, {', '.join(f'CAST({c} AS FLOAT) AS {c}' for c in scenarios.STAGE2)}, {', '.join(f'{c} AS d_{c}' for c in scenarios.STAGE2)}
+  FROM t JOIN a USING (mode, event_id) JOIN l USING (mode, event_id) JOIN w USING (mode, event_id))
 SELECT mode, event_id, start_time, {', '.join(f"{r(f'd_{c}')} AS {c}" for c in ('mean_intensity', 'max_intensity', 'footprint_area_km2', 'duration_hours', 'landfall_lat', 'mean_elev_m', 'land_fraction'))},
   {', '.join(f'{r(c)} AS {c}' for c in ('lat_deg', 'doy_sin', 'ivt', 'pv_250'))},
   {', '.join(f'{r(_mean_sql(STAGE2_TREES, RATE2, [STARTS2[q] + f for f in range(FOLDS)]))} AS {name}' for q, name in scenarios.QUANTILES.items())} FROM e"""
@@ -219,10 +221,12 @@ def q_fold_plan(spark: SparkSession, d: str) -> DataFrame:
 _POINTS = "x AS (SELECT 25 + l_suppkey * 7 % 349 / CAST(10 AS DOUBLE) AS lat, 210 + l_partkey * 11 % 397 / CAST(10 AS DOUBLE) AS lon, CAST(year(l_shipdate) AS INTEGER) AS yr, l_quantity > 45 AS mask, l_quantity FROM lineitem)"
 _PLAN = f"""{_POINTS},
 p AS (SELECT *, CAST(floor((lat - 25) / 5) AS INTEGER) AS bi, CAST(floor((lon - 210) / 5) AS INTEGER) AS bj FROM x),
-b AS (SELECT bi, bj, 25 + (bi + 0.5) * CAST(5 AS DOUBLE) AS blat, 210 + (bj + 0.5) * CAST(5 AS DOUBLE) AS blon, (row_number() OVER (ORDER BY avg(CASE WHEN mask THEN 1.0 ELSE 0.0 END), bi, bj) - 1) % 5 AS sf FROM p GROUP BY bi, bj),
+b AS (SELECT bi, bj, 25 + (bi + 0.5) * CAST(5 AS DOUBLE) AS blat, 210 + (bj + 0.5) * CAST(5 AS DOUBLE) AS blon, (row_number() OVER (ORDER BY avg(CASE WHEN mask THEN 1.0 ELSE 0.0 END), bi, bj) - 1) % 5 AS sf
+  FROM p GROUP BY bi, bj),
 yf AS (SELECT yr, (row_number() OVER (ORDER BY md5(yr || ':43'), yr) - 1) % 5 AS yf FROM (SELECT DISTINCT yr FROM x)),
 pl AS (SELECT DISTINCT p.lat, p.lon, n.sf AS near FROM p JOIN b AS n ON sqrt(pow(greatest(abs(p.lat - n.blat) - 2.5, 0), 2) + pow(greatest(abs(p.lon - n.blon) - 2.5, 0), 2)) < 1),
-pf AS (SELECT p.*, b.blat, b.blon, b.sf, yf.yf, f.fold, EXISTS (SELECT 1 FROM pl WHERE pl.lat = p.lat AND pl.lon = p.lon AND pl.near = f.fold) AS near FROM p JOIN b USING (bi, bj) JOIN yf USING (yr), (SELECT unnest(range(5)) AS fold) AS f)"""
+pf AS (SELECT p.*, b.blat, b.blon, b.sf, yf.yf, f.fold, EXISTS (SELECT 1 FROM pl WHERE pl.lat = p.lat AND pl.lon = p.lon AND pl.near = f.fold) AS near FROM p
+  JOIN b USING (bi, bj) JOIN yf USING (yr), (SELECT unnest(range(5)) AS fold) AS f)"""
 
 
 def q_cv_report(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +310,8 @@ SELECT CASE WHEN band_lat BETWEEN 25 AND 35 THEN 'south_25_35N' WHEN band_lat <=
 SELECT CAST(fold AS INTEGER) AS fold, blat AS block_lat, blon AS block_lon, CAST(sf AS INTEGER) AS spatial_fold, count(*) FILTER (sf = fold AND yf = fold) AS n_test, count(*) FILTER (sf <> fold AND yf <> fold AND NOT near) AS n_train,
   count(*) FILTER (sf <> fold AND yf <> fold AND near) AS n_buffer FROM pf GROUP BY fold, blat, blon, sf""",
     "q_cv_report": f"""WITH {_PLAN}, s AS (SELECT sf, l_quantity AS y, 20 + l_quantity * 0.5 + lat * 0.25 AS pred FROM pf WHERE fold = 0 AND sf = yf),
-k AS (SELECT sf, avg((y - pred) * (y - pred)) AS e, var_pop(y) AS v, count(*) FILTER (y > 45 AND pred > 45) AS tp, count(*) FILTER (y <= 45 AND pred > 45) AS fp, count(*) FILTER (y > 45 AND pred <= 45) AS fn FROM s GROUP BY sf),
+k AS (SELECT sf, avg((y - pred) * (y - pred)) AS e, var_pop(y) AS v, count(*) FILTER (y > 45 AND pred > 45) AS tp, count(*) FILTER (y <= 45 AND pred > 45) AS fp, count(*) FILTER (y > 45 AND pred <= 45) AS fn
+  FROM s GROUP BY sf),
 q AS (SELECT sqrt(e) AS rmse, 1 - e / v AS r2, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS q FROM k), g AS (SELECT rmse, r2, 2 * p * q / nullif(p + q, 0) AS f1 FROM q)
 SELECT count(*) AS n_folds, {', '.join(f"{r(f'avg({c})')} AS {c}_mean, {r(f'stddev_pop({c})')} AS {c}_std" for c in ('rmse', 'r2', 'f1'))} FROM g""",
 }

@@ -88,22 +88,29 @@ QUERIES = {f.__name__: f for f in _F}
 _PTS = "pts AS (SELECT c_custkey, 25 + c_custkey * 37 % 353 / 10.0::DOUBLE AS lat, 210 + c_custkey % 401 / 10.0::DOUBLE AS lon FROM customer)"
 ORACLE = {
     "q_land_mask": f"""WITH {_PTS}, v(polygon, seq, x, y) AS (VALUES {', '.join(f"('{p}', {s}, {x}::DOUBLE, {y}::DOUBLE)" for p, s, x, y in OUTLINES)}),
-e AS (SELECT polygon, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER (PARTITION BY polygon ORDER BY seq)) AS x2, coalesce(lead(y) OVER w, first(y) OVER (PARTITION BY polygon ORDER BY seq)) AS y2 FROM v WINDOW w AS (PARTITION BY polygon ORDER BY seq))
+e AS (SELECT polygon, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER (PARTITION BY polygon ORDER BY seq)) AS x2, coalesce(lead(y) OVER w, first(y) OVER (PARTITION BY polygon ORDER BY seq)) AS y2
+  FROM v WINDOW w AS (PARTITION BY polygon ORDER BY seq))
 SELECT c_custkey, polygon FROM pts JOIN e ON (y1 <= lat AND y2 > lat OR y2 <= lat AND y1 > lat) AND lon < x1 + (lat - y1) / (y2 - y1) * (x2 - x1) GROUP BY ALL HAVING count(*) % 2 = 1""",
-    "q_kde_2d": f"""WITH {_PTS}, s AS (SELECT count(*) AS n, var_samp(lon) AS a, covar_samp(lon, lat) AS b, var_samp(lat) AS c FROM pts), t AS (SELECT *, CASE WHEN n >= 5 AND a * c - b * b > 1e-9 * (a * c) THEN a * c - b * b END AS det FROM s),
+    "q_kde_2d": f"""WITH {_PTS}, s AS (SELECT count(*) AS n, var_samp(lon) AS a, covar_samp(lon, lat) AS b, var_samp(lat) AS c
+  FROM pts), t AS (SELECT *, CASE WHEN n >= 5 AND a * c - b * b > 1e-9 * (a * c) THEN a * c - b * b END AS det FROM s),
 g AS (SELECT 212 + i % 5 * 8.0::DOUBLE AS gx, 28 + i // 5 * 8.0::DOUBLE AS gy FROM range(20) r(i))
-SELECT gx, gy, round(1000 * sum(exp(-0.5 * (c * (gx - lon) * (gx - lon) - 2 * b * (gx - lon) * (gy - lat) + a * (gy - lat) * (gy - lat)) / (det * 0.0625)) / (n * 2 * pi() * 0.0625 * sqrt(det))) + 0.000000001, 6) AS density FROM pts, t, g GROUP BY gx, gy""",
+SELECT gx, gy, round(1000 * sum(exp(-0.5 * (c * (gx - lon) * (gx - lon) - 2 * b * (gx - lon) * (gy - lat) + a * (gy - lat) * (gy - lat)) / (det * 0.0625)) / (n * 2 * pi() * 0.0625 * sqrt(det))) + 0.000000001, 6) AS density
+  FROM pts, t, g GROUP BY gx, gy""",
     "q_member_terms": f"""WITH x AS (SELECT l_suppkey, year(l_shipdate) >= 1999 AS l, l_extendedprice AS p, l_quantity AS q, l_tax AS t FROM lineitem),
-m AS (SELECT l_suppkey, {', '.join(f'avg({c}) FILTER ({"" if i else "NOT "}l) AS {c}{i}' for c in 'pqt' for i in (0, 1))} FROM x GROUP BY l_suppkey), k AS (SELECT *, p1 - p0 AS total, p1 - p0 - p0 * (q1 / q0 - 1) AS dyn, 100 * (t1 - t0) AS dt FROM m)
+m AS (SELECT l_suppkey, {', '.join(f'avg({c}) FILTER ({"" if i else "NOT "}l) AS {c}{i}' for c in 'pqt' for i in (0, 1))} FROM x
+  GROUP BY l_suppkey), k AS (SELECT *, p1 - p0 AS total, p1 - p0 - p0 * (q1 / q0 - 1) AS dyn, 100 * (t1 - t0) AS dt FROM m)
 SELECT l_suppkey, {r('100 * dyn / total')} AS dynamic_percent, round(total / dt + 0.000000001, 3) AS per_kelvin FROM k WHERE abs(dt) > 0.0001""",
     "q_first_members": "SELECT s_nationkey, s_suppkey, CAST(k AS INTEGER) AS k, n FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE k <= 3",
     "q_fingerprint": f"""WITH {FLAT_SQL}, m AS (SELECT y, yr, mo, avg(val) / avg(u) AS eff, avg(u) AS u, avg(q) AS q, avg(v) AS v FROM flat GROUP BY ALL),
 sv AS (SELECT y, CASE WHEN mo IN (3, 4, 5) THEN 'pre' ELSE 'monsoon' END AS k, yr, avg(eff) AS v FROM m WHERE mo BETWEEN 3 AND 9 GROUP BY ALL),
 an AS (SELECT y, yr, avg(u) AS u, avg(q) AS q, avg(v) AS v, avg(eff) AS eff FROM m GROUP BY ALL), dv AS (UNPIVOT an ON u, q, v, eff INTO NAME k VALUE v),
 pv AS (SELECT y, x, yr, avg(val) / avg(u) AS v FROM flat GROUP BY ALL),
-st AS (SELECT y, k, 1000 * s / m AS trend FROM (SELECT a.y, a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM sv a JOIN sv b ON a.y = b.y AND a.k = b.k AND a.yr < b.yr GROUP BY a.y, a.k) JOIN (SELECT y, k, avg(v) AS m FROM sv GROUP BY y, k) USING (y, k)),
-dt AS (SELECT y, k, 1000 * s / m AS trend FROM (SELECT a.y, a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM dv a JOIN dv b ON a.y = b.y AND a.k = b.k AND a.yr < b.yr GROUP BY a.y, a.k) JOIN (SELECT y, k, avg(v) AS m FROM dv GROUP BY y, k) USING (y, k)),
-pt AS (SELECT y, x, CASE WHEN n >= 6 THEN 1000 * s / m END AS trend FROM (SELECT a.y, a.x, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM pv a JOIN pv b ON a.y = b.y AND a.x = b.x AND a.yr < b.yr GROUP BY a.y, a.x) JOIN (SELECT y, x, avg(v) AS m, count(*) AS n FROM pv GROUP BY y, x) USING (y, x)),
+st AS (SELECT y, k, 1000 * s / m AS trend FROM (SELECT a.y, a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM sv a JOIN sv b ON a.y = b.y AND a.k = b.k AND a.yr < b.yr
+  GROUP BY a.y, a.k) JOIN (SELECT y, k, avg(v) AS m FROM sv GROUP BY y, k) USING (y, k)),
+dt AS (SELECT y, k, 1000 * s / m AS trend FROM (SELECT a.y, a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM dv a JOIN dv b ON a.y = b.y AND a.k = b.k AND a.yr < b.yr
+  GROUP BY a.y, a.k) JOIN (SELECT y, k, avg(v) AS m FROM dv GROUP BY y, k) USING (y, k)),
+pt AS (SELECT y, x, CASE WHEN n >= 6 THEN 1000 * s / m END AS trend FROM (SELECT a.y, a.x, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM pv a
+  JOIN pv b ON a.y = b.y AND a.x = b.x AND a.yr < b.yr GROUP BY a.y, a.x) JOIN (SELECT y, x, avg(v) AS m, count(*) AS n FROM pv GROUP BY y, x) USING (y, x)),
 k AS (SELECT y, median(trend) FILTER (x < 2) AS l, median(trend) AS g FROM pt GROUP BY y), s AS (SELECT y, max(trend) FILTER (k = 'pre') AS pre, max(trend) FILTER (k = 'monsoon') AS mon FROM st GROUP BY y),
 w AS (SELECT y, max(abs(trend)) FILTER (k = 'eff') AS e, max(abs(trend)) FILTER (k <> 'eff') AS o FROM dt GROUP BY y),
 c AS (SELECT y, pre, mon, l, g, coalesce(pre > mon AND pre > 0, FALSE) AS a, coalesce(l > g, FALSE) AS b, coalesce(o < e / 2, FALSE) AS c FROM k LEFT JOIN s USING (y) LEFT JOIN w USING (y))
@@ -112,6 +119,7 @@ SELECT y, round(pre + 0.000000001, 4) AS pre, round(mon + 0.000000001, 4) AS mon
     "q_lag_correlation": f"""WITH m AS (SELECT y, (yr - 1995) * 12 + mo AS m, avg(val) AS v FROM ({CELLS_SQL}) GROUP BY ALL), f AS (SELECT y, regr_slope(v, m) AS s, regr_intercept(v, m) AS i FROM m GROUP BY y),
 e AS (SELECT m.y, m.m, v - s * m.m - i AS e, lead(v - s * m.m - i) OVER (PARTITION BY m.y ORDER BY m.m) AS e1 FROM m JOIN f USING (y)), k AS (SELECT y, corr(e, e1) AS r, count(*) AS n FROM e GROUP BY y)
 SELECT y, {r('r')} AS r, round(n * (1 - greatest(r, 0)) / (1 + greatest(r, 0)) + 0.000000001, 4) AS n_eff FROM k""",
-    "q_fold_mean": f"""WITH x AS (SELECT y, mo, ({' + '.join(f'{s} + CASE WHEN u <= {c} THEN -5.0 WHEN q <= 0.05 THEN 2.0 ELSE 6.0 END' for s, c in ((100, 20), (200, 25), (300, 30)))}) / 3.0::DOUBLE AS pred FROM ({CELLS_SQL}))
+    "q_fold_mean": f"""WITH x AS (SELECT y, mo, ({' + '.join(f'{s} + CASE WHEN u <= {c} THEN -5.0 WHEN q <= 0.05 THEN 2.0 ELSE 6.0 END' for s, c in ((100, 20), (200, 25), (300, 30)))}) / 3.0::DOUBLE AS pred
+  FROM ({CELLS_SQL}))
 SELECT y, mo, {r('avg(pred)')} AS pred, count(*) FILTER (pred > 202) AS n FROM x GROUP BY y, mo""",
 }

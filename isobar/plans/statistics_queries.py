@@ -405,19 +405,26 @@ nm AS (SELECT y, season, count(*) AS nm FROM (SELECT DISTINCT y, mo FROM mt) JOI
 a AS ({_drawn(0)}), b AS ({_drawn(1)}),
 c AS (SELECT a.rep, a.y, a.x, a.mo, {', '.join(f'sum({_W} * {e}) AS {n}' for n, e in _LEVEL_PARTS + _CC_PARTS)} FROM a JOIN b USING (rep, y, x, mo, p) GROUP BY a.rep, a.y, a.x, a.mo),
 e AS (SELECT *, sqrt(base_u * base_u + base_v * base_v) AS s, (x + 1) / 10.0 AS aw FROM c),
-m AS (SELECT rep, y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later', 'cc'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag FROM e GROUP BY rep, y, mo),
-g AS (SELECT rep, y, season, {', '.join(f'sum({t}) / any_value(nm) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later', 'cc', 'dmag'))} FROM m JOIN s USING (mo) JOIN nm USING (y, season) GROUP BY rep, y, season),
+m AS (SELECT rep, y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later', 'cc'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag
+  FROM e GROUP BY rep, y, mo),
+g AS (SELECT rep, y, season, {', '.join(f'sum({t}) / any_value(nm) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later', 'cc', 'dmag'))} FROM m
+  JOIN s USING (mo) JOIN nm USING (y, season) GROUP BY rep, y, season),
 l AS ({' UNION ALL '.join(f"SELECT rep, y, season, '{n}' AS term, {e} AS v FROM g" for n, e in _SUMMARY_TERMS.items())}),
-q AS (SELECT y, season, term, max(v) FILTER (rep = 0) AS point, quantile_cont(v, 0.025) FILTER (rep > 0) AS lo, quantile_cont(v, 0.975) FILTER (rep > 0) AS hi, least(1.0, 2 * {_BEYOND}) AS p FROM l GROUP BY y, season, term),
+q AS (SELECT y, season, term, max(v) FILTER (rep = 0) AS point, quantile_cont(v, 0.025) FILTER (rep > 0) AS lo, quantile_cont(v, 0.975) FILTER (rep > 0) AS hi, least(1.0, 2 * {_BEYOND}) AS p
+  FROM l GROUP BY y, season, term),
 k AS (SELECT *, p * count(*) OVER (PARTITION BY season, term) / row_number() OVER (PARTITION BY season, term ORDER BY p) AS raw FROM q)
-SELECT y AS corridor, season, term, {r('point')} AS point, {r('lo')} AS ci_lo, {r('hi')} AS ci_hi, {r('p')} AS p, {r('least(1.0, min(raw) OVER (PARTITION BY season, term ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS pfdr FROM k"""
+SELECT y AS corridor, season, term, {r('point')} AS point, {r('lo')} AS ci_lo, {r('hi')} AS ci_hi, {r('p')} AS p, {r('least(1.0, min(raw) OVER (PARTITION BY season, term ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS pfdr
+  FROM k"""
 _PAIR_SUMMARY = f"""WITH {YEARLY_SQL}, {_pair_values(1, 42)},
-m AS (SELECT corridor, rep, {', '.join(f'sum({c} * times) FILTER (win = {w}) / sum(times) FILTER (win = {w}) AS {n}{w}' for c, n in (('ivt', 'i'), ('iwv', 'w')) for w in (0, 1))} FROM yearly JOIN dr USING (yr) GROUP BY corridor, rep),
+m AS (SELECT corridor, rep, {', '.join(f'sum({c} * times) FILTER (win = {w}) / sum(times) FILTER (win = {w}) AS {n}{w}' for c, n in (('ivt', 'i'), ('iwv', 'w')) for w in (0, 1))}
+  FROM yearly JOIN dr USING (yr) GROUP BY corridor, rep),
 t AS (SELECT corridor, rep, i0 / w0 * (w1 - w0) AS thermo, w0 * (i1 / w1 - i0 / w0) AS dynamic, (w1 - w0) * (i1 / w1 - i0 / w0) AS crs, i1 - i0 AS total, i0 AS base, w0 * (i1 / w1 - i0 / w0) AS v FROM m),
 q AS (SELECT corridor, {', '.join(f'max({t}) FILTER (rep = 0) AS {t}' for t in ('thermo', 'dynamic', 'crs', 'total', 'base'))},
-{', '.join(f'quantile_cont({t}, {x}) FILTER (rep > 0) AS {t}_{n}' for t in ('thermo', 'dynamic', 'crs') for x, n in ((0.05, 'lo90'), (0.95, 'hi90')))}, quantile_cont(dynamic, 0.025) FILTER (rep > 0) AS lo95, quantile_cont(dynamic, 0.975) FILTER (rep > 0) AS hi95, {_BEYOND} AS p FROM t GROUP BY corridor),
+{', '.join(f'quantile_cont({t}, {x}) FILTER (rep > 0) AS {t}_{n}' for t in ('thermo', 'dynamic', 'crs') for x, n in ((0.05, 'lo90'), (0.95, 'hi90')))}, quantile_cont(dynamic, 0.025) FILTER (rep > 0) AS lo95, quantile_cont(dynamic, 0.975) FILTER (rep > 0) AS hi95, {_BEYOND} AS p
+  FROM t GROUP BY corridor),
 k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM q), f AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS pf FROM k)
-SELECT corridor, {', '.join(f'{r(a)} AS {b}' for a, b in (('thermo', 'thermo'), ('dynamic', 'dynamic'), ('crs', '"cross"'), ('total', 'total'), ('base', 'base'), ('100 * total / base', 'percent'), *((f'{t}_{n}90', f'{o}_{n}90') for t, o in (('thermo', 'thermo'), ('dynamic', 'dynamic'), ('crs', 'cross')) for n in ('lo', 'hi')), ('lo95', 'dynamic_lo95'), ('hi95', 'dynamic_hi95'), ('p', 'p'), ('pf', 'pfdr')))}, pf < 0.05 AS robust, pf < 0.1 AS robust90 FROM f"""
+SELECT corridor, {', '.join(f'{r(a)} AS {b}' for a, b in (('thermo', 'thermo'), ('dynamic', 'dynamic'), ('crs', '"cross"'), ('total', 'total'), ('base', 'base'), ('100 * total / base', 'percent'), *((f'{t}_{n}90', f'{o}_{n}90') for t, o in (('thermo', 'thermo'), ('dynamic', 'dynamic'), ('crs', 'cross')) for n in ('lo', 'hi')), ('lo95', 'dynamic_lo95'), ('hi95', 'dynamic_hi95'), ('p', 'p'), ('pf', 'pfdr')))}, pf < 0.05 AS robust, pf < 0.1 AS robust90
+  FROM f"""
 _MEAN_SPEED = f"""WITH {_MC}, a AS ({_MCLIM.format('yr <= 1997')}), b AS ({_MCLIM.format('yr > 1997')}),
 c AS (SELECT a.y, a.x, a.mo, (a.x + 1) / 10.0 AS aw, {', '.join(f'sum({_W} * {t}.{f}) AS {f}{i}' for i, t in enumerate('ab') for f in ('q', 'qu', 'qv'))} FROM a JOIN b USING (y, x, mo, p) GROUP BY a.y, a.x, a.mo),
 m AS (SELECT y, mo, {', '.join(f'sum(aw * sqrt(qu{i} * qu{i} + qv{i} * qv{i})) AS i{i}, sum(aw * q{i}) AS w{i}' for i in (0, 1))} FROM c GROUP BY y, mo),
@@ -428,15 +435,18 @@ ORACLE = {
     "q_window_summary": _WINDOW_SUMMARY,
     "q_pair_summary": _PAIR_SUMMARY,
     "q_mean_speed": _MEAN_SPEED,
-    "q_three_term": f"""WITH {_PAIR} SELECT corridor, {r('i0 / w0 * (w1 - w0)')} AS thermo, {r('w0 * (i1 / w1 - i0 / w0)')} AS dynamic, {r('(w1 - w0) * (i1 / w1 - i0 / w0)')} AS "cross", {r('i1 - i0')} AS total FROM pr""",
+    "q_three_term": f"""WITH {_PAIR} SELECT corridor, {r('i0 / w0 * (w1 - w0)')} AS thermo, {r('w0 * (i1 / w1 - i0 / w0)')} AS dynamic, {r('(w1 - w0) * (i1 / w1 - i0 / w0)')} AS "cross", {r('i1 - i0')} AS total
+  FROM pr""",
     "q_two_term": f"WITH {_PAIR} SELECT corridor, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 * (w1 / w0 - 1)')} AS dynamic, {r('i1 - i0')} AS total, {r('100 * (i1 - i0 - i0 * (w1 / w0 - 1)) / (i1 - i0)')} AS dynamic_percent FROM pr",
     "q_evolution": f"WITH {_MEANS} SELECT a.corridor, a.win, {r('100 * (a.ivt / b.ivt - 1)')} AS ivt_percent, {r('100 * (a.iwv / b.iwv - 1)')} AS iwv_percent FROM means a JOIN means b USING (corridor) WHERE b.win = 'w1'",
     "q_level_terms": f"""WITH {CUBE_SQL}, a AS ({_CLIM.format(1995, 1997)}), b AS ({_CLIM.format(1998, 2001)}),
 c AS (SELECT a.y, a.x, a.mo, {', '.join(f'sum({_W} * {e}) AS {n}' for c in 'uv' for n, e in ((f'base_{c}', f'a.q{c}'), (f'later_{c}', f'b.q{c}'), (f'moist_{c}', f'a.{c} * (b.q - a.q)'), (f'wind_{c}', f'a.q * (b.{c} - a.{c})'), (f'cov_{c}', f'(b.q - a.q) * (b.{c} - a.{c})'), (f'trans_{c}', f'((b.q{c} - a.q{c}) - (b.q * b.{c} - a.q * a.{c}))')))}
   FROM a JOIN b USING (y, x, mo, p) GROUP BY a.y, a.x, a.mo),
 e AS (SELECT *, sqrt(base_u * base_u + base_v * base_v) AS s, (x + 1) / 10.0 AS aw FROM c),
-m AS (SELECT y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag FROM e GROUP BY y, mo)
-SELECT y AS corridor, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'dmag'))}, {r('avg(later) - avg(base)')} AS total, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - (avg(later) - avg(base))')} AS closure FROM m GROUP BY y""",
+m AS (SELECT y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag
+  FROM e GROUP BY y, mo)
+SELECT y AS corridor, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'dmag'))}, {r('avg(later) - avg(base)')} AS total, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - (avg(later) - avg(base))')} AS closure
+  FROM m GROUP BY y""",
     "q_yearly_terms": f"""WITH {CUBE_SQL}, {_YC}, a AS (SELECT *, avg(q) OVER w AS qm, avg(u) OVER w AS um, avg(q * u) OVER w AS qum, {_W} * ((x + 1) / 10.0) AS k FROM rows5 WINDOW w AS (PARTITION BY y, mo, x, p)),
 m AS (SELECT y, yr, mo, sum(k * um * (q - qm)) AS moist, sum(k * qm * (u - um)) AS wind, sum(k * ((q - qm) * (u - um) - (qum - qm * um))) AS cov, sum(k * (q * u - qum)) AS total FROM a GROUP BY y, yr, mo)
 SELECT y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'total'))}, {r('avg(moist) + avg(wind) + avg(cov) - avg(total)')} AS closure FROM m GROUP BY y, yr""",
@@ -444,8 +454,10 @@ SELECT y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in
 c AS (SELECT a.y, a.x, a.mo, {', '.join(f'sum({_W} * {e}) AS {n}' for c in 'uv' for n, e in ((f'base_{c}', f'a.q{c}'), (f'later_{c}', f'b.q{c}'), (f'moist_{c}', f'a.{c} * (b.q - a.q)'), (f'wind_{c}', f'a.q * (b.{c} - a.{c})'), (f'cov_{c}', f'(b.q - a.q) * (b.{c} - a.{c})'), (f'trans_{c}', f'((b.q{c} - a.q{c}) - (b.q * b.{c} - a.q * a.{c}))')))}
   FROM a JOIN b USING (y, x, mo, p) GROUP BY a.y, a.x, a.mo),
 e AS (SELECT *, sqrt(base_u * base_u + base_v * base_v) AS s, (x + 1) / 10.0 AS aw FROM c),
-m AS (SELECT y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag FROM e GROUP BY y, mo)
-SELECT y AS corridor, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'dmag'))}, {r('avg(later) - avg(base)')} AS total, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - (avg(later) - avg(base))')} AS closure FROM m GROUP BY y""",
+m AS (SELECT y, mo, {', '.join(f'sum(CASE WHEN s > 0 THEN aw * ({t}_u * base_u + {t}_v * base_v) / s ELSE 0 END) AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'later'))}, sum(aw * (sqrt(later_u * later_u + later_v * later_v) - s)) AS dmag
+  FROM e GROUP BY y, mo)
+SELECT y AS corridor, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'base', 'dmag'))}, {r('avg(later) - avg(base)')} AS total, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - (avg(later) - avg(base))')} AS closure
+  FROM m GROUP BY y""",
     "q_yearly_terms_whole": f"""WITH {_MC}, k AS (SELECT y, x, mo, p, avg(q) AS q0, avg(u) AS u0, avg(v) AS v0, avg(qu) AS qu0, avg(qv) AS qv0, avg(q * u) AS su, avg(q * v) AS sv FROM mc GROUP BY ALL),
 b AS (SELECT y, x, mo, {_W} * sum(qu0) AS bu, {_W} * sum(qv0) AS bv, sqrt(bu * bu + bv * bv) AS s, (x + 1) / 10.0 AS aw FROM k GROUP BY y, x, mo),
 base AS (SELECT y, avg(m) AS base FROM (SELECT y, mo, sum(aw * s) AS m FROM b GROUP BY y, mo) GROUP BY y),
@@ -453,9 +465,12 @@ j AS (SELECT mc.*, k.* EXCLUDE (y, x, mo, p), {_W} * aw AS w, CASE WHEN s > 0 TH
 m AS (SELECT y, yr, mo, sum(w * (q - q0) * (u0 * eu + v0 * ev)) AS moist, sum(w * q0 * ((u - u0) * eu + (v - v0) * ev)) AS wind,
   sum(w * (((q - q0) * (u - u0) - su + q0 * u0) * eu + ((q - q0) * (v - v0) - sv + q0 * v0) * ev)) AS cov,
   sum(w * ((qu - q * u - qu0 + su) * eu + (qv - q * v - qv0 + sv) * ev)) AS trans, sum(w * ((qu - qu0) * eu + (qv - qv0) * ev)) AS total FROM j GROUP BY y, yr, mo)
-SELECT m.y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'total'))}, {r('any_value(base)')} AS base, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - avg(total)')} AS closure FROM m JOIN base USING (y) GROUP BY m.y, yr""",
-    "q_sensitivity_matrix": f"""WITH {YEARLY_SQL}, g AS (SELECT CAST(l AS INTEGER) AS length, CAST(s AS INTEGER) AS shift, 1995 + s AS a0, 1995 + s + l - 1 AS a1, 2002 - l AS b0, 2001 AS b1 FROM range(1, 6) t(l), range(0, 3) v(s)),
-m AS (SELECT corridor, length, shift, avg(ivt) FILTER (yr BETWEEN a0 AND a1) AS i0, avg(ivt) FILTER (yr BETWEEN b0 AND b1) AS i1, avg(iwv) FILTER (yr BETWEEN a0 AND a1) AS w0, avg(iwv) FILTER (yr BETWEEN b0 AND b1) AS w1 FROM yearly, g WHERE a1 < b0 GROUP BY ALL)
+SELECT m.y AS corridor, yr AS year, {', '.join(f'{r(f"avg({t})")} AS {t}' for t in ('moist', 'wind', 'cov', 'trans', 'total'))}, {r('any_value(base)')} AS base, {r('avg(moist) + avg(wind) + avg(cov) + avg(trans) - avg(total)')} AS closure
+  FROM m JOIN base USING (y) GROUP BY m.y, yr""",
+    "q_sensitivity_matrix": f"""WITH {YEARLY_SQL}, g AS (SELECT CAST(l AS INTEGER) AS length, CAST(s AS INTEGER) AS shift, 1995 + s AS a0, 1995 + s + l - 1 AS a1, 2002 - l AS b0, 2001 AS b1
+  FROM range(1, 6) t(l), range(0, 3) v(s)),
+m AS (SELECT corridor, length, shift, avg(ivt) FILTER (yr BETWEEN a0 AND a1) AS i0, avg(ivt) FILTER (yr BETWEEN b0 AND b1) AS i1, avg(iwv) FILTER (yr BETWEEN a0 AND a1) AS w0, avg(iwv) FILTER (yr BETWEEN b0 AND b1) AS w1
+  FROM yearly, g WHERE a1 < b0 GROUP BY ALL)
 SELECT corridor, length, shift, {r('i0 * (w1 / w0 - 1)')} AS thermo, {r('i1 - i0 - i0 * (w1 / w0 - 1)')} AS dynamic FROM m""",
     "q_box_perturbation": f"""WITH {FLAT_SQL}, b(region, a0, a1, o0, o1) AS (VALUES ('north', 2, 4, 0, 3), ('south', 0, 2, 1, 2), ('all', 0, 4, 0, 3)), v(variant, ya, yb, xa, xb, g) AS (VALUES {', '.join(f'({i}, {a}, {b}, {c}, {e}, {g}::DOUBLE)' for i, (a, b, c, e, g) in enumerate(_DIRS))}),
 pl AS (SELECT yr, y, x, avg(val) AS ivt, avg(u) AS iwv FROM flat GROUP BY yr, y, x),
@@ -474,7 +489,8 @@ SELECT y, mo, {r('least(1.0, 2 * CASE WHEN avg(a) >= 0 THEN avg(CASE WHEN a <= 0
     "q_bh_fdr": f"""WITH p AS (SELECT l_suppkey, l_suppkey % 4 AS g, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 3) AS p FROM lineitem GROUP BY 1, 2),
 k AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p) AS raw FROM p)
 SELECT l_suppkey, p, {r('least(1.0, min(raw) OVER (PARTITION BY g ORDER BY p DESC RANGE UNBOUNDED PRECEDING))')} AS pfdr FROM k""",
-    "q_theil_sen": f"""WITH {_SY.format('avg(l_extendedprice)')}, s AS (SELECT a.k, median((b.v - a.v) / (b.yr - a.yr)) AS slope FROM sy a JOIN sy b ON a.k = b.k AND a.yr < b.yr GROUP BY a.k), m AS (SELECT k, median(yr) AS mx, median(v) AS mv FROM sy GROUP BY k)
+    "q_theil_sen": f"""WITH {_SY.format('avg(l_extendedprice)')}, s AS (SELECT a.k, median((b.v - a.v) / (b.yr - a.yr)) AS slope FROM sy a
+  JOIN sy b ON a.k = b.k AND a.yr < b.yr GROUP BY a.k), m AS (SELECT k, median(yr) AS mx, median(v) AS mv FROM sy GROUP BY k)
 SELECT k, {r('slope')} AS slope, round(mv - slope * mx + 0.000000001, 4) AS intercept FROM s JOIN m USING (k)""",
     "q_mann_kendall": f"""WITH {_SY.format('max(l_quantity)')}, s AS (SELECT a.k, CAST(sum(sign(b.v - a.v)) AS DOUBLE) AS s FROM sy a JOIN sy b ON a.k = b.k AND a.yr < b.yr GROUP BY a.k),
 t AS (SELECT k, CAST(sum(t) AS DOUBLE) AS n, CAST(sum(t * (t - 1) * (2 * t + 5)) AS DOUBLE) AS c FROM (SELECT k, v, count(*) AS t FROM sy GROUP BY k, v) GROUP BY k),
@@ -483,23 +499,30 @@ SELECT k, {r('n')} AS n, {r('s')} AS s, {r('w')} AS var_s, {r('s / nullif(n * (n
     "q_running_mean": f"""WITH {_MON} SELECT y, CAST(m AS INTEGER) AS m, {r('CASE WHEN count(v) OVER a >= 4 THEN avg(v) OVER a END')} AS loose, {r('CASE WHEN count(v) OVER b >= 9 THEN avg(v) OVER b END')} AS strict
 FROM mon WINDOW a AS (PARTITION BY y ORDER BY m ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), b AS (PARTITION BY y ORDER BY m ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""",
     "q_emergence": f"""WITH {_SY.format('avg(l_extendedprice)')}, t AS (SELECT a.k, median((b.v - a.v) / (b.yr - a.yr)) AS s FROM sy a JOIN sy b ON a.k = b.k AND a.yr < b.yr GROUP BY a.k),
-g AS (SELECT k, median(yr) AS mx, median(v) AS mv, avg(v) FILTER (yr BETWEEN 1995 AND 1997) + stddev_pop(v) FILTER (yr BETWEEN 1995 AND 1997) AS l FROM sy GROUP BY k), f AS (SELECT k, s, mv - s * mx AS i, l FROM t JOIN g USING (k))
+g AS (SELECT k, median(yr) AS mx, median(v) AS mv, avg(v) FILTER (yr BETWEEN 1995 AND 1997) + stddev_pop(v) FILTER (yr BETWEEN 1995 AND 1997) AS l FROM sy
+  GROUP BY k), f AS (SELECT k, s, mv - s * mx AS i, l FROM t JOIN g USING (k))
 SELECT sy.k, {r('any_value(s)')} AS slope, CAST(min(yr) FILTER (s * yr + i > l) AS INTEGER) AS emerges FROM sy JOIN f USING (k) GROUP BY sy.k""",
     "q_zscore": f"WITH {_MON} SELECT y, CAST(m AS INTEGER) AS m, {r('(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)')} AS z FROM mon WINDOW w AS (PARTITION BY y)",
     "q_rank_avg": f"SELECT p_partkey, {r('rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0')} AS rank FROM part",
     "q_ensemble_stats": f"""WITH {_MEM}, o AS (SELECT l_returnflag AS term, quantile_cont(l_extendedprice, 0.51) - 38000 AS obs FROM lineitem GROUP BY 1)
 SELECT model, term, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS sd, {r('any_value(obs)')} AS obs, {r('avg(CASE WHEN (obs >= mu AND value >= obs) OR (obs < mu AND value <= obs) THEN 1.0 ELSE 0.0 END)')} AS extreme,
-{r('min(value)')} AS low, {r('max(value)')} AS high, {r('(any_value(obs) - avg(value)) / nullif(stddev_samp(value), 0)')} AS z FROM (SELECT *, avg(value) OVER (PARTITION BY model, term) AS mu FROM mem) JOIN o USING (term) GROUP BY model, term HAVING count(*) >= 5""",
-    "q_weighted_quantile": f"""WITH {_MEM}, w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY term, model) AS w FROM mem), c AS (SELECT term, value, sum(w) OVER (PARTITION BY term ORDER BY value RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY term) AS c FROM w)
+{r('min(value)')} AS low, {r('max(value)')} AS high, {r('(any_value(obs) - avg(value)) / nullif(stddev_samp(value), 0)')} AS z
+  FROM (SELECT *, avg(value) OVER (PARTITION BY model, term) AS mu FROM mem) JOIN o USING (term) GROUP BY model, term HAVING count(*) >= 5""",
+    "q_weighted_quantile": f"""WITH {_MEM}, w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY term, model) AS w
+  FROM mem), c AS (SELECT term, value, sum(w) OVER (PARTITION BY term ORDER BY value RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY term) AS c FROM w)
 SELECT term, {', '.join(f'{r(f"min(value) FILTER (c >= {q} - 1e-12)")} AS q{int(100 * q)}' for q in (0.05, 0.5, 0.95))} FROM c GROUP BY term""",
     "q_ensemble_quantiles": f"WITH {_MEM} SELECT term, count(*) AS n, {r('quantile_cont(value, 0.25)')} AS q25, {r('quantile_cont(value, 0.5)')} AS median, {r('quantile_cont(value, 0.75)')} AS q75, {r('min(value)')} AS low, {r('max(value)')} AS high FROM mem GROUP BY term",
     "q_common_mode": f"WITH {YEARLY_SQL}, c AS (SELECT yr, avg(ivt) AS c FROM yearly GROUP BY yr), m AS (SELECT avg(c) AS m FROM c) SELECT corridor, yr, {r('ivt / (c / m)')} AS ivt FROM yearly JOIN c USING (yr), m",
-    "q_efficiency_contrast": f"""WITH {FLAT_SQL}, p AS (SELECT y, x, avg(val) AS f, avg(u) AS c FROM flat GROUP BY y, x), e AS (SELECT y, (y + x) % 2 = 0 AS land, c, CASE WHEN c > (SELECT quantile_cont(c, 0.2) FROM p) THEN f / c END AS e FROM p), s AS (SELECT y, avg(e) FILTER (land) AS land, avg(e) FILTER (NOT land) AS ocean, avg(c) FILTER (land) / avg(c) FILTER (NOT land) AS env FROM e GROUP BY y)
+    "q_efficiency_contrast": f"""WITH {FLAT_SQL}, p AS (SELECT y, x, avg(val) AS f, avg(u) AS c FROM flat
+  GROUP BY y, x), e AS (SELECT y, (y + x) % 2 = 0 AS land, c, CASE WHEN c > (SELECT quantile_cont(c, 0.2) FROM p) THEN f / c END AS e
+  FROM p), s AS (SELECT y, avg(e) FILTER (land) AS land, avg(e) FILTER (NOT land) AS ocean, avg(c) FILTER (land) / avg(c) FILTER (NOT land) AS env FROM e GROUP BY y)
 SELECT y, {r('land')} AS land, {r('ocean')} AS ocean, {r('land / ocean')} AS contrast, {r('land / ocean / env')} AS decoupling, CASE WHEN land / ocean / env > 2 THEN 'GO' ELSE 'INCONCLUSIVE' END AS verdict FROM s""",
-    "q_corr_indices": f"""WITH {FLAT_SQL}, i AS (SELECT yr, mo, avg(val) FILTER (y BETWEEN 0 AND 1) - avg(val) FILTER (y BETWEEN 3 AND 4) AS a, avg(u) AS b FROM flat GROUP BY yr, mo), n AS (SELECT mo, a - avg(a) OVER (PARTITION BY mo) AS a, b - avg(b) OVER (PARTITION BY mo) AS b FROM i)
+    "q_corr_indices": f"""WITH {FLAT_SQL}, i AS (SELECT yr, mo, avg(val) FILTER (y BETWEEN 0 AND 1) - avg(val) FILTER (y BETWEEN 3 AND 4) AS a, avg(u) AS b FROM flat
+  GROUP BY yr, mo), n AS (SELECT mo, a - avg(a) OVER (PARTITION BY mo) AS a, b - avg(b) OVER (PARTITION BY mo) AS b FROM i)
 SELECT mo, {r('corr(a, b)')} AS r, count(*) AS n FROM n GROUP BY mo""",
     "q_detrend": f"WITH {_MON}, f AS (SELECT y, regr_slope(v, m) AS s, regr_intercept(v, m) AS i FROM mon GROUP BY y) SELECT y, CAST(m AS INTEGER) AS m, {r('v - s * m - i')} AS residual FROM mon JOIN f USING (y)",
-    "q_welch_t": f"""WITH {FLAT_SQL}, s AS (SELECT y, x, avg(val) FILTER (yr <= 1997) AS m0, var_samp(val) FILTER (yr <= 1997) / count(*) FILTER (yr <= 1997) AS a, count(*) FILTER (yr <= 1997) AS n0, avg(val) FILTER (yr >= 1999) AS m1, var_samp(val) FILTER (yr >= 1999) / count(*) FILTER (yr >= 1999) AS b, count(*) FILTER (yr >= 1999) AS n1 FROM flat GROUP BY y, x)
+    "q_welch_t": f"""WITH {FLAT_SQL}, s AS (SELECT y, x, avg(val) FILTER (yr <= 1997) AS m0, var_samp(val) FILTER (yr <= 1997) / count(*) FILTER (yr <= 1997) AS a, count(*) FILTER (yr <= 1997) AS n0, avg(val) FILTER (yr >= 1999) AS m1, var_samp(val) FILTER (yr >= 1999) / count(*) FILTER (yr >= 1999) AS b, count(*) FILTER (yr >= 1999) AS n1
+  FROM flat GROUP BY y, x)
 SELECT y, x, {r('m1 - m0')} AS difference, {r('(m1 - m0) / sqrt(a + b)')} AS t, {r('(a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1))')} AS df FROM s""",
     "q_kde": f"""WITH s AS (SELECT count(*) AS n, stddev_samp(p_retailprice) * 0.3 AS h FROM part), g AS (SELECT CAST(900 + 20 * i AS DOUBLE) AS place FROM range(10) t(i))
 SELECT place, {r('sum(exp(-0.5 * ((place - p_retailprice) / h) * ((place - p_retailprice) / h)) / (n * h * sqrt(2 * pi())))')} AS density FROM part, s, g GROUP BY place""",
@@ -507,6 +530,7 @@ SELECT place, {r('sum(exp(-0.5 * ((place - p_retailprice) / h) * ((place - p_ret
 k AS (SELECT i.*, (SELECT max(f) FROM range(5) t(f) WHERE floor(n * f / 5.0) <= i) AS f FROM i),
 c AS (SELECT a.y, a.f, regr_slope(b.v, b.m) AS s, regr_intercept(b.v, b.m) AS c FROM (SELECT DISTINCT y, f FROM k) a JOIN k b ON a.y = b.y AND a.f <> b.f GROUP BY a.y, a.f)
 SELECT k.y, {r('1 - sum((v - c - s * m) * (v - c - s * m)) / sum((v - mean) * (v - mean))')} AS r2 FROM k JOIN c ON k.y = c.y AND k.f = c.f GROUP BY k.y""",
-    "q_term_table": f"""WITH {_PAIR}, t AS (SELECT corridor, i0 / w0 * (w1 - w0) AS a, w0 * (i1 / w1 - i0 / w0) AS b, (w1 - w0) * (i1 / w1 - i0 / w0) AS c FROM pr), o AS (SELECT CAST(i AS INTEGER) AS ordinal, (3 * i + 1) % 6 AS corridor FROM range(6) r(i))
+    "q_term_table": f"""WITH {_PAIR}, t AS (SELECT corridor, i0 / w0 * (w1 - w0) AS a, w0 * (i1 / w1 - i0 / w0) AS b, (w1 - w0) * (i1 / w1 - i0 / w0) AS c
+  FROM pr), o AS (SELECT CAST(i AS INTEGER) AS ordinal, (3 * i + 1) % 6 AS corridor FROM range(6) r(i))
 SELECT ordinal, 'c' || corridor || ' & ' || {" || ' & ' || ".join(f"printf('%+.1f', {x}) || CASE WHEN abs({x}) / 10000 < 0.01 THEN '*' ELSE '' END" for x in "abc")} AS line FROM o LEFT JOIN t USING (corridor)""",
 }

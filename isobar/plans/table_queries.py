@@ -128,16 +128,22 @@ k AS (SELECT member, 100 * (avg(v) FILTER (yr > 1997) - avg(v) FILTER (yr <= 199
 ORACLE = {
     "q_member_level_terms": f"WITH {_MEMBER_TERMS} SELECT member, corridor, {', '.join(f'{r(c)} AS {c}' for c in ('moist', 'wind', 'cov', 'trans', 'total', 'warming'))}, round(total / warming + 0.000000001, 3) AS per_kelvin FROM t JOIN k USING (member)",
     "q_member_detection": f"""WITH {_MEMBER_TERMS}, l AS (UNPIVOT (SELECT member, corridor, wind, moist, total FROM t) ON wind, moist, total INTO NAME term VALUE value),
-o AS (SELECT corridor, term, value AS obs FROM l WHERE member = -1), m AS (SELECT corridor, term, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n, min(value) AS low, max(value) AS high FROM l WHERE member >= 0 GROUP BY corridor, term),
-f AS (SELECT l.corridor, l.term, avg(CASE WHEN (CASE WHEN obs >= mean THEN value >= obs ELSE value <= obs END) THEN 1.0 ELSE 0.0 END) AS extreme FROM l JOIN o USING (corridor, term) JOIN m USING (corridor, term) WHERE member >= 0 GROUP BY l.corridor, l.term)
+o AS (SELECT corridor, term, value AS obs FROM l WHERE member = -1), m AS (SELECT corridor, term, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n, min(value) AS low, max(value) AS high
+  FROM l WHERE member >= 0 GROUP BY corridor, term),
+f AS (SELECT l.corridor, l.term, avg(CASE WHEN (CASE WHEN obs >= mean THEN value >= obs ELSE value <= obs END) THEN 1.0 ELSE 0.0 END) AS extreme FROM l
+  JOIN o USING (corridor, term) JOIN m USING (corridor, term) WHERE member >= 0 GROUP BY l.corridor, l.term)
 SELECT corridor, term, n, {', '.join(f'{r(c)} AS {c}' for c in ('mean', 'sd', 'obs', 'extreme', 'low', 'high'))}, {r('(obs - mean) / sd')} AS z FROM m JOIN o USING (corridor, term) JOIN f USING (corridor, term)""",
-    "q_weighted_stats": f"""WITH {_MEM}, {_W}, o AS (SELECT l_returnflag AS term, avg(l_extendedprice) - 38000 + 400 AS obs FROM lineitem GROUP BY 1), m AS (SELECT term, sum(w * value) / sum(w) AS mean, sum(w) AS total FROM w GROUP BY term),
-b AS (SELECT w.*, obs, mean, total, CASE WHEN obs >= mean THEN value >= obs ELSE value <= obs END AS beyond FROM w JOIN o USING (term) JOIN m USING (term)), c AS (SELECT term, value, sum(w) OVER (PARTITION BY term ORDER BY value RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY term) AS c FROM w),
+    "q_weighted_stats": f"""WITH {_MEM}, {_W}, o AS (SELECT l_returnflag AS term, avg(l_extendedprice) - 38000 + 400 AS obs FROM lineitem
+  GROUP BY 1), m AS (SELECT term, sum(w * value) / sum(w) AS mean, sum(w) AS total FROM w GROUP BY term),
+b AS (SELECT w.*, obs, mean, total, CASE WHEN obs >= mean THEN value >= obs ELSE value <= obs END AS beyond FROM w JOIN o USING (term)
+  JOIN m USING (term)), c AS (SELECT term, value, sum(w) OVER (PARTITION BY term ORDER BY value RANGE UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY term) AS c FROM w),
 q AS (SELECT term, min(value) FILTER (c >= 0.05 - 1e-12) AS p05, min(value) FILTER (c >= 0.95 - 1e-12) AS p95 FROM c GROUP BY term)
-SELECT term, count(*) FILTER (beyond) AS n_extreme, {r('any_value(mean)')} AS weighted_mean, {r('any_value(obs)')} AS obs, {r('coalesce(sum(w) FILTER (beyond), 0) / any_value(total)')} AS extreme, {r('any_value(p05)')} AS p05, {r('any_value(p95)')} AS p95 FROM b JOIN q USING (term) GROUP BY term""",
+SELECT term, count(*) FILTER (beyond) AS n_extreme, {r('any_value(mean)')} AS weighted_mean, {r('any_value(obs)')} AS obs, {r('coalesce(sum(w) FILTER (beyond), 0) / any_value(total)')} AS extreme, {r('any_value(p05)')} AS p05, {r('any_value(p95)')} AS p95
+  FROM b JOIN q USING (term) GROUP BY term""",
     "q_member_lists": f"WITH {_MEM} SELECT model, term, CAST(count(*) AS INTEGER) AS n, string_agg(printf('%.4f', round(value, 4)), ',' ORDER BY member) AS listed FROM mem WHERE model % 5 > 0 GROUP BY model, term",
     "q_zip_series": f"WITH {YEARLY_SQL} SELECT corridor, yr, {r('ivt')} AS ivt, {r('iwv')} AS other FROM yearly WHERE yr < 1999",
-    "q_sorted_terms": f"""WITH {YEARLY_SQL}, c AS (SELECT corridor, avg(ivt) FILTER (yr BETWEEN {WINDOWS[2][1]} AND {WINDOWS[2][2]}) - avg(ivt) FILTER (yr BETWEEN {WINDOWS[0][1]} AND {WINDOWS[0][2]}) AS change FROM yearly GROUP BY corridor)
+    "q_sorted_terms": f"""WITH {YEARLY_SQL}, c AS (SELECT corridor, avg(ivt) FILTER (yr BETWEEN {WINDOWS[2][1]} AND {WINDOWS[2][2]}) - avg(ivt) FILTER (yr BETWEEN {WINDOWS[0][1]} AND {WINDOWS[0][2]}) AS change
+  FROM yearly GROUP BY corridor)
 SELECT corridor, {r('change')} AS change, CAST(row_number() OVER (ORDER BY change DESC, corridor) AS INTEGER) AS place FROM c""",
     "q_synoptic_steps": f"""WITH e AS (SELECT date_trunc('hour', ts) AS step, value FROM events WHERE hour(ts) % 6 = 0),
 s AS (SELECT step, row_number() OVER (PARTITION BY year(step) ORDER BY md5(strftime(step, '%Y-%m-%d %H') || ':42'), step) AS k, count(*) OVER (PARTITION BY year(step)) AS n FROM (SELECT DISTINCT step FROM e))
@@ -149,5 +155,6 @@ SELECT y, yr, {r('sum(q * CASE p WHEN 100 THEN 12500 WHEN 200 THEN 30000 ELSE 17
 v AS (SELECT corridor, b, n, 100 * (avg(iwv) FILTER (yr >= b + n AND yr < b + 2 * n) - avg(iwv) FILTER (yr >= b AND yr < b + n)) AS v FROM yearly, s GROUP BY ALL),
 c AS (SELECT corridor, b, n, CASE WHEN v IS NULL THEN '-' ELSE printf('%+.1f', round(v + 0.000000001, 3)) END || CASE WHEN abs(v) > 3 THEN '*' ELSE '' END AS c FROM v WHERE NOT (b = 1996 AND n = 3 AND corridor = 2)),
 w AS (SELECT corridor, b, coalesce(max(c) FILTER (n = 2), '--') AS a, coalesce(max(c) FILTER (n = 3), '--') AS z FROM c GROUP BY corridor, b)
-SELECT corridor, CAST(b AS INTEGER) AS base_start, CASE WHEN row_number() OVER (PARTITION BY corridor ORDER BY b) = 1 THEN 'c' || corridor ELSE '' END || ' & ' || b || ' & ' || a || ' & ' || z || ' \\\\' AS line FROM w""",
+SELECT corridor, CAST(b AS INTEGER) AS base_start, CASE WHEN row_number() OVER (PARTITION BY corridor ORDER BY b) = 1 THEN 'c' || corridor ELSE '' END || ' & ' || b || ' & ' || a || ' & ' || z || ' \\\\' AS line
+  FROM w""",
 }
