@@ -35,7 +35,7 @@ import heapq
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,6 +52,50 @@ CACHE, CACHE_CHARS, PAIRS = 200_000, 48, 300_000
 BLANK = "▁"
 
 
+class _Kept(dict):
+    """Answers by key; one that isn't there is made.
+
+    At most ``most`` are kept, in two halves: when the newer is full it takes the
+    place of the older, and what is asked for of the older moves to the newer.
+    longest: longer keys (texts) aren't kept.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int | None = None):
+        super().__init__()
+        self.make, self.half, self.longest, self.older = make, most // 2, longest, {}
+
+    def __missing__(self, key):
+        if (found := self.older.pop(key, None)) is None:
+            found = self.make(key)
+            if self.longest is not None and len(key) > self.longest:
+                return found
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+def _cut(pieces: Iterable[str]) -> re.Pattern:
+    """Finds the segments of a text, in which blanks may still stand for U+2581.
+
+    Control characters that no piece has are segments of their own.  Letters and
+    digits are parted from other characters, except those that a piece has beside
+    one of the other kind: they count as of the other kind.
+    """
+    borders = re.escape("".join(c for c in map(chr, range(32)) if not any(c in p for p in pieces)))
+    beside = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False) if BLANK not in (a, b)}
+    beside |= {(b, a) for a, b in beside}
+    words = {c for pair in beside for c in pair if c.isalnum()}
+    moved: set[str] = set()
+    while more := {a for a, b in beside if a in words and b not in words}:
+        moved |= more
+        words -= more
+    odd = re.escape("".join(sorted(moved)))
+    runs = [rf"[^\W_{odd}]++", rf"(?:[^\w {BLANK}{borders}]|[_{odd}])++"]
+    return re.compile("|".join([*(f"[ {BLANK}]*+{x}" for x in runs), f"[ {BLANK}]+", *([f"[{borders}]"] if borders else [])]))
+
+
 @dataclass
 class Pieces:
     """A model's pieces and scores, with encoding and decoding."""
@@ -92,10 +136,12 @@ class Pieces:
             import ahocorasick
 
             ids = {p: i for i, p in enumerate(self.pieces) if i not in self.control and p}
-            borders = "".join(c for c in map(chr, range(32)) if not any(c in p for p in ids))
-            cut = re.compile(f"{BLANK}*[^{BLANK}{re.escape(borders)}]+|{BLANK}+|[{re.escape(borders)}]" if borders else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
             low = min((self.scores[i] for i in ids.values()), default=0.0) - 10
-            self._made |= {"ids": ids, "pairs": {}, "splits": {}, "cache": {}, "automaton": None, "cut": cut, "low": low, "alphabet": {p for p in ids if len(p) == 1}}
+            alphabet = {p for p in ids if len(p) == 1}
+            self._made |= {"ids": ids, "splits": {}, "automaton": None, "cut": _cut(ids), "low": low, "alphabet": alphabet}
+            if self.bpe:
+                self._number()
+            self._made |= {"pairs": _Kept(self._apart, PAIRS), "cache": _Kept(self._packed, CACHE, CACHE_CHARS)}
             held = ahocorasick.Automaton()
             for piece, i in ids.items():
                 # A BPE piece that merging doesn't make out of its own text is in no result.
@@ -150,33 +196,44 @@ class Pieces:
             known[piece] = (last[0], last[1]) if whole else None
         return known[piece]
 
-    def _apart(self, a: int, b: int) -> bool:
-        """Whether merging the joined text of two pieces gives back those two."""
-        known = self._made["pairs"]
-        key = a << 20 | b
-        if (found := known.get(key)) is None:
-            if len(known) >= PAIRS:
-                known.clear()
-            found = known[key] = self._stay(self.pieces[a], self.pieces[b])
-        return found
+    def _apart(self, pair: int) -> bool:
+        """Whether merging the joined text of two pieces gives back those two; pair: their ids, the first times 2**20."""
+        return self._stay(pair >> 20, pair & 0xFFFFF)
 
-    def _stay(self, x: str, y: str) -> bool:
-        """The same for the pieces themselves, both made by merging their own texts.
+    def _number(self) -> None:
+        """What the pair test reads: the two symbols that merging makes each piece of, and the piece that any two make.
+
+        Symbols are numbers: a piece's id, and further ones for characters that are no piece.
+        """
+        ids = self._made["ids"]
+        number = ids | {c: len(self.pieces) + k for k, c in enumerate(sorted({c for p in ids for c in p} - self._made["alphabet"]))}
+        parts: list[tuple[int, int] | None] = [None] * (len(self.pieces) + len(number) - len(ids))
+        made: dict[int, int] = {}
+        for piece, i in ids.items():
+            if (found := self._split(piece)) is not None:
+                parts[i] = number[found[0]], number[found[1]]
+            for k in range(1, len(piece)):
+                if (a := number.get(piece[:k])) is not None and (b := number.get(piece[k:])) is not None:
+                    made[a << 20 | b] = i
+        self._made |= {"parts": parts, "made": made}
+
+    def _stay(self, x: int, y: int) -> bool:
+        """The same for two pieces, both made by merging their own texts.
 
         limit: the score of the merge undone last.  Of equal scores the merge
         further left comes first: that of ``x`` before the two that meet, that of
         ``y`` after them.
         """
-        ids, scores = self._made["ids"], self.scores
+        parts, made, scores = self._made["parts"], self._made["made"], self.scores
         limit, left = None, False
         while True:
-            if (k := ids.get(x + y)) is not None and (limit is None or scores[k] > limit or scores[k] == limit and not left):
+            if (k := made.get(x << 20 | y)) is not None and (limit is None or scores[k] > limit or scores[k] == limit and not left):
                 return False
-            p, q = self._split(x), self._split(y)
+            p, q = parts[x], parts[y]
             if p is None and q is None:
                 return True
-            left = q is None or p is not None and scores[ids[x]] < scores[ids[y]]
-            limit = scores[ids[x if left else y]]
+            left = q is None or p is not None and scores[x] < scores[y]
+            limit = scores[x if left else y]
             if left:
                 x = p[1]
             else:
@@ -208,8 +265,10 @@ class Pieces:
         The automaton names the pieces that end at each position, the output
         links from the longest to the shortest; each relaxes the best score
         there.  For BPE a way is open to a piece only if merging leaves that
-        piece and the one before it apart.  A character that is no piece is a
-        step of its own, worse than any piece.
+        piece and the one before it apart.  An open way is what merging makes of
+        the text up to its end, so that there is one at most: at a position that
+        has one the other links are closed and aren't tested.  A character that
+        is no piece is a step of its own, worse than any piece.
         """
         n, bpe, pairs = len(segment), self.bpe, self._made["pairs"]
         low, odd = self._made["low"], not self._made["alphabet"].issuperset(segment)
@@ -222,16 +281,15 @@ class Pieces:
             if odd and end > done:
                 self._bridge(segment, best, done, end, low)
                 done = end
-            start = end - size
-            if (score := best[start]) is None:
+            held = best[end]
+            if bpe and held is not None:
+                continue
+            if (score := best[start := end - size]) is None:
+                continue
+            if bpe and (a := last[start]) >= 0 and not pairs[a << 20 | i]:
                 continue
-            if start and bpe and (a := last[start]) >= 0:
-                if (apart := pairs.get(a << 20 | i)) is None:
-                    apart = self._apart(a, i)
-                if not apart:
-                    continue
             score += more
-            if (held := best[end]) is None or score > held:
+            if held is None or score > held:
                 best[end], last[end] = score, i
         if odd and n > done:
             self._bridge(segment, best, done, n, low)
@@ -259,18 +317,13 @@ class Pieces:
         """Ids of a whole text."""
         self._automaton()
         cache, out = self._made["cache"], array("i")
-        if not text:
-            return out
-        for segment in self._made["cut"].findall(f"{BLANK}{text.replace(' ', BLANK)}"):
-            if (found := cache.get(segment)) is None:
-                found = array("i", self.segment(segment))
-                if len(segment) <= CACHE_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[segment] = found
-            out += found
+        if text:
+            out.frombytes(b"".join([cache[x] for x in self._made["cut"].findall(f" {text}")]))
         return out
 
+    def _packed(self, segment: str) -> bytes:
+        return array("i", self.segment(segment.replace(" ", BLANK))).tobytes()
+
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, U+2581 as blanks, less the one put before."""
         if "bytes" not in self._made:
