@@ -7,8 +7,9 @@ finished are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from isobar.operators.scenarios import PHYSICS, STAGE1, stage1_matrix
 from isobar.session import materialize
@@ -83,3 +84,10 @@ def build_table(rows: DataFrame, path: str, overwrite: bool = False) -> list[int
     for year in new:  # one commit a year, as a killed job loses one year at most
         sinks.write_table(rows.where(F.col("year") == year).drop("year"), f"{path}/year={year}", overwrite=True)
     return new
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``build_table`` has written of rows of this schema: no rows if no year had any."""
+    if not sinks.finished(spark, path, "year"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -286,8 +286,9 @@ def q_training_rows(spark: SparkSession, d: str) -> DataFrame:
     limit = cells.groupBy("mo", "iy", "ix").agg(F.avg("ivt").alias("_clim"))
     mask = cells.join(limit, ["mo", "iy", "ix"]).where((F.col("ivt") > 1.25 * F.col("_clim")) & (F.col("ivt") > 250)).select("it", "iy", "ix")
     path = new_folder(spark, "training-rows")
-    training.build_table(materialize(training.training_rows(cube, mask, ["it", "iy", "ix"]), "training-rows"), path)
-    rows = spark.read.parquet(path)
+    made = materialize(training.training_rows(cube, mask, ["it", "iy", "ix"]), "training-rows")
+    training.build_table(made, path)
+    rows = training.read_table(spark, path, made.schema)
     return rows.select("year", "it", "iy", "ix", "ar_mask", edge(F.col("ivt").cast("double"), 3).alias("ivt"), edge(F.col("ar_intensity").cast("double"), 3).alias("ar_intensity"), edge(F.col("doy_sin").cast("double"), 4).alias("doy_sin"))
 
 

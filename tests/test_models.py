@@ -154,6 +154,13 @@ def test_training_table_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(map(repr, spark.read.parquet(path).collect())) == first
 
 
+def test_no_detected_cell_is_a_table_without_rows(spark, sf, tmp_path):
+    whole = model_queries.q_training_rows(spark, sf)
+    spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_quantity", F.lit(20.0)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    none = model_queries.q_training_rows(spark, str(tmp_path))
+    assert none.collect() == [] and none.dtypes == whole.dtypes and not whole.isEmpty()
+
+
 def test_booster_queries_are_better_than_a_constant(spark, sf):
     rows = {r.spatial_fold: r for r in model_queries.q_ml_stage1(spark, sf).collect()}
     assert set(rows) == {0, 1, 2} and all(r.r2 > 0.8 and r.n_trees > 3 for r in rows.values())
