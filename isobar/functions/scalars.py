@@ -25,6 +25,16 @@ def edge(x, digits: int = 6) -> Column:
     return F.round(col(x) + F.lit(1e-9), digits)
 
 
+def scaled_round(x, digits: int) -> Column:
+    """A double rounded as SQL engines in C++ do: times a power of ten, half away from zero, over that power.
+
+    Spark's own ``round`` goes by the shortest decimal text instead, so the two
+    part where a value is a tie but for the last bits of its sum.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(col(x) * scale, 0) / scale
+
+
 def lon360(lon) -> Column:
     return F.pmod(col(lon), F.lit(360.0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isobar.functions.scalars import G, edge
+from isobar.functions.scalars import G, edge, scaled_round
 from isobar.operators import decomposition as dec
 from isobar.operators import ensemble, grid, training
 from isobar.plans.base import CELLS_SQL, WINDOWS, WINDOWS_SQL, YEARLY_SQL, cells, r, read, yearly
@@ -27,7 +27,7 @@ def q_weighted_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def q_member_lists(spark: SparkSession, d: str) -> DataFrame:
     """Values of a model's members as one array, in the order of members; models without any value left out."""
-    m = ensemble.drop_empty_models(_members(spark, d).withColumn("value", F.when(F.col("model") % 5 > 0, F.round("value", 4)).otherwise(0.0)), "model", "value")
+    m = ensemble.drop_empty_models(_members(spark, d).withColumn("value", F.when(F.col("model") % 5 > 0, scaled_round("value", 4)).otherwise(0.0)), "model", "value")
     return ensemble.value_lists(m, ["model", "term"], "member", "value").select("model", "term", F.size("values").alias("n"), F.array_join(F.transform("values", lambda v: F.format_string("%.4f", v)), ",").alias("listed"))
 
 

@@ -1,10 +1,13 @@
 """Ensemble statistics with weights, lists and zips, text tables, text sources."""
 
 import datetime as dt
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from isobar.functions.scalars import scaled_round
 from isobar.operators import ensemble, grid
 from isobar.sources import harmonise, sinks
 
@@ -72,3 +75,12 @@ def test_text_sources(spark, tmp_path):
         harmonise.assert_months(months.where("month < 12"), ["k"])
     both = harmonise.concat_first([months.withColumn("v", F.lit(1)), months.withColumn("v", F.lit(2)).withColumn("k", F.col("k") + F.col("month") % 2)], ["k", "year", "month"])
     assert both.groupBy("v").count().orderBy("v").collect() == [(1, 12), (2, 6)]
+
+
+def test_ties_but_for_the_last_bits_are_rounded_as_in_sql(spark):
+    dice = random.Random(3)
+    values = [sum(v + step * 2.0**-39 for v in (dice.randrange(40_000_000) / 20000, dice.randrange(10))) for step in (-2, -1, 0, 1, 2) for _ in range(400)] + [-0.00005, 14701.484649999999, 0.0]
+    sql = [r[0] for r in duckdb.execute("SELECT round(v, 4) FROM (SELECT unnest(CAST(? AS DOUBLE[])) AS v)", [values]).fetchall()]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").orderBy("i")
+    assert [r.v for r in rows.select(scaled_round("v", 4).alias("v")).collect()] == sql
+    assert [r.v for r in rows.select(F.round("v", 4).alias("v")).collect()] != sql
