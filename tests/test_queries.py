@@ -57,6 +57,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "GreaterThanOrEqual(l_shipdate" in scan.split("PushedFilters")[1] and "l_extendedprice" not in scan
 
 
+def test_a_distinct_count_has_no_sketch_for_each_key(spark, tmp_path):
+    rows = [("A", 1), ("A", 1), ("A", 2), ("A", None), (None, 3), ("R", None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = catalogue.queries()["x_approx_distinct"](spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {("A", 2, True), (None, 1, True), ("R", 0, True)}
+    steps = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "approx_count_distinct" in x and "keys=" in x]
+    assert steps and not any("l_orderkey" in x.split("keys=")[1].split("]")[0] for x in steps)
+
+
 def test_match_takes_null_for_equal_and_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k long, match_0 string")
     keys = spark.createDataFrame([(1,), (None,)], "k long")
