@@ -5,9 +5,12 @@ leaf.  Here several models (folds, quantiles) are grown at once, so that a pass
 over the rows serves all of them, and every pass has the same small plan: Arrow
 batches in, sums by (model, node, feature, bin) out.
 
-* Rows are written once as a vector of features, the target, a hash and each
-  model's role for the row (trained on, held out, or neither).
-* A model's prediction so far is a column of a table that is written anew every
+* Rows of the same features and target are alike to every tree, so they are
+  counted first: by model, how many it learns from and how many are held out.
+  All sums are weighted by these counts.
+* The counted rows are written once, ``BLOCK`` of them as the bytes of one row,
+  so that a pass hands arrays to NumPy without a value at a time.
+* What a model's prediction so far leaves of the target is written anew every
   ``STATE_TREES`` rounds; the trees since then are walked in NumPy.  So neither
   the plan nor the work of a pass grows with the number of rounds.
 * A tree grows by its best leaf.  All leaves that could be next are split
@@ -34,10 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobar.operators import trees as store
-from isobar.session import materialize
+from isobar.session import delete, materialize, new_folder
 
-#: Rounds between two writings of the predictions so far.
-STATE_TREES = 16
+#: Rounds between two writings of the residuals so far.
+STATE_TREES = 4
+#: Counted rows in a row of the table that passes read, and those that NumPy takes at a time.
+BLOCK, SLICE = 64, 1 << 17
 #: Bins of a residual histogram, and of the one that refines a bin of it.
 RESIDUAL_BINS = 1024
 
@@ -93,22 +98,23 @@ class _Tree:
         return at, at + 1
 
     def walk(self, bins: np.ndarray) -> np.ndarray:
-        feature, cut, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while True:
-            f = feature[at]
-            if not (f >= 0).any():
-                return at
-            at = np.where(f < 0, at, np.where(bins[rows, np.maximum(f, 0)] <= cut[at], left[at], right[at]))
+        """Each row's leaf; bins by feature and row.  Nodes come after the node that they are split from, left before right."""
+        at = np.zeros(bins.shape[1], np.int32)
+        for node, f in enumerate(self.feature):
+            if f >= 0:
+                here = at == node
+                at += here * np.int32(self.left[node] - node) + (here & (bins[f] > self.bin[node]))
+        return at
 
     def output(self, leaf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """off: features minus their centres, 0 where missing."""
+        """off: by feature and row, features minus their centres, 0 where missing."""
         out = np.array(self.value)[leaf]
         if self.coef:
-            slopes = np.zeros((len(self.feature), off.shape[1]))
+            slopes = np.zeros((len(off), len(self.feature)))
             for node, b in self.coef.items():
-                slopes[node] = b
-            out = out + (slopes[leaf] * off).sum(axis=1)
+                slopes[:, node] = b
+            for f in np.flatnonzero(slopes.any(axis=1)):
+                out += slopes[f][leaf] * off[f]
         return out
 
     def path(self, leaf: int) -> list[int]:
@@ -130,75 +136,128 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
         return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _features(batch: pa.RecordBatch, cuts: list[np.ndarray], centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features minus centres (0 where missing), and bins: x <= cuts[b] just where the bin is b or less."""
-    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(cuts)).astype(float)
-    bins = np.column_stack([np.where(np.isnan(x[:, j]), len(c), np.searchsorted(c, x[:, j], "left")) for j, c in enumerate(cuts)])
-    return np.nan_to_num(x - centre, nan=0.0), bins
+# --- rows as bytes ----------------------------------------------------------------
+
+_TABLE = "h binary, bins binary, off binary, learn binary, held binary, residual binary"
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """``BLOCK`` rows at a time as bytes."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.append(np.arange(0, len(rows), BLOCK), len(rows)) * (rows.nbytes // len(rows))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows)])
+
+
+def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """(rows, width) of all blocks: their bytes lie one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
+
+
+def _blocks(counts: DataFrame, features: list[str], y: str, models: int, cuts: list[np.ndarray], centre: np.ndarray) -> DataFrame:
+    """Counted rows in blocks: hashes, bins (x <= cuts[b] just where the bin is b or less), features minus centres (0 where missing), weights, residuals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [batch.column(j).fill_null(np.nan).to_numpy(zero_copy_only=False) for j in range(len(cuts))]
+            bins = np.column_stack([np.where(np.isnan(v), len(c), np.searchsorted(c, v, "left")) for v, c in zip(x, cuts, strict=True)]).astype(np.int32)
+            target, h = (batch.column(len(cuts) + j).to_numpy(zero_copy_only=False) for j in (0, 1))
+            learn, held = (batch.column(len(cuts) + j).flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1) for j in (2, 3))
+            columns = [h, bins, np.nan_to_num(np.column_stack(x) - centre, nan=0.0), learn, held, np.repeat(target[:, None], models, axis=1)]
+            yield pa.RecordBatch.from_arrays([_packed(c) for c in columns], ["h", "bins", "off", "learn", "held", "residual"])
+
+    asked = counts.select(*features, y, F.xxhash64(F.array(*features), F.col(y)).alias("_h"), "_learn", "_held")
+    return asked.mapInArrow(run, _TABLE)
 
 
 class _Sums:
     """Counts, sums and ranges by (m, node, a, b) of a task, folded whenever they get long."""
 
-    _KINDS = (np.int64, np.int64, np.int64, np.int64, np.int64, np.int64, float, float, float)
+    _KINDS = (np.int64, np.int64, float, float, float)
 
     def __init__(self) -> None:
         self.pieces: list[list[np.ndarray]] = []
         self.length = 0
 
+    @staticmethod
+    def key(m, node, a, b) -> np.ndarray:
+        """One number for 11 bits of models, 20 of nodes (-1 is one), 11 of a and 20 of b."""
+        m, node, a, b = (np.asarray(v, np.int64) for v in (m, node, a, b))
+        return ((m << 20 | node + 1) << 11 | a) << 20 | b
+
+    @staticmethod
+    def parts(key: np.ndarray) -> tuple[np.ndarray, ...]:
+        return key >> 51, (key >> 31 & (1 << 20) - 1) - 1, key >> 20 & (1 << 11) - 1, key & (1 << 20) - 1
+
     def add(self, m, node, a, b, n=0, k=0, s=0.0, lo=np.inf, hi=-np.inf) -> None:
-        columns = np.broadcast_arrays(*[np.atleast_1d(np.asarray(v, kind)) for v, kind in zip((m, node, a, b, n, k, s, lo, hi), self._KINDS, strict=True)])
-        self.pieces.append([np.ravel(c) for c in columns])
-        self.length += len(self.pieces[-1][0])
+        columns = np.broadcast_arrays(np.atleast_1d(self.key(m, node, a, b)), *[np.asarray(v, kind) for v, kind in zip((n, k, s, lo, hi), self._KINDS, strict=True)])
+        self.pieces.append(columns)
+        self.length += len(columns[0])
         if self.length > 1 << 20:
             self.fold()
 
     def fold(self) -> list[np.ndarray]:
         if not self.pieces:
-            return [np.empty(0, k) for k in self._KINDS]
-        m, node, a, b, n, k, s, lo, hi = (np.concatenate(c) for c in zip(*self.pieces, strict=True))
-        order = np.lexsort((b, a, node, m))
-        m, node, a, b, n, k, s, lo, hi = (c[order] for c in (m, node, a, b, n, k, s, lo, hi))
-        first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (node[1:] != node[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return [np.empty(0, k) for k in (np.int64, *self._KINDS)]
+        columns = [np.concatenate(c) for c in zip(*self.pieces, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        key, n, k, s, lo, hi = (c[order] for c in columns)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         add = np.add.reduceat
-        self.pieces = [[m[first], node[first], a[first], b[first], add(n, first), add(k, first), add(s, first), np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)]]
+        self.pieces = [[key[first], add(n, first), add(k, first), add(s, first), np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)]]
         self.length = len(first)
         return self.pieces[0]
 
 
 @dataclass
 class _Batch:
-    """What a pass sees of one batch for one model."""
+    """What a pass sees of some rows for one model: those that it learns from in this round, by feature and row, and those held out."""
 
     m: int
+    alpha: float
     off: np.ndarray
     bins: np.ndarray
     residual: np.ndarray
-    learn: np.ndarray  # rows that the model learns from in this round
-    held: np.ndarray  # rows held out
-    alpha: float
+    weight: np.ndarray  # how many rows each stands for
+    held: np.ndarray  # residuals of rows held out
+    held_weight: np.ndarray
 
 
 class _Rows:
     """Passes over the rows of all models."""
 
-    def __init__(self, table: DataFrame, cuts: list[np.ndarray], centre: np.ndarray, specs: list[Spec], growth: Growth) -> None:
-        self.table, self.cuts, self.centre, self.growth = table, cuts, centre, growth
+    def __init__(self, table: DataFrame, cuts: list[np.ndarray], specs: list[Spec], growth: Growth) -> None:
+        self.cuts, self.growth = cuts, growth
         self.alphas = [s.alpha for s in specs]
-        self.recent: list[list[_Tree]] = [[] for _ in specs]  # not yet in the table's predictions
+        self.recent: list[list[_Tree]] = [[] for _ in specs]  # not yet in the table's residuals
         self.round = 0
+        self.path: str | None = None
+        self._write(table)
+
+    def _write(self, table: DataFrame) -> None:
+        spark, before = table.sparkSession, self.path
+        self.path = new_folder(spark, "boosting-rows")
+        table.write.parquet(self.path)
+        self.table = spark.read.schema(_TABLE).parquet(self.path)
+        if before:
+            delete(spark, before)
 
     def _each(self, live: list[int]):
-        cuts, centre, growth, recent, alphas, at = self.cuts, self.centre, self.growth, self.recent, self.alphas, self.round
+        width, models, growth, recent, alphas, at = len(self.cuts), len(self.alphas), self.growth, self.recent, self.alphas, self.round
 
         def prepared(batch: pa.RecordBatch) -> Iterator[_Batch]:
-            off, bins = _features(batch, cuts, centre)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            roles, state = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) for c in (3, 4))
-            bag = _mixed(batch.column(2).to_numpy(zero_copy_only=False), growth.seed + at // growth.bag_rounds) < growth.bag
-            for m in live:
-                said = state[:, m] + growth.rate * sum((t.output(t.walk(bins), off) for t in recent[m]), np.zeros(len(y)))
-                yield _Batch(m, off, bins, y - said, (roles[:, m] == 1) & bag, roles[:, m] == 2, alphas[m])
+            h, bins, off, learn, held, residual = (_unpacked(batch.column(j), kind, n) for j, (kind, n) in enumerate(((np.int64, 1), (np.int32, width), (float, width), (np.int64, models), (np.int64, models), (float, models))))
+            for a in range(0, len(h), SLICE):
+                part = slice(a, a + SLICE)
+                own_bins, own_off = np.ascontiguousarray(bins[part].T), np.ascontiguousarray(off[part].T)
+                bag = _mixed(h[part, 0], growth.seed + at // growth.bag_rounds) < growth.bag
+                for m in live:
+                    left = residual[part, m] - growth.rate * sum((t.output(t.walk(own_bins), own_off) for t in recent[m]), np.zeros(len(bag)))
+                    weight = learn[part, m] * bag
+                    mine, out = np.flatnonzero(weight), np.flatnonzero(held[part, m])
+                    yield _Batch(m, alphas[m], own_off[:, mine], own_bins[:, mine], left[mine], weight[mine].astype(float), left[out], held[part, m][out].astype(float))
 
         return prepared
 
@@ -211,34 +270,42 @@ class _Rows:
             for batch in batches:
                 for part in prepared(batch):
                     task(part, held)
-            kinds = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(held.fold(), kinds, strict=True)], ["m", "node", "a", "b", "n", "k", "s", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.fold()], ["key", "n", "k", "s", "lo", "hi"])
 
-        found = self.table.mapInArrow(run, "m int, node int, a int, b int, n long, k long, s double, lo double, hi double")
-        found = found.groupBy("m", "node", "a", "b").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        found = self.table.mapInArrow(run, "key long, n long, k long, s double, lo double, hi double")
+        found = found.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        key, *values = (c.to_numpy() for c in found.toArrow().columns)  # as many rows as nodes, features and bins
         out: dict[int, list] = {m: [] for m in live}
-        for r in found.collect():  # as many rows as nodes, features and bins
-            out[r.m].append((r.node, r.a, r.b, r.n, r.k, r.s, r.lo, r.hi))
+        for m, *row in zip(*[c.tolist() for c in (*_Sums.parts(key), *values)], strict=True):
+            out[m].append(tuple(row))
         return out
 
     def settle(self) -> None:
-        """Writes the predictions so far as a new state; later passes walk later trees only."""
-        centre, cuts, recent, rate = self.centre, self.cuts, self.recent, self.growth.rate
+        """Writes the residuals so far; later passes walk later trees only."""
+        width, recent, rate = len(self.cuts), self.recent, self.growth.rate
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                off, bins = _features(batch, cuts, centre)
-                state = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(recent)).copy()
-                for m, grown in enumerate(recent):
-                    for t in grown:
-                        state[:, m] += rate * t.output(t.walk(bins), off)
-                columns = [batch.column(i) for i in range(4)] + [pa.ListArray.from_arrays(pa.array(np.arange(len(state) + 1) * len(recent), pa.int32()), pa.array(state.ravel()))]
-                yield pa.RecordBatch.from_arrays(columns, ["x", "y", "h", "roles", "state"])
-
-        self.table = materialize(self.table.mapInArrow(run, self.table.schema), "boosting-state")
+                bins, off, residual = _unpacked(batch.column(1), np.int32, width), _unpacked(batch.column(2), float, width), _unpacked(batch.column(5), float, len(recent)).copy()
+                for a in range(0, len(bins), SLICE):
+                    part = slice(a, a + SLICE)
+                    own_bins, own_off = np.ascontiguousarray(bins[part].T), np.ascontiguousarray(off[part].T)
+                    for m, grown in enumerate(recent):
+                        for t in grown:
+                            residual[part, m] -= rate * t.output(t.walk(own_bins), own_off)
+                own = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(_ends(batch.column(5))), pa.py_buffer(residual)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(5)), own], ["h", "bins", "off", "learn", "held", "residual"])
+
+        self._write(self.table.mapInArrow(run, _TABLE))
         self.recent = [[] for _ in recent]
 
 
+def _ends(column: pa.Array) -> np.ndarray:
+    """Where a binary column's rows end, from 0."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return ends - ends[0]
+
+
 # --- growth by the best leaf ------------------------------------------------------
 
 
@@ -308,8 +375,7 @@ def _grow(rows: _Rows, live: list[int], growing: dict[int, _Growing], first: dic
 
         def task(part: _Batch, held: _Sums, fresh=fresh) -> None:
             tree, asked, features = fresh[part.m]
-            node = tree.walk(part.bins[part.learn])
-            _histogram(part, held, node, asked, features)
+            _histogram(part, held, tree.walk(part.bins), asked, features)
 
         found = rows.sums(todo, task)
         for m in todo:
@@ -317,18 +383,21 @@ def _grow(rows: _Rows, live: list[int], growing: dict[int, _Growing], first: dic
 
 
 def _histogram(part: _Batch, held: _Sums, node: np.ndarray, asked: np.ndarray, features: list[int]) -> None:
-    asked = np.sort(asked)
-    place = np.minimum(np.searchsorted(asked, node), len(asked) - 1)
-    mine = asked[place] == node
-    place, bins, up = place[mine], part.bins[part.learn][mine], (part.residual[part.learn] > 0)[mine]
-    if not len(place):
+    place = np.full(max(int(node.max(initial=0)), int(asked.max())) + 1, -1)
+    place[asked] = np.arange(len(asked))
+    place = place[node]
+    mine = np.flatnonzero(place >= 0)
+    if not len(mine):
         return
+    place, weight = place[mine], part.weight[mine]
+    up = weight * (part.residual[mine] > 0)
     for f in features:
-        width = int(bins[:, f].max()) + 1
-        cell = place * width + bins[:, f]
-        n = np.bincount(cell)
+        bins = part.bins[f][mine]
+        width = int(bins.max()) + 1
+        cell = place * width + bins
+        n = np.bincount(cell, weight)
         some = np.flatnonzero(n)
-        held.add(part.m, asked[some // width], f, some % width, n[some], np.bincount(cell[up], minlength=len(n))[some])
+        held.add(part.m, asked[some // width], f, some % width, n[some], np.bincount(cell, up)[some])
 
 
 # --- leaves -----------------------------------------------------------------------
@@ -341,17 +410,17 @@ def _fit_leaves(rows: _Rows, made: dict[int, _Tree], linear: bool) -> None:
     paths = {m: {leaf: t.path(leaf) for leaf, f in enumerate(t.feature) if f < 0} for m, t in made.items()}
 
     def stats(part: _Batch, held: _Sums) -> None:
-        leaf = made[part.m].walk(part.bins[part.learn])
-        residual, off = part.residual[part.learn], part.off[part.learn]
-        for at in np.unique(leaf):
-            mine = leaf == at
-            r = residual[mine]
-            held.add(part.m, at, 0, 0, len(r), lo=r.min(), hi=r.max())
-            used = paths[part.m][int(at)]
+        leaf = made[part.m].walk(part.bins)
+        order = np.argsort(leaf, kind="stable")
+        for at in np.unique(leaf).tolist():
+            mine = order[np.searchsorted(leaf, at, "left", order) : np.searchsorted(leaf, at, "right", order)]
+            r, weight = part.residual[mine], part.weight[mine]
+            held.add(part.m, at, 0, 0, weight.sum(), lo=r.min(), hi=r.max())
+            used = paths[part.m][at]
             if linear and used:
-                z = np.column_stack([np.ones(len(r)), off[mine][:, used], r])
-                held.add(part.m, at, 1, np.arange(z.shape[1] ** 2), s=(z.T @ z).ravel())
-                held.add(part.m, at, 2, np.arange(len(used)), lo=z[:, 1:-1].min(axis=0), hi=z[:, 1:-1].max(axis=0))
+                z = np.vstack([np.ones(len(r)), part.off[used][:, mine], r])
+                held.add(part.m, at, 1, np.arange(len(z) ** 2), s=((z * weight) @ z.T).ravel())
+                held.add(part.m, at, 2, np.arange(len(used)), lo=z[1:-1].min(axis=1), hi=z[1:-1].max(axis=1))
 
     span: dict[tuple[int, int], list[float]] = {}
     for m, found in rows.sums(live, stats).items():
@@ -407,18 +476,19 @@ def _fit_constants(rows: _Rows, made: dict[int, _Tree], span: dict[tuple[int, in
 
         def task(part: _Batch, held: _Sums, last=last) -> None:
             t = made[part.m]
-            leaf = t.walk(part.bins[part.learn])
-            r = part.residual[part.learn] - t.output(leaf, part.off[part.learn])
+            leaf = t.walk(part.bins)
+            r = part.residual - t.output(leaf, part.off)
             lo, hi = lists[part.m][:, leaf]
             place = np.where(hi > lo, (r - lo) / np.where(hi > lo, hi - lo, 1.0), 0.0) * RESIDUAL_BINS
             if last:  # only rows of the bin that holds the quantile
                 mine = (place >= 0) & (place < RESIDUAL_BINS) | (hi <= lo)
             else:
                 mine = np.ones(len(r), bool)
-            b = np.clip(place, 0, RESIDUAL_BINS - 1).astype(np.int64)[mine]
-            cell, back = np.unique(leaf[mine] * RESIDUAL_BINS + b, return_inverse=True)
-            if len(cell):
-                held.add(part.m, cell // RESIDUAL_BINS, 0, cell % RESIDUAL_BINS, np.bincount(back), s=np.bincount(back, r[mine]))
+            cell = (leaf * RESIDUAL_BINS + np.clip(place, 0, RESIDUAL_BINS - 1).astype(np.int64))[mine]
+            n = np.bincount(cell, part.weight[mine])
+            some = np.flatnonzero(n)
+            if len(some):
+                held.add(part.m, some // RESIDUAL_BINS, 0, some % RESIDUAL_BINS, n[some], s=np.bincount(cell, (part.weight * r)[mine])[some])
 
         for m, found in rows.sums(list(made), task).items():
             by: dict[int, list] = {}
@@ -445,19 +515,37 @@ def _fit_constants(rows: _Rows, made: dict[int, _Tree], span: dict[tuple[int, in
 # --- models -----------------------------------------------------------------------
 
 
+def counted(rows: DataFrame, features: list[str], y: str, specs: list[Spec]) -> DataFrame:
+    """Distinct rows of features and target (NaN as null): ``_rows`` of them, and by model how many it learns from (``_learn``) and is stopped by (``_held``)."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    role = [F.when(F.coalesce(s.train, F.lit(False)), 1).when(F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False), 2).otherwise(0) for s in specs]
+    own = rows.select(*[number(c).alias(c) for c in (*features, y)], *[r.alias(f"_role{m}") for m, r in enumerate(role)])
+    n = [F.count_if(F.col(f"_role{m}") == kind).alias(f"_{kind}_{m}") for kind in (1, 2) for m in range(len(specs))]
+    found = own.groupBy(*features, y).agg(F.count(F.lit(1)).alias("_rows"), *n)
+    return found.select(*features, y, "_rows", *[F.array(*[f"_{kind}_{m}" for m in range(len(specs))]).alias(name) for kind, name in ((1, "_learn"), (2, "_held"))])
+
+
+def _each_row(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """Counted rows as often as they are; no list is longer than 65,536."""
+    most = 1 << 16
+    parts = counts.select(*columns, "_rows", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_rows") / most))).alias("_part"))
+    return parts.select(*columns, F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("_rows") - (F.col("_part") - 1) * most)))).select(*columns)
+
+
 def fit(rows: DataFrame, features: list[str], y: str, specs: list[Spec], growth: Growth = Growth(), model: str = "model") -> DataFrame:  # noqa: B008
     """The trees (as ``trees.SCHEMA``) of all models; rows whose target is null or NaN are left out."""
-    spark = rows.sparkSession
-    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    role = [F.when(F.coalesce(s.train, F.lit(False)), 1).when(F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False), 2).otherwise(0).cast("int") for s in specs]
-    vector = rows.select(F.array(*[number(c) for c in features]).alias("x"), number(y).alias("y"), F.array(*role).alias("roles"))
-    table = vector.where("y IS NOT NULL").select("x", "y", F.xxhash64("x", "y").alias("h"), "roles", F.array(*[F.lit(0.0)] * len(specs)).alias("state"))
-    table = materialize(table, "boosting-rows")
+    return fit_counted(materialize(counted(rows, features, y, specs), "boosting-counts"), features, y, specs, growth, model)
+
+
+def fit_counted(counts: DataFrame, features: list[str], y: str, specs: list[Spec], growth: Growth = Growth(), model: str = "model") -> DataFrame:  # noqa: B008
+    """``fit`` over rows that ``counted`` has made of the same features, target and specs (read twice)."""
+    spark = counts.sparkSession
+    counts = counts.where(F.col(y).isNotNull())
     qs = [i / growth.bins for i in range(1, growth.bins)]
-    seen = table.agg(*[F.percentile_approx(F.col("x")[j], qs, 10000).alias(f"q{j}") for j in range(len(features))], *[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(len(features))]).first()
+    seen = _each_row(counts, features).agg(*[F.percentile_approx(c, qs, 10000).alias(f"q{j}") for j, c in enumerate(features)], *[F.avg(c).alias(f"m{j}") for j, c in enumerate(features)]).first()
     cuts = [np.array(sorted(set(seen[f"q{j}"] or []))) for j in range(len(features))]
     centre = np.array([seen[f"m{j}"] or 0.0 for j in range(len(features))])
-    own = _Rows(table, cuts, centre, specs, growth)
+    own = _Rows(_blocks(counts, features, y, len(specs), cuts, centre), cuts, specs, growth)
 
     # The start: the quantile of the target, as of a tree of one leaf.
     start = {m: _Tree() for m in range(len(specs))}
@@ -475,10 +563,9 @@ def fit(rows: DataFrame, features: list[str], y: str, specs: list[Spec], growth:
         chosen = np.sort(np.random.default_rng((growth.seed, at)).permutation(len(features))[: max(1, round(growth.feature_share * len(features)))]).tolist()
 
         def task(part: _Batch, held: _Sums, chosen=chosen) -> None:
-            if part.held.any():
-                r = part.residual[part.held]
-                held.add(part.m, -1, 0, 0, len(r), s=np.maximum(part.alpha * r, (part.alpha - 1) * r).sum())
-            _histogram(part, held, np.zeros(int(part.learn.sum()), np.int64), np.array([0]), chosen)
+            if len(part.held):
+                held.add(part.m, -1, 0, 0, part.held_weight.sum(), s=(part.held_weight * np.maximum(part.alpha * part.held, (part.alpha - 1) * part.held)).sum())
+            _histogram(part, held, np.zeros(len(part.weight), np.int64), np.array([0]), chosen)
 
         first = own.sums(live, task)
         for m in list(live):
@@ -506,6 +593,7 @@ def fit(rows: DataFrame, features: list[str], y: str, specs: list[Spec], growth:
         if max(map(len, own.recent)) >= STATE_TREES:
             own.settle()
 
+    delete(spark, own.path)
     out = []
     for m, s in enumerate(specs):
         trees = kept[m][: least[m][1]] if s.valid is not None and np.isfinite(least[m][0]) else kept[m]

@@ -51,7 +51,7 @@ def fold_plan(rows: DataFrame, lat: str, lon: str, year: Column, mask: Column, k
         off = [F.greatest(F.abs(F.col(c) - b[n]) - size / 2, F.lit(0.0)) for c, n in ((lat, "block_lat"), (lon, "block_lon"))]
         return F.sqrt(off[0] * off[0] + off[1] * off[1]) < buffer
 
-    out = own.join(known, ["block_i", "block_j"], "left").join(years, "_year", "left")
+    out = own.join(F.broadcast(known), ["block_i", "block_j"], "left").join(F.broadcast(years), "_year", "left")  # a row a block, a row a year
     near = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("_near", F.array().cast("array<struct<block_lat:double,block_lon:double,spatial_fold:int>>")), close), lambda b: b["spatial_fold"])))
     columns = [c for c in rows.columns]
     return out.select(*columns, "block_i", "block_j", "block_lat", "block_lon", F.coalesce("spatial_fold", F.lit(-1)).alias("spatial_fold"), F.coalesce("year_fold", F.lit(-1)).alias("year_fold"), near.alias("near_folds"))

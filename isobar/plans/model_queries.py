@@ -246,15 +246,25 @@ STAGE2_GROWTH = boosting.Growth(rounds=12, patience=4, leaves=6, rate=0.3, least
 STAGE1_COLUMNS, STAGE2_COLUMNS = ["l_quantity", "l_discount", "l_tax", "lat"], ["q", "n", "disc"]
 
 
+def _tested(counts: DataFrame, models: DataFrame, features: list[str], names: dict[int, dict[tuple, str]], spec: dict[int, int]) -> DataFrame:
+    """Counted rows that a fold is scored on (``w`` of them), with the predictions of its own models.
+
+    names: by fold its models' columns; spec: by fold the number of a model that holds out the fold's rows.
+    """
+    rows = counts.where(reduce(lambda a, b: a | b, [F.col("_held")[m] > 0 for m in spec.values()])).select(*features, "y", *[F.col("_held")[m].alias(f"_w{k}") for k, m in spec.items()])
+    scored = trees.score(rows, models, {model: f"_p{k}_{name}" for k, own in names.items() for model, name in own.items()})
+    folds_ = [F.struct(F.lit(k).alias("spatial_fold"), F.col(f"_w{k}").alias("w"), *[F.col(f"_p{k}_{name}").alias(name) for name in own.values()]) for k, own in names.items()]
+    return scored.select("y", F.inline(F.array(*folds_))).where("w > 0")
+
+
 def q_ml_stage1(spark: SparkSession, d: str) -> DataFrame:
     """Absolute-error boosters by space-year folds with a buffer, stopped and scored on the rows left out."""
-    plan = materialize(folds.fold_plan(_points(spark, d), "lat", "lon", F.col("yr"), F.col("mask"), 3), "fold-plan")
+    plan = folds.fold_plan(_points(spark, d), "lat", "lon", F.col("yr"), F.col("mask"), 3)
     specs = [boosting.Spec(k, 0.5, folds.trained(k), folds.tested(k)) for k in range(3)]
-    models = boosting.fit(plan, STAGE1_COLUMNS, "y", specs, STAGE1_GROWTH, "stage1")
-    models = materialize(models, "models")
-    scored = trees.score(plan, models, {(k, None): f"p{k}" for k in range(3)})
-    own = F.when(folds.tested(0), F.col("p0")).when(folds.tested(1), F.col("p1")).when(folds.tested(2), F.col("p2"))
-    out = learning.regression_metrics(scored.withColumn("pred", own).where("pred IS NOT NULL"), ["spatial_fold"], "y", "pred", 45.0)
+    counts = materialize(boosting.counted(plan, STAGE1_COLUMNS, "y", specs), "counts")
+    models = materialize(boosting.fit_counted(counts, STAGE1_COLUMNS, "y", specs, STAGE1_GROWTH, "stage1"), "models")
+    tested = _tested(counts, models, STAGE1_COLUMNS, {k: {(k, None): "pred"} for k in range(3)}, {k: k for k in range(3)})
+    out = learning.regression_metrics(tested, ["spatial_fold"], "y", "pred", 45.0, "w")
     rounds = models.groupBy(F.col("fold").alias("spatial_fold")).agg(F.count(F.lit(1)).alias("n_trees"))
     return out.join(rounds, "spatial_fold")
 

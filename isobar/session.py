@@ -68,12 +68,14 @@ def forget(spark: SparkSession) -> int:
 
     For a session's end: results that are still to be read depend on them.
     """
-    done = 0
-    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
-    while _FOLDERS:
-        at = path(_FOLDERS.pop())
-        done += bool(at.getFileSystem(conf).delete(at, True))
-    return done
+    return sum(delete(spark, _FOLDERS[-1]) for _ in range(len(_FOLDERS)))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder of ``new_folder`` that no result depends on; whether it was there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    _FOLDERS.remove(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))  # noqa: SLF001
 
 
 def materialize(df: DataFrame, what: str = "table") -> DataFrame:

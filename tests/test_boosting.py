@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.operators import boosting, trees
+from isobar.operators import boosting, learning, trees
 
 FEATURES = ["a", "b", "c"]
 
@@ -214,3 +214,47 @@ def test_slopes_are_credited_to_their_features(spark):
     assert forest.coef is not None
     phi, base = trees.attribute(forest, x)
     assert np.allclose(phi.sum(axis=2) + base[:, None], forest.predict(x).T)
+
+
+def test_repeated_rows_are_read_once_and_weigh_as_often(spark, monkeypatch):
+    x, y = made(400, 8)
+    times = np.random.default_rng(9).integers(1, 6, 400)
+    x, y = np.repeat(x, times, axis=0), np.repeat(y, times)
+    df = frame(spark, x, y)
+    read, blocks = [], boosting._blocks
+
+    def seen(counts, *rest):
+        read.append(counts.count())
+        return blocks(counts, *rest)
+
+    monkeypatch.setattr(boosting, "_blocks", seen)
+    growth = boosting.Growth(rounds=2, leaves=6, rate=0.5, least=40, bins=16, linear=False, feature_share=1.0, bag=1.1)
+    found = boosting.fit(df, FEATURES, "y", [boosting.Spec(0, 0.5, F.lit(True))], growth).orderBy("tree").collect()
+    assert read == [len({(*r, v) for r, v in zip(x.tolist(), y.tolist(), strict=True)})] and read[0] < len(y) / 2
+    cuts = [np.array(sorted(set(np.sort(x[:, j])[np.ceil(np.arange(1, 16) / 16 * len(x)).astype(int) - 1]))) for j in range(3)]
+    bins = np.column_stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)])
+    said = np.full(len(y), found[0].start)
+    for t in found:
+        splits, leaves = plain_tree(bins, y - said, 0.5, 6, 40)
+        assert {n: (f, c) for n, (f, c) in enumerate(zip(t.feature, t.cut, strict=True)) if f >= 0} == {n: (f, cuts[f][b]) for n, (f, b, _, _) in splits.items()}
+        for n, rows in leaves.items():
+            assert t.cover[n] == len(rows) and abs(t.value[n] - plain_quantile((y - said)[rows], 0.5)) < 1e-4
+            said[rows] += 0.5 * t.value[n]
+
+
+def test_counts_by_model_and_rows_without_a_target(spark):
+    rows = [(1.0, 2.0, 0)] * 3 + [(1.0, 2.0, 1), (float("nan"), 2.0, 1), (None, 2.0, 0), (1.0, None, 1), (1.0, float("nan"), 0)]
+    df = spark.createDataFrame(rows, "a double, y double, fold int")
+    fold = F.col("fold")
+    counts = boosting.counted(df, ["a"], "y", [boosting.Spec(0, 0.5, fold != 0, fold == 0), boosting.Spec(1, 0.5, fold != 1), boosting.Spec(2, 0.5, fold >= 0, fold == 1)])
+    assert {tuple(r[:3]): (r["_learn"], r["_held"]) for r in counts.collect()} == {(1.0, 2.0, 4): ([1, 3, 4], [3, 0, 0]), (None, 2.0, 2): ([1, 1, 2], [1, 0, 0]), (1.0, None, 2): ([1, 1, 2], [1, 0, 0])}
+    many = spark.createDataFrame([(1.0, 200_000), (2.0, 65_536), (3.0, 1)], "a double, _rows long")
+    assert {tuple(r) for r in boosting._each_row(many, ["a"]).groupBy("a").count().collect()} == {(1.0, 200_000), (2.0, 65_536), (3.0, 1)}
+
+
+def test_weighted_metrics_are_those_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(i % 2, float(40 + i % 11), float(40 + i * 7 % 13), 1 + i % 4) for i in range(60)] + [(0, None, 41.0, 5)], "k int, y double, p double, w long")
+    again = rows.select("k", "y", "p", F.explode(F.sequence(F.lit(1), F.col("w"))))
+    asked = lambda df, w: df.groupBy("k").agg(learning.pinball("y", "p", 0.05, w).alias("a"), learning.coverage("y", "p", "p", w).alias("b")).join(learning.regression_metrics(df, ["k"], "y", "p", 45.0, w), "k").orderBy("k").collect()
+    for one, two in zip(asked(rows, "w"), asked(again, None), strict=True):
+        assert tuple(one) == pytest.approx(tuple(two), rel=1e-12)

@@ -59,6 +59,17 @@ def test_fold_plan(spark):
         assert all(near((found[i].lat, found[i].lon), c) >= 1.0 for i in train for c in away)
 
 
+def test_fold_plan_sorts_no_rows_for_its_joins(spark):
+    rows = spark.range(50).select((25 + F.col("id") % 35).cast("double").alias("lat"), (210 + F.col("id") % 39).cast("double").alias("lon"), (F.col("id") % 4).alias("yr"), (F.col("id") % 3 > 0).alias("mask"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = folds.fold_plan(rows, "lat", "lon", F.col("yr"), F.col("mask"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") >= 2 and plan.count("SortMergeJoin") <= 1  # blocks and their neighbours
+
+
 def test_event_folds_leave_out_the_ocean(spark):
     df = spark.createDataFrame([(i, 25.0 + i % 35, None if i % 7 == 0 else 210.0 + i % 39) for i in range(300)], "id long, landfall_lat double, landfall_lon double")
     plan = folds.event_fold_plan(df, "landfall_lat", "landfall_lon")
