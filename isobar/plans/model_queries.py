@@ -276,14 +276,13 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 def q_ml_stage2(spark: SparkSession, d: str) -> DataFrame:
     """Three quantile boosters a fold on order-sized rows, folds by landfall block with a buffer; pinball losses and coverage of the rows left out."""
-    plan = materialize(folds.event_fold_plan(_orders(spark, d), "lat", "lon", 2), "event-folds")
+    plan = folds.event_fold_plan(materialize(_orders(spark, d), "orders"), "lat", "lon", 2)
     alphas = {0.05: "q05", 0.5: "q50", 0.95: "q95"}
     specs = [boosting.Spec(k, a, folds.event_trained(k), F.col("spatial_fold") == k, a) for k in range(2) for a in alphas]
-    models = materialize(boosting.fit(plan, STAGE2_COLUMNS, "y", specs, STAGE2_GROWTH, "stage2"), "models")
-    scored = trees.score(plan, models, {(k, a): f"p{k}_{n}" for k in range(2) for a, n in alphas.items()})
-    own = [F.when(F.col("spatial_fold") == 0, F.col(f"p0_{n}")).when(F.col("spatial_fold") == 1, F.col(f"p1_{n}")).alias(n) for n in alphas.values()]
-    tested = scored.where("spatial_fold >= 0").select("spatial_fold", "y", *own)
-    return tested.groupBy("spatial_fold").agg(F.count(F.lit(1)).alias("n"), *[learning.pinball("y", c, a).alias(f"pinball_{c}") for a, c in alphas.items()], learning.coverage("y", "q05", "q95").alias("pi90_coverage"))
+    counts = materialize(boosting.counted(plan, STAGE2_COLUMNS, "y", specs), "counts")
+    models = materialize(boosting.fit_counted(counts, STAGE2_COLUMNS, "y", specs, STAGE2_GROWTH, "stage2"), "models")
+    tested = _tested(counts, models, STAGE2_COLUMNS, {k: {(k, a): n for a, n in alphas.items()} for k in range(2)}, {k: len(alphas) * k for k in range(2)})
+    return tested.groupBy("spatial_fold").agg(F.sum("w").alias("n"), *[learning.pinball("y", c, a, "w").alias(f"pinball_{c}") for a, c in alphas.items()], learning.coverage("y", "q05", "q95", "w").alias("pi90_coverage"))
 
 
 # --- training rows ----------------------------------------------------------------
