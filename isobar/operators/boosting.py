@@ -15,6 +15,8 @@ batches in, sums by (model, node, feature, bin) out.
   the plan nor the work of a pass grows with the number of rounds.
 * A tree grows by its best leaf.  All leaves that could be next are split
   tentatively in one pass; what best-first order then doesn't reach is dropped.
+  Where features have at most ``CELLS`` combinations of bins, the round's first
+  pass counts these, and the tree grows on the counts.
   Gradients of these losses have two values, so a bin holds two counts and the
   choice of splits doesn't depend on the order of sums.
 * Leaves are fitted to residuals: least squares over the features of the path,
@@ -28,8 +30,10 @@ batches in, sums by (model, node, feature, bin) out.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ from isobar.session import delete, materialize, new_folder
 STATE_TREES = 4
 #: Counted rows in a row of the table that passes read, and those that NumPy takes at a time.
 BLOCK, SLICE = 64, 1 << 17
+#: Combinations of bins that a tree may be grown on.
+CELLS = 1 << 14
 #: Bins of a residual histogram, and of the one that refines a bin of it.
 RESIDUAL_BINS = 1024
 
@@ -51,6 +57,7 @@ RESIDUAL_BINS = 1024
 class Spec:
     """One model: its fold, its quantile (0.5: absolute error) and the rows that it learns from and is stopped by.
 
+    Models that are given the same two columns (not equal ones) share their counts.
     named: the alpha to store (None for the absolute error).
     """
 
@@ -154,18 +161,29 @@ def _unpacked(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
 
 
-def _blocks(counts: DataFrame, features: list[str], y: str, models: int, cuts: list[np.ndarray], centre: np.ndarray) -> DataFrame:
-    """Counted rows in blocks: hashes, bins (x <= cuts[b] just where the bin is b or less), features minus centres (0 where missing), weights, residuals."""
+def _roles(specs: list[Spec]) -> list[int]:
+    """By model the number of its pair of ``train`` and ``valid``."""
+    pairs = [(id(s.train), id(s.valid)) for s in specs]
+    order = list(dict.fromkeys(pairs))
+    return [order.index(p) for p in pairs]
+
+
+def _blocks(counts: DataFrame, features: list[str], y: str, roles: list[int], cuts: list[np.ndarray], centre: np.ndarray, kinds: tuple[type, type]) -> DataFrame:
+    """Counted rows in blocks: hashes, bins (x <= cuts[b] just where the bin is b or less), features minus centres (0 where missing), weights by role, residuals.
+
+    kinds: of bins and of weights.
+    """
+    own = [roles.index(r) for r in range(max(roles) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = [batch.column(j).fill_null(np.nan).to_numpy(zero_copy_only=False) for j in range(len(cuts))]
-            bins = np.column_stack([np.where(np.isnan(v), len(c), np.searchsorted(c, v, "left")) for v, c in zip(x, cuts, strict=True)]).astype(np.int32)
+            bins = np.column_stack([np.where(np.isnan(v), len(c), np.searchsorted(c, v, "left")) for v, c in zip(x, cuts, strict=True)]).astype(kinds[0])
             target, h = (batch.column(len(cuts) + j).to_numpy(zero_copy_only=False) for j in (0, 1))
-            learn, held = (batch.column(len(cuts) + j).flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1) for j in (2, 3))
-            columns = [h, bins, np.nan_to_num(np.column_stack(x) - centre, nan=0.0), learn, held, np.repeat(target[:, None], models, axis=1)]
+            learn, held = (batch.column(len(cuts) + j).flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1)[:, own].astype(kinds[1]) for j in (2, 3))
+            columns = [h, bins, np.nan_to_num(np.column_stack(x) - centre, nan=0.0), learn, held, np.repeat(target[:, None], len(roles), axis=1)]
             yield pa.RecordBatch.from_arrays([_packed(c) for c in columns], ["h", "bins", "off", "learn", "held", "residual"])
 
     asked = counts.select(*features, y, F.xxhash64(F.array(*features), F.col(y)).alias("_h"), "_learn", "_held")
@@ -211,25 +229,58 @@ class _Sums:
         return self.pieces[0]
 
 
+class _Learned:
+    """The rows that models of one role learn from in this round, by feature and row."""
+
+    def __init__(self, bins: np.ndarray, off: np.ndarray | None, weight: np.ndarray) -> None:
+        self.mine = np.flatnonzero(weight)
+        self.bins, self.weight, self._off = bins[:, self.mine], weight[self.mine].astype(float), off
+
+    @cached_property
+    def off(self) -> np.ndarray | None:
+        return None if self._off is None else self._off[:, self.mine]
+
+
 @dataclass
 class _Batch:
-    """What a pass sees of some rows for one model: those that it learns from in this round, by feature and row, and those held out."""
+    """What a pass sees of some rows for one model: those that it learns from, with their residuals, and those held out (where they are read)."""
 
     m: int
     alpha: float
-    off: np.ndarray
-    bins: np.ndarray
+    learned: _Learned
     residual: np.ndarray
-    weight: np.ndarray  # how many rows each stands for
     held: np.ndarray  # residuals of rows held out
     held_weight: np.ndarray
 
+    @property
+    def bins(self) -> np.ndarray:
+        return self.learned.bins
+
+    @property
+    def off(self) -> np.ndarray | None:
+        return self.learned.off
+
+    @property
+    def weight(self) -> np.ndarray:
+        """How many rows each stands for."""
+        return self.learned.weight
+
+
+def _reads(*columns: str):
+    """Marks a task that reads these columns besides those that every pass reads."""
+
+    def mark(task):
+        task.reads = columns
+        return task
+
+    return mark
+
 
 class _Rows:
     """Passes over the rows of all models."""
 
-    def __init__(self, table: DataFrame, cuts: list[np.ndarray], specs: list[Spec], growth: Growth) -> None:
-        self.cuts, self.growth = cuts, growth
+    def __init__(self, table: DataFrame, cuts: list[np.ndarray], specs: list[Spec], growth: Growth, kinds: tuple[type, type]) -> None:
+        self.cuts, self.growth, self.roles, self.kinds = cuts, growth, _roles(specs), kinds
         self.alphas = [s.alpha for s in specs]
         self.recent: list[list[_Tree]] = [[] for _ in specs]  # not yet in the table's residuals
         self.round = 0
@@ -245,19 +296,23 @@ class _Rows:
             delete(spark, before)
 
     def _each(self, live: list[int]):
-        width, models, growth, recent, alphas, at = len(self.cuts), len(self.alphas), self.growth, self.recent, self.alphas, self.round
+        growth, recent, alphas, at, roles = self.growth, self.recent, self.alphas, self.round, self.roles
+        shapes = {"h": (np.int64, 1), "bins": (self.kinds[0], len(self.cuts)), "off": (float, len(self.cuts)), "residual": (float, len(alphas))} | dict.fromkeys(("learn", "held"), (self.kinds[1], max(roles) + 1))
 
         def prepared(batch: pa.RecordBatch) -> Iterator[_Batch]:
-            h, bins, off, learn, held, residual = (_unpacked(batch.column(j), kind, n) for j, (kind, n) in enumerate(((np.int64, 1), (np.int32, width), (float, width), (np.int64, models), (np.int64, models), (float, models))))
-            for a in range(0, len(h), SLICE):
-                part = slice(a, a + SLICE)
-                own_bins, own_off = np.ascontiguousarray(bins[part].T), np.ascontiguousarray(off[part].T)
-                bag = _mixed(h[part, 0], growth.seed + at // growth.bag_rounds) < growth.bag
+            read = {c: _unpacked(v, *shapes[c]) for c, v in zip(batch.schema.names, batch.columns, strict=True)}
+            for a in range(0, len(read["h"]), SLICE):
+                own = {c: v[a : a + SLICE] for c, v in read.items()}
+                bins, off = (np.ascontiguousarray(own[c].T) if c in own else None for c in ("bins", "off"))
+                bag = _mixed(np.ascontiguousarray(own["h"][:, 0]), growth.seed + at // growth.bag_rounds) < growth.bag
+                learned = {r: _Learned(bins, off, own["learn"][:, r] * bag) for r in {roles[m] for m in live}}
                 for m in live:
-                    left = residual[part, m] - growth.rate * sum((t.output(t.walk(own_bins), own_off) for t in recent[m]), np.zeros(len(bag)))
-                    weight = learn[part, m] * bag
-                    mine, out = np.flatnonzero(weight), np.flatnonzero(held[part, m])
-                    yield _Batch(m, alphas[m], own_off[:, mine], own_bins[:, mine], left[mine], weight[mine].astype(float), left[out], held[part, m][out].astype(float))
+                    left = own["residual"][:, m]
+                    if recent[m]:
+                        left = left - growth.rate * sum(t.output(t.walk(bins), off) for t in recent[m])
+                    held = own["held"][:, roles[m]] if "held" in own else np.zeros(0)
+                    out = np.flatnonzero(held)
+                    yield _Batch(m, alphas[m], learned[roles[m]], left[learned[roles[m]].mine], left[out], held[out].astype(float))
 
         return prepared
 
@@ -272,7 +327,8 @@ class _Rows:
                     task(part, held)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.fold()], ["key", "n", "k", "s", "lo", "hi"])
 
-        found = self.table.mapInArrow(run, "key long, n long, k long, s double, lo double, hi double")
+        more = {*getattr(task, "reads", ()), *(["off"] if any(t.coef for m in live for t in self.recent[m]) else [])}
+        found = self.table.select("h", "bins", "learn", "residual", *sorted(more)).mapInArrow(run, "key long, n long, k long, s double, lo double, hi double")
         found = found.groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         key, *values = (c.to_numpy() for c in found.toArrow().columns)  # as many rows as nodes, features and bins
         out: dict[int, list] = {m: [] for m in live}
@@ -282,11 +338,11 @@ class _Rows:
 
     def settle(self) -> None:
         """Writes the residuals so far; later passes walk later trees only."""
-        width, recent, rate = len(self.cuts), self.recent, self.growth.rate
+        width, recent, rate, kind = len(self.cuts), self.recent, self.growth.rate, self.kinds[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bins, off, residual = _unpacked(batch.column(1), np.int32, width), _unpacked(batch.column(2), float, width), _unpacked(batch.column(5), float, len(recent)).copy()
+                bins, off, residual = _unpacked(batch.column(1), kind, width), _unpacked(batch.column(2), float, width), _unpacked(batch.column(5), float, len(recent)).copy()
                 for a in range(0, len(bins), SLICE):
                     part = slice(a, a + SLICE)
                     own_bins, own_off = np.ascontiguousarray(bins[part].T), np.ascontiguousarray(off[part].T)
@@ -367,37 +423,68 @@ class _Growing:
         return out
 
 
-def _grow(rows: _Rows, live: list[int], growing: dict[int, _Growing], first: dict[int, list]) -> None:
+def _grow(rows: _Rows, live: list[int], growing: dict[int, _Growing], first: dict[int, list], cells: dict[int, tuple] | None = None) -> None:
+    """cells: by model the counted combinations of bins (bins, rows, rows above 0); then no rows are read."""
     for m in live:
         growing[m].learn(first[m])
     while todo := [m for m in live if not growing[m].done]:
         fresh = {m: (growing[m].tree, np.array(growing[m].fresh), growing[m].features) for m in todo}
+        if cells is not None:
+            for m, (tree, asked, features) in fresh.items():
+                growing[m].learn(_of_cells(cells[m], tree, asked, features))
+            continue
 
         def task(part: _Batch, held: _Sums, fresh=fresh) -> None:
             tree, asked, features = fresh[part.m]
-            _histogram(part, held, tree.walk(part.bins), asked, features)
+            _histogram(held, part.m, part.bins, part.weight, part.weight * (part.residual > 0), tree.walk(part.bins), asked, features)
 
         found = rows.sums(todo, task)
         for m in todo:
             growing[m].learn(found[m])
 
 
-def _histogram(part: _Batch, held: _Sums, node: np.ndarray, asked: np.ndarray, features: list[int]) -> None:
+def _histogram(held: _Sums, m: int, bins: np.ndarray, weight: np.ndarray, up: np.ndarray, node: np.ndarray, asked: np.ndarray, features: list[int]) -> None:
     place = np.full(max(int(node.max(initial=0)), int(asked.max())) + 1, -1)
     place[asked] = np.arange(len(asked))
     place = place[node]
     mine = np.flatnonzero(place >= 0)
     if not len(mine):
         return
-    place, weight = place[mine], part.weight[mine]
-    up = weight * (part.residual[mine] > 0)
+    place, weight, up = place[mine], weight[mine], up[mine]
     for f in features:
-        bins = part.bins[f][mine]
-        width = int(bins.max()) + 1
-        cell = place * width + bins
+        own = bins[f][mine]
+        width = int(own.max()) + 1
+        cell = place * width + own
         n = np.bincount(cell, weight)
         some = np.flatnonzero(n)
-        held.add(part.m, asked[some // width], f, some % width, n[some], np.bincount(cell, up)[some])
+        held.add(m, asked[some // width], f, some % width, n[some], np.bincount(cell, up)[some])
+
+
+def _combined(held: _Sums, part: _Batch, features: list[int], shape: list[int]) -> None:
+    """Counts by combination of the features' bins."""
+    cell = np.zeros(len(part.weight), np.int64)
+    for f, width in zip(features, shape, strict=True):
+        cell = cell * width + part.bins[f]
+    n = np.bincount(cell, part.weight)
+    some = np.flatnonzero(n)
+    held.add(part.m, 0, 0, some, n[some], np.bincount(cell, part.weight * (part.residual > 0))[some])
+
+
+def _cells(rows: list, features: list[int], shape: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins by feature and cell, rows, rows above 0) of what ``_combined`` has counted."""
+    found = np.array([(b, n, k) for node, _, b, n, k, *_ in rows if node >= 0], np.int64).reshape(-1, 3)
+    bins = np.zeros((width, len(found)), np.int64)
+    bins[features] = np.unravel_index(found[:, 0], shape)
+    return bins, found[:, 1].astype(float), found[:, 2].astype(float)
+
+
+def _of_cells(cells: tuple, tree: _Tree, asked: np.ndarray, features: list[int]) -> list:
+    """Histograms of nodes, as a pass over the rows would give them."""
+    bins, n, up = cells
+    held = _Sums()
+    _histogram(held, 0, bins, n, up, tree.walk(bins), asked, features)
+    key, n, k, *_ = held.fold()
+    return list(zip(*[c.tolist() for c in (*_Sums.parts(key)[1:], n, k)], strict=True))
 
 
 # --- leaves -----------------------------------------------------------------------
@@ -409,6 +496,7 @@ def _fit_leaves(rows: _Rows, made: dict[int, _Tree], linear: bool) -> None:
     # Each leaf's used features, padded to one length.
     paths = {m: {leaf: t.path(leaf) for leaf, f in enumerate(t.feature) if f < 0} for m, t in made.items()}
 
+    @_reads("off")
     def stats(part: _Batch, held: _Sums) -> None:
         leaf = made[part.m].walk(part.bins)
         order = np.argsort(leaf, kind="stable")
@@ -474,6 +562,7 @@ def _fit_constants(rows: _Rows, made: dict[int, _Tree], span: dict[tuple[int, in
     found_values: dict[int, list[float]] = {}
     for last in (False, True):
 
+        @_reads("off")
         def task(part: _Batch, held: _Sums, last=last) -> None:
             t = made[part.m]
             leaf = t.walk(part.bins)
@@ -518,11 +607,12 @@ def _fit_constants(rows: _Rows, made: dict[int, _Tree], span: dict[tuple[int, in
 def counted(rows: DataFrame, features: list[str], y: str, specs: list[Spec]) -> DataFrame:
     """Distinct rows of features and target (NaN as null): ``_rows`` of them, and by model how many it learns from (``_learn``) and is stopped by (``_held``)."""
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    role = [F.when(F.coalesce(s.train, F.lit(False)), 1).when(F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False), 2).otherwise(0) for s in specs]
-    own = rows.select(*[number(c).alias(c) for c in (*features, y)], *[r.alias(f"_role{m}") for m, r in enumerate(role)])
-    n = [F.count_if(F.col(f"_role{m}") == kind).alias(f"_{kind}_{m}") for kind in (1, 2) for m in range(len(specs))]
+    role = {r: F.when(F.coalesce(s.train, F.lit(False)), 1).when(F.coalesce(s.valid, F.lit(False)) if s.valid is not None else F.lit(False), 2).otherwise(0) for r, s in zip(_roles(specs), specs, strict=True)}
+    own = rows.select(*[number(c).alias(c) for c in (*features, y)], *[c.alias(f"_role{r}") for r, c in role.items()])
+    roles = _roles(specs)
+    n = [F.count_if(F.col(f"_role{r}") == kind).alias(f"_{kind}_{r}") for kind in (1, 2) for r in range(max(roles) + 1)]
     found = own.groupBy(*features, y).agg(F.count(F.lit(1)).alias("_rows"), *n)
-    return found.select(*features, y, "_rows", *[F.array(*[f"_{kind}_{m}" for m in range(len(specs))]).alias(name) for kind, name in ((1, "_learn"), (2, "_held"))])
+    return found.select(*features, y, "_rows", *[F.array(*[f"_{kind}_{r}" for r in roles]).alias(name) for kind, name in ((1, "_learn"), (2, "_held"))])
 
 
 def _each_row(counts: DataFrame, columns: list[str]) -> DataFrame:
@@ -545,7 +635,9 @@ def fit_counted(counts: DataFrame, features: list[str], y: str, specs: list[Spec
     seen = _each_row(counts, features).agg(*[F.percentile_approx(c, qs, 10000).alias(f"q{j}") for j, c in enumerate(features)], *[F.avg(c).alias(f"m{j}") for j, c in enumerate(features)]).first()
     cuts = [np.array(sorted(set(seen[f"q{j}"] or []))) for j in range(len(features))]
     centre = np.array([seen[f"m{j}"] or 0.0 for j in range(len(features))])
-    own = _Rows(_blocks(counts, features, y, len(specs), cuts, centre), cuts, specs, growth)
+    most = counts.agg(F.max("_rows")).first()[0] or 0
+    kinds = (np.uint8 if max(map(len, cuts)) < 1 << 8 else np.int32, np.int32 if most < 1 << 31 else np.int64)
+    own = _Rows(_blocks(counts, features, y, _roles(specs), cuts, centre, kinds), cuts, specs, growth, kinds)
 
     # The start: the quantile of the target, as of a tree of one leaf.
     start = {m: _Tree() for m in range(len(specs))}
@@ -562,10 +654,17 @@ def fit_counted(counts: DataFrame, features: list[str], y: str, specs: list[Spec
         own.round = at
         chosen = np.sort(np.random.default_rng((growth.seed, at)).permutation(len(features))[: max(1, round(growth.feature_share * len(features)))]).tolist()
 
-        def task(part: _Batch, held: _Sums, chosen=chosen) -> None:
+        shape = [len(cuts[f]) + 1 for f in chosen]
+        joint = math.prod(shape) <= CELLS
+
+        @_reads("held")
+        def task(part: _Batch, held: _Sums, chosen=chosen, shape=shape, joint=joint) -> None:
             if len(part.held):
                 held.add(part.m, -1, 0, 0, part.held_weight.sum(), s=(part.held_weight * np.maximum(part.alpha * part.held, (part.alpha - 1) * part.held)).sum())
-            _histogram(part, held, np.zeros(len(part.weight), np.int64), np.array([0]), chosen)
+            if joint:
+                _combined(held, part, chosen, shape)
+            else:
+                _histogram(held, part.m, part.bins, part.weight, part.weight * (part.residual > 0), np.zeros(len(part.weight), np.int64), np.array([0]), chosen)
 
         first = own.sums(live, task)
         for m in list(live):
@@ -579,7 +678,10 @@ def fit_counted(counts: DataFrame, features: list[str], y: str, specs: list[Spec
         if not live or at == growth.rounds:
             break
         growing = {m: _Growing(specs[m].alpha, growth, chosen, cuts) for m in live}
-        _grow(own, live, growing, first)
+        cells = {m: _cells(first[m], chosen, shape, len(features)) for m in live} if joint else None
+        if cells is not None:
+            first = {m: _of_cells(cells[m], _Tree(), np.array([0]), chosen) for m in live}
+        _grow(own, live, growing, first, cells)
         made = {m: g.grown() for m, g in growing.items()}
         for m in [m for m, t in made.items() if len(t.feature) == 1]:  # nothing left to split
             del made[m]

@@ -278,7 +278,8 @@ def q_ml_stage2(spark: SparkSession, d: str) -> DataFrame:
     """Three quantile boosters a fold on order-sized rows, folds by landfall block with a buffer; pinball losses and coverage of the rows left out."""
     plan = folds.event_fold_plan(materialize(_orders(spark, d), "orders"), "lat", "lon", 2)
     alphas = {0.05: "q05", 0.5: "q50", 0.95: "q95"}
-    specs = [boosting.Spec(k, a, folds.event_trained(k), F.col("spatial_fold") == k, a) for k in range(2) for a in alphas]
+    rows = [(folds.event_trained(k), F.col("spatial_fold") == k) for k in range(2)]
+    specs = [boosting.Spec(k, a, *rows[k], a) for k in range(2) for a in alphas]
     counts = materialize(boosting.counted(plan, STAGE2_COLUMNS, "y", specs), "counts")
     models = materialize(boosting.fit_counted(counts, STAGE2_COLUMNS, "y", specs, STAGE2_GROWTH, "stage2"), "models")
     tested = _tested(counts, models, STAGE2_COLUMNS, {k: {(k, a): n for a, n in alphas.items()} for k in range(2)}, {k: len(alphas) * k for k in range(2)})

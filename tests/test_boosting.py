@@ -242,6 +242,19 @@ def test_repeated_rows_are_read_once_and_weigh_as_often(spark, monkeypatch):
             said[rows] += 0.5 * t.value[n]
 
 
+def test_trees_grown_on_combinations_of_bins_are_those_of_passes(spark, monkeypatch):
+    x, y = made(500, 10)
+    df, own = frame(spark, x, y), (F.col("id") % 3 > 0, F.col("id") % 3 == 0)
+    growth = boosting.Growth(rounds=3, leaves=6, least=20, rate=0.5, bins=16)
+    ask = lambda: [(r.alpha, r.tree, r.feature, r.cut, r.cover) for r in boosting.fit(df, FEATURES, "y", [boosting.Spec(0, a, *own, a) for a in (0.1, 0.5)], growth).orderBy("alpha", "tree").collect()]
+    passes, sums = [], boosting._Rows.sums
+    monkeypatch.setattr(boosting._Rows, "sums", lambda self, live, task: passes.append(1) or sums(self, live, task))
+    one = ask()
+    few = len(passes)
+    monkeypatch.setattr(boosting, "CELLS", 0)
+    assert one == ask() and len(passes) - few > few
+
+
 def test_counts_by_model_and_rows_without_a_target(spark):
     rows = [(1.0, 2.0, 0)] * 3 + [(1.0, 2.0, 1), (float("nan"), 2.0, 1), (None, 2.0, 0), (1.0, None, 1), (1.0, float("nan"), 0)]
     df = spark.createDataFrame(rows, "a double, y double, fold int")
