@@ -18,7 +18,8 @@ batches in, sums by (model, node, feature, bin) out.
   Where features have at most ``CELLS`` combinations of bins, the round's first
   pass counts these, and the tree grows on the counts.
   Gradients of these losses have two values, so a bin holds two counts and the
-  choice of splits doesn't depend on the order of sums.
+  choice of splits depends on the order of sums only where residuals are 0 but
+  for their last bits.
 * Leaves are fitted to residuals: least squares over the features of the path,
   from sums of products by leaf, then the loss's quantile of what is left, from
   a histogram of residuals and one refinement of the bin that holds it (a
@@ -201,13 +202,16 @@ class _Sums:
 
     @staticmethod
     def key(m, node, a, b) -> np.ndarray:
-        """One number for 11 bits of models, 20 of nodes (-1 is one), 11 of a and 20 of b."""
+        """One number for 10 bits of models, 17 of nodes (-1 is one), 14 of a and 22 of b; ValueError if that doesn't hold them."""
         m, node, a, b = (np.asarray(v, np.int64) for v in (m, node, a, b))
-        return ((m << 20 | node + 1) << 11 | a) << 20 | b
+        for v, bits in ((m, 10), (node + 1, 17), (a, 14), (b, 22)):
+            if v.max(initial=0) >> bits:
+                raise ValueError("more models, nodes, features or bins than a sum's key holds")
+        return ((m << 17 | node + 1) << 14 | a) << 22 | b
 
     @staticmethod
     def parts(key: np.ndarray) -> tuple[np.ndarray, ...]:
-        return key >> 51, (key >> 31 & (1 << 20) - 1) - 1, key >> 20 & (1 << 11) - 1, key & (1 << 20) - 1
+        return key >> 53, (key >> 36 & (1 << 17) - 1) - 1, key >> 22 & (1 << 14) - 1, key & (1 << 22) - 1
 
     def add(self, m, node, a, b, n=0, k=0, s=0.0, lo=np.inf, hi=-np.inf) -> None:
         columns = np.broadcast_arrays(np.atleast_1d(self.key(m, node, a, b)), *[np.asarray(v, kind) for v, kind in zip((n, k, s, lo, hi), self._KINDS, strict=True)])

@@ -255,6 +255,13 @@ def test_trees_grown_on_combinations_of_bins_are_those_of_passes(spark, monkeypa
     assert one == ask() and len(passes) - few > few
 
 
+def test_keys_of_sums():
+    parts = (np.array([0, 1023]), np.array([-1, 131070]), np.array([0, 16383]), np.array([0, 4194303]))
+    assert all((a == b).all() for a, b in zip(parts, boosting._Sums.parts(boosting._Sums.key(*parts)), strict=True))
+    with pytest.raises(ValueError):
+        boosting._Sums.key(0, 0, 16384, 0)
+
+
 def test_counts_by_model_and_rows_without_a_target(spark):
     rows = [(1.0, 2.0, 0)] * 3 + [(1.0, 2.0, 1), (float("nan"), 2.0, 1), (None, 2.0, 0), (1.0, None, 1), (1.0, float("nan"), 0)]
     df = spark.createDataFrame(rows, "a double, y double, fold int")
